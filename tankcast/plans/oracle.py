@@ -74,6 +74,222 @@ SELECT *, {fc('tank_temperature', 'weather_temperature', 'weather_humidity', 'we
        {r2(fc('tank_temperature', 'weather_temperature', 'weather_humidity', 'weather_wind'))} AS forecast_r2
 FROM enriched"""
 
+
+PARSED = """parsed AS (
+  SELECT * FROM (SELECT *, TRY_CAST(payload AS DOUBLE) AS value FROM messages) t
+  WHERE value IS NOT NULL)"""
+
+_IDS = ", ".join(str(i) for i in list(RESOURCE_IDS) + [9999])
+RESOURCE_PATH = f"""rp AS (
+  SELECT msg_id, '/3300/' || CAST(device_id % 3 AS VARCHAR) || '/'
+         || CAST(([{_IDS}])[msg_id % 10 + 1] AS VARCHAR) AS resource_path
+  FROM messages)"""
+
+RESOURCE_SPLIT = """rs AS (
+  SELECT msg_id, resource_path,
+         TRY_CAST(split_part(resource_path, '/', 2) AS INTEGER) AS object_id,
+         TRY_CAST(split_part(resource_path, '/', 3) AS INTEGER) AS instance_id,
+         TRY_CAST(split_part(resource_path, '/', 4) AS INTEGER) AS resource_id
+  FROM rp)"""
+
+
+def _values(rows):
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        if isinstance(v, int):
+            return str(v)
+        return "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+
+CATALOGUE = f"""cat(resource_id, resource_name, resource_type, operations, mandatory) AS (
+  SELECT * FROM (VALUES {_values([(r[0], r[1], r[3], r[2], r[4]) for r in RESOURCES])}))"""
+
+WEATHER_JSON = """wj AS (
+  SELECT *, CASE WHEN weather_id % 10 = 0 THEN 'oops'
+                 WHEN weather_id % 10 = 1 THEN '{"temperature":' || CAST(temperature AS VARCHAR) || '}'
+                 ELSE '{"temperature":' || CAST(temperature AS VARCHAR) || ',"humidity":'
+                      || CAST(humidity AS VARCHAR) || ',"wind":' || CAST(wind AS VARCHAR) || '}'
+            END AS weather_json
+  FROM weather)"""
+
+
+def _jfield(doc: str, f: str) -> str:
+    return (f"CASE WHEN json_valid({doc}) THEN COALESCE(TRY_CAST(json_extract({doc}, '$.{f}') AS DOUBLE), 0.0) "
+            f"ELSE 0.0 END")
+
+
+_DASH = ["tank/temperature", "tank/forecast", "boiler/enabled", "boiler/threshold",
+         "boiler/threshold/set", "utility/enabled", "utility/threshold", "utility/threshold/set"]
+_ROUTE_IDX = "CASE topic " + " ".join(f"WHEN '{P}/{s}' THEN {i}" for i, s in enumerate(_DASH, 1)) + " END"
+_HELD = [("tank/temperature", "tank_temperature", "0.0"), ("tank/forecast", "tank_forecast", "0.0"),
+         ("boiler/threshold/set", "boiler_threshold", "45.0"),
+         ("utility/threshold/set", "utility_threshold", "60.0")]
+
+
+def _held_sql(series) -> str:
+    topics = ", ".join(f"'{P}/{s}'" for s, _, _ in series)
+    ctes = [f"""ctl AS (SELECT site_id, ts, msg_id, topic, TRY_CAST(payload AS DOUBLE) AS v
+               FROM messages WHERE topic IN ({topics}))""",
+            """bounds AS (SELECT site_id, time_bucket(INTERVAL '1 hour', min(ts)) AS g0, max(ts) AS g1
+               FROM ctl GROUP BY site_id)""",
+            """ticks AS (SELECT site_id, g0, unnest(generate_series(g0, g1, INTERVAL '1 hour')) AS tick
+               FROM bounds)"""]
+    for i, (s, c, _) in enumerate(series):
+        ctes.append(f"s{i} AS (SELECT site_id, ts, v FROM ctl WHERE topic = '{P}/{s}' AND v IS NOT NULL)")
+    cols = ", ".join(f"COALESCE(s{i}.v, {d}) AS {c}" for i, (_, c, d) in enumerate(series))
+    joins = " ".join(f"ASOF LEFT JOIN s{i} ON t.site_id = s{i}.site_id AND t.tick >= s{i}.ts"
+                     for i in range(len(series)))
+    ctes.append(f"""held AS (SELECT t.site_id, t.tick,
+               CAST(date_diff('second', t.g0, t.tick) // 3600 AS BIGINT) AS tick_index, {cols}
+               FROM ticks t {joins})""")
+    return with_views(*ctes)
+
+
+CONTROL = _held_sql(_HELD) + """, ctrl AS (
+  SELECT *, tank_temperature < boiler_threshold AS boiler_enabled,
+         tank_forecast > utility_threshold AS utility_enabled,
+         NOT (tank_temperature < boiler_threshold) AS boiler_pin,
+         NOT (tank_forecast > utility_threshold) AS utility_pin,
+         tick_index % 6 = 5 AS full_status
+  FROM held)
+"""
+
+_STATUS = [("tank/temperature", "tank_temperature"), ("boiler/enabled", "boiler_enabled"),
+           ("boiler/threshold", "boiler_threshold"), ("utility/enabled", "utility_enabled"),
+           ("utility/threshold", "utility_threshold")]
+
 SQL: dict[str, str] = {
     "forecast_default": FORECAST_DEFAULT,
+    "message_source": with_views() + f"""
+SELECT * FROM messages WHERE topic IN ('{P}/tank/temperature', '{P}/tank/forecast')""",
+    "weather_enrich": with_views(READINGS) + """
+SELECT r.*, COALESCE(w.temperature, 0.0) AS weather_temperature,
+       COALESCE(w.humidity, 0.0) AS weather_humidity, COALESCE(w.wind, 0.0) AS weather_wind,
+       w.weather_id IS NOT NULL AS weather_found
+FROM readings r ASOF LEFT JOIN weather w ON r.site_id = w.site_id AND r.ts >= w.ts""",
+    "last_in_window": with_views(PARSED) + """
+SELECT site_id, topic, window_start, window_start + INTERVAL '30 minutes' AS window_end, ts, msg_id, value
+FROM (SELECT *, time_bucket(INTERVAL '30 minutes', ts) AS window_start,
+             row_number() OVER (PARTITION BY site_id, topic, time_bucket(INTERVAL '30 minutes', ts)
+                                ORDER BY ts DESC, msg_id DESC) AS rn FROM parsed) x
+WHERE rn = 1""",
+    "sliding_first_last": with_views(READINGS, """w AS (
+  SELECT site_id, ts, msg_id, tank_temperature,
+         time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes' * i AS window_start
+  FROM (SELECT *, unnest(generate_series(0, 5)) AS i FROM readings) e)""", """g AS (
+  SELECT *, count(*) OVER (PARTITION BY site_id, window_start) AS n,
+         row_number() OVER (PARTITION BY site_id, window_start ORDER BY ts DESC, msg_id DESC) AS rd,
+         row_number() OVER (PARTITION BY site_id, window_start ORDER BY ts, msg_id) AS ra
+  FROM w)""") + """
+SELECT a.site_id, a.window_start, a.window_start + INTERVAL '3 hours' AS window_end, a.n,
+       a.ts AS newest_ts, a.msg_id AS newest_id, a.tank_temperature AS newest_value,
+       b.ts AS oldest_ts, b.msg_id AS oldest_id, b.tank_temperature AS oldest_value
+FROM g a JOIN g b ON a.site_id = b.site_id AND a.window_start = b.window_start
+WHERE a.rd = 1 AND b.ra = 1""",
+    "payload_decode": with_views() + """
+SELECT msg_id, decode(encode(payload)) AS payload_text FROM messages""",
+    "payload_parse": with_views() + """
+SELECT msg_id, payload_dirty, TRY_CAST(payload_dirty AS DOUBLE) AS value
+FROM (SELECT msg_id, CASE WHEN msg_id % 7 = 0 THEN 'x' || payload ELSE payload END AS payload_dirty
+      FROM messages) d""",
+    "payload_quarantine": with_views() + """
+SELECT msg_id, topic, payload_dirty
+FROM (SELECT msg_id, topic, CASE WHEN msg_id % 7 = 0 THEN 'x' || payload ELSE payload END AS payload_dirty
+      FROM messages) d
+WHERE payload_dirty IS NOT NULL AND TRY_CAST(payload_dirty AS DOUBLE) IS NULL""",
+    "weather_json_parse": with_views(WEATHER_JSON) + f"""
+SELECT weather_id, site_id, ts, weather_json,
+       {_jfield('weather_json', 'temperature')} AS temperature,
+       {_jfield('weather_json', 'humidity')} AS humidity,
+       {_jfield('weather_json', 'wind')} AS wind
+FROM wj""",
+    "weather_json_roundtrip": with_views() + """
+SELECT weather_id,
+       CAST(to_json({'temperature': temperature, 'humidity': humidity, 'wind': wind}) AS VARCHAR) AS weather_doc,
+       TRUE AS temperature_same, TRUE AS humidity_same, TRUE AS wind_same
+FROM weather""",
+    "device_hex": with_views() + """
+SELECT msg_id, device_id, printf('%016x', device_id) AS device_hex FROM messages""",
+    "round_half_up2": with_views(PARSED) + f"""
+SELECT msg_id, value / 8 AS x, {r2('value / 8')} AS x_r2 FROM parsed""",
+    "weather_factor": with_views() + f"""
+SELECT weather_id, site_id, ts,
+       {r2('temperature * CAST(1.0 AS DOUBLE) + humidity * CAST(0.1 AS DOUBLE) + wind * CAST(0.2 AS DOUBLE)')} AS weather_factor
+FROM weather""",
+    "topic_subtree": with_views() + f"""
+SELECT msg_id, topic_tree FROM (
+  SELECT msg_id, CASE WHEN msg_id % 11 = 0 THEN '{P}2/x' WHEN msg_id % 11 = 1 THEN '{P}'
+                      ELSE topic END AS topic_tree FROM messages) t
+WHERE topic_tree = '{P}' OR starts_with(topic_tree, '{P}/')""",
+    "topic_route": with_views() + f"""
+SELECT msg_id, topic, route_index, ([{", ".join(f"'{s}'" for s in _DASH)}])[route_index] AS route
+FROM (SELECT msg_id, topic, {_ROUTE_IDX} AS route_index FROM messages) t
+WHERE route_index IS NOT NULL""",
+    "command_guard": with_views() + f"""
+SELECT msg_id, split_part(topic, '/', 2) AS widget, payload,
+       '{P}/' || split_part(topic, '/', 2) || '/threshold/set' AS topic
+FROM messages
+WHERE topic IN ('{P}/boiler/threshold/set', '{P}/utility/threshold/set') AND msg_id % 3 = 0""",
+    "publish_forecast": with_views(READINGS, NEWEST_5S, ENRICHED) + f"""
+SELECT device_id, site_id, '{P}/tank/forecast' AS topic,
+       CAST({fc('tank_temperature', 'weather_temperature', 'weather_humidity', 'weather_wind')} AS VARCHAR) AS payload,
+       ts
+FROM enriched""",
+    "resource_path_split": with_views(RESOURCE_PATH, RESOURCE_SPLIT) + """
+SELECT * FROM rs""",
+    "latest_per_topic": with_views() + """
+SELECT site_id, topic, ts, msg_id, payload, n_messages FROM (
+  SELECT *, row_number() OVER (PARTITION BY site_id, topic ORDER BY ts DESC, msg_id DESC) AS rn,
+         count(*) OVER (PARTITION BY site_id, topic) AS n_messages FROM messages) t
+WHERE rn = 1""",
+    "tick_sample_hold": _held_sql(_HELD[:1]) + """
+SELECT * FROM held""",
+    "control_state": CONTROL + """
+SELECT site_id, tick, tick_index, tank_temperature, tank_forecast, boiler_threshold,
+       utility_threshold, boiler_enabled, utility_enabled, boiler_pin, utility_pin
+FROM ctrl""",
+    "status_cadence": CONTROL + """
+SELECT site_id, tick, tick_index, full_status FROM ctrl""",
+    "publish_status": CONTROL + " " + " UNION ALL ".join(
+        f"SELECT site_id, tick AS ts, '{P}/{s}' AS topic, CAST({c} AS VARCHAR) AS payload FROM ctrl"
+        + ("" if s == "tank/temperature" else " WHERE full_status") for s, c in _STATUS),
+    "threshold_history": with_views() + f"""
+SELECT site_id, topic, msg_id, ts AS valid_from,
+       lead(ts) OVER (PARTITION BY site_id, topic ORDER BY ts, msg_id) AS valid_to, threshold
+FROM (SELECT site_id, topic, msg_id, ts, TRY_CAST(payload AS DOUBLE) AS threshold FROM messages
+      WHERE topic IN ('{P}/boiler/threshold/set', '{P}/utility/threshold/set')) t
+WHERE threshold IS NOT NULL""",
+    "history_window": with_views(PARSED) + """
+SELECT * FROM (
+  SELECT site_id, topic, ts, msg_id, value,
+         row_number() OVER (PARTITION BY site_id, topic ORDER BY ts DESC, msg_id DESC) AS point_rank,
+         strftime(ts, '%H:%M:%S') AS time_label
+  FROM (SELECT *, max(ts) OVER (PARTITION BY site_id, topic) AS mx FROM parsed) a
+  WHERE ts >= mx - INTERVAL '48 hours') b
+WHERE point_rank <= 100""",
+    "history_after_clear": with_views() + """
+SELECT site_id, topic, ts, msg_id, payload, is_clear FROM (
+  SELECT *, max(CASE WHEN is_clear THEN ts END) OVER (PARTITION BY site_id, topic) AS lc
+  FROM (SELECT site_id, topic, ts, msg_id, payload, msg_id % 500 = 0 AS is_clear FROM messages) m) t
+WHERE lc IS NULL OR ts > lc""",
+    "change_only": with_views(PARSED) + """
+SELECT device_id, ts, msg_id, held_value, previous_value FROM (
+  SELECT *, COALESCE(lag(held_value) OVER (PARTITION BY device_id ORDER BY ts, msg_id), 0.0) AS previous_value
+  FROM (SELECT device_id, ts, msg_id, CAST(floor(value / 50) AS DOUBLE) AS held_value FROM parsed) p) t
+WHERE held_value <> previous_value""",
+    "range_conformance": with_views(READINGS) + """
+SELECT msg_id, device_id, tank_temperature, tank_temperature BETWEEN -55.0 AND 125.0 AS in_range
+FROM readings""",
+    "resource_lookup": with_views(RESOURCE_PATH, RESOURCE_SPLIT, CATALOGUE) + """
+SELECT rs.*, cat.resource_name, cat.resource_type, cat.operations, cat.mandatory
+FROM rs LEFT JOIN cat ON rs.object_id = 3300 AND rs.resource_id = cat.resource_id""",
+    "min_max_since_reset": with_views(PARSED) + """
+SELECT *, min(value) OVER (PARTITION BY device_id, reset_epoch ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS min_since_reset,
+          max(value) OVER (PARTITION BY device_id, reset_epoch ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS max_since_reset
+FROM (SELECT *, CAST(sum(CAST(is_reset AS BIGINT)) OVER (PARTITION BY device_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS reset_epoch
+      FROM (SELECT device_id, ts, msg_id, value, msg_id % 100 = 0 AS is_reset FROM parsed) p) e""",
 }
