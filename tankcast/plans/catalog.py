@@ -17,6 +17,7 @@ from tankcast.functions import payload as P
 from tankcast.operators import control as C
 from tankcast.operators import sensors as S
 from tankcast.operators import topics as T
+from tankcast.operators import training as M
 from tankcast.operators import views as V
 from tankcast.operators.forecast import enrich_with_weather, quarantine, tank_readings
 from tankcast.operators.windows import last_in_window, latest_per_key, sliding_first_last
@@ -208,6 +209,53 @@ def q_min_max_since_reset(spark, sf_dir):
     return S.min_max_since_reset(v, ["device_id"], ["ts", "msg_id"], "value", "is_reset")
 
 
+# --- training (J2 J3 P5 P6 P7 F3 M2 M3 M4) -----------------------------------
+
+# The test tables reach 490 in every feature; these divisors keep SGD stable.
+TEST_SCALE = (500.0, 500.0, 100.0, 10.0)
+
+
+def _pairs(spark, sf_dir, documented=False):
+    r = tank_readings(load_messages(spark, sf_dir), PREFIX)
+    return M.training_pairs(r, load_weather(spark, sf_dir), documented=documented)
+
+
+def q_training_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+def q_training_pairs_documented(spark, sf_dir):
+    return _pairs(spark, sf_dir, documented=True)
+
+
+def q_label_filter(spark, sf_dir):
+    return M.label_filter(_pairs(spark, sf_dir))
+
+
+def q_feature_vector(spark, sf_dir):
+    from tankcast.operators.forecast import feature_vector
+    f = feature_vector(fplan.forecast(load_messages(spark, sf_dir), load_weather(spark, sf_dir)))
+    return f.select("device_id", "window_start",
+                    *[F.col("features")[i].alias(f"feature_{i}") for i in range(4)])
+
+
+def q_train_statistics(spark, sf_dir):
+    return M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
+
+
+def q_train_weights(spark, sf_dir):
+    stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
+    return M.train_weights(stats, ["site_id"], scale=TEST_SCALE)
+
+
+def q_forecast_trained(spark, sf_dir):
+    msgs, weather = load_messages(spark, sf_dir), load_weather(spark, sf_dir)
+    stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
+    models = M.train_weights(stats, ["site_id"], scale=TEST_SCALE)
+    rows = fplan.forecast(msgs, weather).drop("forecast", "forecast_r2")
+    return M.forecast_with_models(rows, models, ["site_id"])
+
+
 QUERIES: dict[str, Query] = {
     "forecast_default": q_forecast_default,
     "message_source": q_message_source,
@@ -239,4 +287,11 @@ QUERIES: dict[str, Query] = {
     "range_conformance": q_range_conformance,
     "resource_lookup": q_resource_lookup,
     "min_max_since_reset": q_min_max_since_reset,
+    "training_pairs": q_training_pairs,
+    "training_pairs_documented": q_training_pairs_documented,
+    "label_filter": q_label_filter,
+    "feature_vector": q_feature_vector,
+    "train_statistics": q_train_statistics,
+    "train_weights": q_train_weights,
+    "forecast_trained": q_forecast_trained,
 }

@@ -162,6 +162,31 @@ _STATUS = [("tank/temperature", "tank_temperature"), ("boiler/enabled", "boiler_
            ("boiler/threshold", "boiler_threshold"), ("utility/enabled", "utility_enabled"),
            ("utility/threshold", "utility_threshold")]
 
+PANE_NEWEST = """pn AS (
+  SELECT site_id, pane, ts, msg_id, device_id, tank_temperature FROM (
+    SELECT *, time_bucket(INTERVAL '30 minutes', ts) AS pane,
+           row_number() OVER (PARTITION BY site_id, time_bucket(INTERVAL '30 minutes', ts)
+                              ORDER BY ts DESC, msg_id DESC) AS rn FROM readings) x
+  WHERE rn = 1)"""
+PANE_ENRICHED = """pe AS (
+  SELECT pn.*, COALESCE(w.temperature, 0.0) AS weather_temperature,
+         COALESCE(w.humidity, 0.0) AS weather_humidity, COALESCE(w.wind, 0.0) AS weather_wind
+  FROM pn ASOF LEFT JOIN weather w ON pn.site_id = w.site_id AND pn.ts >= w.ts)"""
+PAIRS = """pairs AS (
+  SELECT f.site_id, l.pane AS label_pane, f.pane AS feature_pane, f.tank_temperature,
+         f.weather_temperature, f.weather_humidity, f.weather_wind, l.tank_temperature AS label,
+         l.weather_temperature AS current_temperature, l.weather_humidity AS current_humidity,
+         l.weather_wind AS current_wind
+  FROM pe f JOIN pe l ON f.site_id = l.site_id AND l.pane = f.pane + INTERVAL '3 hours')"""
+_PAIR_COLS = ("site_id, label_pane, feature_pane, tank_temperature, weather_temperature, "
+              "weather_humidity, weather_wind, label")
+_SCALE = (500.0, 500.0, 100.0, 10.0)
+_FEATS = ("tank_temperature", "weather_temperature", "weather_humidity", "weather_wind")
+_X = [f"({c} / CAST({d} AS DOUBLE))" for c, d in zip(_FEATS, _SCALE)]
+_STATS = ", ".join(["CAST(count(*) AS BIGINT) AS n"]
+                   + [f"sum({_X[i]} * {_X[j]}) AS xx_{i}{j}" for i in range(4) for j in range(i, 4)]
+                   + [f"sum({_X[i]} * label) AS xy_{i}" for i in range(4)])
+
 SQL: dict[str, str] = {
     "forecast_default": FORECAST_DEFAULT,
     "message_source": with_views() + f"""
@@ -292,4 +317,16 @@ SELECT *, min(value) OVER (PARTITION BY device_id, reset_epoch ORDER BY ts, msg_
           max(value) OVER (PARTITION BY device_id, reset_epoch ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS max_since_reset
 FROM (SELECT *, CAST(sum(CAST(is_reset AS BIGINT)) OVER (PARTITION BY device_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS reset_epoch
       FROM (SELECT device_id, ts, msg_id, value, msg_id % 100 = 0 AS is_reset FROM parsed) p) e""",
+    "training_pairs": with_views(READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS) + f"""
+SELECT {_PAIR_COLS} FROM pairs""",
+    "training_pairs_documented": with_views(READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS) + f"""
+SELECT {_PAIR_COLS}, current_temperature, current_humidity, current_wind FROM pairs""",
+    "label_filter": with_views(READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS) + f"""
+SELECT {_PAIR_COLS} FROM pairs WHERE NOT isnan(label) AND label IS NOT NULL""",
+    "feature_vector": with_views(READINGS, NEWEST_5S, ENRICHED) + """
+SELECT device_id, window_start, tank_temperature AS feature_0, weather_temperature AS feature_1,
+       weather_humidity AS feature_2, weather_wind AS feature_3 FROM enriched""",
+    "train_statistics": with_views(READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS) + f"""
+SELECT site_id, label_pane AS batch, {_STATS} FROM pairs
+WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY site_id, label_pane""",
 }
