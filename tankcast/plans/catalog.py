@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tankcast.functions import payload as P
 from tankcast.operators import control as C
+from tankcast.operators import sampling as W
 from tankcast.operators import sensors as S
 from tankcast.operators import topics as T
 from tankcast.operators import training as M
@@ -209,6 +210,12 @@ def q_min_max_since_reset(spark, sf_dir):
     return S.min_max_since_reset(v, ["device_id"], ["ts", "msg_id"], "value", "is_reset")
 
 
+def q_min_interval_sample(spark, sf_dir):
+    """W4 with a 2 h interval: the test series are sparse, 5 s would keep all."""
+    v = _parsed(spark, sf_dir).select("device_id", "ts", "msg_id", "value")
+    return W.min_interval_sample(v, ["device_id"], "ts", "msg_id", "2 hours", "6 hours")
+
+
 # --- training (J2 J3 P5 P6 P7 F3 M2 M3 M4) -----------------------------------
 
 # The test tables reach 490 in every feature; these divisors keep SGD stable.
@@ -287,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "range_conformance": q_range_conformance,
     "resource_lookup": q_resource_lookup,
     "min_max_since_reset": q_min_max_since_reset,
+    "min_interval_sample": q_min_interval_sample,
     "training_pairs": q_training_pairs,
     "training_pairs_documented": q_training_pairs_documented,
     "label_filter": q_label_filter,

@@ -329,4 +329,19 @@ SELECT device_id, window_start, tank_temperature AS feature_0, weather_temperatu
     "train_statistics": with_views(READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS) + f"""
 SELECT site_id, label_pane AS batch, {_STATS} FROM pairs
 WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY site_id, label_pane""",
+    "min_interval_sample": "WITH RECURSIVE " + ",\n".join([MESSAGES, WEATHER, PARSED]) + """,
+nx AS (
+  SELECT p.device_id, p.ts, p.msg_id, p.value, q.msg_id AS next_id
+  FROM parsed p ASOF LEFT JOIN
+       (SELECT device_id, ts - INTERVAL '2 hours' AS ts_back, msg_id FROM parsed) q
+       ON p.device_id = q.device_id AND q.ts_back > p.ts),
+chain AS (
+  SELECT * FROM nx WHERE (device_id, ts, msg_id) IN (
+    SELECT (device_id, ts, msg_id) FROM (
+      SELECT device_id, ts, msg_id,
+             row_number() OVER (PARTITION BY device_id ORDER BY ts, msg_id) AS rn FROM parsed) f
+    WHERE rn = 1)
+  UNION ALL
+  SELECT nx.* FROM chain JOIN nx ON nx.msg_id = chain.next_id)
+SELECT device_id, ts, msg_id, value FROM chain""",
 }
