@@ -8,8 +8,9 @@ window puts a whole series into one task.  Here every scan is split by
 
 1. the big pass is a window partitioned by ``(key, segment)`` -- one shuffle of
    the data, each task holds one segment of one key;
-2. a per-segment summary (one row per non-empty segment) is aggregated from
-   the same, already partitioned rows -- no extra shuffle of the data;
+2. a per-segment summary (one row per non-empty segment) is a partial
+   (map-side) aggregate of the same input -- it shuffles only about one row
+   per (key, segment) per task, never the data;
 3. a small window over the summary, partitioned by the key only and ordered by
    segment, computes what each segment inherits from the earlier ones (its
    "carry"); it holds one row per segment, not per event;
@@ -62,10 +63,13 @@ def asof_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     local = d.select("*", *[F.last(f"__v_{o}", ignorenulls=True).over(w).alias(f"__in_{o}")
                             for o in src])
 
-    # last non-null value of each segment, taken from the same partitioned rows
+    # last non-null value of each segment.  Aggregated from the input rows, so
+    # the map side combines first: this branch re-reads only the pruned
+    # columns and shuffles about one row per (key, segment) per task -- never
+    # the data a second time.
     okey = F.struct(*[F.col(c) for c in order])
     pick = F.min_by if backward else F.max_by
-    summary = local.groupBy(*part).agg(
+    summary = d.groupBy(*part).agg(
         *[pick(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), okey)).alias(f"__s_{o}")
           for o in src])
     ws = (Window.partitionBy(*keys).orderBy(F.col(SEG).desc() if backward else F.col(SEG).asc())
