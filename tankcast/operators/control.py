@@ -127,3 +127,20 @@ def threshold_history(messages: DataFrame, prefix: str, keys: Sequence[str] = ("
                     segment=segment, inclusive=False, backward=True)
     return nxt.select(*keys, "topic", "msg_id", F.col("ts").alias("valid_from"), "valid_to",
                       "threshold")
+
+
+def control_on_messages(messages: DataFrame, prefix: str, keys: Sequence[str] = ("site_id",),
+                        segment: str = DEFAULT_SEGMENT) -> DataFrame:
+    """The gateway's state and rules right after every accepted control
+    message (the batch twin of the live control stream)."""
+    keys = list(keys)
+    topics = {f"{prefix}/{s}": c for s, c in HELD_SERIES.items()}
+    msgs = (messages.filter(F.col("topic").isin(list(topics)))
+            .select(*keys, "ts", "msg_id", "topic", parse_double("payload").alias("__v"))
+            .filter(F.col("__v").isNotNull()))
+    fills = {c: F.when(F.col("topic") == t, F.col("__v")) for t, c in topics.items()}
+    filled = asof_fill(msgs, keys, ["ts", "msg_id"], fills, segment=segment)
+    state = filled.select(*keys, "ts", "msg_id",
+                          *[F.coalesce(F.col(c), F.lit(INITIAL_STATE[c])).alias(c)
+                            for c in topics.values()])
+    return apply_rules(state)

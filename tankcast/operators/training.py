@@ -142,18 +142,29 @@ def sgd_fold(stats: pd.DataFrame, w0, step: float = STEP_SIZE, iters: int = NUM_
     return pd.DataFrame(rows, columns=["batch", "w0", "w1", "w2", "w3", "n"])
 
 
+START_COLS = ("start_w_tank", "start_w_temp", "start_w_hum", "start_w_wind")
+
+
 def train_weights(stats: DataFrame, model_keys: Sequence[str] = ("site_id",),
                   initial=DEFAULT_WEIGHTS, scale=FEATURE_SCALE, period: str = PERIOD,
                   step: float = STEP_SIZE, iters: int = NUM_ITERATIONS,
-                  tol: float = CONVERGENCE_TOL) -> DataFrame:
+                  tol: float = CONVERGENCE_TOL, start: DataFrame | None = None) -> DataFrame:
     """M2 fold: model versions, one per (model key, training period).
 
     ``version_ts`` is the end of the period whose batch produced the weights;
-    weights are reported in original feature units.
+    weights are reported in original feature units.  ``start`` (model keys +
+    w_tank, w_temp, w_hum, w_wind) warm-starts keys that already have a model,
+    e.g. the last committed version of a streaming run; other keys start at
+    ``initial``.
     """
     model_keys = list(model_keys)
     sc = np.asarray(scale if scale else (1.0,) * 4, dtype=float)
     w0 = np.asarray(initial, dtype=float) * sc
+    if start is not None:
+        stats = stats.join(start.select(*model_keys, *[F.col(c).alias(s) for c, s in zip(
+            ("w_tank", "w_temp", "w_hum", "w_wind"), START_COLS)]), model_keys, "left")
+    else:
+        stats = stats.select("*", *[F.lit(None).cast("double").alias(s) for s in START_COLS])
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                            for f in stats.schema.fields if f.name in model_keys)
     batch_type = stats.schema["batch"].dataType.simpleString()
@@ -161,7 +172,9 @@ def train_weights(stats: DataFrame, model_keys: Sequence[str] = ("site_id",),
               f"w_hum double, w_wind double, intercept double, n bigint")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        res = sgd_fold(pdf, w0, step, iters, tol)
+        first = pdf[list(START_COLS)].iloc[0]
+        w_start = w0 if first.isna().any() else first.values.astype(float) * sc
+        res = sgd_fold(pdf, w_start, step, iters, tol)
         out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(res) for k in model_keys})
         out["batch"] = res["batch"].values
         for i, name in enumerate(("w_tank", "w_temp", "w_hum", "w_wind")):
