@@ -143,21 +143,34 @@ def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str
                              f"{key_ddl}, head_ts bigint, exit_ts bigint, pos bigint",
                              whole_batches=True)
 
-    # 2. per device, in segment order: the entry state of every segment
+    # 2. per device, in segment order: the entry state of every segment.  The
+    # rows of one segment are its head rows (pos 0..h-1) then its tail row.
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, out = None, []
-        for _, g in pdf.groupby(SEG, sort=True):
-            out.append((*g[gcols].iloc[0].tolist(), e))
-            heads = g["head_ts"].dropna().astype("int64").values
-            h = 0 if e is None else int(np.searchsorted(heads, e + iv, side="right"))
-            x = g["exit_ts"].values[h]
-            if not pd.isna(x):
-                e = int(x)
-        res = pd.DataFrame(out, columns=[*gcols, "entry_us"])
-        res["entry_us"] = res["entry_us"].astype("Int64")
+        dev_id, _, _ = _group_layout(pdf, keys)
+        seg_id, _, seg_end = _group_layout(pdf, gcols)
+        firsts = np.flatnonzero(np.r_[True, seg_id[1:] != seg_id[:-1]])
+        exit_ = pdf["exit_ts"].to_numpy(dtype="float64", na_value=np.nan)
+        head_i = pdf["head_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
+        exit_i = pdf["exit_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
+        out = np.zeros(len(firsts), dtype="int64")
+        has = np.zeros(len(firsts), dtype=bool)
+        e, prev_dev = None, -1
+        for n, a in enumerate(firsts):
+            if dev_id[a] != prev_dev:
+                e, prev_dev = None, dev_id[a]
+            if e is not None:
+                out[n], has[n] = e, True
+            b = seg_end[a]
+            h = 0 if e is None else int(np.searchsorted(head_i[a:b - 1], e + iv, side="right"))
+            if not np.isnan(exit_[a + h]):
+                e = int(exit_i[a + h])
+        res = pdf.iloc[firsts][gcols].reset_index(drop=True)
+        res["entry_us"] = pd.array(np.where(has, out, 0), dtype="Int64")
+        res.loc[~has, "entry_us"] = pd.NA
         return res
 
-    entry = grouped_scan(summaries, keys, [SEG, "pos"], entries, f"{key_ddl}, entry_us bigint")
+    entry = grouped_scan(summaries, keys, [SEG, "pos"], entries, f"{key_ddl}, entry_us bigint",
+                         whole_batches=True)
 
     # 3. walk every segment from its entry and keep the sampled rows
     out_schema = d.select(*cols).schema
