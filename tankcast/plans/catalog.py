@@ -255,6 +255,16 @@ def q_train_weights(spark, sf_dir):
     return M.train_weights(stats, ["site_id"], scale=TEST_SCALE)
 
 
+def q_train_first_batch(spark, sf_dir):
+    """M2 on one mini-batch: each site's first period, 50 SGD steps from the
+    default weights, weights rounded to 4 places."""
+    stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
+    first = stats.groupBy("site_id").agg(F.min("batch").alias("batch"))
+    models = M.train_weights(stats.join(first, ["site_id", "batch"]), ["site_id"], scale=TEST_SCALE)
+    return models.select("site_id", "version_ts",
+                         *[F.round(c, 4).alias(c) for c in ("w_tank", "w_temp", "w_hum", "w_wind")])
+
+
 def q_forecast_trained(spark, sf_dir):
     msgs, weather = load_messages(spark, sf_dir), load_weather(spark, sf_dir)
     stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
@@ -301,5 +311,6 @@ QUERIES: dict[str, Query] = {
     "feature_vector": q_feature_vector,
     "train_statistics": q_train_statistics,
     "train_weights": q_train_weights,
+    "train_first_batch": q_train_first_batch,
     "forecast_trained": q_forecast_trained,
 }

@@ -345,3 +345,40 @@ chain AS (
   SELECT nx.* FROM chain JOIN nx ON nx.msg_id = chain.next_id)
 SELECT device_id, ts, msg_id, value FROM chain""",
 }
+
+
+def _sgd_sql() -> str:
+    """One mini-batch of SGD as a recursive CTE (M2 oracle)."""
+    init = ("CAST(1.0 AS DOUBLE) * 500.0", "CAST(1.0 AS DOUBLE) * 500.0",
+            "CAST(0.1 AS DOUBLE) * 100.0", "CAST(0.2 AS DOUBLE) * 10.0")
+
+    def xx(i, j):
+        return f"fb.xx_{min(i, j)}{max(i, j)}"
+    grads = [" + ".join(f"{xx(k, j)} * it.w{j}" for j in range(4)) for k in range(4)]
+    new = [f"it.w{k} - (CAST(0.1 AS DOUBLE) / sqrt(it.i + 1)) * (({grads[k]} - fb.xy_{k}) / fb.n) AS n{k}"
+           for k in range(4)]
+    diff = " + ".join(f"(s.n{k} - s.w{k}) * (s.n{k} - s.w{k})" for k in range(4))
+    norm = " + ".join(f"s.n{k} * s.n{k}" for k in range(4))
+    ctes = [READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS,
+            f"""st AS (SELECT site_id, label_pane AS batch, {_STATS} FROM pairs
+               WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY site_id, label_pane)""",
+            """fb AS (SELECT * FROM st WHERE (site_id, batch) IN
+               (SELECT (site_id, min(batch)) FROM st GROUP BY site_id))""",
+            f"""it AS (
+               SELECT site_id, 0 AS i, {init[0]} AS w0, {init[1]} AS w1, {init[2]} AS w2,
+                      {init[3]} AS w3, FALSE AS done FROM fb
+               UNION ALL
+               SELECT s.site_id, s.i + 1, s.n0, s.n1, s.n2, s.n3,
+                      (s.i + 1 >= 2 AND sqrt({diff}) < CAST(0.001 AS DOUBLE) * greatest(sqrt({norm}), 1.0))
+               FROM (SELECT it.*, {", ".join(new)} FROM it JOIN fb ON it.site_id = fb.site_id
+                     WHERE NOT it.done AND it.i < 50) s)"""]
+    return "WITH RECURSIVE " + ",\n".join([MESSAGES, WEATHER, *ctes]) + """
+SELECT it.site_id, fb.batch + INTERVAL '30 minutes' AS version_ts,
+       round(w0 / 500.0, 4) AS w_tank, round(w1 / 500.0, 4) AS w_temp,
+       round(w2 / 100.0, 4) AS w_hum, round(w3 / 10.0, 4) AS w_wind
+FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY i DESC) AS rn FROM it) it
+JOIN fb ON it.site_id = fb.site_id
+WHERE rn = 1"""
+
+
+SQL["train_first_batch"] = _sgd_sql()

@@ -204,3 +204,25 @@ def test_history_after_clear(spark):
                                "msg_id long, series string, ts timestamp_ntz, is_clear boolean")
     got = sorted(r.msg_id for r in V.history_after_clear(df, ["series"], "ts", "is_clear").collect())
     assert got == [3, 4]
+
+
+def test_message_log_roundtrip_and_pushdown(spark, scratch):
+    from tankcast.sources.messages import read_messages, write_messages
+    msgs = spark.createDataFrame([(1, 7, 0, at(0), "site/tank/temperature", "50"),
+                                  (2, 7, 0, at(90000), "site/weather", "{}")], MSG)
+    write_messages(msgs, f"{scratch}/log")
+    got = read_messages(spark, f"{scratch}/log", "site", ["tank/temperature"])
+    assert [r.msg_id for r in got.collect()] == [1]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "topic" in plan
+
+
+def test_train_skips_periods_without_pairs(spark):
+    # M4: a period without pairs produces no model version
+    from tankcast.operators import training as M
+    pairs = spark.createDataFrame(
+        [(0, at(0), 1.0, 1.0, 1.0, 1.0, 2.0), (0, at(3600), 1.0, 1.0, 1.0, 1.0, float("nan"))],
+        "site_id int, label_pane timestamp_ntz, tank_temperature double, weather_temperature double, "
+        "weather_humidity double, weather_wind double, label double")
+    versions = M.train_weights(M.train_statistics(pairs, ["site_id"], scale=None), ["site_id"], scale=None)
+    assert versions.count() == 1
