@@ -23,9 +23,16 @@ def newest_readings(messages: DataFrame, prefix: str = DEFAULT_PREFIX,
 def forecast(messages: DataFrame, weather: DataFrame, prefix: str = DEFAULT_PREFIX,
              width: str = "5 seconds", weights=DEFAULT_WEIGHTS, intercept: float = 0.0,
              segment: str = DEFAULT_SEGMENT) -> DataFrame:
-    """Enrichment is one-to-one and keeps (ts, id), so choosing the newest
-    reading first and enriching only the survivors gives the same rows as
-    enriching first -- with a smaller join."""
-    newest = newest_readings(messages, prefix, width)
-    enriched = enrich_with_weather(newest, weather, segment=segment)
-    return predict(enriched, weights, intercept)
+    """Enrich every reading (J1), keep the newest per device and window (A1),
+    predict (M1) -- the reference's order.  Enrichment is one-to-one and keeps
+    (ts, id), so windowing first would give the same rows; enriching first
+    keeps the as-of join's left side a plain filtered scan, which its
+    per-segment summary re-reads cheaply (instead of recomputing the window
+    aggregate)."""
+    readings = tank_readings(messages, prefix)
+    enriched = enrich_with_weather(readings, weather, segment=segment)
+    newest = last_in_window(enriched, ["device_id"], "ts", "msg_id", width,
+                            cols=["site_id", "ts", "msg_id", "tank_temperature",
+                                  "weather_temperature", "weather_humidity", "weather_wind",
+                                  "weather_found"])
+    return predict(newest, weights, intercept)
