@@ -24,13 +24,19 @@ def asof_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str
                    right_cols: Sequence[str], left_id: str, right_id: str,
                    found_col: str | None = None, defaults: dict | None = None,
                    right_ts_name: str | None = None,
-                   segment: str = DEFAULT_SEGMENT) -> DataFrame:
+                   segment: str = DEFAULT_SEGMENT,
+                   left_cover: DataFrame | None = None) -> DataFrame:
     """``left`` rows with ``right_cols`` of the newest ``right`` row having the
     same ``on`` keys and ``right.ts <= left.ts``.  A right row with the same
     time counts as current.  Ties on time are broken by the right id.
 
     ``defaults`` maps right columns to values used when no right row exists;
     ``found_col`` names a boolean telling whether one did.
+
+    ``left_cover`` (with the ``on`` keys and ``ts``) may name cheaper rows
+    whose (key, time segment) set covers every left row's -- e.g. the raw
+    readings under a window aggregate that produced ``left``.  The segment
+    summary then reads it instead of recomputing ``left``.
     """
     on = list(on)
     right_cols = list(right_cols)
@@ -48,8 +54,16 @@ def asof_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str
         F.lit(1).alias(_SIDE), F.col(left_id).cast("bigint").alias(_RID),
         F.lit(None).cast(payload_type(right, right_cols, ts, right_ts_name)).alias(_RVAL))
     both = l.unionByName(r)
+    cover = None
+    if left_cover is not None:
+        marks = left_cover.select(
+            *[F.col(c) for c in on], F.col(ts),
+            *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols if c not in on and c != ts],
+            F.lit(1).alias(_SIDE), F.lit(None).cast("bigint").alias(_RID),
+            F.lit(None).cast(payload_type(right, right_cols, ts, right_ts_name)).alias(_RVAL))
+        cover = marks.unionByName(r)
     filled = asof_fill(both, keys=on, order=[ts, _SIDE, _RID], fills={"__m": _RVAL},
-                       segment=segment)
+                       segment=segment, cover=cover)
     out = filled.filter(F.col(_SIDE) == 1)
     defaults = defaults or {}
     sel = [F.col(c) for c in lcols]

@@ -34,7 +34,8 @@ def tank_readings(messages: DataFrame, prefix: str) -> DataFrame:
 
 
 def enrich_with_weather(readings: DataFrame, weather: DataFrame,
-                        segment: str = DEFAULT_SEGMENT) -> DataFrame:
+                        segment: str = DEFAULT_SEGMENT,
+                        readings_cover: DataFrame | None = None) -> DataFrame:
     """J1 + P4: weather current at each reading's time, per site; a miss gives
     (0, 0, 0) and ``weather_found`` = false."""
     w = weather.select("site_id", "ts", "weather_id",
@@ -45,7 +46,8 @@ def enrich_with_weather(readings: DataFrame, weather: DataFrame,
     return asof_left_join(readings, w, on=["site_id"], ts="ts", right_cols=cols,
                           left_id="msg_id", right_id="weather_id",
                           found_col="weather_found",
-                          defaults=dict(zip(cols, WEATHER_DEFAULT)), segment=segment)
+                          defaults=dict(zip(cols, WEATHER_DEFAULT)), segment=segment,
+                          left_cover=readings_cover)
 
 
 def predict(df: DataFrame, weights=DEFAULT_WEIGHTS, intercept=0.0,

@@ -44,13 +44,19 @@ def with_segment(df: DataFrame, ts: str, segment: str = DEFAULT_SEGMENT) -> Data
 
 def asof_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               fills: dict[str, Column | str], segment: str = DEFAULT_SEGMENT,
-              inclusive: bool = True, backward: bool = False) -> DataFrame:
+              inclusive: bool = True, backward: bool = False,
+              cover: DataFrame | None = None) -> DataFrame:
     """For every row, the last non-null value of each fill expression among the
     rows of the same key that come before it in ``order`` (itself included
     when ``inclusive``).  ``backward`` scans from the end (next value instead of
     previous).  ``order[0]`` must be the event-time column.
 
     Adds one column per key of ``fills``; input columns are kept.
+
+    ``cover`` (same columns as ``df``) may replace ``df`` as the input of the
+    per-segment summary: it must hold every row that carries a fill value and
+    at least one row in every (key, segment) of ``df``.  A cheap cover (e.g.
+    the raw scan under an aggregate) spares recomputing an expensive input.
     """
     keys, order = list(keys), list(order)
     base_cols = df.columns
@@ -69,7 +75,9 @@ def asof_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     # the data a second time.
     okey = F.struct(*[F.col(c) for c in order])
     pick = F.min_by if backward else F.max_by
-    summary = d.groupBy(*part).agg(
+    sd = d if cover is None else with_segment(cover, order[0], segment).select(
+        *base_cols, SEG, *[c.alias(f"__v_{o}") for o, c in src.items()])
+    summary = sd.groupBy(*part).agg(
         *[pick(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), okey)).alias(f"__s_{o}")
           for o in src])
     ws = (Window.partitionBy(*keys).orderBy(F.col(SEG).desc() if backward else F.col(SEG).asc())

@@ -68,7 +68,9 @@ def training_pairs(readings: DataFrame, weather: DataFrame, keys: Sequence[str]
     of the label pane); documented adds the label pane's weather.
     """
     keys = list(keys)
-    newest = enrich_with_weather(pane_newest(readings, keys, period), weather, segment=segment)
+    # the raw readings cover every pane's segment: the as-of summary reads them
+    newest = enrich_with_weather(pane_newest(readings, keys, period), weather, segment=segment,
+                                 readings_cover=readings)
     hz = F.expr(f"make_dt_interval(0, 0, 0, {_seconds(horizon)})")
     feats = newest.select(*keys, F.col("pane").alias("feature_pane"),
                           (F.col("pane") + hz).alias("label_pane"), *FEATURES)

@@ -23,16 +23,17 @@ def newest_readings(messages: DataFrame, prefix: str = DEFAULT_PREFIX,
 def forecast(messages: DataFrame, weather: DataFrame, prefix: str = DEFAULT_PREFIX,
              width: str = "5 seconds", weights=DEFAULT_WEIGHTS, intercept: float = 0.0,
              segment: str = DEFAULT_SEGMENT) -> DataFrame:
-    """Enrich every reading (J1), keep the newest per device and window (A1),
-    predict (M1) -- the reference's order.  Enrichment is one-to-one and keeps
-    (ts, id), so windowing first would give the same rows; enriching first
-    keeps the as-of join's left side a plain filtered scan, which its
-    per-segment summary re-reads cheaply (instead of recomputing the window
-    aggregate)."""
+    """Newest reading per device and window (A1), enriched with the weather
+    current at that reading (J1), scored (M1).
+
+    Enrichment is one-to-one and keeps (ts, id), so choosing the newest reading
+    first gives the same rows as the reference's enrich-then-window order, and
+    the as-of join sees one row per window instead of every reading (about 5x
+    fewer at 1 Hz).  The raw readings cover every window's segment, so the
+    join's segment summary reads that scan rather than recomputing the window
+    aggregate."""
     readings = tank_readings(messages, prefix)
-    enriched = enrich_with_weather(readings, weather, segment=segment)
-    newest = last_in_window(enriched, ["device_id"], "ts", "msg_id", width,
-                            cols=["site_id", "ts", "msg_id", "tank_temperature",
-                                  "weather_temperature", "weather_humidity", "weather_wind",
-                                  "weather_found"])
-    return predict(newest, weights, intercept)
+    newest = last_in_window(readings, ["device_id"], "ts", "msg_id", width,
+                            cols=["site_id", "ts", "msg_id", "tank_temperature"])
+    enriched = enrich_with_weather(newest, weather, segment=segment, readings_cover=readings)
+    return predict(enriched, weights, intercept)
