@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,15 +73,27 @@ def training_pairs(readings: DataFrame, weather: DataFrame, keys: Sequence[str]
     # the raw readings cover every pane's segment: the as-of summary reads them
     newest = enrich_with_weather(pane_newest(readings, keys, period), weather, segment=segment,
                                  readings_cover=readings)
+    # Each pane row plays two roles: features for the pane ``horizon`` later
+    # and label for its own pane.  One aggregate on (key, label pane) pairs
+    # them -- a self-join would compute the enriched panes twice.
     hz = F.expr(f"make_dt_interval(0, 0, 0, {_seconds(horizon)})")
-    feats = newest.select(*keys, F.col("pane").alias("feature_pane"),
-                          (F.col("pane") + hz).alias("label_pane"), *FEATURES)
-    lab_cols = [F.col("tank_temperature").alias("label")]
-    if documented:
-        lab_cols += [F.col(c).alias("current_" + c.split("_", 1)[1])
-                     for c in ("weather_temperature", "weather_humidity", "weather_wind")]
-    labels = newest.select(*keys, F.col("pane").alias("label_pane"), *lab_cols)
-    return feats.join(labels, [*keys, "label_pane"])
+    lab_src = ["tank_temperature"] + (
+        ["weather_temperature", "weather_humidity", "weather_wind"] if documented else [])
+    lab_out = ["label"] + (["current_temperature", "current_humidity", "current_wind"]
+                           if documented else [])
+    roles = newest.select(
+        *keys, "pane", *FEATURES,
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("__role"))
+    roles = roles.withColumn(
+        "label_pane", F.when(F.col("__role") == 0, F.col("pane") + hz).otherwise(F.col("pane")))
+    is_f, is_l = F.col("__role") == 0, F.col("__role") == 1
+    paired = roles.groupBy(*keys, "label_pane").agg(
+        F.max(F.when(is_f, F.col("pane"))).alias("feature_pane"),
+        *[F.max(F.when(is_f, F.col(c))).alias(c) for c in FEATURES],
+        F.max(F.when(is_l, F.lit(1))).alias("__has_label"),
+        *[F.max(F.when(is_l, F.col(c))).alias(o) for c, o in zip(lab_src, lab_out)])
+    return (paired.filter(F.col("feature_pane").isNotNull() & F.col("__has_label").isNotNull())
+                  .select(*keys, "label_pane", "feature_pane", *FEATURES, *lab_out))
 
 
 def label_filter(pairs: DataFrame, label: str = "label") -> DataFrame:
@@ -121,26 +135,39 @@ def sgd_fold(stats: pd.DataFrame, w0, step: float = STEP_SIZE, iters: int = NUM_
     from i = 2 when |w_i - w_{i-1}| < tol * max(|w_i|, 1).  Empty batches do
     not exist here (M4: a period without pairs changes nothing)."""
     stats = stats.sort_values("batch")
-    w = np.asarray(w0, dtype=float).copy()
+    w = [float(x) for x in w0]
     rows = []
     total = 0
-    for rec in stats.itertuples(index=False):
-        n = float(rec.n)
+    sqrt = math.sqrt
+    steps = [step / sqrt(i) for i in range(1, iters + 1)]
+    xx = stats[[f"xx_{i}{j}" for i, j in _IJ]].to_numpy(dtype=float)
+    xy = stats[[f"xy_{i}" for i in range(4)]].to_numpy(dtype=float)
+    ns = stats["n"].to_numpy(dtype=float)
+    batches = stats["batch"].tolist()
+    for r in range(len(stats)):
+        n = ns[r]
         if n <= 0:
             continue
-        a = np.zeros((4, 4))
-        for i, j in _IJ:
-            a[i, j] = a[j, i] = getattr(rec, f"xx_{i}{j}")
-        b = np.array([getattr(rec, f"xy_{i}") for i in range(4)])
-        prev = None
-        for it in range(1, iters + 1):
-            g = (a @ w - b) / n
-            w = w - (step / np.sqrt(it)) * g
-            if prev is not None and np.linalg.norm(w - prev) < tol * max(np.linalg.norm(w), 1.0):
-                break
-            prev = w.copy()
+        # the 4x4 problem in plain floats: numpy call overhead would dominate
+        s00, s01, s02, s03, s11, s12, s13, s22, s23, s33 = (xx[r] / n).tolist()
+        b0, b1, b2, b3 = (xy[r] / n).tolist()
+        w0_, w1_, w2_, w3_ = w
+        for it in range(iters):
+            g0 = s00 * w0_ + s01 * w1_ + s02 * w2_ + s03 * w3_ - b0
+            g1 = s01 * w0_ + s11 * w1_ + s12 * w2_ + s13 * w3_ - b1
+            g2 = s02 * w0_ + s12 * w1_ + s22 * w2_ + s23 * w3_ - b2
+            g3 = s03 * w0_ + s13 * w1_ + s23 * w2_ + s33 * w3_ - b3
+            e = steps[it]
+            n0, n1, n2, n3 = w0_ - e * g0, w1_ - e * g1, w2_ - e * g2, w3_ - e * g3
+            if it > 0:
+                d = sqrt((n0 - w0_) ** 2 + (n1 - w1_) ** 2 + (n2 - w2_) ** 2 + (n3 - w3_) ** 2)
+                if d < tol * max(sqrt(n0 * n0 + n1 * n1 + n2 * n2 + n3 * n3), 1.0):
+                    w0_, w1_, w2_, w3_ = n0, n1, n2, n3
+                    break
+            w0_, w1_, w2_, w3_ = n0, n1, n2, n3
+        w = [w0_, w1_, w2_, w3_]
         total += int(n)
-        rows.append((rec.batch, *w.tolist(), total))
+        rows.append((batches[r], *w, total))
     return pd.DataFrame(rows, columns=["batch", "w0", "w1", "w2", "w3", "n"])
 
 
@@ -192,10 +219,12 @@ def train_weights(stats: DataFrame, model_keys: Sequence[str] = ("site_id",),
 
 def forecast_with_models(rows: DataFrame, models: DataFrame, model_keys: Sequence[str] = ("site_id",),
                          time_col: str = "window_end", id_col: str = "msg_id",
-                         initial=DEFAULT_WEIGHTS,
-                         segment: str = DEFAULT_SEGMENT) -> DataFrame:
+                         initial=DEFAULT_WEIGHTS, segment: str = DEFAULT_SEGMENT,
+                         rows_cover: DataFrame | None = None) -> DataFrame:
     """M3: score each row with the newest model version published at or
-    before ``time_col``; rows before the first version use ``initial``."""
+    before ``time_col``; rows before the first version use ``initial``.
+    ``rows_cover`` (model keys + ``time_col``) may cover the rows' segments
+    more cheaply than recomputing ``rows`` (see ``asof_left_join``)."""
     model_keys = list(model_keys)
     left = rows.withColumn("__t", F.col(time_col))
     right = models.select(*model_keys, F.col("version_ts").alias("__t"),
@@ -205,6 +234,7 @@ def forecast_with_models(rows: DataFrame, models: DataFrame, model_keys: Sequenc
     cols = ["w_tank", "w_temp", "w_hum", "w_wind", "intercept", "model_version_ts"]
     j = asof_left_join(left, right, on=model_keys, ts="__t", right_cols=cols,
                        left_id=id_col, right_id="__vid",
+                       left_cover=None if rows_cover is None else rows_cover.withColumnRenamed(time_col, "__t"),
                        defaults={"w_tank": initial[0], "w_temp": initial[1],
                                  "w_hum": initial[2], "w_wind": initial[3], "intercept": 0.0},
                        segment=segment)

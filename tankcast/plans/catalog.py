@@ -23,6 +23,7 @@ from tankcast.operators import views as V
 from tankcast.operators.forecast import enrich_with_weather, quarantine, tank_readings
 from tankcast.operators.windows import last_in_window, latest_per_key, sliding_first_last
 from tankcast.plans import forecast as fplan
+from tankcast.session import materialize
 from tankcast.sources import fixtures as X
 from tankcast.sources.fixtures import DEFAULT_PREFIX as PREFIX
 from tankcast.sources.fixtures import load_messages, load_weather
@@ -268,9 +269,13 @@ def q_train_first_batch(spark, sf_dir):
 def q_forecast_trained(spark, sf_dir):
     msgs, weather = load_messages(spark, sf_dir), load_weather(spark, sf_dir)
     stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
-    models = M.train_weights(stats, ["site_id"], scale=TEST_SCALE)
+    # the model table is small (one row per site and period) but expensive;
+    # write it once to the shared checkpoint folder, as a deployment would
+    models = materialize(M.train_weights(stats, ["site_id"], scale=TEST_SCALE))
     rows = fplan.forecast(msgs, weather).drop("forecast", "forecast_r2")
-    return M.forecast_with_models(rows, models, ["site_id"])
+    cover = tank_readings(msgs, PREFIX).select(
+        "site_id", F.window("ts", "5 seconds").end.alias("window_end"))
+    return M.forecast_with_models(rows, models, ["site_id"], rows_cover=cover)
 
 
 QUERIES: dict[str, Query] = {

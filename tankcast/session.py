@@ -63,3 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables/state."""
     base = checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back
+    (reliable ``checkpoint``, never a local one): cuts the lineage of a small,
+    expensive intermediate -- e.g. a model table -- that a plan reads twice."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
