@@ -52,8 +52,11 @@ def checkpoint_dir(spark: SparkSession, default_root: str | None = None) -> str:
         root = default_root or tempfile.gettempdir()
         os.makedirs(root, exist_ok=True)
         path = tempfile.mkdtemp(prefix="tankcast-ckpt-", dir=root)
-        spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
+        try:  # core settings may be read-only at runtime; the context has it now
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001
+            pass
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
