@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet",
@@ -33,3 +34,10 @@ def publish_batches(path: str, fmt: str = "parquet",
         out = transform(df, batch_id) if transform else df
         write_batch(out, path, batch_id, fmt)
     return run
+
+
+def write_routes(df: DataFrame, path: str, route_col: str = "route", mode: str = "append",
+                 fmt: str = "parquet") -> None:
+    """F4 fan-out: one folder per route (consumers read only their own)."""
+    (df.withColumn("__route", F.regexp_replace(F.col(route_col), "/", "_"))
+       .write.mode(mode).format(fmt).partitionBy("__route").save(path))

@@ -26,7 +26,7 @@ from pyspark.sql.utils import AnalysisException
 from tankcast.functions.payload import DEFAULT_WEIGHTS, parse_double
 from tankcast.operators import control as C
 from tankcast.operators import training as M
-from tankcast.operators.forecast import enrich_with_weather, predict
+from tankcast.operators.forecast import enrich_with_weather, predict, quarantine
 from tankcast.operators.topics import publish
 from tankcast.operators.windows import last_in_window
 from tankcast.session import scratch_path
@@ -88,6 +88,20 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
     return _start(newest, name, checkpoint, trigger, batch_fn=batch)
 
 
+# --- P2 on a stream: quarantine ---------------------------------------------------------
+
+def quarantine_stream(messages: DataFrame, out_path: str, checkpoint: str | None = None,
+                      trigger: dict | None = None, name: str = "quarantine") -> StreamingQuery:
+    """Messages whose payload is present but not a number, kept aside instead
+    of failing the task (stateless, append)."""
+    bad = quarantine(messages)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+
+    return _start(bad, name, checkpoint, trigger, batch_fn=batch)
+
+
 # --- T6: gateway control on live messages -----------------------------------------
 
 CONTROL_OUT = ("site_id int, ts timestamp, msg_id bigint, tank_temperature double, "

@@ -129,3 +129,28 @@ def test_training_stream_equals_batch(spark, scratch):
     for k in a:
         assert abs(a[k][0] - b[k][0]) < 1e-9 and abs(a[k][1] - b[k][1]) < 1e-9
     assert time is not None
+
+
+def test_quarantine_stream(spark, scratch):
+    log, out = f"{scratch}/log", f"{scratch}/out"
+    os.makedirs(log)
+    t = pa.table({"msg_id": pa.array([1, 2, 3], pa.int64()), "device_id": pa.array([7, 7, 7], pa.int64()),
+                  "site_id": pa.array([0, 0, 0], pa.int32()),
+                  "ts": pa.array([dt.datetime(2024, 1, 1)] * 3, pa.timestamp("us")),
+                  "topic": ["site/tank/temperature"] * 3, "payload": ["45.5", "abc", ""]})
+    pq.write_table(t, f"{log}/a.parquet")
+    q = ST.quarantine_stream(message_stream(spark, log), out, trigger=AVAILABLE_NOW,
+                             checkpoint=f"{scratch}/ckpt")
+    q.awaitTermination(120)
+    assert sorted(r.msg_id for r in spark.read.parquet(out).collect()) == [2, 3]
+
+
+def test_route_fanout(spark, scratch):
+    from tankcast.operators.topics import route
+    from tankcast.streaming.sinks import write_routes
+    routed = route(load_messages(spark, SF), "site")
+    write_routes(routed, f"{scratch}/routes")
+    back = spark.read.parquet(f"{scratch}/routes")
+    assert back.count() == routed.count()
+    assert back.filter(F.col("__route") == "tank_forecast").count() == \
+        routed.filter(F.col("route") == "tank/forecast").count()
