@@ -109,20 +109,28 @@ def running_extremes_since_reset(df: DataFrame, keys: Sequence[str], order: Sequ
     local = (d.withColumn("__lmin", F.min(value).over(w_ep))
               .withColumn("__lmax", F.max(value).over(w_ep)))
 
-    # per segment: resets, extremes of the whole segment and after its last reset
-    last_ep = F.max("__ep")
-    summary = local.groupBy(*part).agg(
+    # per segment: resets, extremes of the whole segment and after its last
+    # reset -- plain aggregates of the input rows (no window outputs), so this
+    # branch never shuffles the data a second time.  "After the last reset"
+    # compares each row with its segment's last reset, a table of one row per
+    # segment that had a reset (AQE broadcasts it when small).
+    okey = F.struct(*[F.col(c) for c in order])
+    raw = with_segment(df, order[0], segment).select(
+        *part, *[F.col(c) for c in order], F.col(value).alias("__x"),
+        F.col(reset).cast("int").alias("__r"))
+    last_reset = (raw.filter(F.col("__r") == 1).groupBy(*part)
+                  .agg(F.max(okey).alias("__lr")))
+    after = F.when(F.col("__lr").isNotNull() & (okey >= F.col("__lr")), F.col("__x"))
+    summary = raw.join(last_reset, part, "left").groupBy(*part).agg(
         F.sum("__r").alias("__nr"),
-        F.min(value).alias("__min_all"), F.max(value).alias("__max_all"),
-        F.max_by(F.struct(F.col("__ep"), F.col("__lmin"), F.col("__lmax")),
-                 F.struct(*[F.col(c) for c in order])).alias("__end"),
-        last_ep.alias("__last_ep"))
+        F.min("__x").alias("__min_all"), F.max("__x").alias("__max_all"),
+        F.min(after).alias("__amin"), F.max(after).alias("__amax"))
     # the run state at the end of a segment: if it had a reset, the extremes
     # after that reset, else the inherited state combined with the whole segment
     summary = summary.select(
         *part, "__nr",
-        F.when(F.col("__nr") > 0, F.col("__end.__lmin")).otherwise(F.col("__min_all")).alias("__cmin"),
-        F.when(F.col("__nr") > 0, F.col("__end.__lmax")).otherwise(F.col("__max_all")).alias("__cmax"))
+        F.when(F.col("__nr") > 0, F.col("__amin")).otherwise(F.col("__min_all")).alias("__cmin"),
+        F.when(F.col("__nr") > 0, F.col("__amax")).otherwise(F.col("__max_all")).alias("__cmax"))
     w_seg = Window.partitionBy(*keys).orderBy(SEG)
     summary = summary.withColumn(
         "__grp", F.sum(F.when(F.col("__nr") > 0, 1).otherwise(0)).over(
