@@ -154,3 +154,13 @@ def test_route_fanout(spark, scratch):
     assert back.count() == routed.count()
     assert back.filter(F.col("__route") == "tank_forecast").count() == \
         routed.filter(F.col("route") == "tank/forecast").count()
+
+
+def test_kafka_records_map_to_messages(spark):
+    from tankcast.streaming.sources import from_kafka
+    rec = spark.createDataFrame(
+        [(bytearray(b"7"), bytearray(b"21.5"), "site/tank/temperature", 2, 15, dt.datetime(2024, 1, 1))],
+        "key binary, value binary, topic string, partition int, offset long, timestamp timestamp")
+    m = from_kafka(rec).first()
+    assert (m.device_id, m.payload, m.topic) == (7, "21.5", "site/tank/temperature")
+    assert m.msg_id == 2 * (1 << 40) + 15
