@@ -22,9 +22,24 @@ def grouped_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
                  num_partitions: int | None = None, whole_batches: bool = False) -> DataFrame:
     """``fn`` gets one group at a time, or -- with ``whole_batches`` -- a frame
     of several complete groups (still sorted) to process vectorised."""
-    group_cols, order_cols = list(group_cols), list(order_cols)
+    return scan_sorted(cluster(df, group_cols, order_cols, num_partitions), group_cols, fn,
+                       schema, whole_batches)
+
+
+def cluster(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+            num_partitions: int | None = None) -> DataFrame:
+    """Hash-partition on the group columns and sort each partition by group
+    then order: the layout ``scan_sorted`` expects."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    return df.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+
+
+def scan_sorted(df: DataFrame, group_cols: Sequence[str],
+                fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
+                whole_batches: bool = False) -> DataFrame:
+    """Run ``fn`` over the groups of a frame already laid out by ``cluster``
+    (or by a join that keeps that layout)."""
+    group_cols = list(group_cols)
 
     def run(batches):
         carry = None
@@ -51,4 +66,4 @@ def grouped_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
             if res is not None and len(res):
                 yield res
 
-    return part.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)

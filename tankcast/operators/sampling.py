@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankcast.operators.grouped import grouped_scan
+from tankcast.operators.grouped import cluster, grouped_scan, scan_sorted
 from tankcast.operators.windows import _seconds
 
 SEG = "__seg"
@@ -139,9 +139,12 @@ def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str
         tail["pos"] = n_heads
         return pd.concat([heads, tail], ignore_index=True)
 
-    summaries = grouped_scan(d.select(*gcols, ts, id_col), gcols, [ts, id_col], summarise,
-                             f"{key_ddl}, head_ts bigint, exit_ts bigint, pos bigint",
-                             whole_batches=True)
+    # the rows are clustered once; the summary pass and the walk both read
+    # this layout, so the data is shuffled a single time
+    dp = cluster(d, gcols, [ts, id_col])
+    summaries = scan_sorted(dp, gcols, summarise,
+                            f"{key_ddl}, head_ts bigint, exit_ts bigint, pos bigint",
+                            whole_batches=True)
 
     # 2. per device, in segment order: the entry state of every segment.  The
     # rows of one segment are its head rows (pos 0..h-1) then its tail row.
@@ -198,5 +201,8 @@ def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str
             cur = np.where(cur >= 0, nxt[np.maximum(cur, 0)], -1)
         return pdf.loc[take, cols]
 
-    with_entry = d.join(entry, gcols, "left")
-    return grouped_scan(with_entry, gcols, [ts, id_col], walk, out_schema, whole_batches=True)
+    # dp is hash-partitioned on gcols and sorted: a broadcast join keeps that
+    # layout, and a sort-merge join only shuffles the small entry side
+    # layout; the optimizer drops sorts under a join, so sort again (locally)
+    walked_in = dp.join(entry, gcols, "left").sortWithinPartitions(*gcols, ts, id_col)
+    return scan_sorted(walked_in, gcols, walk, out_schema, whole_batches=True)
