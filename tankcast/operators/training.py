@@ -228,7 +228,7 @@ def forecast_with_models(rows: DataFrame, models: DataFrame, model_keys: Sequenc
     model_keys = list(model_keys)
     left = rows.withColumn("__t", F.col(time_col))
     right = models.select(*model_keys, F.col("version_ts").alias("__t"),
-                          F.unix_micros(F.col("version_ts").cast("timestamp")).alias("__vid"),
+                          F.xxhash64("version_ts").alias("__vid"),  # deterministic tie-break id
                           "w_tank", "w_temp", "w_hum", "w_wind", "intercept",
                           F.col("version_ts").alias("model_version_ts"))
     cols = ["w_tank", "w_temp", "w_hum", "w_wind", "intercept", "model_version_ts"]
