@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tankcast.session import ship_package
+
 
 def grouped_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                  fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
@@ -30,8 +32,10 @@ def cluster(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
             num_partitions: int | None = None) -> DataFrame:
     """Hash-partition on the group columns and sort each partition by group
     then order: the layout ``scan_sorted`` expects."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    # without an explicit count AQE sizes the partitions from the data
+    part = (df.repartition(num_partitions, *group_cols) if num_partitions
+            else df.repartition(*group_cols))
+    return part.sortWithinPartitions(*group_cols, *order_cols)
 
 
 def scan_sorted(df: DataFrame, group_cols: Sequence[str],
@@ -40,6 +44,7 @@ def scan_sorted(df: DataFrame, group_cols: Sequence[str],
     """Run ``fn`` over the groups of a frame already laid out by ``cluster``
     (or by a join that keeps that layout)."""
     group_cols = list(group_cols)
+    ship_package(df.sparkSession)
 
     def run(batches):
         carry = None

@@ -32,6 +32,7 @@ from tankcast.operators.asof import asof_left_join
 from tankcast.operators.forecast import FEATURES, enrich_with_weather
 from tankcast.operators.segmented import DEFAULT_SEGMENT
 from tankcast.operators.windows import _seconds
+from tankcast.session import ship_package
 
 # Streaming SGD defaults of the reference's model.
 STEP_SIZE = 0.1
@@ -212,6 +213,7 @@ def train_weights(stats: DataFrame, model_keys: Sequence[str] = ("site_id",),
         out["n"] = res["n"].astype("int64").values
         return out
 
+    ship_package(stats.sparkSession)
     versions = stats.groupBy(*model_keys).applyInPandas(fold, schema)
     per = F.expr(f"make_dt_interval(0, 0, 0, {_seconds(period)})")
     return versions.withColumn("version_ts", F.col("batch") + per).drop("batch")

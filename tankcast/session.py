@@ -74,3 +74,31 @@ def materialize(df):
     expensive intermediate -- e.g. a model table -- that a plan reads twice."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tankcast`` importable in executor Python workers (pandas UDFs
+    refer to functions of this package).  The package is zipped once per
+    driver process and distributed by Spark with ``addPyFile``; a deployment
+    that installs the package on executors can skip this (it is idempotent)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    tag = sc.applicationId
+    if tag in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="tankcast-pyfiles-")
+    zpath = os.path.join(out_dir, "tankcast.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(tag)

@@ -29,7 +29,7 @@ from tankcast.operators import training as M
 from tankcast.operators.forecast import enrich_with_weather, predict, quarantine
 from tankcast.operators.topics import publish
 from tankcast.operators.windows import last_in_window
-from tankcast.session import scratch_path
+from tankcast.session import scratch_path, ship_package
 from tankcast.streaming.sinks import write_batch
 from tankcast.streaming.sources import to_ntz
 
@@ -40,6 +40,7 @@ TRIGGER = "1 second"  # the reference's micro-batch interval
 def _start(df: DataFrame, name: str, checkpoint: str | None, trigger: dict | None,
            output_mode: str = "append", batch_fn=None, sink=None) -> StreamingQuery:
     spark = df.sparkSession
+    ship_package(spark)
     w = (df.writeStream.outputMode(output_mode).queryName(name)
          .option("checkpointLocation", checkpoint or scratch_path(spark, f"streams/{name}")))
     w = w.trigger(**(trigger or {"processingTime": TRIGGER}))
