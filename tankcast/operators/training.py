@@ -45,6 +45,7 @@ PERIOD = "30 minutes"
 FEATURE_SCALE = (100.0, 10.0, 10.0, 10.0)
 
 _IJ = [(i, j) for i in range(4) for j in range(i, 4)]
+GLOBAL_KEY = "model_key"
 
 
 def pane_newest(readings: DataFrame, keys: Sequence[str], period: str = PERIOD) -> DataFrame:
@@ -112,6 +113,9 @@ def train_statistics(pairs: DataFrame, model_keys: Sequence[str] = ("site_id",),
     """M2 statistics: per model key and training period, n, X'X (10 sums),
     X'y (4 sums) of the (scaled) features.  One partial+final aggregate."""
     model_keys = list(model_keys)
+    if not model_keys:  # one global model: every pair of a period is one mini-batch
+        pairs = pairs.withColumn(GLOBAL_KEY, F.lit("global"))
+        model_keys = [GLOBAL_KEY]
     clean = label_filter(pairs)
     sc = scale or (None,) * 4
     x = [_scaled(c, d) for c, d in zip(FEATURES, sc)]
@@ -187,7 +191,7 @@ def train_weights(stats: DataFrame, model_keys: Sequence[str] = ("site_id",),
     e.g. the last committed version of a streaming run; other keys start at
     ``initial``.
     """
-    model_keys = list(model_keys)
+    model_keys = list(model_keys) or [GLOBAL_KEY]
     sc = np.asarray(scale if scale else (1.0,) * 4, dtype=float)
     w0 = np.asarray(initial, dtype=float) * sc
     if start is not None:

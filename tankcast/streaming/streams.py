@@ -69,10 +69,14 @@ def _weather_until(weather: DataFrame, df: DataFrame) -> DataFrame:
 def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
                     prefix: str = "site", width: str = "5 seconds", watermark: str = WATERMARK,
                     weights=DEFAULT_WEIGHTS, checkpoint: str | None = None,
-                    trigger: dict | None = None, name: str = "forecast") -> StreamingQuery:
+                    trigger: dict | None = None, name: str = "forecast",
+                    models_path: str | None = None) -> StreamingQuery:
     """Newest reading per device and window (A1, on the stream), then -- per
     micro-batch, on final windows only -- weather as of the reading (J1),
-    the forecast (M1), and the publish rows (S2)."""
+    the forecast (M1), and the publish rows (S2).  With ``models_path`` (the
+    model table a training stream writes) each window is scored with the
+    newest model version of its site (M3); before the first one, ``weights``."""
+    spark = messages.sparkSession
     r = _readings(messages, prefix).withWatermark("ts", watermark)
     newest = last_in_window(r, ["device_id"], "ts", "msg_id", width,
                             cols=["site_id", "ts", "msg_id", "tank_temperature"])
@@ -81,7 +85,12 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
         df = to_ntz(df, "ts", "window_start", "window_end")
         if df.isEmpty():
             return
-        pred = predict(enrich_with_weather(df, _weather_until(weather, df)), weights)
+        enriched = enrich_with_weather(df, _weather_until(weather, df))
+        models = _read_or_none(spark, models_path) if models_path else None
+        if models is not None:
+            pred = M.forecast_with_models(enriched, models, ["site_id"], initial=weights)
+        else:
+            pred = predict(enriched, weights)
         write_batch(pred, f"{out_path}/forecast", batch_id)
         write_batch(publish(pred, prefix, "tank/forecast", "forecast", key_cols=["device_id"]),
                     f"{out_path}/publish", batch_id)

@@ -164,3 +164,21 @@ def test_kafka_records_map_to_messages(spark):
     m = from_kafka(rec).first()
     assert (m.device_id, m.payload, m.topic) == (7, "21.5", "site/tank/temperature")
     assert m.msg_id == 2 * (1 << 40) + 15
+
+
+def test_forecast_stream_with_trained_models(spark, scratch):
+    log, out = f"{scratch}/log", f"{scratch}/out"
+    write_log(spark, log)
+    weather = load_weather(spark, SF)
+    q = ST.training_stream(message_stream(spark, log, max_files_per_trigger=3), weather,
+                           f"{scratch}/train", scale=(500.0, 500.0, 100.0, 10.0),
+                           trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ck1")
+    q.awaitTermination(600)
+    q = ST.forecast_stream(message_stream(spark, log, max_files_per_trigger=3), weather, out,
+                           trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ck2",
+                           models_path=f"{scratch}/train/models")
+    q.awaitTermination(600)
+    got = spark.read.parquet(f"{out}/forecast")
+    assert got.filter(F.col("model_version_ts").isNotNull()).count() > 0
+    assert got.filter(F.col("ts") < F.lit(SENTINEL_TS)).count() == \
+        forecast(load_messages(spark, SF), weather).count()

@@ -108,3 +108,16 @@ def test_scaled_training_reports_original_units(spark):
     assert np.allclose([scaled.w_tank * 10, scaled.w_temp * 10, scaled.w_hum * 10, scaled.w_wind * 10],
                        [0.97826, 0.91382, 0.05310, 0.13559], atol=5e-5)
     assert F is not None
+
+
+def test_global_model(spark):
+    rows = [(s, T0, *x, y) for s in (0, 1) for x, y in zip(X, Y)]
+    pairs = spark.createDataFrame(rows, "site_id int, label_pane timestamp_ntz, tank_temperature double, "
+                                  "weather_temperature double, weather_humidity double, "
+                                  "weather_wind double, label double")
+    stats = M.train_statistics(pairs, [], scale=None)
+    assert stats.first().n == 6
+    v = M.train_weights(stats, [], scale=None).first()
+    # the same three points twice give the same gradient, so the same weights
+    assert np.allclose([v.w_tank, v.w_temp, v.w_hum, v.w_wind], [0.97826, 0.91382, 0.05310, 0.13559],
+                       atol=5e-6)
