@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet",
-                partition_by: list[str] | None = None) -> None:
-    """Write one micro-batch under ``path/batch_id=<n>`` (overwrite = replay-safe)."""
-    if df.isEmpty():
+                partition_by: list[str] | None = None, skip_empty: bool = True) -> None:
+    """Write one micro-batch under ``path/batch_id=<n>`` (overwrite = replay-safe).
+    ``skip_empty`` costs one extra (cheap, persisted) action; pass False when
+    the caller already knows the batch is not empty."""
+    if skip_empty and df.isEmpty():
         return
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
@@ -41,3 +43,14 @@ def write_routes(df: DataFrame, path: str, route_col: str = "route", mode: str =
     """F4 fan-out: one folder per route (consumers read only their own)."""
     (df.withColumn("__route", F.regexp_replace(F.col(route_col), "/", "_"))
        .write.mode(mode).format(fmt).partitionBy("__route").save(path))
+
+
+def once(fn):
+    """Wrap a ``foreachBatch`` function: skip empty micro-batches (one cheap
+    action on the batch), then run ``fn``, whose writes do not re-check.
+    (Persisting the batch of a stateful query is not reliable here, so the
+    batch is not cached.)"""
+    def run(df: DataFrame, batch_id: int) -> None:
+        if not df.isEmpty():
+            fn(df, batch_id)
+    return run

@@ -30,7 +30,7 @@ from tankcast.operators.forecast import enrich_with_weather, predict, quarantine
 from tankcast.operators.topics import publish
 from tankcast.operators.windows import last_in_window
 from tankcast.session import scratch_path, ship_package
-from tankcast.streaming.sinks import write_batch
+from tankcast.streaming.sinks import once, write_batch
 from tankcast.streaming.sources import to_ntz
 
 WATERMARK = "10 minutes"
@@ -45,7 +45,7 @@ def _start(df: DataFrame, name: str, checkpoint: str | None, trigger: dict | Non
          .option("checkpointLocation", checkpoint or scratch_path(spark, f"streams/{name}")))
     w = w.trigger(**(trigger or {"processingTime": TRIGGER}))
     if batch_fn is not None:
-        w = w.foreachBatch(batch_fn)
+        w = w.foreachBatch(once(batch_fn))
     elif sink is not None:
         w = sink(w)
     return w.start()
@@ -83,17 +83,17 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = to_ntz(df, "ts", "window_start", "window_end")
-        if df.isEmpty():
-            return
         enriched = enrich_with_weather(df, _weather_until(weather, df))
         models = _read_or_none(spark, models_path) if models_path else None
         if models is not None:
             pred = M.forecast_with_models(enriched, models, ["site_id"], initial=weights)
         else:
             pred = predict(enriched, weights)
-        write_batch(pred, f"{out_path}/forecast", batch_id)
+        pred = pred.persist()
+        write_batch(pred, f"{out_path}/forecast", batch_id, skip_empty=False)
         write_batch(publish(pred, prefix, "tank/forecast", "forecast", key_cols=["device_id"]),
-                    f"{out_path}/publish", batch_id)
+                    f"{out_path}/publish", batch_id, skip_empty=False)
+        pred.unpersist()
 
     return _start(newest, name, checkpoint, trigger, batch_fn=batch)
 
@@ -107,7 +107,7 @@ def quarantine_stream(messages: DataFrame, out_path: str, checkpoint: str | None
     bad = quarantine(messages)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
 
     return _start(bad, name, checkpoint, trigger, batch_fn=batch)
 
@@ -156,7 +156,7 @@ def control_stream(messages: DataFrame, out_path: str, prefix: str = "site",
         _control_fn(prefix), CONTROL_OUT, CONTROL_STATE, "append", GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
@@ -188,7 +188,7 @@ def change_stream(values: DataFrame, out_path: str, initial: float = 0.0,
         _change_fn(initial), CHANGE_OUT, "held double", "append", GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
@@ -220,10 +220,8 @@ def training_stream(messages: DataFrame, weather: DataFrame, out_path: str,
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = to_ntz(df, "ts", "window_start").withColumnRenamed("window_start", "pane").drop("window_end")
-        if df.isEmpty():
-            return
         new = enrich_with_weather(df, _weather_until(weather, df))
-        write_batch(new, panes_path, batch_id)
+        write_batch(new, panes_path, batch_id, skip_empty=False)
         stored = spark.read.parquet(panes_path).filter(F.col("batch_id") <= batch_id)
         hz = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(M.HORIZON)})")
         feats = stored.select("site_id", (F.col("pane") + hz).alias("label_pane"),
