@@ -36,9 +36,10 @@ def range_conformance(df: DataFrame, value: str, min_range: float = SENSOR_MIN_R
 def split_resource_path(df: DataFrame, path: str = "resource_path") -> DataFrame:
     """S6: '/object/instance/resource' -> three integer columns."""
     parts = F.split(F.col(path), "/")
-    return (df.withColumn("object_id", F.element_at(parts, 2).try_cast("int"))
-              .withColumn("instance_id", F.element_at(parts, 3).try_cast("int"))
-              .withColumn("resource_id", F.element_at(parts, 4).try_cast("int")))
+    # try_element_at: a short or malformed path gives nulls, never an error
+    return (df.withColumn("object_id", F.try_element_at(parts, F.lit(2)).try_cast("int"))
+              .withColumn("instance_id", F.try_element_at(parts, F.lit(3)).try_cast("int"))
+              .withColumn("resource_id", F.try_element_at(parts, F.lit(4)).try_cast("int")))
 
 
 def resource_lookup(spark: SparkSession, df: DataFrame, object_id: int = OBJECT_ID) -> DataFrame:

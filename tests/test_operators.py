@@ -226,3 +226,9 @@ def test_train_skips_periods_without_pairs(spark):
         "weather_humidity double, weather_wind double, label double")
     versions = M.train_weights(M.train_statistics(pairs, ["site_id"], scale=None), ["site_id"], scale=None)
     assert versions.count() == 1
+
+
+def test_resource_path_malformed(spark):
+    df = spark.createDataFrame([("/3300",), ("junk",), (None,), ("/3300/x/5700",)], "resource_path string")
+    got = [tuple(r) for r in S.split_resource_path(df).select("object_id", "instance_id", "resource_id").collect()]
+    assert got == [(3300, None, None), (None, None, None), (None, None, None), (3300, None, 5700)]
