@@ -58,10 +58,26 @@ def _readings(messages: DataFrame, prefix: str) -> DataFrame:
             .filter(F.col("tank_temperature").isNotNull()))
 
 
-def _weather_until(weather: DataFrame, df: DataFrame) -> DataFrame:
-    """Weather rows up to the newest time of a micro-batch (pushed to the scan)."""
-    hi = df.agg(F.max("ts")).first()[0]
-    return weather.filter(F.col("ts") <= F.lit(hi)) if hi is not None else weather.limit(0)
+WEATHER_LOOKBACK = "1 day"
+
+
+def _enrich_batch(df: DataFrame, weather: DataFrame,
+                  lookback: str = WEATHER_LOOKBACK) -> tuple[DataFrame, DataFrame]:
+    """As-of weather for one micro-batch without re-reading the weather
+    history: only weather in [batch start - lookback, batch end] is read
+    (pushed to the scan, pruned by date partitions).  Readings with no weather
+    in that window -- rare once a site reports -- are enriched from the older
+    history instead, so the result equals the full as-of join."""
+    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
+    start = F.lit(lo) - F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(lookback)})")
+    recent = weather.filter((F.col("ts") >= start) & (F.col("ts") <= F.lit(hi)))
+    enriched = enrich_with_weather(df, recent).persist()
+    missing = enriched.filter(~F.col("weather_found"))
+    if missing.isEmpty():
+        return enriched, enriched
+    older = weather.filter(F.col("ts") < start)
+    refill = enrich_with_weather(missing.select(*df.columns), older)
+    return enriched.filter(F.col("weather_found")).unionByName(refill), enriched
 
 
 # --- T5: forecast ---------------------------------------------------------------
@@ -70,7 +86,8 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
                     prefix: str = "site", width: str = "5 seconds", watermark: str = WATERMARK,
                     weights=DEFAULT_WEIGHTS, checkpoint: str | None = None,
                     trigger: dict | None = None, name: str = "forecast",
-                    models_path: str | None = None) -> StreamingQuery:
+                    models_path: str | None = None,
+                    weather_lookback: str = WEATHER_LOOKBACK) -> StreamingQuery:
     """Newest reading per device and window (A1, on the stream), then -- per
     micro-batch, on final windows only -- weather as of the reading (J1),
     the forecast (M1), and the publish rows (S2).  With ``models_path`` (the
@@ -83,7 +100,7 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = to_ntz(df, "ts", "window_start", "window_end")
-        enriched = enrich_with_weather(df, _weather_until(weather, df))
+        enriched, held = _enrich_batch(df, weather, weather_lookback)
         models = _read_or_none(spark, models_path) if models_path else None
         if models is not None:
             pred = M.forecast_with_models(enriched, models, ["site_id"], initial=weights)
@@ -94,6 +111,7 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
         write_batch(publish(pred, prefix, "tank/forecast", "forecast", key_cols=["device_id"]),
                     f"{out_path}/publish", batch_id, skip_empty=False)
         pred.unpersist()
+        held.unpersist()
 
     return _start(newest, name, checkpoint, trigger, batch_fn=batch)
 
@@ -205,7 +223,8 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 def training_stream(messages: DataFrame, weather: DataFrame, out_path: str,
                     prefix: str = "site", watermark: str = WATERMARK, scale=M.FEATURE_SCALE,
                     checkpoint: str | None = None, trigger: dict | None = None,
-                    name: str = "training") -> StreamingQuery:
+                    name: str = "training",
+                    weather_lookback: str = WEATHER_LOOKBACK) -> StreamingQuery:
     """Final 30-minute panes (newest reading each) are enriched and stored;
     each new pane is the label of the pane three hours before it; the pairs of
     a micro-batch are reduced to statistics and folded, warm-started from the
@@ -220,8 +239,9 @@ def training_stream(messages: DataFrame, weather: DataFrame, out_path: str,
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = to_ntz(df, "ts", "window_start").withColumnRenamed("window_start", "pane").drop("window_end")
-        new = enrich_with_weather(df, _weather_until(weather, df))
+        new, held = _enrich_batch(df, weather, weather_lookback)
         write_batch(new, panes_path, batch_id, skip_empty=False)
+        held.unpersist()
         stored = spark.read.parquet(panes_path).filter(F.col("batch_id") <= batch_id)
         hz = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(M.HORIZON)})")
         feats = stored.select("site_id", (F.col("pane") + hz).alias("label_pane"),
