@@ -242,8 +242,13 @@ def training_stream(messages: DataFrame, weather: DataFrame, out_path: str,
         new, held = _enrich_batch(df, weather, weather_lookback)
         write_batch(new, panes_path, batch_id, skip_empty=False)
         held.unpersist()
-        stored = spark.read.parquet(panes_path).filter(F.col("batch_id") <= batch_id)
         hz = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(M.HORIZON)})")
+        lo, hi = df.agg(F.min("pane"), F.max("pane")).first()
+        # only panes one horizon before this batch's panes can be features:
+        # the range filter reaches the scan, so history is skipped by min/max
+        stored = (spark.read.parquet(panes_path)
+                  .filter((F.col("batch_id") <= batch_id)
+                          & (F.col("pane") >= F.lit(lo) - hz) & (F.col("pane") <= F.lit(hi) - hz)))
         feats = stored.select("site_id", (F.col("pane") + hz).alias("label_pane"),
                               F.col("pane").alias("feature_pane"), *M.FEATURES)
         labels = spark.read.parquet(panes_path).filter(F.col("batch_id") == batch_id).select(
