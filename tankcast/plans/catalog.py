@@ -217,6 +217,25 @@ def q_min_interval_sample(spark, sf_dir):
     return W.min_interval_sample(v, ["device_id"], "ts", "msg_id", "2 hours", "6 hours")
 
 
+# --- the same operators at the reference's own parameters --------------------
+
+def q_history_window_1h(spark, sf_dir):
+    """W3 as the dashboard chart keeps it: 100 points, none older than 1 h."""
+    v = _parsed(spark, sf_dir).select("site_id", "topic", "ts", "msg_id", "value")
+    return V.history_window(v, ["site_id", "topic"], "ts", "msg_id", 100, "1 hour")
+
+
+def q_min_interval_sample_5s(spark, sf_dir):
+    """W4 with the sensor's 5 s interval."""
+    v = _parsed(spark, sf_dir).select("device_id", "ts", "msg_id", "value")
+    return W.min_interval_sample(v, ["device_id"], "ts", "msg_id", "5 seconds", "1 hour")
+
+
+def q_control_state_1m(spark, sf_dir):
+    """J4 + C1/C2 on a one-minute tick (173k ticks for 4 sites x 30 days)."""
+    return C.control_state(load_messages(spark, sf_dir), PREFIX, tick="1 minute")
+
+
 # --- training (J2 J3 P5 P6 P7 F3 M2 M3 M4) -----------------------------------
 
 # The test tables reach 490 in every feature; these divisors keep SGD stable.
@@ -310,6 +329,9 @@ QUERIES: dict[str, Query] = {
     "resource_lookup": q_resource_lookup,
     "min_max_since_reset": q_min_max_since_reset,
     "min_interval_sample": q_min_interval_sample,
+    "history_window_1h": q_history_window_1h,
+    "min_interval_sample_5s": q_min_interval_sample_5s,
+    "control_state_1m": q_control_state_1m,
     "training_pairs": q_training_pairs,
     "training_pairs_documented": q_training_pairs_documented,
     "label_filter": q_label_filter,

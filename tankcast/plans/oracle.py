@@ -130,13 +130,13 @@ _HELD = [("tank/temperature", "tank_temperature", "0.0"), ("tank/forecast", "tan
          ("utility/threshold/set", "utility_threshold", "60.0")]
 
 
-def _held_sql(series) -> str:
+def _held_sql(series, tick: str = "1 hour", tick_s: int = 3600) -> str:
     topics = ", ".join(f"'{P}/{s}'" for s, _, _ in series)
     ctes = [f"""ctl AS (SELECT site_id, ts, msg_id, topic, TRY_CAST(payload AS DOUBLE) AS v
                FROM messages WHERE topic IN ({topics}))""",
-            """bounds AS (SELECT site_id, time_bucket(INTERVAL '1 hour', min(ts)) AS g0, max(ts) AS g1
+            f"""bounds AS (SELECT site_id, time_bucket(INTERVAL '{tick}', min(ts)) AS g0, max(ts) AS g1
                FROM ctl GROUP BY site_id)""",
-            """ticks AS (SELECT site_id, g0, unnest(generate_series(g0, g1, INTERVAL '1 hour')) AS tick
+            f"""ticks AS (SELECT site_id, g0, unnest(generate_series(g0, g1, INTERVAL '{tick}')) AS tick
                FROM bounds)"""]
     for i, (s, c, _) in enumerate(series):
         ctes.append(f"s{i} AS (SELECT site_id, ts, v FROM ctl WHERE topic = '{P}/{s}' AND v IS NOT NULL)")
@@ -144,12 +144,12 @@ def _held_sql(series) -> str:
     joins = " ".join(f"ASOF LEFT JOIN s{i} ON t.site_id = s{i}.site_id AND t.tick >= s{i}.ts"
                      for i in range(len(series)))
     ctes.append(f"""held AS (SELECT t.site_id, t.tick,
-               CAST(date_diff('second', t.g0, t.tick) // 3600 AS BIGINT) AS tick_index, {cols}
+               CAST(date_diff('second', t.g0, t.tick) // {tick_s} AS BIGINT) AS tick_index, {cols}
                FROM ticks t {joins})""")
     return with_views(*ctes)
 
 
-CONTROL = _held_sql(_HELD) + """, ctrl AS (
+_CTRL_RULES = """, ctrl AS (
   SELECT *, tank_temperature < boiler_threshold AS boiler_enabled,
          tank_forecast > utility_threshold AS utility_enabled,
          NOT (tank_temperature < boiler_threshold) AS boiler_pin,
@@ -157,6 +157,11 @@ CONTROL = _held_sql(_HELD) + """, ctrl AS (
          tick_index % 6 = 5 AS full_status
   FROM held)
 """
+CONTROL = _held_sql(_HELD) + _CTRL_RULES
+_CTRL_COLS = """
+SELECT site_id, tick, tick_index, tank_temperature, tank_forecast, boiler_threshold,
+       utility_threshold, boiler_enabled, utility_enabled, boiler_pin, utility_pin
+FROM ctrl"""
 
 _STATUS = [("tank/temperature", "tank_temperature"), ("boiler/enabled", "boiler_enabled"),
            ("boiler/threshold", "boiler_threshold"), ("utility/enabled", "utility_enabled"),
@@ -382,3 +387,23 @@ WHERE rn = 1"""
 
 
 SQL["train_first_batch"] = _sgd_sql()
+
+
+def _history_sql(age: str) -> str:
+    return with_views(PARSED) + f"""
+SELECT * FROM (
+  SELECT site_id, topic, ts, msg_id, value,
+         row_number() OVER (PARTITION BY site_id, topic ORDER BY ts DESC, msg_id DESC) AS point_rank,
+         strftime(ts, '%H:%M:%S') AS time_label
+  FROM (SELECT *, max(ts) OVER (PARTITION BY site_id, topic) AS mx FROM parsed) a
+  WHERE ts >= mx - INTERVAL '{age}') b
+WHERE point_rank <= 100"""
+
+
+def _sample_sql(interval: str) -> str:
+    return SQL["min_interval_sample"].replace("INTERVAL '2 hours'", f"INTERVAL '{interval}'")
+
+
+SQL["history_window_1h"] = _history_sql("1 hour")
+SQL["min_interval_sample_5s"] = _sample_sql("5 seconds")
+SQL["control_state_1m"] = _held_sql(_HELD, "1 minute", 60) + _CTRL_RULES + _CTRL_COLS
