@@ -116,6 +116,36 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
     return _start(newest, name, checkpoint, trigger, batch_fn=batch)
 
 
+# --- A2 on a stream: sliding newest/oldest -------------------------------------------
+
+def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
+                   length: str = "3 hours", slide: str = "30 minutes",
+                   watermark: str = WATERMARK, checkpoint: str | None = None,
+                   trigger: dict | None = None, name: str = "sliding") -> StreamingQuery:
+    """Newest and oldest tank reading per site and sliding window, emitted
+    once per window when the watermark passes its end (T2).  In a stream the
+    state holds one aggregate per open window, so the built-in sliding window
+    is used directly."""
+    r = _readings(messages, prefix).withWatermark("ts", watermark)
+    ordk = F.struct("ts", "msg_id")
+    row = F.struct(F.col("ts").alias("ts"), F.col("msg_id").alias("id"),
+                   F.col("tank_temperature").alias("v"))
+    agg = (r.groupBy("site_id", F.window("ts", length, slide).alias("w"))
+            .agg(F.count(F.lit(1)).alias("n"), F.max_by(row, ordk).alias("nw"),
+                 F.min_by(row, ordk).alias("od")))
+    out = agg.select("site_id", F.col("w.start").alias("window_start"),
+                     F.col("w.end").alias("window_end"), "n",
+                     F.col("nw.ts").alias("newest_ts"), F.col("nw.id").alias("newest_id"),
+                     F.col("nw.v").alias("newest_value"), F.col("od.ts").alias("oldest_ts"),
+                     F.col("od.id").alias("oldest_id"), F.col("od.v").alias("oldest_value"))
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        write_batch(to_ntz(df, "window_start", "window_end", "newest_ts", "oldest_ts"),
+                    out_path, batch_id, skip_empty=False)
+
+    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+
+
 # --- P2 on a stream: quarantine ---------------------------------------------------------
 
 def quarantine_stream(messages: DataFrame, out_path: str, checkpoint: str | None = None,

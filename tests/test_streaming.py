@@ -182,3 +182,18 @@ def test_forecast_stream_with_trained_models(spark, scratch):
     assert got.filter(F.col("model_version_ts").isNotNull()).count() > 0
     assert got.filter(F.col("ts") < F.lit(SENTINEL_TS)).count() == \
         forecast(load_messages(spark, SF), weather).count()
+
+
+def test_sliding_stream_equals_batch(spark, scratch):
+    from tankcast.operators.forecast import tank_readings
+    from tankcast.operators.windows import sliding_first_last
+    log, out = f"{scratch}/log", f"{scratch}/out"
+    write_log(spark, log)
+    q = ST.sliding_stream(message_stream(spark, log, max_files_per_trigger=2), out,
+                          trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ckpt")
+    q.awaitTermination(300)
+    got = spark.read.parquet(out).filter(F.col("newest_ts") < F.lit(SENTINEL_TS))
+    want = sliding_first_last(tank_readings(load_messages(spark, SF), "site"), ["site_id"], "ts",
+                              "msg_id", "tank_temperature")
+    cols = ["site_id", "window_start", "n", "newest_id", "oldest_id"]
+    assert rows(got, cols) == rows(want, cols)
