@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tankcast.operators.segmented import DEFAULT_SEGMENT, asof_fill
 
@@ -52,7 +53,7 @@ def asof_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str
         *[F.col(c) for c in on], F.col(ts),
         *[F.col(c) for c in lcols if c not in on and c != ts],
         F.lit(1).alias(_SIDE), F.col(left_id).cast("bigint").alias(_RID),
-        F.lit(None).cast(payload_type(right, right_cols, ts, right_ts_name)).alias(_RVAL))
+        F.lit(None).cast(_payload_type(right, right_cols, ts, right_ts_name)).alias(_RVAL))
     both = l.unionByName(r)
     cover = None
     if left_cover is not None:
@@ -60,7 +61,7 @@ def asof_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str
             *[F.col(c) for c in on], F.col(ts),
             *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols if c not in on and c != ts],
             F.lit(1).alias(_SIDE), F.lit(None).cast("bigint").alias(_RID),
-            F.lit(None).cast(payload_type(right, right_cols, ts, right_ts_name)).alias(_RVAL))
+            F.lit(None).cast(_payload_type(right, right_cols, ts, right_ts_name)).alias(_RVAL))
         cover = marks.unionByName(r)
     filled = asof_fill(both, keys=on, order=[ts, _SIDE, _RID], fills={"__m": _RVAL},
                        segment=segment, cover=cover)
@@ -77,8 +78,9 @@ def asof_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str
     return out.select(*sel)
 
 
-def payload_type(right: DataFrame, right_cols, ts, right_ts_name):
-    from pyspark.sql import types as T
+def _payload_type(right: DataFrame, right_cols: Sequence[str], ts: str,
+                  right_ts_name: str | None) -> T.StructType:
+    """Type of the struct that carries a right row through the union."""
     fields = [T.StructField(c, right.schema[c].dataType, True) for c in right_cols]
     if right_ts_name:
         fields.append(T.StructField("__rts", right.schema[ts].dataType, True))

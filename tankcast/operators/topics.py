@@ -24,7 +24,8 @@ DASHBOARD_ROUTES = (
     "utility/threshold",
     "utility/threshold/set",
 )
-# The topics the gateway reacts to (first match wins).
+# The topics the gateway reacts to (first match wins); use with
+# ``route(df, prefix, GATEWAY_ROUTES)``.
 GATEWAY_ROUTES = ("tank/forecast", "boiler/threshold/set", "utility/threshold/set")
 
 

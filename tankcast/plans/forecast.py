@@ -14,7 +14,8 @@ from tankcast.sources.fixtures import DEFAULT_PREFIX
 
 def newest_readings(messages: DataFrame, prefix: str = DEFAULT_PREFIX,
                     width: str = "5 seconds") -> DataFrame:
-    """A1 over parsed tank readings, keyed by device."""
+    """A1 over parsed tank readings, keyed by device (the forecast's first
+    step, also usable on its own)."""
     r = tank_readings(messages, prefix)
     return last_in_window(r, ["device_id"], "ts", "msg_id", width,
                           cols=["site_id", "ts", "msg_id", "tank_temperature"])
