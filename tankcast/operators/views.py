@@ -27,7 +27,7 @@ def history_window(df: DataFrame, series: Sequence[str], ts: str, id_col: str,
     recent = (df.join(newest, series)
                 .filter(F.col(ts) >= F.col("__max_ts") - age).drop("__max_ts"))
     w = Window.partitionBy(*series).orderBy(F.col(ts).desc(), F.col(id_col).desc())
-    return (recent.withColumn("point_rank", F.row_number().over(w))
+    return (recent.withColumn("point_rank", F.row_number().over(w).cast("bigint"))
                   .filter(F.col("point_rank") <= max_points)
                   .withColumn("time_label", time_label(ts)))
 
