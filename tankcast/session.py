@@ -46,19 +46,23 @@ def checkpoint_dir(spark: SparkSession, default_root: str | None = None) -> str:
     ``default_root`` (or the system temp dir) and registered on the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no JVM context: the configured folder is all we have
+        return path or ""
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
+        path = sc.getCheckpointDir()
     if not path:
         root = default_root or tempfile.gettempdir()
         os.makedirs(root, exist_ok=True)
         path = tempfile.mkdtemp(prefix="tankcast-ckpt-", dir=root)
-        spark.sparkContext.setCheckpointDir(path)
+        sc.setCheckpointDir(path)
         try:  # core settings may be read-only at runtime; the context has it now
             spark.conf.set("spark.checkpoint.dir", path)
         except Exception:  # noqa: BLE001
             pass
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -86,7 +90,10 @@ def ship_package(spark: SparkSession) -> None:
     that installs the package on executors can skip this (it is idempotent)."""
     import zipfile
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no JVM context (e.g. Spark Connect): install the package instead
+        return
     tag = sc.applicationId
     if tag in _SHIPPED:
         return
