@@ -171,25 +171,30 @@ CONTROL_STATE = ("tank_temperature double, tank_forecast double, boiler_threshol
 
 
 def _control_fn(prefix: str):
-    topics = {f"{prefix}/{s}": i for i, s in enumerate(C.HELD_SERIES)}
+    topics = {f"{prefix}/{s}": c for s, c in C.HELD_SERIES.items()}
     names = list(C.HELD_SERIES.values())
+    cols = [c.split()[0] for c in CONTROL_OUT.split(", ")]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get) if state.exists else [C.INITIAL_STATE[n] for n in names]
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        out = []
-        for rec in rows.itertuples(index=False):
-            i = topics.get(rec.topic)
-            v = pd.to_numeric(rec.payload, errors="coerce") if i is not None else None
-            if i is None or v is None or pd.isna(v):
-                continue  # other topics and unparsable payloads leave the state alone
-            held[i] = float(v)
-            boiler = held[0] < held[2]
-            utility = held[1] > held[3]
-            out.append((key[0], rec.ts, rec.msg_id, *held, boiler, utility, not boiler, not utility))
-        state.update(tuple(held))
-        cols = [c.split()[0] for c in CONTROL_OUT.split(", ")]
-        yield pd.DataFrame(out, columns=cols)
+        # other topics and unparsable payloads leave the state alone
+        rows = rows.assign(__v=pd.to_numeric(rows["payload"], errors="coerce"))
+        rows = rows[rows["topic"].isin(list(topics)) & rows["__v"].notna()].reset_index(drop=True)
+        if rows.empty:
+            yield pd.DataFrame(columns=cols)
+            return
+        # held value of each series after every message: a forward fill of
+        # that series' values, seeded with the stored state
+        for (t, c), h in zip(topics.items(), held):
+            rows[c] = rows["__v"].where(rows["topic"] == t).ffill().fillna(h)
+        out = rows.assign(site_id=key[0])
+        out["boiler_enabled"] = out["tank_temperature"] < out["boiler_threshold"]
+        out["utility_enabled"] = out["tank_forecast"] > out["utility_threshold"]
+        out["boiler_pin"] = ~out["boiler_enabled"]
+        out["utility_pin"] = ~out["utility_enabled"]
+        state.update(tuple(float(out[c].iloc[-1]) for c in names))
+        yield out[cols]
     return fn
 
 
@@ -218,13 +223,14 @@ def _change_fn(initial: float):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else initial
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        out = []
-        for rec in rows.itertuples(index=False):
-            if rec.value != held:
-                out.append((key[0], rec.ts, rec.msg_id, rec.value, held))
-                held = rec.value
-        state.update((float(held),))
-        yield pd.DataFrame(out, columns=["device_id", "ts", "msg_id", "value", "previous_value"])
+        # the held value only changes when a different value arrives, so it is
+        # always the previous reading (the stored one for the first row)
+        prev = rows["value"].shift(1)
+        prev.iloc[:1] = held
+        out = rows.assign(device_id=key[0], previous_value=prev)[rows["value"] != prev]
+        if len(rows):
+            state.update((float(rows["value"].iloc[-1]),))
+        yield out[["device_id", "ts", "msg_id", "value", "previous_value"]]
     return fn
 
 
