@@ -9,8 +9,9 @@ The series is cut into time segments at least one interval long, and:
    start row gives the last row kept in the segment.  Only rows in the first
    ``interval`` of a segment can be the first kept row, so the segment is
    summarised by those "head" times and the exit time reached from each;
-2. per device, a fold over the segment summaries (one small row per segment)
-   finds the real entry state of every segment;
+2. per device, a sorted streaming fold over the segment summaries finds the
+   real entry state of every segment; it holds one segment at a time, never
+   a whole device;
 3. per (device, segment) again, the rows are walked from that entry and the
    kept rows are emitted.
 
@@ -27,8 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankcast.operators.grouped import cluster, grouped_scan, scan_sorted
+from tankcast.operators.grouped import cluster, scan_sorted
 from tankcast.operators.windows import _seconds
+from tankcast.session import ship_package
 
 SEG = "__seg"
 
@@ -146,34 +148,56 @@ def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str
                             f"{key_ddl}, head_ts bigint, exit_ts bigint, pos bigint",
                             whole_batches=True)
 
-    # 2. per device, in segment order: the entry state of every segment.  The
-    # rows of one segment are its head rows (pos 0..h-1) then its tail row.
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        dev_id, _, _ = _group_layout(pdf, keys)
+    # 2. per device, in segment order: the entry state of every segment.  A
+    # sorted streaming fold: only the entry state and at most one unfinished
+    # segment are held, never a whole device (a hot device may have many
+    # segments).  Rows of one segment are its head rows (pos 0..h-1), then
+    # its tail row.
+    entry_schema = f"{key_ddl}, entry_us bigint"
+
+    def fold(batches):
+        state = {"dev": None, "e": None}
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            seg_id, _, _ = _group_layout(pdf, gcols)
+            last = seg_id == seg_id[-1]
+            carry, done = pdf[last].reset_index(drop=True), pdf[~last].reset_index(drop=True)
+            if len(done):
+                yield _fold_segments(done, state)
+        if carry is not None and len(carry):
+            yield _fold_segments(carry, state)
+
+    def _fold_segments(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
         seg_id, _, seg_end = _group_layout(pdf, gcols)
         firsts = np.flatnonzero(np.r_[True, seg_id[1:] != seg_id[:-1]])
+        devs = [tuple(r) for r in pdf.iloc[firsts][keys].itertuples(index=False)]
         exit_ = pdf["exit_ts"].to_numpy(dtype="float64", na_value=np.nan)
         head_i = pdf["head_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
         exit_i = pdf["exit_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
         out = np.zeros(len(firsts), dtype="int64")
         has = np.zeros(len(firsts), dtype=bool)
-        e, prev_dev = None, -1
+        e, dev = state["e"], state["dev"]
         for n, a in enumerate(firsts):
-            if dev_id[a] != prev_dev:
-                e, prev_dev = None, dev_id[a]
+            if devs[n] != dev:
+                e, dev = None, devs[n]
             if e is not None:
                 out[n], has[n] = e, True
             b = seg_end[a]
             h = 0 if e is None else int(np.searchsorted(head_i[a:b - 1], e + iv, side="right"))
             if not np.isnan(exit_[a + h]):
                 e = int(exit_i[a + h])
+        state["e"], state["dev"] = e, dev
         res = pdf.iloc[firsts][gcols].reset_index(drop=True)
         res["entry_us"] = pd.array(np.where(has, out, 0), dtype="Int64")
         res.loc[~has, "entry_us"] = pd.NA
         return res
 
-    entry = grouped_scan(summaries, keys, [SEG, "pos"], entries, f"{key_ddl}, entry_us bigint",
-                         whole_batches=True)
+    ship_package(summaries.sparkSession)
+    entry = cluster(summaries, keys, [SEG, "pos"]).mapInPandas(fold, entry_schema)
 
     # 3. walk every segment from its entry and keep the sampled rows
     out_schema = d.select(*cols).schema

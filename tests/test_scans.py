@@ -91,3 +91,28 @@ def test_min_interval_fixture(spark):
                                "id long, dev int, ts timestamp_ntz")
     got = sorted(r.id for r in min_interval_sample(df, ["dev"], "ts", "id", "5 seconds").collect())
     assert [secs[i] for i in got] == [0, 5.001, 10.5]
+
+
+def test_sampler_across_small_arrow_batches(spark):
+    # groups and segments cut by Arrow batch boundaries are carried correctly
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(11)
+        rows, i = [], 0
+        for dev in range(2):
+            t = 0.0
+            for _ in range(150):
+                t += rnd.choice([0.4, 1.1, 2.6, 5.0, 5.2, 9.0])
+                rows.append((i, dev, T0 + dt.timedelta(seconds=round(t, 3))))
+                i += 1
+        df = spark.createDataFrame(rows, "id long, dev int, ts timestamp_ntz")
+        got = sorted(r.id for r in min_interval_sample(df, ["dev"], "ts", "id", "5 seconds",
+                                                       segment="20 seconds").collect())
+        pdf = pd.DataFrame(rows, columns=["id", "dev", "ts"]).sort_values(["dev", "ts", "id"])
+        want = []
+        for _, g in pdf.groupby("dev"):
+            us = g["ts"].astype("datetime64[us]").astype("int64").tolist()
+            want += g["id"].iloc[greedy_reference(us, 5_000_000)].tolist()
+        assert got == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
