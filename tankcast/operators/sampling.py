@@ -4,7 +4,7 @@
 The rule is sequential per device, yet a device may hold a third of all rows.
 The series is cut into time segments at least one interval long, and:
 
-1. per (device, segment) -- one task per segment -- every row gets a pointer
+1. per (device, segment) -- one group per segment -- every row gets a pointer
    to the first row more than ``interval`` later; following pointers from a
    start row gives the last row kept in the segment.  Only rows in the first
    ``interval`` of a segment can be the first kept row, so the segment is
@@ -16,7 +16,9 @@ The series is cut into time segments at least one interval long, and:
    kept rows are emitted.
 
 A state older than one segment can never block a row, which is why a segment
-only depends on its predecessor's exit time.
+only depends on its predecessor's exit time.  The rows are clustered by
+(device, segment) once; steps 1 and 3 both read that layout, so the data is
+shuffled a single time (AQE reuses the exchange).
 """
 
 from __future__ import annotations
