@@ -116,3 +116,21 @@ def test_sampler_across_small_arrow_batches(spark):
         assert got == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    # one key holds 90% of the rows; the segmented scan must not put it in one task
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rnd = random.Random(5)
+        rows = [(i, 0 if rnd.random() < 0.9 else rnd.randrange(1, 4),
+                 T0 + dt.timedelta(seconds=rnd.randrange(48 * 3600)), float(i)) for i in range(4000)]
+        df = spark.createDataFrame(rows, "id long, k int, ts timestamp_ntz, v double")
+        out = asof_fill(df, ["k"], ["ts", "id"], {"f": "v"}, segment="1 hour")
+        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        biggest = max(r["count"] for r in sizes) / 4000
+        assert len(sizes) >= 3 and biggest < 0.6, sizes
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
