@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tankcast.functions.payload import parse_weather_json
 from tankcast.streaming.sources import MESSAGE_SCHEMA, WEATHER_SCHEMA
 
 
@@ -40,3 +41,13 @@ def write_messages(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append messages to a log partitioned by event date."""
     (df.withColumn("date", F.to_date("ts")).write.mode(mode)
        .partitionBy("date").parquet(path))
+
+
+def weather_from_messages(messages: DataFrame, prefix: str, topic: str = "weather") -> DataFrame:
+    """S4 + P3: weather documents published as messages -> weather rows.  A
+    missing or broken document gives 0 for the missing fields, as the
+    reference's default weather object did."""
+    w = parse_weather_json("payload")
+    return (messages.filter(F.col("topic") == f"{prefix}/{topic}")
+            .select(F.col("msg_id").alias("weather_id"), "site_id", "ts", w.alias("w"))
+            .select("weather_id", "site_id", "ts", "w.temperature", "w.humidity", "w.wind"))

@@ -32,6 +32,12 @@ def message_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return df
 
 
+def weather_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """S4 as a stream: weather rows appended to a folder."""
+    return (spark.readStream.format(fmt).schema(WEATHER_SCHEMA).load(path)
+            .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 def from_kafka(df: DataFrame, site_id: int = 0) -> DataFrame:
     """Map Kafka records (key, value, topic, partition, offset, timestamp) to
     messages: payload bytes decoded as UTF-8, the record time as event time,

@@ -232,3 +232,13 @@ def test_resource_path_malformed(spark):
     df = spark.createDataFrame([("/3300",), ("junk",), (None,), ("/3300/x/5700",)], "resource_path string")
     got = [tuple(r) for r in S.split_resource_path(df).select("object_id", "instance_id", "resource_id").collect()]
     assert got == [(3300, None, None), (None, None, None), (None, None, None), (3300, None, 5700)]
+
+
+def test_weather_from_messages(spark):
+    from tankcast.sources.messages import weather_from_messages
+    msgs = spark.createDataFrame([
+        (1, 7, 0, at(0), "site/weather", '{"temperature":5,"humidity":3,"wind":7}'),
+        (2, 7, 0, at(5), "site/weather", "oops"),
+        (3, 7, 0, at(9), "site/tank/temperature", "50")], MSG)
+    got = {r.weather_id: (r.temperature, r.humidity, r.wind) for r in weather_from_messages(msgs, "site").collect()}
+    assert got == {1: (5.0, 3.0, 7.0), 2: (0.0, 0.0, 0.0)}
