@@ -51,3 +51,33 @@ def test_sampler_properties(spark, secs, segment):
             last = ts
         else:
             assert i not in kept
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 20_000), st.integers(0, 50), st.booleans()),
+                     min_size=1, max_size=60),
+       segment=segment_st)
+def test_running_extremes_any_segment(spark, rows, segment):
+    from tankcast.operators.segmented import running_extremes_since_reset
+    data = [(i, k, T0 + dt.timedelta(seconds=s), float(v), r) for i, (k, s, v, r) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k int, ts timestamp_ntz, v double, r boolean")
+    got = running_extremes_since_reset(df, ["k"], ["ts", "id"], "v", "r", segment=segment)
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    e = df.withColumn("ep", F.sum(F.col("r").cast("int")).over(w))
+    w2 = Window.partitionBy("k", "ep").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ref = e.select("id", F.min("v").over(w2), F.max("v").over(w2), F.col("ep").cast("bigint"))
+    assert sorted(map(tuple, got.select("id", "min_since_reset", "max_since_reset", "reset_epoch").collect())) == \
+        sorted(map(tuple, ref.collect()))
+
+
+@SETTINGS
+@given(rows=rows_st, segment=segment_st)
+def test_next_value_any_segment(spark, rows, segment):
+    data = [(i, k, T0 + dt.timedelta(seconds=s), None if v is None else float(v))
+            for i, (k, s, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k int, ts timestamp_ntz, v double")
+    got = asof_fill(df, ["k"], ["ts", "id"], {"f": "v"}, segment=segment, inclusive=False, backward=True)
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(1, Window.unboundedFollowing)
+    ref = df.withColumn("f", F.first("v", True).over(w))
+    assert sorted(map(tuple, got.select("id", "f").collect())) == \
+        sorted(map(tuple, ref.select("id", "f").collect()))
