@@ -202,7 +202,10 @@ def control_stream(messages: DataFrame, out_path: str, prefix: str = "site",
                    checkpoint: str | None = None, trigger: dict | None = None,
                    name: str = "control") -> StreamingQuery:
     """Held state per site, rules evaluated on every accepted control message
-    (C1, C2, P12).  Equals ``control.control_on_messages`` in batch."""
+    (C1, C2, P12).  Within a micro-batch messages are applied in event-time
+    order; a message arriving in a later batch with an older time is applied
+    when it arrives, as the gateway does.  For an in-order log this equals
+    ``control.control_on_messages`` in batch."""
     topics = [f"{prefix}/{s}" for s in C.HELD_SERIES]
     m = messages.filter(F.col("topic").isin(topics)).select("site_id", "ts", "msg_id", "topic", "payload")
     out = m.groupBy("site_id").applyInPandasWithState(
