@@ -17,7 +17,7 @@ T0 = dt.datetime(2024, 1, 1)
 rows_st = st.lists(
     st.tuples(st.integers(0, 2), st.integers(0, 20_000), st.one_of(st.none(), st.integers(0, 50))),
     min_size=1, max_size=60)
-segment_st = st.sampled_from(["1 minute", "7 minutes", "1 hour", "1 day"])
+segment_st = st.sampled_from(["1 minute", "7 minutes", "1 hour", "1 day", None])
 
 SETTINGS = settings(max_examples=8, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -134,3 +134,17 @@ def test_hot_key_is_spread_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_plain_window_option_equals_segmented(spark):
+    rows = [(i, k, ts, v if v is not None else 2.0, r) for i, k, ts, v, r in series(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for inclusive, backward in [(True, False), (False, False), (False, True)]:
+        a = asof_fill(df, ["k"], ["ts", "id"], {"f": "v"}, segment=None, inclusive=inclusive, backward=backward)
+        b = asof_fill(df, ["k"], ["ts", "id"], {"f": "v"}, segment="30 minutes", inclusive=inclusive,
+                      backward=backward)
+        assert sorted(map(tuple, a.select("id", "f").collect())) == sorted(map(tuple, b.select("id", "f").collect()))
+    cols = ["id", "min_since_reset", "max_since_reset", "reset_epoch"]
+    a = running_extremes_since_reset(df, ["k"], ["ts", "id"], "v", "r", segment=None)
+    b = running_extremes_since_reset(df, ["k"], ["ts", "id"], "v", "r", segment="30 minutes")
+    assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
