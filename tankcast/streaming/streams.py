@@ -146,6 +146,53 @@ def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
 
+# --- W3 on a stream: live chart history ---------------------------------------------
+
+HISTORY_OUT = ("site_id int, topic string, ts timestamp, msg_id bigint, value double, "
+               "point_rank bigint")
+HISTORY_STATE = "ts_us array<bigint>, ids array<bigint>, vals array<double>"
+
+
+def _history_fn(max_points: int, max_age_us: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(pdfs), ignore_index=True)
+        cur = pd.DataFrame({"ts_us": new["ts"].values.astype("datetime64[us]").astype("int64"),
+                            "msg_id": new["msg_id"].astype("int64"),
+                            "value": new["value"].astype("float64")})
+        if state.exists:
+            t, i, v = state.get
+            cur = pd.concat([pd.DataFrame({"ts_us": list(t), "msg_id": list(i), "value": list(v)}), cur],
+                            ignore_index=True)
+        # newest first; keep max_points within max_age of the newest point
+        cur = cur.sort_values(["ts_us", "msg_id"], ascending=False, kind="mergesort")
+        cur = cur[cur["ts_us"] >= cur["ts_us"].iloc[0] - max_age_us].head(max_points)
+        state.update((cur["ts_us"].tolist(), cur["msg_id"].tolist(), cur["value"].tolist()))
+        yield pd.DataFrame({"site_id": key[0], "topic": key[1],
+                            "ts": pd.to_datetime(cur["ts_us"].values, unit="us"),
+                            "msg_id": cur["msg_id"].values, "value": cur["value"].values,
+                            "point_rank": range(1, len(cur) + 1)})
+    return fn
+
+
+def history_stream(messages: DataFrame, out_path: str, max_points: int = 100,
+                   max_age: str = "1 hour", checkpoint: str | None = None,
+                   trigger: dict | None = None, name: str = "history") -> StreamingQuery:
+    """W3 live: per series (site, topic) the state keeps at most ``max_points``
+    newest points within ``max_age`` of the newest one, so it is bounded
+    whatever the data volume.  Every micro-batch emits the current snapshot
+    of the series it touched (the newest batch_id per series is the chart)."""
+    vals = (messages.select("site_id", "topic", "ts", "msg_id", parse_double("payload").alias("value"))
+            .filter(F.col("value").isNotNull()))
+    out = vals.groupBy("site_id", "topic").applyInPandasWithState(
+        _history_fn(max_points, M._seconds(max_age) * 1_000_000), HISTORY_OUT, HISTORY_STATE,
+        "append", GroupStateTimeout.NoTimeout)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+
+    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+
+
 # --- P2 on a stream: quarantine ---------------------------------------------------------
 
 def quarantine_stream(messages: DataFrame, out_path: str, checkpoint: str | None = None,

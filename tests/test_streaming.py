@@ -221,3 +221,22 @@ def test_topiclog_sink_batch_and_stream(spark, scratch):
     q.awaitTermination(300)
     assert read_topic_log(spark, f"{scratch}/bus2").count() == load_messages(spark, SF).count()
     assert os.path.isdir(f"{scratch}/bus2/_commits")
+
+
+def test_history_stream_final_snapshot_equals_batch(spark, scratch):
+    from pyspark.sql import Window
+    from tankcast.operators.views import history_window
+    log, out = f"{scratch}/log", f"{scratch}/out"
+    write_log(spark, log, sentinel=False)
+    q = ST.history_stream(message_stream(spark, log, max_files_per_trigger=2), out, 100, "48 hours",
+                          trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ckpt")
+    q.awaitTermination(300)
+    snaps = spark.read.parquet(out)
+    last = snaps.withColumn("mb", F.max("batch_id").over(Window.partitionBy("site_id", "topic"))) \
+                .filter(F.col("batch_id") == F.col("mb"))
+    v = load_messages(spark, SF).select("site_id", "topic", "ts", "msg_id",
+                                        F.col("payload").try_cast("double").alias("value"))
+    want = history_window(v.filter(F.col("value").isNotNull()), ["site_id", "topic"], "ts", "msg_id",
+                          100, "48 hours")
+    cols = ["site_id", "topic", "msg_id", "point_rank"]
+    assert rows(last, cols) == rows(want, cols)
