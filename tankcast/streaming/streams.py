@@ -146,6 +146,26 @@ def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
 
+# --- A3 on a stream: latest value per topic -----------------------------------------
+
+def latest_stream(messages: DataFrame, out_path: str, checkpoint: str | None = None,
+                  trigger: dict | None = None, name: str = "latest") -> StreamingQuery:
+    """Newest payload per (site, topic), in update mode: each micro-batch
+    writes the keys whose newest value changed (gauges and status texts).
+    State is one row per key."""
+    row = F.struct(F.col("ts"), F.col("msg_id"), F.col("payload"))
+    agg = (messages.groupBy("site_id", "topic")
+           .agg(F.max_by(row, F.struct("ts", "msg_id")).alias("l"),
+                F.count(F.lit(1)).alias("n_messages")))
+    out = agg.select("site_id", "topic", F.col("l.ts").alias("ts"), F.col("l.msg_id").alias("msg_id"),
+                     F.col("l.payload").alias("payload"), "n_messages")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+
+    return _start(out, name, checkpoint, trigger, output_mode="update", batch_fn=batch)
+
+
 # --- W3 on a stream: live chart history ---------------------------------------------
 
 HISTORY_OUT = ("site_id int, topic string, ts timestamp, msg_id bigint, value double, "

@@ -240,3 +240,19 @@ def test_history_stream_final_snapshot_equals_batch(spark, scratch):
                           100, "48 hours")
     cols = ["site_id", "topic", "msg_id", "point_rank"]
     assert rows(last, cols) == rows(want, cols)
+
+
+def test_latest_stream_equals_batch(spark, scratch):
+    from pyspark.sql import Window
+    from tankcast.operators.windows import latest_per_key
+    log, out = f"{scratch}/log", f"{scratch}/out"
+    write_log(spark, log, sentinel=False)
+    q = ST.latest_stream(message_stream(spark, log, max_files_per_trigger=2), out,
+                         trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ckpt")
+    q.awaitTermination(300)
+    ups = spark.read.parquet(out)
+    last = ups.withColumn("mb", F.max("batch_id").over(Window.partitionBy("site_id", "topic"))) \
+              .filter(F.col("batch_id") == F.col("mb"))
+    want = latest_per_key(load_messages(spark, SF), ["site_id", "topic"], "ts", "msg_id", ["payload"])
+    cols = ["site_id", "topic", "msg_id", "payload", "n_messages"]
+    assert rows(last, cols) == rows(want, cols)
