@@ -146,6 +146,83 @@ def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
 
+# --- A4 and W4 on a stream: per-device running state ---------------------------------
+
+EXTREMES_OUT = ("device_id bigint, ts timestamp, msg_id bigint, value double, is_reset boolean, "
+                "min_since_reset double, max_since_reset double, reset_epoch bigint")
+
+
+def _extremes_fn():
+    import numpy as np
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
+        mn, mx, ep = state.get if state.exists else (np.nan, np.nan, 0)
+        local = rows["is_reset"].fillna(False).astype(int).cumsum().to_numpy()
+        v = rows["value"].to_numpy(dtype=float)
+        lo, hi = np.empty(len(v)), np.empty(len(v))
+        for e in np.unique(local):  # runs between resets within this batch
+            idx = np.flatnonzero(local == e)
+            seed_lo, seed_hi = (mn, mx) if e == 0 else (np.nan, np.nan)
+            lo[idx] = np.fmin.accumulate(np.r_[seed_lo, v[idx]])[1:]
+            hi[idx] = np.fmax.accumulate(np.r_[seed_hi, v[idx]])[1:]
+        out = rows.assign(device_id=key[0], min_since_reset=lo, max_since_reset=hi,
+                          reset_epoch=(ep + local).astype("int64"))
+        if len(rows):
+            state.update((float(lo[-1]), float(hi[-1]), int(ep + local[-1])))
+        yield out[[c.split()[0] for c in EXTREMES_OUT.split(", ")]]
+    return fn
+
+
+def extremes_stream(values: DataFrame, out_path: str, checkpoint: str | None = None,
+                    trigger: dict | None = None, name: str = "extremes") -> StreamingQuery:
+    """A4 live: ``values`` is streaming (device_id, ts, msg_id, value, is_reset);
+    state per device is (min, max, resets so far)."""
+    out = values.groupBy("device_id").applyInPandasWithState(
+        _extremes_fn(), EXTREMES_OUT, "mn double, mx double, ep bigint", "append",
+        GroupStateTimeout.NoTimeout)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+
+    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+
+
+def _sample_fn(iv: int):
+    import numpy as np
+
+    from tankcast.operators.sampling import _next_pointers
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
+        t = rows["ts"].values.astype("datetime64[us]").astype("int64")
+        last = state.get[0] if state.exists else None
+        i = 0 if last is None else int(np.searchsorted(t, last + iv, side="right"))
+        nxt, take = _next_pointers(t, iv), []
+        while i < len(t):
+            take.append(i)
+            i = int(nxt[i])
+        if take:
+            state.update((int(t[take[-1]]),))
+        yield rows.iloc[take].assign(device_id=key[0])[["device_id", "ts", "msg_id", "value"]]
+    return fn
+
+
+def sample_stream(values: DataFrame, out_path: str, interval: str = "5 seconds",
+                  checkpoint: str | None = None, trigger: dict | None = None,
+                  name: str = "sample") -> StreamingQuery:
+    """W4 live: state per device is the time of the last kept reading."""
+    out = values.groupBy("device_id").applyInPandasWithState(
+        _sample_fn(M._seconds(interval) * 1_000_000),
+        "device_id bigint, ts timestamp, msg_id bigint, value double", "last_us bigint", "append",
+        GroupStateTimeout.NoTimeout)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+
+    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+
+
 # --- A3 on a stream: latest value per topic -----------------------------------------
 
 def latest_stream(messages: DataFrame, out_path: str, checkpoint: str | None = None,

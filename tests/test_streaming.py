@@ -256,3 +256,32 @@ def test_latest_stream_equals_batch(spark, scratch):
     want = latest_per_key(load_messages(spark, SF), ["site_id", "topic"], "ts", "msg_id", ["payload"])
     cols = ["site_id", "topic", "msg_id", "payload", "n_messages"]
     assert rows(last, cols) == rows(want, cols)
+
+
+def _values(df):
+    return df.select("device_id", "ts", "msg_id", F.col("payload").try_cast("double").alias("value"),
+                     (F.col("msg_id") % 100 == 0).alias("is_reset")).filter(F.col("value").isNotNull())
+
+
+def test_extremes_stream_equals_batch(spark, scratch):
+    log, out = f"{scratch}/log", f"{scratch}/out"
+    write_log(spark, log, sentinel=False)
+    q = ST.extremes_stream(_values(message_stream(spark, log, max_files_per_trigger=2)), out,
+                           trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ckpt")
+    q.awaitTermination(300)
+    want = S.min_max_since_reset(_values(load_messages(spark, SF)), ["device_id"], ["ts", "msg_id"],
+                                 "value", "is_reset")
+    cols = ["msg_id", "min_since_reset", "max_since_reset", "reset_epoch"]
+    assert rows(spark.read.parquet(out), cols) == rows(want, cols)
+
+
+def test_sample_stream_equals_batch(spark, scratch):
+    from tankcast.operators.sampling import min_interval_sample
+    log, out = f"{scratch}/log", f"{scratch}/out"
+    write_log(spark, log, sentinel=False)
+    src = _values(message_stream(spark, log, max_files_per_trigger=2)).drop("is_reset")
+    q = ST.sample_stream(src, out, "2 hours", trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ckpt")
+    q.awaitTermination(300)
+    want = min_interval_sample(_values(load_messages(spark, SF)).drop("is_reset"), ["device_id"], "ts",
+                               "msg_id", "2 hours", "6 hours")
+    assert rows(spark.read.parquet(out), ["msg_id"]) == rows(want, ["msg_id"])
