@@ -407,3 +407,70 @@ def _sample_sql(interval: str) -> str:
 SQL["history_window_1h"] = _history_sql("1 hour")
 SQL["min_interval_sample_5s"] = _sample_sql("5 seconds")
 SQL["control_state_1m"] = _held_sql(_HELD, "1 minute", 60) + _CTRL_RULES + _CTRL_COLS
+
+
+def _fold_ctes() -> list[str]:
+    """The whole SGD fold (M2) as one recursive CTE: a state (batch k, step i,
+    weights) moves one gradient step per level, and to the next batch when it
+    converges or after 50 steps.  Same float operations, same order as the
+    Spark-side fold, so the weights agree exactly."""
+    init = ("CAST(1.0 AS DOUBLE) * 500.0", "CAST(1.0 AS DOUBLE) * 500.0",
+            "CAST(0.1 AS DOUBLE) * 100.0", "CAST(0.2 AS DOUBLE) * 10.0")
+    idx = [(i, j) for i in range(4) for j in range(i, 4)]
+    norm_cols = ", ".join([f"xx_{i}{j} / n AS s{i}{j}" for i, j in idx] + [f"xy_{i} / n AS b{i}" for i in range(4)])
+
+    def sv(i, j):
+        return f"bn.s{min(i, j)}{max(i, j)}"
+    grads = [" + ".join(f"{sv(k, j)} * it.w{j}" for j in range(4)) + f" - bn.b{k}" for k in range(4)]
+    new = ", ".join(f"it.w{k} - (CAST(0.1 AS DOUBLE) / sqrt(it.i + 1)) * ({grads[k]}) AS n{k}"
+                    for k in range(4))
+    diff = " + ".join(f"(x.n{k} - x.w{k}) * (x.n{k} - x.w{k})" for k in range(4))
+    norm = " + ".join(f"x.n{k} * x.n{k}" for k in range(4))
+    done = f"(x.i + 1 >= 2 AND sqrt({diff}) < CAST(0.001 AS DOUBLE) * greatest(sqrt({norm}), 1.0)) OR x.i + 1 >= 50"
+    ctes = [READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS,
+            f"""st AS (SELECT site_id, label_pane AS batch, {_STATS} FROM pairs
+               WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY site_id, label_pane)""",
+            f"""bn AS (SELECT site_id, batch, n,
+               row_number() OVER (PARTITION BY site_id ORDER BY batch) AS k,
+               count(*) OVER (PARTITION BY site_id) AS nb,
+               CAST(sum(n) OVER (PARTITION BY site_id ORDER BY batch ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_total,
+               {norm_cols} FROM st)""",
+            f"""it AS (
+               SELECT site_id, CAST(1 AS BIGINT) AS k, 0 AS i, {init[0]} AS w0, {init[1]} AS w1,
+                      {init[2]} AS w2, {init[3]} AS w3 FROM bn WHERE k = 1
+               UNION ALL
+               SELECT x.site_id,
+                      CASE WHEN {done} THEN x.k + 1 ELSE x.k END,
+                      CASE WHEN {done} THEN 0 ELSE x.i + 1 END,
+                      x.n0, x.n1, x.n2, x.n3
+               FROM (SELECT it.*, {new} FROM it JOIN bn ON it.site_id = bn.site_id AND it.k = bn.k) x)"""]
+    ctes.append("""models AS (
+  SELECT it.site_id, w0 / 500.0 AS w_tank, w1 / 500.0 AS w_temp, w2 / 100.0 AS w_hum,
+         w3 / 10.0 AS w_wind, CAST(0.0 AS DOUBLE) AS intercept, bn.n_total AS n,
+         bn.batch + INTERVAL '30 minutes' AS version_ts
+  FROM it JOIN bn ON it.site_id = bn.site_id AND it.k = bn.k + 1
+  WHERE it.i = 0)""")
+    return ctes
+
+
+def _fold_sql() -> str:
+    return "WITH RECURSIVE " + ",\n".join([MESSAGES, WEATHER, *_fold_ctes()]) + """
+SELECT site_id, w_tank, w_temp, w_hum, w_wind, intercept, n, version_ts FROM models"""
+
+
+def _forecast_trained_sql() -> str:
+    """M3: each 5 s window scored with the newest model version at or before
+    its end; the default weights before the first version."""
+    f = ("e.tank_temperature * COALESCE(m.w_tank, 1.0) + e.weather_temperature * COALESCE(m.w_temp, 1.0) "
+         "+ e.weather_humidity * COALESCE(m.w_hum, CAST(0.1 AS DOUBLE)) "
+         "+ e.weather_wind * COALESCE(m.w_wind, CAST(0.2 AS DOUBLE)) + COALESCE(m.intercept, 0.0)")
+    return "WITH RECURSIVE " + ",\n".join([MESSAGES, WEATHER, *_fold_ctes(), NEWEST_5S, ENRICHED]) + f"""
+SELECT e.*, COALESCE(m.w_tank, 1.0) AS w_tank, COALESCE(m.w_temp, 1.0) AS w_temp,
+       COALESCE(m.w_hum, CAST(0.1 AS DOUBLE)) AS w_hum, COALESCE(m.w_wind, CAST(0.2 AS DOUBLE)) AS w_wind,
+       COALESCE(m.intercept, 0.0) AS intercept, m.version_ts AS model_version_ts,
+       {f} AS forecast, {r2(f)} AS forecast_r2
+FROM enriched e ASOF LEFT JOIN models m ON e.site_id = m.site_id AND e.window_end >= m.version_ts"""
+
+
+SQL["train_weights"] = _fold_sql()
+SQL["forecast_trained"] = _forecast_trained_sql()
