@@ -275,6 +275,16 @@ def q_train_weights(spark, sf_dir):
     return M.train_weights(stats, ["site_id"], scale=TEST_SCALE)
 
 
+def q_train_weights_global(spark, sf_dir):
+    """M2 with one global model: a period's mini-batch holds every site's
+    pair.  Sums of several pairs may differ in the last bit between engines,
+    so weights are reported to 6 places."""
+    stats = M.train_statistics(_pairs(spark, sf_dir), [], scale=TEST_SCALE)
+    models = M.train_weights(stats, [], scale=TEST_SCALE)
+    return models.select("model_key", "version_ts", "n",
+                         *[F.round(c, 6).alias(c) for c in ("w_tank", "w_temp", "w_hum", "w_wind")])
+
+
 def q_train_first_batch(spark, sf_dir):
     """M2 on one mini-batch: each site's first period, 50 SGD steps from the
     default weights, weights rounded to 4 places."""
@@ -339,5 +349,6 @@ QUERIES: dict[str, Query] = {
     "train_statistics": q_train_statistics,
     "train_weights": q_train_weights,
     "train_first_batch": q_train_first_batch,
+    "train_weights_global": q_train_weights_global,
     "forecast_trained": q_forecast_trained,
 }

@@ -409,7 +409,7 @@ SQL["min_interval_sample_5s"] = _sample_sql("5 seconds")
 SQL["control_state_1m"] = _held_sql(_HELD, "1 minute", 60) + _CTRL_RULES + _CTRL_COLS
 
 
-def _fold_ctes() -> list[str]:
+def _fold_ctes(key: str = "site_id", key_expr: str = "site_id") -> list[str]:
     """The whole SGD fold (M2) as one recursive CTE: a state (batch k, step i,
     weights) moves one gradient step per level, and to the next batch when it
     converges or after 50 steps.  Same float operations, same order as the
@@ -428,27 +428,27 @@ def _fold_ctes() -> list[str]:
     norm = " + ".join(f"x.n{k} * x.n{k}" for k in range(4))
     done = f"(x.i + 1 >= 2 AND sqrt({diff}) < CAST(0.001 AS DOUBLE) * greatest(sqrt({norm}), 1.0)) OR x.i + 1 >= 50"
     ctes = [READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS,
-            f"""st AS (SELECT site_id, label_pane AS batch, {_STATS} FROM pairs
-               WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY site_id, label_pane)""",
-            f"""bn AS (SELECT site_id, batch, n,
-               row_number() OVER (PARTITION BY site_id ORDER BY batch) AS k,
-               count(*) OVER (PARTITION BY site_id) AS nb,
-               CAST(sum(n) OVER (PARTITION BY site_id ORDER BY batch ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_total,
+            f"""st AS (SELECT {key_expr} AS {key}, label_pane AS batch, {_STATS} FROM pairs
+               WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY 1, label_pane)""",
+            f"""bn AS (SELECT {key}, batch, n,
+               row_number() OVER (PARTITION BY {key} ORDER BY batch) AS k,
+               count(*) OVER (PARTITION BY {key}) AS nb,
+               CAST(sum(n) OVER (PARTITION BY {key} ORDER BY batch ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_total,
                {norm_cols} FROM st)""",
             f"""it AS (
-               SELECT site_id, CAST(1 AS BIGINT) AS k, 0 AS i, {init[0]} AS w0, {init[1]} AS w1,
+               SELECT {key}, CAST(1 AS BIGINT) AS k, 0 AS i, {init[0]} AS w0, {init[1]} AS w1,
                       {init[2]} AS w2, {init[3]} AS w3 FROM bn WHERE k = 1
                UNION ALL
-               SELECT x.site_id,
+               SELECT x.{key},
                       CASE WHEN {done} THEN x.k + 1 ELSE x.k END,
                       CASE WHEN {done} THEN 0 ELSE x.i + 1 END,
                       x.n0, x.n1, x.n2, x.n3
-               FROM (SELECT it.*, {new} FROM it JOIN bn ON it.site_id = bn.site_id AND it.k = bn.k) x)"""]
-    ctes.append("""models AS (
-  SELECT it.site_id, w0 / 500.0 AS w_tank, w1 / 500.0 AS w_temp, w2 / 100.0 AS w_hum,
+               FROM (SELECT it.*, {new} FROM it JOIN bn ON it.{key} = bn.{key} AND it.k = bn.k) x)"""]
+    ctes.append(f"""models AS (
+  SELECT it.{key}, w0 / 500.0 AS w_tank, w1 / 500.0 AS w_temp, w2 / 100.0 AS w_hum,
          w3 / 10.0 AS w_wind, CAST(0.0 AS DOUBLE) AS intercept, bn.n_total AS n,
          bn.batch + INTERVAL '30 minutes' AS version_ts
-  FROM it JOIN bn ON it.site_id = bn.site_id AND it.k = bn.k + 1
+  FROM it JOIN bn ON it.{key} = bn.{key} AND it.k = bn.k + 1
   WHERE it.i = 0)""")
     return ctes
 
@@ -474,3 +474,13 @@ FROM enriched e ASOF LEFT JOIN models m ON e.site_id = m.site_id AND e.window_en
 
 SQL["train_weights"] = _fold_sql()
 SQL["forecast_trained"] = _forecast_trained_sql()
+
+
+def _fold_global_sql() -> str:
+    ctes = _fold_ctes("model_key", "'global'")
+    return "WITH RECURSIVE " + ",\n".join([MESSAGES, WEATHER, *ctes]) + """
+SELECT model_key, version_ts, n, round(w_tank, 6) AS w_tank, round(w_temp, 6) AS w_temp,
+       round(w_hum, 6) AS w_hum, round(w_wind, 6) AS w_wind FROM models"""
+
+
+SQL["train_weights_global"] = _fold_global_sql()
