@@ -242,3 +242,46 @@ def test_weather_from_messages(spark):
         (3, 7, 0, at(9), "site/tank/temperature", "50")], MSG)
     got = {r.weather_id: (r.temperature, r.humidity, r.wind) for r in weather_from_messages(msgs, "site").collect()}
     assert got == {1: (5.0, 3.0, 7.0), 2: (0.0, 0.0, 0.0)}
+
+
+def test_asof_reports_matched_right_time(spark):
+    from tankcast.operators.asof import asof_left_join
+    left = spark.createDataFrame([(1, 0, at(10)), (2, 0, at(1))], "id long, k int, ts timestamp_ntz")
+    right = spark.createDataFrame([(9, 0, at(5), 3.0)], "rid long, k int, ts timestamp_ntz, x double")
+    got = {r.id: r for r in asof_left_join(left, right, ["k"], "ts", ["x"], "id", "rid",
+                                           right_ts_name="x_ts", found_col="found").collect()}
+    assert got[1].x == 3.0 and got[1].x_ts == at(5) and got[1].found
+    assert got[2].x is None and got[2].x_ts is None and not got[2].found
+
+
+def test_checkpoint_dir_fallback_when_unset(tmp_path):
+    from tankcast.session import checkpoint_dir
+
+    class Conf:
+        def __init__(self):
+            self.values = {}
+
+        def get(self, k, default=None):
+            return self.values.get(k, default)
+
+        def set(self, k, v):
+            raise RuntimeError("read-only at runtime")
+
+    class Ctx:
+        def __init__(self):
+            self.dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        conf = Conf()
+        sparkContext = Ctx()
+
+    s = Session()
+    path = checkpoint_dir(s, str(tmp_path))
+    assert path.startswith(str(tmp_path)) and s.sparkContext.dir == path
+    assert checkpoint_dir(s, str(tmp_path)) == path  # second call reuses it
