@@ -170,3 +170,24 @@ def running_extremes_since_reset(df: DataFrame, keys: Sequence[str], order: Sequ
     if epoch_name:
         cols.append((F.col("__kep") + F.col("__ep")).cast("bigint").alias(epoch_name))
     return out.select(*cols)
+
+
+# widths offered by ``suggest_segment``, narrowest first
+_WIDTHS = [("1 second", 1), ("10 seconds", 10), ("1 minute", 60), ("5 minutes", 300),
+           ("15 minutes", 900), ("1 hour", 3600), ("6 hours", 21600), ("1 day", 86400)]
+
+
+def suggest_segment(df: DataFrame, keys: Sequence[str], ts: str,
+                    target_rows: int = 2_000_000) -> str:
+    """The widest segment whose expected size for the densest key stays under
+    ``target_rows``.  One aggregate pass (per-key count and time span, then the
+    maximum rate); only that single number reaches the driver."""
+    keys = list(keys)
+    span = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6
+    per_key = df.groupBy(*keys).agg((F.count(F.lit(1)) / F.greatest(span, F.lit(1.0))).alias("rate"))
+    rate = per_key.agg(F.max("rate")).first()[0] or 0.0
+    best = _WIDTHS[0][0]
+    for name, secs in _WIDTHS:
+        if rate * secs <= target_rows:
+            best = name
+    return best

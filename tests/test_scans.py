@@ -148,3 +148,13 @@ def test_plain_window_option_equals_segmented(spark):
     a = running_extremes_since_reset(df, ["k"], ["ts", "id"], "v", "r", segment=None)
     b = running_extremes_since_reset(df, ["k"], ["ts", "id"], "v", "r", segment="30 minutes")
     assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+
+
+def test_suggest_segment(spark):
+    from tankcast.operators.segmented import suggest_segment
+    # key 0: one row per second for an hour; key 1: sparse
+    rows = [(0, T0 + dt.timedelta(seconds=s)) for s in range(3600)] + \
+           [(1, T0 + dt.timedelta(hours=h)) for h in range(5)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz")
+    assert suggest_segment(df, ["k"], "ts", target_rows=100) == "1 minute"
+    assert suggest_segment(df, ["k"], "ts", target_rows=10**9) == "1 day"
