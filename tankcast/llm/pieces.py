@@ -21,9 +21,11 @@ Columns called like a result column are replaced.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -36,7 +38,11 @@ from tankcast.llm.common import add_columns
 MARKER = "▁"
 RUN = re.compile(r" +[^ ]*|[^ ]+")
 #: Longest run, in characters, that a worker remembers, and how many.
-SHORT, REMEMBERED = 48, 400_000
+SHORT, REMEMBERED = 48, 300_000
+#: Runs solved side by side.
+BLOCK = 8192
+# bytes of a character by its first byte
+CHAR_BYTES = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.int64)
 
 
 def default_model() -> str:
@@ -59,33 +65,38 @@ def double_array(keys: list[tuple[bytes, int]]) -> tuple[list[int], list[int], l
                 ends.append(-1)
             at = nxt
         ends[at] = value
-    size = 2 * len(children) + 1024
-    base, check, value, taken = [0] * size, [-1] * size, [-1] * size, bytearray(size)
-    taken[0], free = 1, 1
-    value[0] = ends[0]
+    size = 4 * len(children) + 1024
+    base, check, value, free = [0] * size, [-1] * size, [-1] * size, bytearray(b"\1") * size
+    free[0], value[0] = 0, ends[0]
+    # where the search for a node with so many children goes on: never back,
+    # so that the whole build stays about linear
+    start = [0] * 257
     stack = [(0, 0)]
     while stack:
         node, place = stack.pop()
         codes = sorted(children[node])
         if not codes:
             continue
-        while taken[free]:
-            free += 1
-        at = max(0, free - codes[0] - 1)
+        first, many = codes[0] + 1, len(codes)
+        at = max(start[many], 1 - codes[0])
         while True:
-            if at + 258 > len(taken):
-                more = len(taken)
+            to = free.find(1, at + first)
+            if to < 0 or to + 258 > len(free):
+                more = len(free)
                 base += [0] * more
                 check += [-1] * more
                 value += [-1] * more
-                taken += bytearray(more)
-            if not any(taken[at + c + 1] for c in codes):
+                free += bytearray(b"\1") * more
+                continue
+            at = to - first
+            if all([free[at + c + 1] for c in codes]):
                 break
             at += 1
+        start[many] = at
         base[place] = at
         for c in codes:
             to, child = at + c + 1, children[node][c]
-            taken[to], check[to], value[to] = 1, place, ends[child]
+            free[to], check[to], value[to] = 0, place, ends[child]
             stack.append((child, to))
     return base, check, value
 
@@ -112,85 +123,136 @@ class Model:
         if -1 in self.byte_ids:
             raise ValueError("the model has no byte fallback")
         self.unknown = min(self.scores[i] for _, i in keys) - 10.0
-        self.base, self.check, self.value = double_array(keys)
-        self.size = len(self.base)
+        self.base, self.check, self.value = (np.array(x, np.int32) for x in double_array(keys))
+        self.scores = np.array(self.scores)
         self.runs: dict[str, list[int]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"runs": {}}
 
-    def viterbi(self, run: str) -> list[int]:
-        data = run.encode()
-        n, size = len(data), self.size
+    def solve(self, runs: list[bytes]) -> list[list[int]]:
+        """Piece ids of every run: Viterbi over a block of runs side by side, one
+        place after another, each place's matches walked through the trie."""
+        n, wide = len(runs), max(map(len, runs))
+        # one row a place; the zeros behind a shorter run match no piece
+        data = np.frombuffer(b"".join([r.ljust(wide, b"\0") for r in runs]), np.uint8).reshape(n, wide)
+        data = np.ascontiguousarray(data.T).astype(np.int32)
+        lens = np.array([len(r) for r in runs], np.int32)
+        best = np.full((wide + 1, n), -np.inf)
+        best[0] = 0.0
+        start = np.zeros((wide + 1, n), np.int32)
+        piece_at = np.full((wide + 1, n), -1, np.int32)
+        char_end = np.zeros(n, np.int32)
+        for i in range(wide):
+            rows = np.flatnonzero((best[i] > -np.inf) & (lens > i))
+            if not len(rows):
+                continue
+            char_end[rows] = i + CHAR_BYTES[data[i][rows]]
+            lone = np.zeros(n, bool)
+            lone[rows] = True
+            act, node, so_far = rows, 0, best[i][rows]
+            for j in range(i, wide):
+                to = self.base[node] + data[j][act] + 1
+                ok = np.flatnonzero(self.check[to] == node)
+                if not len(ok):
+                    break
+                act, node, so_far = act[ok], to[ok], so_far[ok]
+                piece = self.value[node]
+                hit = np.flatnonzero(piece >= 0)
+                a, piece = act[hit], piece[hit]
+                if j < i + 4:
+                    lone[a[char_end[a] == j + 1]] = False
+                total = so_far[hit] + self.scores[piece]
+                up = np.flatnonzero(total > best[j + 1][a])
+                a = a[up]
+                best[j + 1][a], start[j + 1][a], piece_at[j + 1][a] = total[up], i, piece[up]
+            a = np.flatnonzero(lone)
+            if len(a):
+                total, end = best[i][a] + self.unknown, char_end[a]
+                up = total > best[end, a]
+                best[end[up], a[up]], start[end[up], a[up]], piece_at[end[up], a[up]] = total[up], i, -1
+        start, piece_at = start.T, piece_at.T
+        out = []
+        for run, came, pieces in zip(runs, start.tolist(), piece_at.tolist()):
+            ids, j = [], len(run)
+            while j:
+                i = came[j]
+                if pieces[j] >= 0:
+                    ids.append(pieces[j])
+                else:
+                    ids.extend(self.byte_ids[x] for x in reversed(run[i:j]))
+                j = i
+            out.append(ids[::-1])
+        return out
+
+    def solve_long(self, run: bytes) -> list[int]:
+        """As ``solve``, for one run of any length, in time and memory linear in it."""
+        n = len(run)
         base, check, value, scores = self.base, self.check, self.value, self.scores
-        best: list[float | None] = [None] * (n + 1)
-        back = [(0, 0)] * (n + 1)
+        best, back = np.full(n + 1, -np.inf), np.zeros((n + 1, 2), np.int64)
         best[0] = 0.0
         for i in range(n):
-            so_far = best[i]
-            if so_far is None:
+            if best[i] == -np.inf:
                 continue
-            c = data[i]
-            wide = i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
-            node, j, single = 0, i, False
+            node, j, lone, end = 0, i, True, i + int(CHAR_BYTES[run[i]])
             while j < n:
-                to = base[node] + data[j] + 1
-                if to >= size or check[to] != node:
+                to = base[node] + run[j] + 1
+                if check[to] != node:
                     break
                 node, j = to, j + 1
-                piece = value[to]
-                if piece >= 0:
-                    if j == wide:
-                        single = True
-                    total, old = so_far + scores[piece], best[j]
-                    if old is None or total > old:
-                        best[j], back[j] = total, (i, piece)
-            if not single:
-                total, old = so_far + self.unknown, best[wide]
-                if old is None or total > old:
-                    best[wide], back[wide] = total, (i, -1)
-        out, j = [], n
+                if value[to] >= 0:
+                    lone = lone and j != end
+                    if (total := best[i] + scores[value[to]]) > best[j]:
+                        best[j], back[j] = total, (i, value[to])
+            if lone and (total := best[i] + self.unknown) > best[end]:
+                best[end], back[end] = total, (i, -1)
+        ids, j = [], n
         while j:
-            i, piece = back[j]
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out.extend(self.byte_ids[b] for b in reversed(data[i:j]))
+            i, piece = back[j].tolist()
+            ids.extend([piece] if piece >= 0 else [self.byte_ids[x] for x in reversed(run[i:j])])
             j = i
-        out.reverse()
-        return out
+        return ids[::-1]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        known = self.runs
+        if len(known) > REMEMBERED:
+            known.clear()
+        split = [RUN.findall(" " + t) if t else [] for t in texts]
+        new = sorted({r for runs in split for r in runs if r not in known}, key=len)
+        own: dict[str, list[int]] = {}
+        while new and len(new[-1]) > SHORT:
+            run = new.pop()
+            own[run] = self.solve_long(run.encode())
+        for lo in range(0, len(new), BLOCK):
+            part = new[lo:lo + BLOCK]
+            known.update(zip(part, self.solve([r.encode() for r in part])))
+        if own:
+            return [list(chain.from_iterable([known[r] if r in known else own[r] for r in runs])) for runs in split]
+        return [list(chain.from_iterable(map(known.__getitem__, runs))) for runs in split]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        runs = self.runs
-        if len(runs) > REMEMBERED:
-            runs.clear()
-        for run in RUN.findall(" " + text):
-            ids = runs.get(run)
-            if ids is None:
-                ids = self.viterbi(run)
-                if len(run) <= SHORT:
-                    runs[run] = ids
-            out += ids
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         surface = self.surface
         return b"".join([surface[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+@functools.lru_cache(2)
+def load(path: str | None = None) -> Model:
+    return Model(path)
+
+
 def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
     """``docs`` with ``piece_ids``."""
-    held = docs.sparkSession.sparkContext.broadcast(Model(model))
+    held = docs.sparkSession.sparkContext.broadcast(load(model))
     return add_columns(docs, [text_col], [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))],
-                       lambda texts: [[held.value.encode(t) for t in texts]])
+                       lambda texts: [held.value.encode_all(texts)])
 
 
 def decode(docs: DataFrame, ids_col: str = "piece_ids", out: str = "decoded", model: str | None = None) -> DataFrame:
     """``docs`` with the text of its pieces (null or no pieces: empty)."""
-    held = docs.sparkSession.sparkContext.broadcast(Model(model))
+    held = docs.sparkSession.sparkContext.broadcast(load(model))
     return add_columns(docs, [ids_col], [T.StructField(out, T.StringType())],
                        lambda ids: [[held.value.decode(x or []) for x in ids]])
 
@@ -199,15 +261,14 @@ def encode_and_check(docs: DataFrame, text_col: str = "text", model: str | None
     """``docs`` with ``piece_ids``, ``n_pieces``, ``pieces_crc32`` (ids as
     little-endian unsigned 32-bit integers), ``decoded_sha256`` and ``lossless``
     (the ids decode to the text), in one pass."""
-    held = docs.sparkSession.sparkContext.broadcast(Model(model))
+    held = docs.sparkSession.sparkContext.broadcast(load(model))
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()),
               T.StructField("pieces_crc32", T.LongType()), T.StructField("decoded_sha256", T.StringType()),
               T.StructField("lossless", T.BooleanType())]
 
     def run(texts):
         m, out = held.value, [[] for _ in fields]
-        for t in texts:
-            ids = m.encode(t)
+        for t, ids in zip(texts, m.encode_all(texts)):
             back = m.decode(ids)
             for column, v in zip(out, (ids, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()),
                                        hashlib.sha256(back.encode()).hexdigest(), back == (t or ""))):
