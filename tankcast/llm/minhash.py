@@ -15,9 +15,10 @@ first (one bag stands for all).  Each bucket's member with most bucket mates
 is its centre, and every member is held against it.  Candidates whose
 signatures agree on too few registers (five standard errors below the
 threshold) are dropped; the others' whole bags are compared.  Then components
-are formed, and members of a bucket that are still in different components are
-compared with each other in the same way, so a bucket loses no link; pairs
-inside one component are never written out.  All that remains lossy is the
+are formed, and signatures of members of a bucket that are still in different
+components are compared inside tasks, tile by tile; pairs that agree are
+compared whole there and only links leave the task, so a bucket loses no link
+and no group's pairs are written out.  All that remains lossy is the
 banding: a pair at 0.8 is missed with probability (1 - 0.8^5)^28, about 1.5e-5.
 
 Defined cases: a text without words (null, empty) is alone in its class.
@@ -44,6 +45,10 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 #: Members of a candidate group that one task compares with a copy of the centre.
 GROUP_ROWS = 256
+#: Signatures of a bucket that a task holds, twice.
+TILE = 2048
+#: Share of equal registers below which a pair is dropped unseen.
+LEAST = SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)
 
 _U = np.uint64
 _G, _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -138,20 +143,18 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keys, and 16 bits of every register."""
     fields = [T.StructField("same", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
               T.StructField("sig", T.BinaryType())]
-    ids = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
     return add_columns(ids, ["t"], fields, _describe).select("id", *[f.name for f in fields]).filter(
         F.col("id").isNotNull() & (F.length("same") > 0))
 
 
 def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures don't rule out ``SIMILARITY``."""
-    least = SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)
-
     def run(batches):
         for x in batches:
             left, right = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS)
                            for k in (2, 3))
-            keep = (left == right).mean(axis=1) >= least
+            keep = (left == right).mean(axis=1) >= LEAST
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
@@ -160,8 +163,72 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose whole bags reach ``SIMILARITY``.
+def linked(members: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket in different classes, from rows
+    (id, band, class, n, bands, sig, t); of two classes at least one link.
+
+    A bucket of n members is dealt out as pairs of tiles of about ``TILE`` rows.
+    A task compares two tiles' signatures; pairs that agree and share no earlier
+    band are compared whole, unless their classes have been linked there already.
+    Only links leave the task."""
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = (members.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+             .select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+                     "tile", "id", "class", "bands", "sig", "t")
+             .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"))
+
+    def compare(key, tile, ids, classes, bands, sigs, texts):
+        band, i, j = key
+        tile, ids, classes, bands = map(np.array, (tile, ids, classes, bands))
+        sigs = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), REGISTERS)
+        earlier = int(np.flatnonzero(bands[0] == band)[0])
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        bags: dict[int, tuple] = {}
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def whole(k):
+            if k not in bags:
+                bags[k] = bag(texts[k])
+            return bags[k]
+
+        for x in left:
+            to = right[(classes[right] != classes[x]) & ((ids[right] > ids[x]) if i == j else True)]
+            to = to[(sigs[to] == sigs[x]).mean(axis=1) >= LEAST]
+            to = to[~(bands[to, :earlier] == bands[x, :earlier]).any(axis=1)]
+            for y in to:
+                one, two = find(classes[x]), find(classes[y])
+                if one != two and similarity(whole(x), whole(y)) >= SIMILARITY:
+                    root[one] = two
+                    yield int(ids[x]), int(ids[y])
+
+    def run(batches):
+        at, held = None, []
+        for x in batches:
+            out = []
+            for band, i, j, *row in zip(*(c.to_pylist() for c in x.columns)):
+                if (band, i, j) != at:
+                    out += compare(at, *held) if at else ()
+                    at, held = (band, i, j), [[] for _ in row]
+                for column, v in zip(held, row):
+                    column.append(v)
+            yield batch(out)
+        if at:
+            yield batch(list(compare(at, *held)))
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole bags reach ``SIMILARITY``; texts: (id, t).
 
     ``b`` is the member held by many ``a``: its group is dealt out in parts of
     about ``GROUP_ROWS``, each with a copy of ``b``; a part is streamed, holding
@@ -172,10 +239,9 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     roles = (dealt.select(F.col("a").alias("id"), "b", "part", F.lit(1).alias("role"))
              .unionByName(sizes.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
                                        .alias("part"), F.lit(0).alias("role"))))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    rows = (roles.join(texts, "id").repartition("b", "part").sortWithinPartitions("b", "part", "role")
+    rows = (roles.hint("merge").join(texts, "id").repartition("b", "part").sortWithinPartitions("b", "part", "role")
             .select("b", "part", "role", "id", "t"))
-    ship_package(docs.sparkSession)
+    ship_package(pairs.sparkSession)
 
     def run(batches):
         at, held = None, []
@@ -234,23 +300,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.join(full, "band")
     mates = rows.groupBy("id").agg(F.sum("n").alias("mates"))
     rows = written(rows.join(mates, "id").select("id", "band", "mates"), "buckets")
+    # whole texts of documents with bucket mates; like the other joins with texts
+    # a shuffle at every size, so that what is measured small holds large
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    texts = written(texts.join(rows.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     rank = F.struct("mates", (-F.col("id")).alias("minus"))
     centre = rows.groupBy("band").agg((-F.max(rank)["minus"]).alias("b"))
     stars = rows.join(centre, "band").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    found = verify(written(agreement(stars, sigs), "stars"), docs, id_col, text_col)
+    found = verify(written(agreement(stars, sigs), "stars"), texts)
     label = components(found.unionByName(copies))
-    # bucket members in different classes: against all members outside the bucket's largest class
+    # bucket members that are still in different classes
     known = rows.select("id", "band").join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    parts = known.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-    spread = (parts.groupBy("band").agg(F.count(F.lit(1)).alias("classes"),
-                                        F.max(F.struct("n", "class"))["class"].alias("main")).filter("classes > 1"))
-    known = written(known.join(spread, "band").select("id", "band", "class", "main"), "spread")
-    outer = known.filter("class <> main").select(F.col("id").alias("a"), "band", F.col("class").alias("ca"))
-    rest = (known.join(outer, "band").filter("class <> ca and (class = main or class < ca)")
-            .select("a", F.col("id").alias("b")).distinct())
-    rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(
-        stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), ["a", "b"], "left_anti")
-    more = written(verify(written(agreement(rest, sigs), "rest"), docs, id_col, text_col), "links")
+    spread = (known.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"),
+                                        F.max("class").alias("high")).filter("low < high").select("band", "n"))
+    known = known.join(spread, "band").hint("merge").join(reps, "id").hint("merge").join(texts, "id")
+    more = written(linked(known.select("id", "band", "class", "n", "bands", "sig", "t")), "links")
     return components(more, label) if more.limit(1).count() else label
 
 
