@@ -27,6 +27,7 @@ import os
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,9 @@ SEGMENT = 1 << 16
 RANK_BITS = 512
 END_ID = 1
 #: Documents encoded at a time.
-DOCS = 128
+DOCS = 512
+#: Longest stretch, in characters, that a worker remembers, and how many.
+SHORT, REMEMBERED = 48, 300_000
 SCHEMA = "part int, segment int, first long, tokens long, payload binary, doc_ids array<long>, doc_ends array<long>"
 
 
@@ -112,8 +115,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Encoder:
+    """The tokenizers library's ids of whole texts, remembering words.
+
+    A token of a vocabulary that drops white space never spans a blank or line
+    feed, so a text's ids are those of its stretches between them; a stretch not
+    met before is encoded by the library.  ``whole`` switches the splitting off
+    for vocabularies with tokens across blanks."""
+
+    def __init__(self, path: str, whole: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.model, self.whole = Tokenizer.from_file(path), whole
+        self.known: dict[str, list[int]] = {}
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.whole:
+            return self.library(texts)
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list({w for ws in split for w in ws if w not in known})
+        own = dict(zip(new, self.library(new)))
+        known.update((w, ids) for w, ids in own.items() if len(w) <= SHORT)
+        get = lambda w: known[w] if w in known else own[w]
+        return [list(chain.from_iterable(map(get, ws))) for ws in split]
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                 tokenizer: str | None = None, end_id: int = END_ID, parts: int | None = None) -> None:
+                 tokenizer: str | None = None, end_id: int = END_ID, parts: int | None = None,
+                 whole: bool = False) -> None:
     """Write the documents' tokens, in ascending id order, below ``path``."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -123,9 +158,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        model = Tokenizer.from_file(tokenizer or default_tokenizer())
+        model = Encoder(tokenizer or default_tokenizer(), whole)
         part, segment, first, at = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
         ids: list[int | None] = []
@@ -146,8 +179,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for lo in range(0, batch.num_rows, DOCS):
                 some = batch.slice(lo, DOCS)
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                for i, e in zip(some.column(0).to_pylist(), model.encode_batch_fast(texts, add_special_tokens=False)):
-                    held.append(np.array(e.ids + [end_id], np.uint32))
+                for i, e in zip(some.column(0).to_pylist(), model.encode(texts)):
+                    held.append(np.array(e + [end_id], np.uint32))
                     at += len(held[-1])
                     ids.append(i)
                     ends.append(at)
