@@ -20,8 +20,8 @@ def _c(c: Column | str) -> Column:
 
 
 def decode_payload(c: Column | str) -> Column:
-    """Payload bytes -> UTF-8 text."""
-    return F.decode(_c(c), "UTF-8")
+    """Payload bytes -> UTF-8 text; malformed bytes become U+FFFD."""
+    return F.make_valid_utf8(_c(c).cast("string"))
 
 
 def parse_double(c: Column | str) -> Column:
@@ -61,8 +61,10 @@ def topic(prefix: str, suffix: str) -> Column:
 
 
 def round_half_up2(c: Column | str) -> Column:
-    """P10: round to 2 places, halves toward +infinity (JS Math.round)."""
-    return F.floor(_c(c) * 100 + 0.5) / 100
+    """P10: round to 2 places, halves toward +infinity (JS Math.round).  NaN,
+    infinities and values too large for decimals (2^53 / 100) pass unchanged."""
+    x = _c(c)
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0 ** 53 / 100), x).otherwise(F.floor(x * 100 + 0.5) / 100)
 
 
 def weather_factor(temperature: Column | str = "temperature",

@@ -92,9 +92,15 @@ def held_state(messages: DataFrame, prefix: str, keys: Sequence[str] = ("site_id
 
 
 def apply_rules(state: DataFrame) -> DataFrame:
-    """Strict threshold rules and the active-low pin levels."""
-    boiler = F.col("tank_temperature") < F.col("boiler_threshold")
-    utility = F.col("tank_forecast") > F.col("utility_threshold")
+    """Strict threshold rules and the active-low pin levels.  A
+    rule with NaN on either side is off (Spark alone ranks NaN above numbers)."""
+    def numbers(*names):
+        return ~F.isnan(names[0]) & ~F.isnan(names[1])
+
+    boiler = (numbers("tank_temperature", "boiler_threshold")
+              & (F.col("tank_temperature") < F.col("boiler_threshold")))
+    utility = (numbers("tank_forecast", "utility_threshold")
+               & (F.col("tank_forecast") > F.col("utility_threshold")))
     return (state.withColumn("boiler_enabled", boiler)
                  .withColumn("utility_enabled", utility)
                  .withColumn("boiler_pin", active_low("boiler_enabled"))

@@ -103,20 +103,21 @@ def running_extremes_since_reset(df: DataFrame, keys: Sequence[str], order: Sequ
                                  epoch_name: str | None = "reset_epoch") -> DataFrame:
     """Running min and max of ``value`` per key since the last reset row (a
     reset row starts a new run at its own value), plus the running count of
-    resets (``epoch_name``), all without a window over a whole key.
+    resets (``epoch_name``), all without a window over a whole key.  A null
+    reset flag is no reset.
     """
     keys, order = list(keys), list(order)
     base_cols = df.columns
     if segment is None:  # keys known to be small and balanced: plain windows
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        e = df.withColumn("__ep", F.sum(F.col(reset).cast("int")).over(w))
+        e = df.withColumn("__ep", F.sum(F.coalesce(F.col(reset).cast("int"), F.lit(0))).over(w))
         w2 = Window.partitionBy(*keys, "__ep").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         cols = [*[F.col(c) for c in base_cols], F.min(value).over(w2).alias(min_name),
                 F.max(value).over(w2).alias(max_name)]
         if epoch_name:
             cols.append(F.coalesce(F.col("__ep"), F.lit(0)).cast("bigint").alias(epoch_name))
         return e.select(*cols)
-    d = with_segment(df, order[0], segment).withColumn("__r", F.col(reset).cast("int"))
+    d = with_segment(df, order[0], segment).withColumn("__r", F.coalesce(F.col(reset).cast("int"), F.lit(0)))
     part = [*keys, SEG]
     w_part = Window.partitionBy(*part).orderBy(*order)
     d = d.withColumn("__ep", F.sum("__r").over(
@@ -134,7 +135,7 @@ def running_extremes_since_reset(df: DataFrame, keys: Sequence[str], order: Sequ
     okey = F.struct(*[F.col(c) for c in order])
     raw = with_segment(df, order[0], segment).select(
         *part, *[F.col(c) for c in order], F.col(value).alias("__x"),
-        F.col(reset).cast("int").alias("__r"))
+        F.coalesce(F.col(reset).cast("int"), F.lit(0)).alias("__r"))
     last_reset = (raw.filter(F.col("__r") == 1).groupBy(*part)
                   .agg(F.max(okey).alias("__lr")))
     after = F.when(F.col("__lr").isNotNull() & (okey >= F.col("__lr")), F.col("__x"))

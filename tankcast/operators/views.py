@@ -32,12 +32,13 @@ def history_window(df: DataFrame, series: Sequence[str], ts: str, id_col: str,
                   .withColumn("time_label", time_label(ts)))
 
 
-def history_after_clear(df: DataFrame, series: Sequence[str], ts: str, clear: str) -> DataFrame:
-    """A clear event empties the series, so only points after the last
-    clear remain (all points when a series was never cleared)."""
+def history_after_clear(df: DataFrame, series: Sequence[str], ts: str, clear: str,
+                        id_col: str) -> DataFrame:
+    """A clear event empties the series, so only points after the last clear
+    in order of (time, id) remain (all points when a series was never cleared)."""
     series = list(series)
     last_clear = df.groupBy(*series).agg(
-        F.max(F.when(F.col(clear), F.col(ts))).alias("__last_clear"))
+        F.max(F.when(F.col(clear), F.struct(ts, id_col))).alias("__last_clear"))
     return (df.join(last_clear, series, "left")
-              .filter(F.col("__last_clear").isNull() | (F.col(ts) > F.col("__last_clear")))
+              .filter(F.col("__last_clear").isNull() | (F.struct(ts, id_col) > F.col("__last_clear")))
               .drop("__last_clear"))

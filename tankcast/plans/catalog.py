@@ -185,7 +185,7 @@ def q_history_window(spark, sf_dir):
 def q_history_after_clear(spark, sf_dir):
     m = X.with_reset_flags(load_messages(spark, sf_dir)).select(
         "site_id", "topic", "ts", "msg_id", "payload", "is_clear")
-    return V.history_after_clear(m, ["site_id", "topic"], "ts", "is_clear")
+    return V.history_after_clear(m, ["site_id", "topic"], "ts", "is_clear", "msg_id")
 
 
 def q_change_only(spark, sf_dir):

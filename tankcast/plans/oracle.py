@@ -303,9 +303,9 @@ SELECT * FROM (
 WHERE point_rank <= 100""",
     "history_after_clear": with_views() + """
 SELECT site_id, topic, ts, msg_id, payload, is_clear FROM (
-  SELECT *, max(CASE WHEN is_clear THEN ts END) OVER (PARTITION BY site_id, topic) AS lc
+  SELECT *, max(CASE WHEN is_clear THEN (ts, msg_id) END) OVER (PARTITION BY site_id, topic) AS lc
   FROM (SELECT site_id, topic, ts, msg_id, payload, msg_id % 500 = 0 AS is_clear FROM messages) m) t
-WHERE lc IS NULL OR ts > lc""",
+WHERE lc IS NULL OR (ts, msg_id) > lc""",
     "change_only": with_views(PARSED) + """
 SELECT device_id, ts, msg_id, held_value, previous_value FROM (
   SELECT *, COALESCE(lag(held_value) OVER (PARTITION BY device_id ORDER BY ts, msg_id), 0.0) AS previous_value

@@ -42,7 +42,7 @@ def checkpoint_dir(spark: SparkSession, default_root: str | None = None) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a folder every executor can reach, and we
-    only read it.  Where it is unset (local tests) a fresh folder is made under
+    only read it; unset on a cluster it is an error.  In local mode a fresh folder is made under
     ``default_root`` (or the system temp dir) and registered on the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +52,8 @@ def checkpoint_dir(spark: SparkSession, default_root: str | None = None) -> str:
         return path or ""
     if not path:
         path = sc.getCheckpointDir()
+    if not path and not default_root and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         root = default_root or tempfile.gettempdir()
         os.makedirs(root, exist_ok=True)

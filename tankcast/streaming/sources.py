@@ -9,9 +9,11 @@ cast to TIMESTAMP for watermarks (TIMESTAMP_NTZ cannot carry one); run with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tankcast.functions.payload import decode_payload
+
 MESSAGE_SCHEMA = ("msg_id bigint, device_id bigint, site_id int, ts timestamp_ntz, "
                   "topic string, payload string")
 WEATHER_SCHEMA = ("weather_id bigint, site_id int, ts timestamp_ntz, temperature double, "
@@ -38,17 +40,20 @@ def weather_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def from_kafka(df: DataFrame, site_id: int = 0) -> DataFrame:
+def from_kafka(df: DataFrame, device: Column, site: Column) -> DataFrame:
     """Map Kafka records (key, value, topic, partition, offset, timestamp) to
-    messages: payload bytes decoded as UTF-8, the record time as event time,
-    (partition, offset) folded into a unique message id."""
+    messages: ``device`` (bigint) and ``site`` (int) are the caller's expressions
+    over the record and its decoded ``key_text``; payload bytes decoded as UTF-8,
+    the record time as event time, (partition, offset) folded into a unique
+    message id.  A record without a device keeps a null ``device_id``."""
+    df = df.withColumn("key_text", decode_payload("key"))
     return df.select(
         (F.col("partition").cast("bigint") * F.lit(1 << 40) + F.col("offset")).alias("msg_id"),
-        F.coalesce(F.decode(F.col("key"), "UTF-8").try_cast("bigint"), F.lit(0)).alias("device_id"),
-        F.lit(site_id).cast("int").alias("site_id"),
+        device.cast("bigint").alias("device_id"),
+        site.cast("int").alias("site_id"),
         F.col("timestamp").alias("ts"),
         F.col("topic"),
-        F.decode(F.col("value"), "UTF-8").alias("payload"))
+        decode_payload("value").alias("payload"))
 
 
 def to_ntz(df: DataFrame, *cols: str) -> DataFrame:

@@ -399,7 +399,9 @@ def change_stream(values: DataFrame, out_path: str, initial: float = 0.0,
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything else is an error, not "no model yet"
+            raise
         return None
 
 

@@ -72,3 +72,12 @@ def test_time_label(spark):
     import datetime as dt
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 13, 5, 9),)], "ts timestamp_ntz")
     assert df.select(P.time_label("ts")).first()[0] == "13:05:09"
+
+
+def test_malformed_bytes_and_non_finite_rounding(spark):
+    from tankcast.functions import payload as P
+    row = spark.createDataFrame([(bytearray(b"4\xff5"),)], "b binary").select(P.decode_payload("b").alias("t")).first()
+    assert row.t == "4\ufffd5"
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (-0.005,), (None,)], "x double")
+    got = [r.y for r in df.select(P.round_half_up2("x").alias("y")).collect()]
+    assert got[0] != got[0] and got[1:] == [float("inf"), 1e300, 0.0, None]

@@ -202,7 +202,7 @@ def test_history_after_clear(spark):
     df = spark.createDataFrame([(1, "s", at(0), False), (2, "s", at(5), True), (3, "s", at(9), False),
                                 (4, "t", at(1), False)],
                                "msg_id long, series string, ts timestamp_ntz, is_clear boolean")
-    got = sorted(r.msg_id for r in V.history_after_clear(df, ["series"], "ts", "is_clear").collect())
+    got = sorted(r.msg_id for r in V.history_after_clear(df, ["series"], "ts", "is_clear", "msg_id").collect())
     assert got == [3, 4]
 
 
@@ -285,3 +285,18 @@ def test_checkpoint_dir_fallback_when_unset(tmp_path):
     path = checkpoint_dir(s, str(tmp_path))
     assert path.startswith(str(tmp_path)) and s.sparkContext.dir == path
     assert checkpoint_dir(s, str(tmp_path)) == path  # second call reuses it
+
+
+def test_rules_with_nan_are_off(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(50.0, nan, nan, 60.0), (nan, 45.0, 80.0, nan), (40.0, 45.0, 80.0, 60.0)],
+                               "tank_temperature double, boiler_threshold double, tank_forecast double, "
+                               "utility_threshold double")
+    got = [(r.boiler_enabled, r.utility_enabled) for r in C.apply_rules(df).collect()]
+    assert got == [(False, False), (False, False), (True, True)]
+
+
+def test_clear_at_the_same_instant(spark):
+    df = spark.createDataFrame([("a", 1, 1, False), ("a", 1, 2, True), ("a", 1, 3, False)],
+                               "series string, ts int, msg_id int, is_clear boolean")
+    assert [r.msg_id for r in V.history_after_clear(df, ["series"], "ts", "is_clear", "msg_id").collect()] == [3]
