@@ -23,6 +23,7 @@ are written as often as they come.  An empty table gives a file without rows.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -146,6 +147,12 @@ class Encoder:
         return [list(chain.from_iterable(map(get, ws))) for ws in split]
 
 
+@functools.lru_cache(1)
+def encoder(path: str, whole: bool) -> Encoder:
+    """One a Python worker: what it remembers serves its later tasks too."""
+    return Encoder(path, whole)
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  tokenizer: str | None = None, end_id: int = END_ID, parts: int | None = None,
                  whole: bool = False) -> None:
@@ -158,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
-        model = Encoder(tokenizer or default_tokenizer(), whole)
+        model = encoder(tokenizer or default_tokenizer(), whole)
         part, segment, first, at = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
         ids: list[int | None] = []
