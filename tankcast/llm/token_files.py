@@ -23,15 +23,18 @@ are written as often as they come.  An empty table gives a file without rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,10 +46,23 @@ MAGIC = b"DAC1"
 SEGMENT = 1 << 16
 RANK_BITS = 512
 END_ID = 1
-#: Documents encoded at a time.
-DOCS = 512
-#: Longest stretch, in characters, that a worker remembers, and how many.
-SHORT, REMEMBERED = 48, 300_000
+#: Text encoded at a time, in bytes (or one document).
+TAKEN = 4 << 20
+#: Longest stretch, in characters, that a worker remembers, and how many: it
+#: keeps the newest so many, and those before until as many newer ones came.
+SHORT, REMEMBERED = 48, 500_000
+#: Stretches given to the library in one text, and marks to set between them.
+JOINED, SEPARATORS = 256, "♥★☆✔♪●"
+#: The normalizer and the splitting of the vocabulary of words,
+#: and the same splitting for lowered ASCII.
+RULES = [
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 SCHEMA = "part int, segment int, first long, tokens long, payload binary, doc_ids array<long>, doc_ends array<long>"
 
 
@@ -119,32 +135,108 @@ def default_tokenizer() -> str:
 class Encoder:
     """The tokenizers library's ids of whole texts, remembering words.
 
-    A token of a vocabulary that drops white space never spans a blank or line
-    feed, so a text's ids are those of its stretches between them; a stretch not
-    met before is encoded by the library.  ``whole`` switches the splitting off
-    for vocabularies with tokens across blanks."""
+    A token of a vocabulary that drops white space never spans a blank, so a
+    text's ids are those of its stretches between white space, and each
+    different stretch is encoded once.  Where the tokenizer's rules are ``RULES``,
+    printable ASCII stretches are lowered and split into the rules' words, which
+    the library's model encodes.  Texts with a special
+    token in them go to the library whole; ``whole`` sends all of them there, for
+    vocabularies with tokens across blanks."""
 
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model, self.whole = Tokenizer.from_file(path), whole
-        self.known: dict[str, list[int]] = {}
+        rules = json.loads(self.model.to_str())
+        self.ruled = [rules["normalizer"], rules["pre_tokenizer"]] == RULES
+        self.special = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        alone = [(c, self.library([c])[0]) for c in SEPARATORS]
+        self.marks = [(c, ids[0]) for c, ids in alone if len(ids) == 1]
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.whole:
-            return self.library(texts)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        own = dict(zip(new, self.library(new)))
-        known.update((w, ids) for w, ids in own.items() if len(w) <= SHORT)
-        get = lambda w: known[w] if w in known else own[w]
-        return [list(chain.from_iterable(map(get, ws))) for ws in split]
+    def remembered(self, word: str) -> bytes | None:
+        ids = self.recent.get(word)
+        if ids is None and (ids := self.older.get(word)) is not None:
+            self.remember(word, ids)
+        return ids
+
+    def remember(self, word: str, ids: bytes) -> None:
+        if len(word) <= SHORT:
+            if len(self.recent) >= REMEMBERED:
+                self.recent, self.older = {}, self.recent
+            self.recent[word] = ids
+
+    def ruled_ids(self, stretch: str) -> bytes:
+        """Of a printable ASCII stretch."""
+        out = []
+        for word in WORD.findall(stretch.lower()):
+            ids = self.remembered(word)
+            if ids is None:
+                ids = np.array([t.id for t in self.model.model.tokenize(word)], np.uint32).tobytes()
+                self.remember(word, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def library_ids(self, stretches: list[str]) -> list[bytes]:
+        """Of stretches, some hundreds in one text, between marks met in none."""
+        out: list[bytes] = []
+        for lo in range(0, len(stretches), JOINED):
+            some = stretches[lo:lo + JOINED]
+            text = " ".join(some)
+            mark = next(((c, i) for c, i in self.marks if c not in text), None)
+            if mark is None:
+                out += [np.array(ids, np.uint32).tobytes() for ids in self.library(some)]
+                continue
+            ids = np.array(self.library([f" {mark[0]} ".join(some)])[0], np.uint32)
+            cuts = np.flatnonzero(ids == mark[1])
+            out += [ids[a:b].tobytes() for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])]
+        return out
+
+    def stretch_ids(self, stretches: list[str]) -> list[bytes]:
+        out = [self.remembered(w) for w in stretches]
+        left = []
+        for k, w in enumerate(stretches):
+            if out[k] is not None:
+                continue
+            if self.ruled and w.isascii() and w.isprintable():
+                out[k] = self.ruled_ids(w)
+                self.remember(w, out[k])
+            else:
+                left.append(k)
+        for k, ids in zip(left, self.library_ids([stretches[k] for k in left])):
+            out[k] = ids
+            self.remember(stretches[k], ids)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text ends."""
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)
+        apart = np.full(len(texts), self.whole)
+        for content in self.special:
+            apart |= pc.match_substring(low, content).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(apart), "", texts))
+        coded = split.flatten().dictionary_encode()
+        known = self.stretch_ids(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        # ids of every stretch, gathered from the different ones
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint32)
+        done = np.concatenate([[0], np.cumsum(size[at])])
+        ids = flat[np.repeat(begin[at] - done[:-1], size[at]) + np.arange(done[-1])]
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        ends = done[offsets[1:]]
+        if apart.any():
+            pieces = np.split(ids, ends[:-1]) if len(ends) else []
+            where = np.flatnonzero(apart)
+            for k, own in zip(where, self.library(texts.take(pa.array(where)).to_pylist())):
+                pieces[k] = np.array(own, np.uint32)
+            ids, ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+        return ids, ends
 
 
 @functools.lru_cache(1)
@@ -153,6 +245,16 @@ def encoder(path: str, whole: bool) -> Encoder:
     return Encoder(path, whole)
 
 
+def slices(batch: pa.RecordBatch):
+    """Of about ``TAKEN`` bytes of text, or one document."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TAKEN, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  tokenizer: str | None = None, end_id: int = END_ID, parts: int | None = None,
                  whole: bool = False) -> None:
@@ -167,34 +269,34 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         model = encoder(tokenizer or default_tokenizer(), whole)
         part, segment, first, at = TaskContext.get().partitionId(), 0, 0, 0
-        held: list[np.ndarray] = []
+        held = np.empty(0, np.uint32)
         ids: list[int | None] = []
         ends: list[int] = []
 
-        def take(n):
-            """A row of the first ``n`` held tokens."""
-            nonlocal segment, first, held, ids, ends
-            tokens = np.concatenate(held)
-            inside = sum(e <= first + n for e in ends) if n < len(tokens) else len(ends)
-            row = [[part], [segment], [first], [n], [pack(tokens[:n])], [ids[:inside]], [ends[:inside]]]
-            held, ids, ends = [tokens[n:]], ids[inside:], ends[inside:]
-            segment, first = segment + 1, first + n
+        def take(tokens):
+            """A row of the next ``tokens``."""
+            nonlocal segment, first, ids, ends
+            inside = bisect.bisect_right(ends, first + len(tokens))
+            row = [[part], [segment], [first], [len(tokens)], [pack(tokens)], [ids[:inside]], [ends[:inside]]]
+            ids, ends = ids[inside:], ends[inside:]
+            segment, first = segment + 1, first + len(tokens)
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
-            for lo in range(0, batch.num_rows, DOCS):
-                some = batch.slice(lo, DOCS)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for i, e in zip(some.column(0).to_pylist(), model.encode(texts)):
-                    held.append(np.array(e + [end_id], np.uint32))
-                    at += len(held[-1])
-                    ids.append(i)
-                    ends.append(at)
-                while at - first >= SEGMENT:
-                    yield take(SEGMENT)
-        if at > first:
-            yield take(at - first)
+            for some in slices(batch):
+                tokens, stops = model.encode(some.column(1))
+                tokens = np.insert(tokens, stops, end_id)
+                ids += some.column(0).to_pylist()
+                ends += (at + stops + np.arange(1, len(stops) + 1)).tolist()
+                at += len(tokens)
+                held = np.concatenate([held, tokens])
+                whole_ones = len(held) // SEGMENT * SEGMENT
+                for lo in range(0, whole_ones, SEGMENT):
+                    yield take(held[lo:lo + SEGMENT])
+                held = held[whole_ones:].copy()
+        if len(held):
+            yield take(held)
 
     rows.mapInArrow(run, SCHEMA).write.parquet(path)
 

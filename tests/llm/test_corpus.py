@@ -295,3 +295,21 @@ def test_pipeline(spark):
     last = corpus_pipeline.as_pieces(spark, fresh, SF).collect()
     assert all(r.lossless for r in last) and len(last) == fresh.count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in last}
+
+
+def test_encoder_equals_the_library_on_whole_texts():
+    coder = token_files.Encoder(token_files.default_tokenizer())
+    marks = "".join(c for c, _ in coder.marks)
+    texts = [t or "" for _, t in ROWS] + [
+        "<|startoftext|> a", "x<|ENDOFTEXT|>y", "H̱ J̌ T̈ W̊ Y̊ A̱", f"♥ a♥ {marks} é",
+        "é É K µ ﬁ İ İ ǅ\u0085b c ́a\x1cB\x00 ٣４½",
+        "I'M DON'T we'Ve it'ſ ''s's 12ab-_-", "일 ᄀ ᅡ\tx\x0by\x0cz\r\n"]
+    import pyarrow as pa
+    for _ in range(2):  # the second time from what is remembered
+        ids, ends = coder.encode(pa.array(texts + [None]))
+        assert [p.tolist() for p in np.split(ids, ends[:-1])] == [*coder.library(texts), []]
+    coder.marks = []
+    ids, ends = coder.encode(pa.array(["café naïve"]))
+    assert ids.tolist() == coder.library(["café naïve"])[0]
+    ids, ends = coder.encode(pa.array([], pa.string()))
+    assert len(ids) == len(ends) == 0
