@@ -29,7 +29,9 @@ def asof_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str
                    left_cover: DataFrame | None = None) -> DataFrame:
     """``left`` rows with ``right_cols`` of the newest ``right`` row having the
     same ``on`` keys and ``right.ts <= left.ts``.  A right row with the same
-    time counts as current.  Ties on time are broken by the right id.
+    time counts as current.  Ties on time are broken by the right id.  Every
+    left row comes out once: one without a time matches nothing, nor does a
+    right row without a time; a null key matches a null key.
 
     ``defaults`` maps right columns to values used when no right row exists;
     ``found_col`` names a boolean telling whether one did.
@@ -45,7 +47,7 @@ def asof_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str
     # one unioned row shape: left columns, side, a right-row struct
     payload = F.struct(*[F.col(c) for c in right_cols],
                        *([F.col(ts).alias("__rts")] if right_ts_name else []))
-    r = right.select(
+    r = right.filter(F.col(ts).isNotNull()).select(
         *[F.col(c) for c in on], F.col(ts),
         *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols if c not in on and c != ts],
         F.lit(0).alias(_SIDE), F.col(right_id).cast("bigint").alias(_RID), payload.alias(_RVAL))

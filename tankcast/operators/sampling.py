@@ -103,6 +103,8 @@ def _terminal(nxt: np.ndarray) -> np.ndarray:
 
 def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
                         interval: str = "5 seconds", segment: str = "1 hour") -> DataFrame:
+    """Rows at least ``interval`` after the row kept before, per key.  A row
+    without a time follows none, so it stays."""
     keys = list(keys)
     iv = _seconds(interval) * 1_000_000
     span = _seconds(segment) * 1_000_000
@@ -231,4 +233,5 @@ def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str
     # layout, and a sort-merge join only shuffles the small entry side
     # layout; the optimizer drops sorts under a join, so sort again (locally)
     walked_in = dp.join(entry, gcols, "left").sortWithinPartitions(*gcols, ts, id_col)
-    return scan_sorted(walked_in, gcols, walk, out_schema, whole_batches=True)
+    kept = scan_sorted(walked_in, gcols, walk, out_schema, whole_batches=True)
+    return kept.unionByName(df.filter(F.col(ts).isNull()))

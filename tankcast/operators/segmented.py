@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_SEGMENT = "1 hour"
 SEG = "__seg"
+KEY = "__series"
 
 
 def _ord_cols(order: Sequence[str], backward: bool) -> list[Column]:
@@ -41,8 +42,16 @@ def _ord_cols(order: Sequence[str], backward: bool) -> list[Column]:
 
 
 def with_segment(df: DataFrame, ts: str, segment: str = DEFAULT_SEGMENT) -> DataFrame:
-    """Add the tumbling segment start of ``ts`` (works for timestamp and NTZ)."""
-    return df.withColumn(SEG, F.window(F.col(ts), segment).start)
+    """Add the tumbling segment start of ``ts`` (works for timestamp and NTZ).
+    Rows without a time share the earliest segment, as nulls sort first."""
+    first = F.lit("0001-01-01 00:00:00").cast(df.schema[ts].dataType)
+    return df.withColumn(SEG, F.window(F.coalesce(F.col(ts), first), segment).start)
+
+
+def _with_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct: unlike the plain columns it joins a null key
+    with itself, and windows, aggregates and the join still share one partitioning."""
+    return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys]))
 
 
 def asof_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -54,7 +63,8 @@ def asof_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     when ``inclusive``).  ``backward`` scans from the end (next value instead of
     previous).  ``order[0]`` must be the event-time column.
 
-    Adds one column per key of ``fills``; input columns are kept.
+    Adds one column per key of ``fills``; input columns are kept.  A null key is
+    a series of its own; a null time sorts first.
 
     ``cover`` (same columns as ``df``) may replace ``df`` as the input of the
     per-segment summary: it must hold every row that carries a fill value and
@@ -69,9 +79,9 @@ def asof_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
         return df.select(*base_cols, *[F.last(c, ignorenulls=True).over(w).alias(o)
                                        for o, c in src.items()])
-    d = with_segment(df, order[0], segment).select(
-        *base_cols, SEG, *[c.alias(f"__v_{o}") for o, c in src.items()])
-    part = [*keys, SEG]
+    picked = [*base_cols, KEY, SEG, *[c.alias(f"__v_{o}") for o, c in src.items()]]
+    d = _with_series(with_segment(df, order[0], segment), keys).select(*picked)
+    part = [KEY, SEG]
     w = (Window.partitionBy(*part).orderBy(*_ord_cols(order, backward))
          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = d.select("*", *[F.last(f"__v_{o}", ignorenulls=True).over(w).alias(f"__in_{o}")
@@ -83,12 +93,11 @@ def asof_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     # the data a second time.
     okey = F.struct(*[F.col(c) for c in order])
     pick = F.min_by if backward else F.max_by
-    sd = d if cover is None else with_segment(cover, order[0], segment).select(
-        *base_cols, SEG, *[c.alias(f"__v_{o}") for o, c in src.items()])
+    sd = d if cover is None else _with_series(with_segment(cover, order[0], segment), keys).select(*picked)
     summary = sd.groupBy(*part).agg(
         *[pick(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), okey)).alias(f"__s_{o}")
           for o in src])
-    ws = (Window.partitionBy(*keys).orderBy(F.col(SEG).desc() if backward else F.col(SEG).asc())
+    ws = (Window.partitionBy(KEY).orderBy(F.col(SEG).desc() if backward else F.col(SEG).asc())
           .rowsBetween(Window.unboundedPreceding, -1))
     carry = summary.select(*part, *[F.last(f"__s_{o}", ignorenulls=True).over(ws).alias(f"__c_{o}")
                                     for o in src])
@@ -104,7 +113,7 @@ def running_extremes_since_reset(df: DataFrame, keys: Sequence[str], order: Sequ
     """Running min and max of ``value`` per key since the last reset row (a
     reset row starts a new run at its own value), plus the running count of
     resets (``epoch_name``), all without a window over a whole key.  A null
-    reset flag is no reset.
+    reset flag is no reset; null keys and times as in ``asof_fill``.
     """
     keys, order = list(keys), list(order)
     base_cols = df.columns
@@ -117,8 +126,9 @@ def running_extremes_since_reset(df: DataFrame, keys: Sequence[str], order: Sequ
         if epoch_name:
             cols.append(F.coalesce(F.col("__ep"), F.lit(0)).cast("bigint").alias(epoch_name))
         return e.select(*cols)
-    d = with_segment(df, order[0], segment).withColumn("__r", F.coalesce(F.col(reset).cast("int"), F.lit(0)))
-    part = [*keys, SEG]
+    d = (_with_series(with_segment(df, order[0], segment), keys)
+         .withColumn("__r", F.coalesce(F.col(reset).cast("int"), F.lit(0))))
+    part = [KEY, SEG]
     w_part = Window.partitionBy(*part).orderBy(*order)
     d = d.withColumn("__ep", F.sum("__r").over(
         w_part.rowsBetween(Window.unboundedPreceding, 0)))
@@ -127,33 +137,18 @@ def running_extremes_since_reset(df: DataFrame, keys: Sequence[str], order: Sequ
     local = (d.withColumn("__lmin", F.min(value).over(w_ep))
               .withColumn("__lmax", F.max(value).over(w_ep)))
 
-    # per segment: resets, extremes of the whole segment and after its last
-    # reset -- plain aggregates of the input rows (no window outputs), so this
-    # branch never shuffles the data a second time.  "After the last reset"
-    # compares each row with its segment's last reset, a table of one row per
-    # segment that had a reset (AQE broadcasts it when small).
-    okey = F.struct(*[F.col(c) for c in order])
-    raw = with_segment(df, order[0], segment).select(
-        *part, *[F.col(c) for c in order], F.col(value).alias("__x"),
-        F.coalesce(F.col(reset).cast("int"), F.lit(0)).alias("__r"))
-    last_reset = (raw.filter(F.col("__r") == 1).groupBy(*part)
-                  .agg(F.max(okey).alias("__lr")))
-    after = F.when(F.col("__lr").isNotNull() & (okey >= F.col("__lr")), F.col("__x"))
-    summary = raw.join(last_reset, part, "left").groupBy(*part).agg(
-        F.sum("__r").alias("__nr"),
-        F.min("__x").alias("__min_all"), F.max("__x").alias("__max_all"),
-        F.min(after).alias("__amin"), F.max(after).alias("__amax"))
-    # the run state at the end of a segment: if it had a reset, the extremes
-    # after that reset, else the inherited state combined with the whole segment
-    summary = summary.select(
-        *part, "__nr",
-        F.when(F.col("__nr") > 0, F.col("__amin")).otherwise(F.col("__min_all")).alias("__cmin"),
-        F.when(F.col("__nr") > 0, F.col("__amax")).otherwise(F.col("__max_all")).alias("__cmax"))
-    w_seg = Window.partitionBy(*keys).orderBy(SEG)
+    # per segment: its resets, and the extremes since the last of them (of the
+    # whole segment, if it had none) -- aggregates by (key, segment, epoch) and
+    # then (key, segment) on rows already partitioned that way.
+    runs = d.groupBy(*part, "__ep").agg(F.min(value).alias("__rmin"), F.max(value).alias("__rmax"))
+    summary = runs.groupBy(*part).agg(
+        F.max("__ep").alias("__nr"),
+        F.max_by("__rmin", "__ep").alias("__cmin"), F.max_by("__rmax", "__ep").alias("__cmax"))
+    w_seg = Window.partitionBy(KEY).orderBy(SEG)
     summary = summary.withColumn(
         "__grp", F.sum(F.when(F.col("__nr") > 0, 1).otherwise(0)).over(
             w_seg.rowsBetween(Window.unboundedPreceding, 0)))
-    w_grp = Window.partitionBy(*keys, "__grp").orderBy(SEG).rowsBetween(
+    w_grp = Window.partitionBy(KEY, "__grp").orderBy(SEG).rowsBetween(
         Window.unboundedPreceding, 0)
     summary = (summary.withColumn("__smin", F.min("__cmin").over(w_grp))
                       .withColumn("__smax", F.max("__cmax").over(w_grp)))
