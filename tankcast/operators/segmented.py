@@ -31,6 +31,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_SEGMENT = "1 hour"
 SEG = "__seg"
@@ -42,10 +43,13 @@ def _ord_cols(order: Sequence[str], backward: bool) -> list[Column]:
 
 
 def with_segment(df: DataFrame, ts: str, segment: str = DEFAULT_SEGMENT) -> DataFrame:
-    """Add the tumbling segment start of ``ts`` (works for timestamp and NTZ).
-    Rows without a time share the earliest segment, as nulls sort first."""
-    first = F.lit("0001-01-01 00:00:00").cast(df.schema[ts].dataType)
-    return df.withColumn(SEG, F.window(F.coalesce(F.col(ts), first), segment).start)
+    """Add the tumbling segment start of ``ts`` (timestamp or NTZ; a number
+    counts as seconds).  Rows without a time share the earliest segment, as
+    nulls sort first."""
+    kind = df.schema[ts].dataType
+    at, kind = (F.timestamp_seconds(ts), T.TimestampType()) if isinstance(kind, T.NumericType) else (F.col(ts), kind)
+    first = F.lit("0001-01-01 00:00:00").cast(kind)
+    return df.withColumn(SEG, F.window(F.coalesce(at, first), segment).start)
 
 
 def _with_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from tankcast.operators import sensors as S
 from tankcast.operators import topics as T
 from tankcast.operators import training as M
 from tankcast.operators import views as V
-from tankcast.operators.forecast import enrich_with_weather, quarantine, tank_readings
+from tankcast.operators.forecast import TANK_TEMPERATURE, enrich_with_weather, quarantine, tank_readings
 from tankcast.operators.windows import last_in_window, latest_per_key, sliding_first_last
 from tankcast.plans import forecast as fplan
 from tankcast.session import materialize
@@ -37,19 +37,29 @@ def _parsed(spark, sf_dir) -> DataFrame:
     return m.withColumn("value", P.parse_double("payload")).filter(F.col("value").isNotNull())
 
 
+def _tank(spark, sf_dir) -> DataFrame:
+    """Messages on the tank temperature topic: the only ones a forecast reads."""
+    return load_messages(spark, sf_dir, topics=[TANK_TEMPERATURE])
+
+
+def _gateway(spark, sf_dir) -> DataFrame:
+    """Messages on the topics whose values the gateway holds."""
+    return load_messages(spark, sf_dir, topics=list(C.HELD_SERIES))
+
+
 # --- forecast (S1 F1 P2 J1 A1 P4 P5 M1) --------------------------------------
 
 def q_forecast_default(spark, sf_dir):
-    return fplan.forecast(load_messages(spark, sf_dir), load_weather(spark, sf_dir))
+    return fplan.forecast(_tank(spark, sf_dir), load_weather(spark, sf_dir))
 
 
 def q_message_source(spark, sf_dir):
-    return T.exact_topics(load_messages(spark, sf_dir), PREFIX,
-                          ["tank/temperature", "tank/forecast"])
+    topics = ["tank/temperature", "tank/forecast"]
+    return T.exact_topics(load_messages(spark, sf_dir, topics=topics), PREFIX, topics)
 
 
 def q_weather_enrich(spark, sf_dir):
-    r = tank_readings(load_messages(spark, sf_dir), PREFIX)
+    r = tank_readings(_tank(spark, sf_dir), PREFIX)
     return enrich_with_weather(r, load_weather(spark, sf_dir))
 
 
@@ -59,7 +69,7 @@ def q_last_in_window(spark, sf_dir):
 
 
 def q_sliding_first_last(spark, sf_dir):
-    r = tank_readings(load_messages(spark, sf_dir), PREFIX)
+    r = tank_readings(_tank(spark, sf_dir), PREFIX)
     return sliding_first_last(r, ["site_id"], "ts", "msg_id", "tank_temperature",
                               "3 hours", "30 minutes")
 
@@ -127,15 +137,16 @@ def q_topic_route(spark, sf_dir):
 
 
 def q_command_guard(spark, sf_dir):
-    m = X.with_topic_cmd(load_messages(spark, sf_dir))
-    m = (T.exact_topics(m, PREFIX, ["boiler/threshold/set", "utility/threshold/set"])
+    sets = ["boiler/threshold/set", "utility/threshold/set"]
+    m = X.with_topic_cmd(load_messages(spark, sf_dir, topics=sets))
+    m = (T.exact_topics(m, PREFIX, sets)
          .withColumn("widget", F.split("topic", "/").getItem(1)))
     return T.command_guard(m.drop("topic"), PREFIX, "widget", "topic_cmd").select(
         "msg_id", "widget", "payload", "topic")
 
 
 def q_publish_forecast(spark, sf_dir):
-    f = fplan.forecast(load_messages(spark, sf_dir), load_weather(spark, sf_dir))
+    f = fplan.forecast(_tank(spark, sf_dir), load_weather(spark, sf_dir))
     return T.publish(f, PREFIX, "tank/forecast", "forecast", key_cols=["device_id", "site_id"])
 
 
@@ -153,26 +164,27 @@ def q_latest_per_topic(spark, sf_dir):
 
 
 def q_tick_sample_hold(spark, sf_dir):
-    return C.held_state(load_messages(spark, sf_dir), PREFIX, tick="1 hour",
+    return C.held_state(_gateway(spark, sf_dir), PREFIX, tick="1 hour",
                         series={"tank/temperature": "tank_temperature"})
 
 
 def q_control_state(spark, sf_dir):
-    return C.control_state(load_messages(spark, sf_dir), PREFIX, tick="1 hour")
+    return C.control_state(_gateway(spark, sf_dir), PREFIX, tick="1 hour")
 
 
 def q_status_cadence(spark, sf_dir):
-    s = C.with_cadence(C.control_state(load_messages(spark, sf_dir), PREFIX, tick="1 hour"))
+    s = C.with_cadence(C.control_state(_gateway(spark, sf_dir), PREFIX, tick="1 hour"))
     return s.select("site_id", "tick", "tick_index", "full_status")
 
 
 def q_publish_status(spark, sf_dir):
-    s = C.with_cadence(C.control_state(load_messages(spark, sf_dir), PREFIX, tick="1 hour"))
+    s = C.with_cadence(C.control_state(_gateway(spark, sf_dir), PREFIX, tick="1 hour"))
     return T.publish_status(s, PREFIX)
 
 
 def q_threshold_history(spark, sf_dir):
-    return C.threshold_history(load_messages(spark, sf_dir), PREFIX)
+    sets = ["boiler/threshold/set", "utility/threshold/set"]
+    return C.threshold_history(load_messages(spark, sf_dir, topics=sets), PREFIX)
 
 
 # --- dashboard views and sensor logic (W3 W5 P14 F6 F7 J5 A4) ---------------
@@ -194,7 +206,7 @@ def q_change_only(spark, sf_dir):
 
 
 def q_range_conformance(spark, sf_dir):
-    r = tank_readings(load_messages(spark, sf_dir), PREFIX)
+    r = tank_readings(_tank(spark, sf_dir), PREFIX)
     return S.range_conformance(r, "tank_temperature").select(
         "msg_id", "device_id", "tank_temperature", "in_range")
 
@@ -233,7 +245,7 @@ def q_min_interval_sample_5s(spark, sf_dir):
 
 def q_control_state_1m(spark, sf_dir):
     """J4 + C1/C2 on a one-minute tick (173k ticks for 4 sites x 30 days)."""
-    return C.control_state(load_messages(spark, sf_dir), PREFIX, tick="1 minute")
+    return C.control_state(_gateway(spark, sf_dir), PREFIX, tick="1 minute")
 
 
 # --- training (J2 J3 P5 P6 P7 F3 M2 M3 M4) -----------------------------------
@@ -243,7 +255,7 @@ TEST_SCALE = (500.0, 500.0, 100.0, 10.0)
 
 
 def _pairs(spark, sf_dir, documented=False):
-    r = tank_readings(load_messages(spark, sf_dir), PREFIX)
+    r = tank_readings(_tank(spark, sf_dir), PREFIX)
     return M.training_pairs(r, load_weather(spark, sf_dir), documented=documented)
 
 
@@ -261,7 +273,7 @@ def q_label_filter(spark, sf_dir):
 
 def q_feature_vector(spark, sf_dir):
     from tankcast.operators.forecast import feature_vector
-    f = feature_vector(fplan.forecast(load_messages(spark, sf_dir), load_weather(spark, sf_dir)))
+    f = feature_vector(fplan.forecast(_tank(spark, sf_dir), load_weather(spark, sf_dir)))
     return f.select("device_id", "window_start",
                     *[F.col("features")[i].alias(f"feature_{i}") for i in range(4)])
 
@@ -289,14 +301,14 @@ def q_train_first_batch(spark, sf_dir):
     """M2 on one mini-batch: each site's first period, 50 SGD steps from the
     default weights, weights rounded to 4 places."""
     stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
-    first = stats.groupBy("site_id").agg(F.min("batch").alias("batch"))
-    models = M.train_weights(stats.join(first, ["site_id", "batch"]), ["site_id"], scale=TEST_SCALE)
+    first = stats.groupBy("site_id").agg(F.min_by(F.struct(*stats.columns), "batch").alias("s")).select("s.*")
+    models = M.train_weights(first, ["site_id"], scale=TEST_SCALE)
     return models.select("site_id", "version_ts",
                          *[F.round(c, 4).alias(c) for c in ("w_tank", "w_temp", "w_hum", "w_wind")])
 
 
 def q_forecast_trained(spark, sf_dir):
-    msgs, weather = load_messages(spark, sf_dir), load_weather(spark, sf_dir)
+    msgs, weather = _tank(spark, sf_dir), load_weather(spark, sf_dir)
     stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
     # the model table is small (one row per site and period) but expensive;
     # write it once to the shared checkpoint folder, as a deployment would

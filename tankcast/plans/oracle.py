@@ -7,6 +7,7 @@ as CTEs.  Every computed column carries the same alias as in Spark.
 
 from __future__ import annotations
 
+from tankcast.operators.control import HELD_SERIES, INITIAL_STATE
 from tankcast.sources.catalogue import RESOURCES, RESOURCE_IDS
 from tankcast.sources.fixtures import DEFAULT_PREFIX, EVENT_TOPICS, N_SITES
 
@@ -484,3 +485,40 @@ SELECT model_key, version_ts, n, round(w_tank, 6) AS w_tank, round(w_temp, 6) AS
 
 
 SQL["train_weights_global"] = _fold_global_sql()
+
+
+def _final(query: str, end: str) -> str:
+    """Rows of windows that ended by the watermark: ten minutes before the
+    newest reading, in whole milliseconds."""
+    return f"""SELECT * FROM ({query}) q WHERE {end} <= (
+  SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events
+  WHERE event_type = 'view' AND value IS NOT NULL)"""
+
+
+def _control_sql() -> str:
+    """Newest value of each held series up to every message, its initial value
+    before the first; a rule with NaN on either side is off."""
+    held = ", ".join(
+        f"COALESCE(last_value(CASE WHEN topic = '{P}/{s}' THEN value END IGNORE NULLS) OVER w, "
+        f"CAST({INITIAL_STATE[c]} AS DOUBLE)) AS {c}" for s, c in HELD_SERIES.items())
+    topics = ", ".join(f"'{P}/{s}'" for s in HELD_SERIES)
+    return with_views(PARSED, f"""held AS (
+  SELECT site_id, ts, msg_id, {held} FROM parsed WHERE topic IN ({topics})
+  WINDOW w AS (PARTITION BY site_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING))""", """ruled AS (
+  SELECT *, NOT isnan(tank_temperature) AND NOT isnan(boiler_threshold)
+              AND tank_temperature < boiler_threshold AS boiler_enabled,
+         NOT isnan(tank_forecast) AND NOT isnan(utility_threshold)
+              AND tank_forecast > utility_threshold AS utility_enabled FROM held)""") + """
+SELECT *, NOT boiler_enabled AS boiler_pin, NOT utility_enabled AS utility_pin FROM ruled"""
+
+
+SQL |= {
+    "stream_forecast": _final(SQL["forecast_default"], "window_end"),
+    "stream_sliding": _final(SQL["sliding_first_last"], "window_end"),
+    "stream_training": _final(SQL["train_weights"], "version_ts"),
+    "stream_control": _control_sql(),
+    "stream_change": SQL["change_only"],
+    "stream_latest": SQL["latest_per_topic"],
+    "message_log": SQL["message_source"],
+    "weather_source": with_views() + "SELECT * FROM weather",
+}

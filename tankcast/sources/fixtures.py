@@ -8,6 +8,8 @@ SQL in ``tankcast.plans.oracle`` for the DuckDB check.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +128,17 @@ def weather_json_view(weather: DataFrame) -> DataFrame:
         .otherwise(full))
 
 
-def load_messages(spark: SparkSession, sf_dir: str, prefix: str = DEFAULT_PREFIX) -> DataFrame:
-    return messages_view(load_table(spark, sf_dir, "events"), prefix)
+def on_topics(events: DataFrame, topics: Sequence[str] | None) -> DataFrame:
+    """Events that play one of ``topics`` (suffixes): a plain filter on
+    ``event_type``, which the scan takes over, unlike one on the mapped topic."""
+    if topics is None:
+        return events
+    return events.filter(F.col("event_type").isin([e for e, t in EVENT_TOPICS.items() if t in topics]))
+
+
+def load_messages(spark: SparkSession, sf_dir: str, prefix: str = DEFAULT_PREFIX,
+                  topics: Sequence[str] | None = None) -> DataFrame:
+    return messages_view(on_topics(load_table(spark, sf_dir, "events"), topics), prefix)
 
 
 def load_weather(spark: SparkSession, sf_dir: str) -> DataFrame:

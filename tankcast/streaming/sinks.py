@@ -1,4 +1,4 @@
-"""Publishing sinks (S2): idempotent per micro-batch, skip empty batches.
+"""Publishing sinks (S2): idempotent per micro-batch.
 
 The reference opened one broker connection per non-empty partition and
 dropped errors.  Here a micro-batch is written as files under
@@ -17,18 +17,23 @@ from pyspark.sql import functions as F
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet",
-                partition_by: list[str] | None = None, skip_empty: bool = True) -> None:
+                partition_by: list[str] | None = None) -> None:
     """Write one micro-batch under ``path/batch_id=<n>`` (overwrite = replay-safe).
-    ``skip_empty`` costs one extra (cheap, persisted) action; pass False when
-    the caller already knows the batch is not empty."""
-    if skip_empty and df.isEmpty():
-        return
+    An empty batch gives a folder without rows: asking first whether it is
+    empty would compute it twice."""
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
+def staged(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """The micro-batch written once and read back, for flows that use its rows
+    more than once (a stateful batch would otherwise be computed each time)."""
+    write_batch(df, path, batch_id)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
 def publish_batches(path: str, fmt: str = "parquet",
                     transform: Callable[[DataFrame, int], DataFrame] | None = None):
     """``foreachBatch`` function: optional transform, then ``write_batch``."""
@@ -43,14 +48,3 @@ def write_routes(df: DataFrame, path: str, route_col: str = "route", mode: str =
     """F4 fan-out: one folder per route (consumers read only their own)."""
     (df.withColumn("__route", F.regexp_replace(F.col(route_col), "/", "_"))
        .write.mode(mode).format(fmt).partitionBy("__route").save(path))
-
-
-def once(fn):
-    """Wrap a ``foreachBatch`` function: skip empty micro-batches (one cheap
-    action on the batch), then run ``fn``, whose writes do not re-check.
-    (Persisting the batch of a stateful query is not reliable here, so the
-    batch is not cached.)"""
-    def run(df: DataFrame, batch_id: int) -> None:
-        if not df.isEmpty():
-            fn(df, batch_id)
-    return run

@@ -10,12 +10,15 @@ training flows (T1-T6).
   key's rows per micro-batch are bounded by the trigger size.
 * Every query has a checkpoint under the shared ``spark.checkpoint.dir``;
   ``foreachBatch`` sinks write per ``batch_id`` so a replay is idempotent.
+* A micro-batch is computed once: flows that use its rows several times write
+  them first (``sinks.staged``) and go on from the written rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from tankcast.operators.forecast import enrich_with_weather, predict, quarantine
 from tankcast.operators.topics import publish
 from tankcast.operators.windows import last_in_window
 from tankcast.session import scratch_path, ship_package
-from tankcast.streaming.sinks import once, write_batch
+from tankcast.streaming.sinks import staged, write_batch
 from tankcast.streaming.sources import to_ntz
 
 WATERMARK = "10 minutes"
@@ -45,7 +48,7 @@ def _start(df: DataFrame, name: str, checkpoint: str | None, trigger: dict | Non
          .option("checkpointLocation", checkpoint or scratch_path(spark, f"streams/{name}")))
     w = w.trigger(**(trigger or {"processingTime": TRIGGER}))
     if batch_fn is not None:
-        w = w.foreachBatch(once(batch_fn))
+        w = w.foreachBatch(batch_fn)
     elif sink is not None:
         w = sink(w)
     return w.start()
@@ -61,6 +64,12 @@ def _readings(messages: DataFrame, prefix: str) -> DataFrame:
 WEATHER_LOOKBACK = "1 day"
 
 
+def _current(weather: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """The weather table as it is now: a callable is asked again each batch, so
+    files added after the start are seen; a DataFrame keeps its first file list."""
+    return weather() if callable(weather) else weather
+
+
 def _enrich_batch(df: DataFrame, weather: DataFrame,
                   lookback: str = WEATHER_LOOKBACK) -> tuple[DataFrame, DataFrame]:
     """As-of weather for one micro-batch without re-reading the weather
@@ -68,7 +77,7 @@ def _enrich_batch(df: DataFrame, weather: DataFrame,
     (pushed to the scan, pruned by date partitions).  Readings with no weather
     in that window -- rare once a site reports -- are enriched from the older
     history instead, so the result equals the full as-of join."""
-    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
+    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()  # of the staged batch: file statistics
     start = F.lit(lo) - F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(lookback)})")
     recent = weather.filter((F.col("ts") >= start) & (F.col("ts") <= F.lit(hi)))
     enriched = enrich_with_weather(df, recent).persist()
@@ -82,7 +91,7 @@ def _enrich_batch(df: DataFrame, weather: DataFrame,
 
 # --- T5: forecast ---------------------------------------------------------------
 
-def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
+def forecast_stream(messages: DataFrame, weather: DataFrame | Callable[[], DataFrame], out_path: str,
                     prefix: str = "site", width: str = "5 seconds", watermark: str = WATERMARK,
                     weights=DEFAULT_WEIGHTS, checkpoint: str | None = None,
                     trigger: dict | None = None, name: str = "forecast",
@@ -99,17 +108,19 @@ def forecast_stream(messages: DataFrame, weather: DataFrame, out_path: str,
                             cols=["site_id", "ts", "msg_id", "tank_temperature"])
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df = to_ntz(df, "ts", "window_start", "window_end")
-        enriched, held = _enrich_batch(df, weather, weather_lookback)
+        df = staged(to_ntz(df, "ts", "window_start", "window_end"), f"{out_path}/windows", batch_id)
+        if df.isEmpty():
+            return
+        enriched, held = _enrich_batch(df, _current(weather), weather_lookback)
         models = _read_or_none(spark, models_path) if models_path else None
         if models is not None:
             pred = M.forecast_with_models(enriched, models, ["site_id"], initial=weights)
         else:
             pred = predict(enriched, weights)
         pred = pred.persist()
-        write_batch(pred, f"{out_path}/forecast", batch_id, skip_empty=False)
+        write_batch(pred, f"{out_path}/forecast", batch_id)
         write_batch(publish(pred, prefix, "tank/forecast", "forecast", key_cols=["device_id"]),
-                    f"{out_path}/publish", batch_id, skip_empty=False)
+                    f"{out_path}/publish", batch_id)
         pred.unpersist()
         held.unpersist()
 
@@ -141,7 +152,7 @@ def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
 
     def batch(df: DataFrame, batch_id: int) -> None:
         write_batch(to_ntz(df, "window_start", "window_end", "newest_ts", "oldest_ts"),
-                    out_path, batch_id, skip_empty=False)
+                    out_path, batch_id)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
@@ -153,8 +164,6 @@ EXTREMES_OUT = ("device_id bigint, ts timestamp, msg_id bigint, value double, is
 
 
 def _extremes_fn():
-    import numpy as np
-
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
         mn, mx, ep = state.get if state.exists else (np.nan, np.nan, 0)
@@ -183,14 +192,12 @@ def extremes_stream(values: DataFrame, out_path: str, checkpoint: str | None = N
         GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
 
 def _sample_fn(iv: int):
-    import numpy as np
-
     from tankcast.operators.sampling import _next_pointers
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -218,7 +225,7 @@ def sample_stream(values: DataFrame, out_path: str, interval: str = "5 seconds",
         GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
@@ -238,7 +245,7 @@ def latest_stream(messages: DataFrame, out_path: str, checkpoint: str | None = N
                      F.col("l.payload").alias("payload"), "n_messages")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
 
     return _start(out, name, checkpoint, trigger, output_mode="update", batch_fn=batch)
 
@@ -285,7 +292,7 @@ def history_stream(messages: DataFrame, out_path: str, max_points: int = 100,
         "append", GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
@@ -299,11 +306,21 @@ def quarantine_stream(messages: DataFrame, out_path: str, checkpoint: str | None
     bad = quarantine(messages)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
 
     return _start(bad, name, checkpoint, trigger, batch_fn=batch)
 
 
+def _nan_again(df: DataFrame, *cols: str) -> DataFrame:
+    """Columns that are never null, but in which Python's NaN came back as null."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in cols})
+
+
+def _number(held: float | None) -> float:
+    """A stored state value; NaN is stored as null."""
+    return np.nan if held is None else held
+
+
 # --- T6: gateway control on live messages -----------------------------------------
 
 CONTROL_OUT = ("site_id int, ts timestamp, msg_id bigint, tank_temperature double, "
@@ -315,24 +332,21 @@ CONTROL_STATE = ("tank_temperature double, tank_forecast double, boiler_threshol
 
 
 def _control_fn(prefix: str):
-    topics = {f"{prefix}/{s}": c for s, c in C.HELD_SERIES.items()}
+    topics = [f"{prefix}/{s}" for s in C.HELD_SERIES]
     names = list(C.HELD_SERIES.values())
     cols = [c.split()[0] for c in CONTROL_OUT.split(", ")]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [C.INITIAL_STATE[n] for n in names]
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        # other topics and unparsable payloads leave the state alone
-        rows = rows.assign(__v=pd.to_numeric(rows["payload"], errors="coerce"))
-        rows = rows[rows["topic"].isin(list(topics)) & rows["__v"].notna()].reset_index(drop=True)
-        if rows.empty:
-            yield pd.DataFrame(columns=cols)
-            return
-        # held value of each series after every message: a forward fill of
-        # that series' values, seeded with the stored state
-        for (t, c), h in zip(topics.items(), held):
-            rows[c] = rows["__v"].where(rows["topic"] == t).ffill().fillna(h)
+        held = [_number(h) for h in state.get] if state.exists else [C.INITIAL_STATE[n] for n in names]
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort",
+                                                                    ignore_index=True)
         out = rows.assign(site_id=key[0])
+        # value of each series after every message: that of its newest message
+        # so far, else the stored one (a NaN that was sent is held, too)
+        sent, number = rows["value"].to_numpy(dtype=float), np.arange(len(rows))
+        for t, c, h in zip(topics, names, held):
+            newest = np.maximum.accumulate(np.where(rows["topic"] == t, number, -1))
+            out[c] = np.where(newest >= 0, sent[newest], h)
         out["boiler_enabled"] = out["tank_temperature"] < out["boiler_threshold"]
         out["utility_enabled"] = out["tank_forecast"] > out["utility_threshold"]
         out["boiler_pin"] = ~out["boiler_enabled"]
@@ -351,12 +365,16 @@ def control_stream(messages: DataFrame, out_path: str, prefix: str = "site",
     when it arrives, as the gateway does.  For an in-order log this equals
     ``control.control_on_messages`` in batch."""
     topics = [f"{prefix}/{s}" for s in C.HELD_SERIES]
-    m = messages.filter(F.col("topic").isin(topics)).select("site_id", "ts", "msg_id", "topic", "payload")
+    # parsed by the batch rules; other topics and unparsable payloads leave the state alone
+    m = (messages.filter(F.col("topic").isin(topics))
+         .select("site_id", "ts", "msg_id", "topic", parse_double("payload").alias("value"))
+         .filter(F.col("value").isNotNull()))
     out = m.groupBy("site_id").applyInPandasWithState(
         _control_fn(prefix), CONTROL_OUT, CONTROL_STATE, "append", GroupStateTimeout.NoTimeout)
+    out = _nan_again(out, *C.HELD_SERIES.values())
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
@@ -368,15 +386,17 @@ CHANGE_OUT = "device_id bigint, ts timestamp, msg_id bigint, value double, previ
 
 def _change_fn(initial: float):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else initial
+        held = _number(state.get[0]) if state.exists else initial
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
         # the held value only changes when a different value arrives, so it is
-        # always the previous reading (the stored one for the first row)
-        prev = rows["value"].shift(1)
-        prev.iloc[:1] = held
-        out = rows.assign(device_id=key[0], previous_value=prev)[rows["value"] != prev]
+        # always the previous reading (the stored one for the first row); NaN
+        # equals NaN, as in the batch operator
+        value = rows["value"].to_numpy(dtype=float)
+        prev = np.r_[held, value[:-1]]
+        differs = (value != prev) & ~(np.isnan(value) & np.isnan(prev))
+        out = rows.assign(device_id=key[0], previous_value=prev)[differs]
         if len(rows):
-            state.update((float(rows["value"].iloc[-1]),))
+            state.update((float(value[-1]),))
         yield out[["device_id", "ts", "msg_id", "value", "previous_value"]]
     return fn
 
@@ -384,12 +404,14 @@ def _change_fn(initial: float):
 def change_stream(values: DataFrame, out_path: str, initial: float = 0.0,
                   checkpoint: str | None = None, trigger: dict | None = None,
                   name: str = "change") -> StreamingQuery:
-    """``values``: streaming (device_id, ts, msg_id, value)."""
-    out = values.groupBy("device_id").applyInPandasWithState(
+    """``values``: streaming (device_id, ts, msg_id, value).  A null value
+    neither goes out nor changes the held one, as in ``sensors.change_only``."""
+    out = values.filter(F.col("value").isNotNull()).groupBy("device_id").applyInPandasWithState(
         _change_fn(initial), CHANGE_OUT, "held double", "append", GroupStateTimeout.NoTimeout)
+    out = _nan_again(out, "value", "previous_value")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id, skip_empty=False)
+        write_batch(to_ntz(df, "ts"), out_path, batch_id)
 
     return _start(out, name, checkpoint, trigger, batch_fn=batch)
 
@@ -405,7 +427,7 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def training_stream(messages: DataFrame, weather: DataFrame, out_path: str,
+def training_stream(messages: DataFrame, weather: DataFrame | Callable[[], DataFrame], out_path: str,
                     prefix: str = "site", watermark: str = WATERMARK, scale=M.FEATURE_SCALE,
                     checkpoint: str | None = None, trigger: dict | None = None,
                     name: str = "training",
@@ -424,8 +446,11 @@ def training_stream(messages: DataFrame, weather: DataFrame, out_path: str,
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = to_ntz(df, "ts", "window_start").withColumnRenamed("window_start", "pane").drop("window_end")
-        new, held = _enrich_batch(df, weather, weather_lookback)
-        write_batch(new, panes_path, batch_id, skip_empty=False)
+        df = staged(df, f"{out_path}/windows", batch_id)
+        if df.isEmpty():
+            return
+        new, held = _enrich_batch(df, _current(weather), weather_lookback)
+        write_batch(new, panes_path, batch_id)
         held.unpersist()
         hz = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(M.HORIZON)})")
         lo, hi = df.agg(F.min("pane"), F.max("pane")).first()

@@ -12,9 +12,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from tankcast.plans.catalog import QUERIES
 from tankcast.plans.oracle import SQL
 
+QUERIES = E.QUERIES
 SF = "/root/testdata/sf0.001"
 
 

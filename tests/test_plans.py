@@ -7,6 +7,7 @@ from tankcast.operators import sampling as W
 from tankcast.operators import training as M
 from tankcast.operators import views as V
 from tankcast.operators.forecast import tank_readings
+from tankcast.plans.catalog import QUERIES
 from tankcast.plans.forecast import forecast
 from tankcast.sources.fixtures import load_messages, load_weather
 from tankcast.sources.messages import read_messages, write_messages
@@ -65,3 +66,23 @@ def test_resource_catalogue_is_the_only_forced_broadcast():
     # the corpus operators bound theirs themselves (a limit, a count of ranges)
     src = "".join(p.read_text() for p in root.rglob("*.py") if root / "llm" not in p.parents)
     assert src.count("F.broadcast(") == 1
+
+
+def test_topics_are_filtered_in_the_scan(spark):
+    for name in ("message_source", "forecast_default", "range_conformance"):
+        p = plan_of(QUERIES[name](spark, SF))
+        assert re.search(r"PushedFilters: \[[^\]]*\(event_type", p), name
+
+
+def test_history_never_shuffles_raw_rows_by_series(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = plan_of(QUERIES["history_window"](spark, SF))
+        clear = plan_of(QUERIES["history_after_clear"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the newest points: no join, and a group limit below the exchange
+    assert "Join" not in kept and re.search(r"WindowGroupLimit .* Partial", kept)
+    # the data's window runs by (series, segment); joins are on both
+    joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", clear)
+    assert joins and all("__seg" in j for j in joins)

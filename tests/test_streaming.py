@@ -261,3 +261,49 @@ def test_sample_stream_equals_batch(spark, scratch):
     want = min_interval_sample(_values(load_messages(spark, SF)).drop("is_reset"), ["device_id"], "ts",
                                "msg_id", "2 hours", "6 hours")
     assert rows(spark.read.parquet(out), ["msg_id"]) == rows(want, ["msg_id"])
+
+
+def test_control_and_change_streams_keep_the_batch_rules(spark, scratch):
+    """Payloads that only one parser reads, NaN and nulls, in several batches."""
+    sent = [("tank/temperature", "45d"), ("boiler/threshold/set", "50"), ("tank/forecast", "NaN"),
+            ("utility/threshold/set", "1"), ("tank/temperature", "oops"), ("boiler/threshold/set", "NaN"),
+            ("tank/forecast", None), ("tank/forecast", "7"), ("tank/temperature", "NaN"), ("tank/temperature", "NaN")]
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(i, 1, 1, t0 + dt.timedelta(minutes=i), f"site/{t}", p) for i, (t, p) in enumerate(sent)]
+    log = spark.createDataFrame(data, "msg_id long, device_id long, site_id int, ts timestamp_ntz, topic string, payload string")
+    for i in range(2):
+        log.filter(F.floor(F.col("msg_id") / 5) == i).coalesce(1).write.mode("append").parquet(f"{scratch}/log")
+        time.sleep(1.1)  # file times decide the order of batches
+    src = message_stream(spark, f"{scratch}/log", max_files_per_trigger=1)
+    ST.control_stream(src, f"{scratch}/out", trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ck").awaitTermination(300)
+    cols = ["msg_id", "tank_temperature", "tank_forecast", "boiler_threshold", "boiler_enabled", "utility_enabled"]
+    texts = lambda df: sorted(str(tuple(r)) for r in df.select(*cols).collect())
+    assert texts(spark.read.parquet(f"{scratch}/out")) == texts(C.control_on_messages(log, "site"))
+
+    value = F.expr("try_cast(payload as double)").alias("value")
+    ST.change_stream(src.select("device_id", "ts", "msg_id", value), f"{scratch}/out2", trigger=AVAILABLE_NOW,
+                     checkpoint=f"{scratch}/ck2").awaitTermination(300)
+    cols = ["msg_id", "value", "previous_value"]
+    want = S.change_only(log.select("device_id", "ts", "msg_id", value), ["device_id"], ["ts", "msg_id"], "value")
+    assert texts(spark.read.parquet(f"{scratch}/out2")) == texts(want)
+
+
+def test_weather_added_after_the_start_is_seen(spark, scratch):
+    row = "msg_id long, device_id long, site_id int, ts timestamp_ntz, topic string, payload string"
+    t0 = dt.datetime(2024, 1, 1)
+    weather = lambda: spark.read.parquet(f"{scratch}/weather")
+
+    def add(i, temperature):
+        at = t0 + dt.timedelta(hours=i)
+        spark.createDataFrame([(i, 1, at, temperature, 0.0, 0.0)],
+                              "weather_id long, site_id int, ts timestamp_ntz, temperature double, humidity double, "
+                              "wind double").write.mode("append").parquet(f"{scratch}/weather")
+        spark.createDataFrame([(i, 1, 1, at + dt.timedelta(minutes=1), "site/tank/temperature", "1")],
+                              row).coalesce(1).write.mode("append").parquet(f"{scratch}/log")
+
+    for i in range(3):
+        add(i, 10.0 * i + 5)
+        ST.forecast_stream(message_stream(spark, f"{scratch}/log"), weather, f"{scratch}/out", trigger=AVAILABLE_NOW,
+                           checkpoint=f"{scratch}/ck").awaitTermination(300)
+    got = spark.read.parquet(f"{scratch}/out/forecast")
+    assert rows(got, ["msg_id", "weather_temperature"]) == [(0, 5.0), (1, 15.0)]
