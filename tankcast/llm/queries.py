@@ -25,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_top_k": topk.SQL,
+    "op2_decontaminate": decontaminate.SQL,
     "op6_line_dedup": line_dedup.SQL,
 }

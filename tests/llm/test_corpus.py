@@ -263,11 +263,11 @@ def test_secrets(spark, docs, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("name", ["op1_top_k", "op6_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_top_k", "op2_decontaminate", "op6_line_dedup"])
 def test_sql(spark, name):
     got = E.queries()[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(E.oracle_sql()[name]).df()[list(got.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
