@@ -1,15 +1,18 @@
 """PII (operator 9): bootstrapped contextual extraction.
 
-Base patterns give the seeds.  Seeds and identifier-like tokens (with a digit or
-an at sign) are instances; the two words in front of an instance are its lexical
-pattern.  Over the graph of patterns and instances, Spark scores in rounds: a
-pattern's confidence is the mean score of its distinct instances, times how
-much evidence there is; an instance's score is one for a seed, else that at
-least one of its patterns is right.  Tokens that are no seeds are reported (kind
-``context``) where a confident pattern meets a high-scored instance.
-
-Texts are read once; the occurrence table holds no text but the two words and
-the token.  Edges are summed before they are shuffled, and occurrences of a
+Base patterns give the seeds.  Seeds, identifier-like tokens (with a digit or
+an at sign) and spaced identifiers (see ``spaced``) are instances; the two words
+in front of an instance are its lexical pattern.  Over the graph of patterns and
+instances, Spark scores in rounds: a pattern counts once ``SEEDS`` distinct
+instances support it, seeds or instances whose score reached ``INSTANCE`` in the
+round before, so each round reaches one hop further.  A pattern's confidence is
+the mean score of its distinct instances, times how much evidence there is; an
+instance's score is one for a seed, else that at least one of its patterns is
+right.  Instances that are no seeds are reported (kind ``context``) where a
+confident pattern meets a high-scored instance.
+
+Texts are read once; the occurrence table holds no text but the two words, and
+a 128-bit hash of the whole instance.  Edges are summed before they are shuffled, and occurrences of a
 frequent pattern or token only meet one score each.
 
 Defined cases: null and empty texts have no spans.  Rows with the same id and
@@ -19,6 +22,7 @@ like any other.  Without seeds nothing is discovered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame
@@ -29,7 +33,7 @@ from tankcast.llm.common import add_columns, words, written
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
-#: Least confidence of a pattern, score of an instance, and distinct seeds of a pattern.
+#: Least confidence of a pattern, score of an instance, and distinct supporting instances of a pattern.
 PATTERN, INSTANCE, SEEDS = 0.6, 0.5, 3
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,6 +44,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
+#: Parts of a spaced identifier without a mark, and long ones with one.
+CAPITALS, PLAIN = re.compile(r"[A-Z]{1,4}"), re.compile(r"[A-Za-z0-9]+")
 EDGES = ".,;:!?()[]{}<>\"'`"
 
 
@@ -85,29 +91,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def spaced(parts: list[tuple[int, int, bool, bool]]) -> list[tuple[int, int]]:
+    """Spaced identifiers of a run of neighbouring parts (start, end, short, marked):
+    from its first short part with a mark to its last part with one, and, if the
+    run has letters-only parts around these, the whole of it, too."""
+    marked = [i for i, p in enumerate(parts) if p[3]]
+    inner = next((i for i in marked if parts[i][2]), None)
+    if inner is None:
+        return []
+    outer = next(i for i, p in enumerate(parts) if p[2])
+    ends = {(inner, marked[-1])} | ({(outer, len(parts) - 1)} if outer <= inner else set())
+    return sorted((parts[i][0], parts[k][1]) for i, k in ends if k > i and parts[k][1] - parts[i][0] >= 5)
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and identifier-like tokens with their pattern (empty: none in front)."""
+    """Seeds, identifier-like tokens and spaced identifiers with their pattern (empty: none in front)."""
     spans = [(s, e, True) for _, s, e in base]
     if MARK.search(text):
         covered = sorted((s, e) for _, s, e in base)
-        k, reach = 0, -1
+        k, reach, run = 0, -1, []
+
+        def close(parts: list) -> list:
+            if len(parts) > 1:
+                spans.extend((start, end, False) for start, end in spaced(parts))
+            return []
+
         for m in TOKEN.finditer(text):
             token = m[0]
-            if len(token) < 5 or not MARK.search(token):
+            mark = MARK.search(token) is not None
+            if not mark and not (len(token) <= 6 and CAPITALS.fullmatch(token.strip(EDGES))):
+                run = close(run)
                 continue
             while k < len(covered) and covered[k][0] < m.end():
                 reach, k = max(reach, covered[k][1]), k + 1
             left = token.lstrip(EDGES)
             start = m.end() - len(left)
             end = start + len(left.rstrip(EDGES))
-            if reach <= start and end - start >= 5:
+            if reach > start or end <= start:
+                run = close(run)
+                continue
+            if mark and end - start >= 5:
                 spans.append((start, end, False))
+            # neighbours: one blank between, no punctuation at it, one line
+            if run and not (start == run[-1][1] + 1 and text[start - 1] not in "\r\n"):
+                run = close(run)
+            if end - start < 5 or (mark and PLAIN.fullmatch(text, start, end)):
+                run.append((start, end, end - start < 5, mark))
+            else:
+                run = close(run)
+        close(run)
     out = []
     for s, e, seed in spans:
         front = words(text[max(0, s - 64):s])[-2:]
         if front:
             out.append({"start": s, "end": e, "seed": seed, "pattern": b" ".join(front).decode("utf-8", "replace"),
-                        "instance": text[s:e][:128]})
+                        "instance": hashlib.blake2b(text[s:e].encode(), digest_size=16).digest()})
     return out
 
 
@@ -116,7 +154,7 @@ FIELDS = [
         T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("found", T.ArrayType(T.StructType([
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("seed", T.BooleanType()),
-        T.StructField("pattern", T.StringType()), T.StructField("instance", T.StringType())]))),
+        T.StructField("pattern", T.StringType()), T.StructField("instance", T.BinaryType())]))),
 ]
 
 
@@ -136,9 +174,10 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     for _ in range(rounds):
         held = edges.select("pattern", "instance").join(instances, "instance")
         patterns = held.groupBy("pattern").agg(
-            F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+            F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"),
+            F.sum((F.col("score") >= INSTANCE).cast("long")).alias("support"))
         evidence = F.least(F.lit(1.0), F.log2(F.lit(1) + F.col("sum")) / 2)
-        patterns = written(patterns.filter(F.col("seeds") >= SEEDS).select(
+        patterns = written(patterns.filter(F.col("support") >= SEEDS).select(
             "pattern", (F.col("sum") / F.col("n") * evidence).alias("confidence")), "pii-patterns")
         support = (edges.select("pattern", "instance").join(patterns, "pattern")
                    .groupBy("instance").agg(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("miss")))

@@ -241,6 +241,29 @@ def test_pii(spark, docs, none):
     assert pii.op9_pii(none).count() == 0
 
 
+def test_pii_hops_spaced_and_long(spark):
+    """Found instances support further patterns; spaced identifiers and tokens alike in their first 128 characters."""
+    ids = ["user_77#4", "user_78#5", "user_79#6"]
+    texts = [f"text and reach me u{i}@mail.org today" for i in range(20)]
+    texts += [f"so reach me {x} please" for x in ids]
+    texts += [f"the backup handle {x} works" for x in [*ids, "zed_12#9"]]
+    iban, nino = "DE89 3704 0044 0532 0130 00", "QQ 12 34 56 C"
+    texts += [f"so reach me {x}, please" for x in (iban, "GB29 NWBK 6016 1331 9268 19", "0171 5551234", nino)]
+    long = "k1" * 70
+    texts += [f"so reach me {long}a please", f"odd number {long}b here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.op9_pii(df).collect()}
+    for i, t in enumerate(texts[20:], 20):
+        spans = [s.split(":") for s in got[i].split(",") if s]
+        found = [t[int(s):int(e)] for _, s, e in spans]
+        if "odd number" in t:
+            assert found == []
+        else:
+            rest = re.search(r"(?:reach me|backup handle) (.*?)(?:,| please| works)", t)[1]
+            assert rest in found, (t, found)
+    assert [(o["start"], o["end"]) for o in pii.occurrences("a 12345abc 2 days or 7 8", [])] == [(2, 10)]
+
+
 def test_secrets(spark, docs, none):
     got = {r.doc_id: r for r in secrets.op10_secrets(docs).collect()}
     assert (got[12].n_assign, got[12].n_access, got[12].n_hex) == (1, 1, 1)
