@@ -5,9 +5,11 @@ training flows (T1-T6).
   not processing time.
 * Windowed aggregates run in append mode: a window is emitted once, when the
   watermark passes its end, so every downstream step sees final rows.
-* Per-key state (gateway held values, sensor held value) lives in
-  ``applyInPandasWithState``: state is a handful of doubles per key, and a
-  key's rows per micro-batch are bounded by the trigger size.
+* Gateway and sensor held values: a micro-batch is a segmented scan in Spark,
+  and only each key's newest value is carried to the next batch, as files under
+  the checkpoint.  Other per-key state (extremes, samples, chart history) lives
+  in ``applyInPandasWithState``; there a key's rows per micro-batch are bounded
+  by the trigger size only.
 * Every query has a checkpoint under the shared ``spark.checkpoint.dir``;
   ``foreachBatch`` sinks write per ``batch_id`` so a replay is idempotent.
 * A micro-batch is computed once: flows that use its rows several times write
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
@@ -30,6 +33,8 @@ from tankcast.functions.payload import DEFAULT_WEIGHTS, parse_double
 from tankcast.operators import control as C
 from tankcast.operators import training as M
 from tankcast.operators.forecast import enrich_with_weather, predict, quarantine
+from tankcast.operators.segmented import asof_fill
+from tankcast.operators.sensors import change_only
 from tankcast.operators.topics import publish
 from tankcast.operators.windows import last_in_window
 from tankcast.session import scratch_path, ship_package
@@ -311,51 +316,27 @@ def quarantine_stream(messages: DataFrame, out_path: str, checkpoint: str | None
     return _start(bad, name, checkpoint, trigger, batch_fn=batch)
 
 
-def _nan_again(df: DataFrame, *cols: str) -> DataFrame:
-    """Columns that are never null, but in which Python's NaN came back as null."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in cols})
+def _held_before(rows: DataFrame, keys: list[str], checkpoint: str, batch_id: int) -> DataFrame:
+    """The micro-batch's ``rows`` (``ts``, ``msg_id``, ``value`` without nulls)
+    and, ordered in front of them by ``__side`` = 0 and a null time, the newest
+    value of each key from the batches before.  The newest values after this
+    batch are written for the next one.
 
-
-def _number(held: float | None) -> float:
-    """A stored state value; NaN is stored as null."""
-    return np.nan if held is None else held
+    Rows and values lie in two folders each under the checkpoint, taken in turn:
+    a replayed batch overwrites its own and still finds those of its predecessor."""
+    spark, base = rows.sparkSession, f"{checkpoint.rstrip('/')}/held"
+    rows = staged(rows.withColumn("__side", F.lit(1)), f"{base}/rows", batch_id % 2)
+    if batch_id:
+        schema = T.StructType([f for f in rows.schema.fields if f.name in (*keys, "value")])
+        before = spark.read.schema(schema).parquet(f"{base}/values/batch_id={(batch_id - 1) % 2}")
+        rows = rows.unionByName(before.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    newest = rows.groupBy(*keys).agg(F.max_by("value", F.struct("__side", "ts", "msg_id")).alias("value"))
+    write_batch(newest, f"{base}/values", batch_id % 2)
+    return rows
 
 
 # --- T6: gateway control on live messages -----------------------------------------
 
-CONTROL_OUT = ("site_id int, ts timestamp, msg_id bigint, tank_temperature double, "
-               "tank_forecast double, boiler_threshold double, utility_threshold double, "
-               "boiler_enabled boolean, utility_enabled boolean, boiler_pin boolean, "
-               "utility_pin boolean")
-CONTROL_STATE = ("tank_temperature double, tank_forecast double, boiler_threshold double, "
-                 "utility_threshold double")
-
-
-def _control_fn(prefix: str):
-    topics = [f"{prefix}/{s}" for s in C.HELD_SERIES]
-    names = list(C.HELD_SERIES.values())
-    cols = [c.split()[0] for c in CONTROL_OUT.split(", ")]
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [_number(h) for h in state.get] if state.exists else [C.INITIAL_STATE[n] for n in names]
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort",
-                                                                    ignore_index=True)
-        out = rows.assign(site_id=key[0])
-        # value of each series after every message: that of its newest message
-        # so far, else the stored one (a NaN that was sent is held, too)
-        sent, number = rows["value"].to_numpy(dtype=float), np.arange(len(rows))
-        for t, c, h in zip(topics, names, held):
-            newest = np.maximum.accumulate(np.where(rows["topic"] == t, number, -1))
-            out[c] = np.where(newest >= 0, sent[newest], h)
-        out["boiler_enabled"] = out["tank_temperature"] < out["boiler_threshold"]
-        out["utility_enabled"] = out["tank_forecast"] > out["utility_threshold"]
-        out["boiler_pin"] = ~out["boiler_enabled"]
-        out["utility_pin"] = ~out["utility_enabled"]
-        state.update(tuple(float(out[c].iloc[-1]) for c in names))
-        yield out[cols]
-    return fn
-
-
 def control_stream(messages: DataFrame, out_path: str, prefix: str = "site",
                    checkpoint: str | None = None, trigger: dict | None = None,
                    name: str = "control") -> StreamingQuery:
@@ -363,57 +344,44 @@ def control_stream(messages: DataFrame, out_path: str, prefix: str = "site",
     (C1, C2, P12).  Within a micro-batch messages are applied in event-time
     order; a message arriving in a later batch with an older time is applied
     when it arrives, as the gateway does.  For an in-order log this equals
-    ``control.control_on_messages`` in batch."""
-    topics = [f"{prefix}/{s}" for s in C.HELD_SERIES]
+    ``control.control_on_messages`` in batch.  A batch is one segmented scan."""
+    checkpoint = checkpoint or scratch_path(messages.sparkSession, f"streams/{name}")
+    topics = {f"{prefix}/{s}": c for s, c in C.HELD_SERIES.items()}
     # parsed by the batch rules; other topics and unparsable payloads leave the state alone
-    m = (messages.filter(F.col("topic").isin(topics))
+    m = (messages.filter(F.col("topic").isin(list(topics)))
          .select("site_id", "ts", "msg_id", "topic", parse_double("payload").alias("value"))
          .filter(F.col("value").isNotNull()))
-    out = m.groupBy("site_id").applyInPandasWithState(
-        _control_fn(prefix), CONTROL_OUT, CONTROL_STATE, "append", GroupStateTimeout.NoTimeout)
-    out = _nan_again(out, *C.HELD_SERIES.values())
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+        rows = _held_before(to_ntz(df, "ts"), ["site_id", "topic"], checkpoint, batch_id)
+        fills = {c: F.when(F.col("topic") == t, F.col("value")) for t, c in topics.items()}
+        filled = asof_fill(rows, ["site_id"], ["ts", "__side", "msg_id"], fills).filter(F.col("__side") == 1)
+        state = filled.select("site_id", "ts", "msg_id", *[
+            F.coalesce(F.col(c), F.lit(C.INITIAL_STATE[c])).alias(c) for c in topics.values()])
+        write_batch(C.apply_rules(state), out_path, batch_id)
 
-    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+    return _start(m, name, checkpoint, trigger, batch_fn=batch)
 
 
 # --- F6 on a stream: emit on change ---------------------------------------------------
 
-CHANGE_OUT = "device_id bigint, ts timestamp, msg_id bigint, value double, previous_value double"
-
-
-def _change_fn(initial: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = _number(state.get[0]) if state.exists else initial
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        # the held value only changes when a different value arrives, so it is
-        # always the previous reading (the stored one for the first row); NaN
-        # equals NaN, as in the batch operator
-        value = rows["value"].to_numpy(dtype=float)
-        prev = np.r_[held, value[:-1]]
-        differs = (value != prev) & ~(np.isnan(value) & np.isnan(prev))
-        out = rows.assign(device_id=key[0], previous_value=prev)[differs]
-        if len(rows):
-            state.update((float(value[-1]),))
-        yield out[["device_id", "ts", "msg_id", "value", "previous_value"]]
-    return fn
-
-
 def change_stream(values: DataFrame, out_path: str, initial: float = 0.0,
                   checkpoint: str | None = None, trigger: dict | None = None,
                   name: str = "change") -> StreamingQuery:
     """``values``: streaming (device_id, ts, msg_id, value).  A null value
-    neither goes out nor changes the held one, as in ``sensors.change_only``."""
-    out = values.filter(F.col("value").isNotNull()).groupBy("device_id").applyInPandasWithState(
-        _change_fn(initial), CHANGE_OUT, "held double", "append", GroupStateTimeout.NoTimeout)
-    out = _nan_again(out, "value", "previous_value")
+    neither goes out nor changes the held one, as in ``sensors.change_only``,
+    which computes each micro-batch.  The held value only changes when a
+    different one arrives, so it is always the previous reading."""
+    checkpoint = checkpoint or scratch_path(values.sparkSession, f"streams/{name}")
+    v = (values.filter(F.col("value").isNotNull())
+         .select("device_id", "ts", "msg_id", F.col("value").cast("double").alias("value")))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+        rows = _held_before(to_ntz(df, "ts"), ["device_id"], checkpoint, batch_id)
+        out = change_only(rows, ["device_id"], ["ts", "__side", "msg_id"], "value", initial)
+        write_batch(out.filter(F.col("__side") == 1).drop("__side"), out_path, batch_id)
 
-    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+    return _start(v, name, checkpoint, trigger, batch_fn=batch)
 
 
 # --- T3: training across micro-batches ----------------------------------------------

@@ -307,3 +307,35 @@ def test_weather_added_after_the_start_is_seen(spark, scratch):
                            checkpoint=f"{scratch}/ck").awaitTermination(300)
     got = spark.read.parquet(f"{scratch}/out/forecast")
     assert rows(got, ["msg_id", "weather_temperature"]) == [(0, 5.0), (1, 15.0)]
+
+
+def test_control_and_change_streams_scan_in_spark(spark, scratch):
+    """No Python worker holds a key's rows; late rows, null keys and times, and a replayed batch."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    first = [(1, 1, 1, at(5), "40"), (2, 1, 1, at(9), "70"), (3, None, None, at(1), "50"), (9, 1, 1, None, "30")]
+    second = [(4, 1, 1, at(2), "20"), (5, 1, 1, at(3), "20"), (6, None, None, at(0), "50")]  # older than what was seen
+    row = "msg_id long, device_id long, site_id int, ts timestamp_ntz, payload string"
+    runs = []
+    for k, part in enumerate([first, second, second]):
+        if k < 2:
+            (spark.createDataFrame(part, row).withColumn("topic", F.lit("site/tank/temperature"))
+             .coalesce(1).write.mode("append").parquet(f"{scratch}/log"))
+        else:  # the last batch is run again as after a failure before its commit
+            for c in ("ck", "ck2"):
+                for f in (f"{scratch}/{c}/commits/1", f"{scratch}/{c}/commits/.1.crc"):
+                    if os.path.exists(f):
+                        os.remove(f)
+        src = message_stream(spark, f"{scratch}/log")
+        value = F.col("payload").cast("double").alias("value")
+        for q in (ST.control_stream(src, f"{scratch}/out", trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ck"),
+                  ST.change_stream(src.select("device_id", "ts", "msg_id", value), f"{scratch}/out2",
+                                   trigger=AVAILABLE_NOW, checkpoint=f"{scratch}/ck2")):
+            q.awaitTermination(300)
+            assert "Pandas" not in q._jsq.explainInternal(False)
+        runs.append([rows(spark.read.parquet(f"{scratch}/out"), ["msg_id", "tank_temperature", "boiler_enabled"]),
+                     rows(spark.read.parquet(f"{scratch}/out2"), ["msg_id", "value", "previous_value"])])
+    assert runs[1][0] == [(1, 40.0, True), (2, 70.0, False), (3, 50.0, False), (4, 20.0, True), (5, 20.0, True),
+                          (6, 50.0, False), (9, 30.0, True)]
+    assert runs[1][1] == [(1, 40.0, 30.0), (2, 70.0, 40.0), (3, 50.0, 0.0), (4, 20.0, 70.0), (9, 30.0, 0.0)]
+    assert runs[2] == runs[1]
