@@ -4,9 +4,11 @@ Base matches stand for themselves.  Weak parts - a login name, a bare mixed
 token, an endpoint - mean little alone; each is reported only when the parts it
 needs lie in the same scope: a login needs a secret, a bare token needs an
 identifier, an endpoint needs both.  Parts of all kinds are laid out as
-intervals on their text and joined by a window over start positions that
-reaches ``SCOPE`` code points to either side, so the join is linear in the
-number of parts.  A weak part inside a base match is not reported again.
+intervals on their text; two are in scope if the gap between them is at most
+``SCOPE`` code points, whatever their lengths.  For each role running windows
+keep the furthest end on the left and the nearest start on the right, so the
+join is linear in the number of parts.  A weak part inside a base match is not
+reported again.
 
 Texts are read once: matches and the pieces between them give the positions,
 and only the short part lists are shuffled, by row (id and hash of the text).
@@ -81,16 +83,21 @@ def links(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     login, bare, endpoint = (KINDS.index(k) for k in WEAK)
     flat = (rows.filter(F.exists("parts", lambda p: p["kind"] >= n_base))
             .select("id", "text_hash", F.explode("parts").alias("p")).select("id", "text_hash", "p.*"))
-    around = Window.partitionBy("id", "text_hash").orderBy("start").rangeBetween(-scope, scope)
     before = (Window.partitionBy("id", "text_hash").orderBy("start")
               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     kind = F.col("kind")
     inside = F.max(F.when(kind < n_base, F.col("end"))).over(before)
     flat = flat.withColumn("inside", F.coalesce(inside >= F.col("end"), F.lit(False)) & (kind >= n_base))
     own = ~F.col("inside")
-    identifier = F.max((kind.isin(KINDS.index("access"), login)) & own).over(around)
-    secret = F.max(kind.isin(KINDS.index("assign"), KINDS.index("hex"), bare) & own).over(around)
-    flat = flat.withColumns({"identifier": identifier, "secret": secret})
+    # the same from the right: a running window again, not one that looks ahead
+    after = (Window.partitionBy("id", "text_hash").orderBy(F.col("start").desc())
+             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    roles = {"identifier": kind.isin(KINDS.index("access"), login) & own,
+             "secret": kind.isin(KINDS.index("assign"), KINDS.index("hex"), bare) & own}
+    flat = flat.withColumns({f"{r}_end": F.max(F.when(c, F.col("end"))).over(before) for r, c in roles.items()})
+    flat = flat.withColumns({f"{r}_start": F.min(F.when(c, F.col("start"))).over(after) for r, c in roles.items()})
+    flat = flat.withColumns({r: F.coalesce(F.col("start") - F.col(f"{r}_end") <= scope, F.lit(False))
+                             | F.coalesce(F.col(f"{r}_start") - F.col("end") <= scope, F.lit(False)) for r in roles})
     linked = own & (((kind == login) & F.col("secret")) | ((kind == bare) & F.col("identifier"))
                     | ((kind == endpoint) & F.col("secret") & F.col("identifier")))
     return flat.filter(linked).groupBy("id", "text_hash").agg(
