@@ -21,8 +21,11 @@ exact while sums of products stay below 2^63.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +100,15 @@ def top_k(vectors: DataFrame, id_col: str, weights_col: str, is_query: Column, k
         def run(batches):
             part = [None] * 4
             ids, held = [], []
+            # unique in the written blocks, also where parts hold the same ids
+            names = itertools.count(TaskContext.get().partitionId() << 32)
 
             def row():
                 width = max(map(len, held))
                 m = np.array([w + [0] * (width - len(w)) for w in held], np.int64)
-                part[:] = [pa.array([ids[0]], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
+                part[:] = [pa.array([next(names)], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                            pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32())]
-                return pa.RecordBatch.from_arrays(list(part), names=["first", "ids", "m", "width"])
+                return pa.RecordBatch.from_arrays(list(part), names=["part", "ids", "m", "width"])
 
             for batch in batches:
                 for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -116,11 +121,11 @@ def top_k(vectors: DataFrame, id_col: str, weights_col: str, is_query: Column, k
                 yield row()
         return run
 
-    schema = "first long, ids binary, m binary, width int"
+    schema = "part long, ids binary, m binary, width int"
     # ranges of ids: a partition of the range exchange becomes blocks of whole parts
     blocks = (rows.select("id", "w").repartitionByRange(parts, "id").sortWithinPartitions("id")
               .mapInArrow(gather(0, PART), schema))
-    blocks = blocks.select(F.xxhash64("first", "ids").alias("part"), F.lit(0).alias("kind"), "ids", "m", "width")
+    blocks = blocks.select("part", F.lit(0).alias("kind"), "ids", "m", "width")
     blocks = written(blocks, "blocks")
     queries = rows.filter("q").select("id", "w").mapInArrow(gather(1, QUERIES), schema)
     # one number for each 8192 vectors comes to the driver

@@ -210,6 +210,19 @@ def test_top_k(spark):
     assert topk.op1_top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_an_id_in_several_parts(spark, monkeypatch):
+    """Parts filled by one id alone stay apart: every row of it is scored."""
+    monkeypatch.setattr(topk, "PART", 64)
+    rng = np.random.default_rng(1)
+    made = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in [*range(1, 21), *[7] * 300, *range(30, 40)]]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    ok = [(i, np.floor(np.array(v, np.float32).astype(float) * 64).astype(int)) for i, v in made]
+    q = dict(ok)[20]
+    best = sorted((-int(w @ q), i) for i, w in ok if i != 20)[:20]
+    got = sorted(tuple(r) for r in topk.op1_top_k(df).collect())
+    assert got == [(20, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_toxicity(spark, docs, none):
     d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
