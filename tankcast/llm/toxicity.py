@@ -194,7 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     chosen = (marks.join(docs.select(F.col(f"`{id_col}`").alias("id")).distinct(), "id", "left_semi")
               .orderBy(F.xxhash64("id"), "id").limit(max_train))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    sample = add_columns(texts.join(F.broadcast(chosen), "id"), ["t"],
+    # one row per id, by its text's hash: a repeated id neither fills the driver nor outweighs others
+    one = (texts.join(F.broadcast(chosen), "id").groupBy("id", *[f"y{k}" for k in range(len(names))])
+           .agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")))
+    sample = add_columns(one, ["t"],
                          [T.StructField("found", T.ArrayType(T.IntegerType()))],
                          lambda t: [[features(x) for x in t]])
     got = (sample.select("id", "found", *[f"y{k}" for k in range(len(names))])

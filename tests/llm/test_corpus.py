@@ -236,6 +236,19 @@ def test_toxicity(spark, docs, none):
     assert len(lost) == len(ROWS) and not any(r.is_toxic for r in lost)
 
 
+def test_toxicity_takes_one_row_of_an_id(spark, monkeypatch):
+    """A repeated id is one training row, whatever its rows' order."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda docs, y, fold, names: seen.append(
+        ([d.tolist() for d in docs], y.tolist(), fold.tolist())))
+    made = [(i, f"some text number {i}") for i in range(6)] + [(3, f"other text {k}") for k in range(50)] + [(4, None)]
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    for part in (made, made[::-1]):
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        toxicity.train(df, labels, toxicity.table_categories())
+    assert len(seen[0][0]) == len(seen[0][1]) == 6 and seen[0] == seen[1]
+
+
 def test_pii(spark, docs, none):
     for r in pii.op9_pii(docs).collect():
         if r.doc_id == 11:
