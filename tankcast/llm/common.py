@@ -75,3 +75,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_back(df: DataFrame, keys: Sequence[str], salt: str, values: dict) -> DataFrame:
+    """Aggregates of each key, repeated for every (key, salt) of ``df``, for a
+    join back on both that no frequent key crowds.  ``values`` names pairs of an
+    aggregate that combines with itself (min, max, sum) and its column."""
+    parts = df.groupBy(*keys, salt).agg(*[fn(c).alias(n) for n, (fn, c) in values.items()])
+    whole = parts.groupBy(*keys).agg(*[fn(n).alias(n) for n, (fn, _) in values.items()])
+    return parts.select(*keys, salt).join(whole, list(keys))
