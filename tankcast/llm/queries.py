@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tankcast.llm import (decontaminate, line_dedup, minhash, pieces, pii, secrets, shards, token_files, topk,
-                          toxicity, warc)
+from tankcast.llm import (decontaminate, line_dedup, minhash, pieces, pii, prefix_trie, secrets, shards,
+                          token_files, topk, toxicity, warc)
 from tankcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": lambda s, d: token_files.op8_token_files(table(s, d, "documents")),
     "op9_pii": lambda s, d: pii.op9_pii(table(s, d, "documents")),
     "op10_secrets": lambda s, d: secrets.op10_secrets(table(s, d, "documents")),
+    "op11_prefix_trie": lambda s, d: prefix_trie.op11_prefix_trie(table(s, d, "conversations")),
     "op13_warc": lambda s, d: warc.op13_warc(table(s, d, "pages")),
 }
 
@@ -28,5 +29,6 @@ SQL: dict[str, str] = {
     "op1_top_k": topk.SQL,
     "op2_decontaminate": decontaminate.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_warc": warc.SQL,
 }
