@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tankcast.llm import (decontaminate, line_dedup, minhash, pieces, pii, prefix_trie, secrets, shards,
-                          token_files, topk, toxicity, warc)
+from tankcast.llm import (align, decontaminate, line_dedup, minhash, pieces, pii, prefix_trie, secrets,
+                          shards, token_files, topk, toxicity, warc)
 from tankcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": lambda s, d: pii.op9_pii(table(s, d, "documents")),
     "op10_secrets": lambda s, d: secrets.op10_secrets(table(s, d, "documents")),
     "op11_prefix_trie": lambda s, d: prefix_trie.op11_prefix_trie(table(s, d, "conversations")),
+    "op12_align": lambda s, d: align.op12_align(table(s, d, "documents")),
     "op13_warc": lambda s, d: warc.op13_warc(table(s, d, "pages")),
 }
 
