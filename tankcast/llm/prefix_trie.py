@@ -106,22 +106,29 @@ def end_lists(members: DataFrame, key: list[str] = KEY) -> DataFrame:
     width = len(key)
 
     def run(batches):
-        now, ids = None, []
+        now, ids, size = None, [], 0
+        out: list[tuple[list[int], list[int]]] = []
 
-        def chunk():
+        def given():
             return pa.RecordBatch.from_arrays(
-                [*(pa.array([v], pa.int64()) for v in now), pa.array([ids[0]], pa.int64()),
-                 pa.array([ids], pa.list_(pa.int64()))], names=[*key, "lowest", "ids"])
+                [*(pa.array([k[at] for k, _ in out], pa.int64()) for at in range(width)),
+                 pa.array([x[0] for _, x in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))],
+                names=[*key, "lowest", "ids"])
 
         for batch in batches:
             for *k, c in zip(*(column.to_pylist() for column in batch.columns[:width + 1])):
                 if ids and (k != now or len(ids) == CHUNK):
-                    yield chunk()
-                    ids = []
+                    out.append((now, ids))
+                    ids, size = [], size + len(ids)
+                    if size >= CHUNK:
+                        yield given()
+                        out, size = [], 0
                 now = k
                 ids.append(c)
         if ids:
-            yield chunk()
+            out.append((now, ids))
+        if out:
+            yield given()
 
     return rows.mapInArrow(run, ", ".join(f"{k} long" for k in key) + ", lowest long, ids array<long>")
 
@@ -132,22 +139,24 @@ def ends_digest(ends: DataFrame, key: list[str] = KEY) -> DataFrame:
 
     def run(batches):
         now, sha = None, None
-
-        def row():
-            return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in now), pa.array([sha.hexdigest()])],
-                                              names=[*key, "ends_sha256"])
-
         for batch in batches:
+            out = []
             for *k, ids in zip(*(column.to_pylist() for column in batch.columns)):
                 if k != now:
                     if sha is not None:
-                        yield row()
+                        out.append((*now, sha.hexdigest()))
                     now, sha = k, hashlib.sha256()
                 else:
                     sha.update(b",")
                 sha.update(",".join(map(str, ids)).encode())
+            yield given(out)
         if sha is not None:
-            yield row()
+            yield given([(*now, sha.hexdigest())])
+
+    def given(out):
+        columns = list(zip(*out)) or [()] * (len(key) + 1)
+        kinds = [*[pa.int64()] * len(key), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*key, "ends_sha256"])
 
     rows = ends.repartition(*key).sortWithinPartitions(*key, "lowest").select(*key, "ids")
     return rows.mapInArrow(run, ", ".join(f"{k} long" for k in key) + ", ends_sha256 string")
