@@ -85,7 +85,8 @@ class Vocabularies:
             self.b_bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace(MARK, " ").encode())
         self.a_size, self.b_size = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         # no token reaches from a letter to a blank behind it
-        self.cuttable = not any(re.search(rb"[0-9A-Za-z\x80-\xFF] ", t) for table in (self.a_bytes, self.b_bytes) for t in table)
+        self.cuttable = not any(re.search("([^\\W_]|\ufffd) ", t.decode("utf-8", "replace"))
+                                for table in (self.a_bytes, self.b_bytes) for t in table)
         most = max(len(self.a_bytes), len(self.b_bytes))
         self.most, self.decimal = most, [f"{i}{mark}" for mark in ",|;" for i in range(most)]
 
