@@ -21,6 +21,7 @@ from tankcast.plans.catalog import PREFIX, TEST_SCALE, Query
 from tankcast.session import scratch_path
 from tankcast.sources import fixtures as X
 from tankcast.sources.messages import read_messages, read_weather, write_messages
+from tankcast.streaming import stateful as SF
 from tankcast.streaming import streams as ST
 
 
@@ -31,6 +32,42 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.messages_view(events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Files of a split log, and rows of one at most.
+PARTS, PART_ROWS = 12, 2_000_000
+_LOGS: dict[tuple[str, str], str] = {}
+
+
+def _split_log(spark: SparkSession, sf_dir: str) -> str:
+    """``events`` as files by time, the older ones written first: a stream that
+    takes one file a trigger sees the log in many micro-batches.  Written once
+    an application and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOGS:
+        base = scratch_path(spark, f"live/events-{uuid.uuid4().hex}")
+        events = X.load_table(spark, sf_dir, "events")
+        n, lo, hi = events.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
+        parts = max(PARTS, -(-n // PART_ROWS))
+        width = max((hi - lo).total_seconds() / parts, 1e-6) if n else 1.0
+        # a row without a time goes with the oldest
+        part = F.floor(F.coalesce(F.least((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(
+            F.lit(lo).cast("timestamp"))) / F.lit(width * 1e6), F.lit(parts - 1)), F.lit(0))).cast("int")
+        staged = f"{base}/staged"
+        events.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(staged)
+        for [k] in sorted(spark.read.parquet(staged).select("part").distinct().collect()):
+            (spark.read.schema(events.schema).parquet(f"{staged}/part={k}").coalesce(1)
+             .write.mode("append").parquet(f"{base}/log"))
+        _LOGS[key] = f"{base}/log"
+    return _LOGS[key]
+
+
+def _log_stream(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """The split log's events, one file a micro-batch, with a time that can carry a watermark."""
+    schema = X.load_table(spark, sf_dir, "events").schema
+    events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(path or _split_log(spark, sf_dir)))
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _run(spark: SparkSession, name: str, start: Callable[..., StreamingQuery], part: str = "") -> DataFrame:
     """Rows that the stream wrote (into sub-folder ``part``)."""
     tag = f"{name}-{uuid.uuid4().hex}"
@@ -96,7 +133,24 @@ def q_weather_source(spark, sf_dir):
     return read_weather(spark, path)
 
 
+def q_stream_tick_control(spark, sf_dir):
+    """State, rules and cadence on every tick of every site, in micro-batches of one file."""
+    m = X.messages_view(_log_stream(spark, sf_dir))
+    return _run(spark, "tick-control", lambda **kw: SF.tick_control_stream(
+        m, prefix=PREFIX, tick="1 hour", **kw)).drop("batch_id")
+
+
+def q_stream_weather_enrich(spark, sf_dir):
+    """J1 with readings and weather both streaming, each in micro-batches of one file."""
+    m = X.messages_view(_log_stream(spark, sf_dir))
+    w = X.weather_view(_log_stream(spark, sf_dir))
+    return _run(spark, "weather-enrich", lambda **kw: SF.weather_enrich_stream(
+        m, w, prefix=PREFIX, **kw)).drop("batch_id")
+
+
 QUERIES: dict[str, Query] = {
+    "stream_tick_control": q_stream_tick_control,
+    "stream_weather_enrich": q_stream_weather_enrich,
     "stream_forecast": q_stream_forecast,
     "stream_sliding": q_stream_sliding,
     "stream_training": q_stream_training,

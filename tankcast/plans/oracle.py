@@ -522,3 +522,18 @@ SQL |= {
     "message_log": SQL["message_source"],
     "weather_source": with_views() + "SELECT * FROM weather",
 }
+
+
+def _tick_control_sql() -> str:
+    """The control state on each tick of every site up to the stream's watermark."""
+    until = ("(SELECT date_trunc('milliseconds', max(ts) - INTERVAL '1 microsecond') - INTERVAL '10 minutes' FROM ctl)")
+    ctrl = (_held_sql(_HELD) + _CTRL_RULES).replace("max(ts) AS g1", f"{until} AS g1")
+    return ctrl + _CTRL_COLS.replace("utility_pin", "utility_pin, full_status")
+
+
+SQL |= {
+    "stream_tick_control": _tick_control_sql(),
+    "stream_weather_enrich": f"""SELECT * FROM ({SQL['weather_enrich']}) q WHERE ts <= (
+  SELECT date_trunc('milliseconds', least(max(ts) FILTER (WHERE event_type = 'view' AND value IS NOT NULL),
+         max(ts) FILTER (WHERE event_type = 'error'))) - INTERVAL '10 minutes' FROM events)""",
+}
