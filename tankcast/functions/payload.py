@@ -90,12 +90,20 @@ def time_label(ts: Column | str) -> Column:
     return F.date_format(_c(ts), "HH:mm:ss")
 
 
-def linear_forecast(tank: Column | str, temp: Column | str, hum: Column | str,
-                    wind: Column | str, weights=DEFAULT_WEIGHTS,
-                    intercept: float | Column = 0.0) -> Column:
-    """M1: dot(weights, features) + intercept, evaluated left to right."""
-    w = [F.lit(x) if not isinstance(x, Column) else x for x in weights]
-    out = _c(tank) * w[0] + _c(temp) * w[1] + _c(hum) * w[2] + _c(wind) * w[3]
+def linear_model(features, weights, intercept: float | Column = 0.0) -> Column:
+    """M1 for any number of features: dot(weights, features) + intercept,
+    evaluated left to right."""
+    out = None
+    for c, w in zip(features, weights, strict=True):
+        term = _c(c) * (w if isinstance(w, Column) else F.lit(w))
+        out = term if out is None else out + term
     if isinstance(intercept, Column) or intercept != 0.0:
         out = out + (intercept if isinstance(intercept, Column) else F.lit(intercept))
     return out
+
+
+def linear_forecast(tank: Column | str, temp: Column | str, hum: Column | str,
+                    wind: Column | str, weights=DEFAULT_WEIGHTS,
+                    intercept: float | Column = 0.0) -> Column:
+    """M1 of the four features."""
+    return linear_model((tank, temp, hum, wind), weights, intercept)

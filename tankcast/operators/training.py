@@ -9,8 +9,9 @@ Physical plan:
 * newest row per (key, pane) is a partial aggregate -- the data shrinks to one
   row per pane before anything else;
 * pairs are an equi-join on (key, pane + horizon) -- no range join;
-* each training period (mini-batch) is reduced to 15 sums (n, X'X, X'y) by one
-  grouped aggregate;
+* each training period (mini-batch) is reduced to sums (n, X'X as a packed
+  triangle, X'y) by one grouped aggregate, for any list of features: four, or the
+  seven of the documented model (weather at label time as well);
 * only the fold across periods is sequential: one ``applyInPandas`` group per
   model key, holding one small row per period (its size grows with time
   covered, not with the data volume).
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankcast.functions.payload import DEFAULT_WEIGHTS, linear_forecast, round_half_up2
+from tankcast.functions.payload import DEFAULT_WEIGHTS, linear_model, round_half_up2
 from tankcast.operators.asof import asof_left_join
 from tankcast.operators.forecast import FEATURES, enrich_with_weather
 from tankcast.operators.segmented import DEFAULT_SEGMENT
@@ -44,9 +45,20 @@ PERIOD = "30 minutes"
 # (dashboard slider maxima: tank 100, weather 10).  None trains on raw values.
 FEATURE_SCALE = (100.0, 10.0, 10.0, 10.0)
 
-_IJ = [(i, j) for i in range(4) for j in range(i, 4)]
 GLOBAL_KEY = "model_key"
 
+# The documented model also sees the weather at label time; its weights start at zero.
+DOCUMENTED = (*FEATURES, "current_temperature", "current_humidity", "current_wind")
+WEIGHTS = ("w_tank", "w_temp", "w_hum", "w_wind", "w_current_temp", "w_current_hum", "w_current_wind")
+DOCUMENTED_WEIGHTS = (*DEFAULT_WEIGHTS, 0.0, 0.0, 0.0)
+DOCUMENTED_SCALE = (*FEATURE_SCALE, 10.0, 10.0, 10.0)
+
+
+def triangle(d: int) -> list[tuple[int, int, str]]:
+    """(i, j, column) of the packed upper triangle of X'X."""
+    mark = "" if d <= 10 else "_"
+    return [(i, j, f"xx_{i}{mark}{j}") for i in range(d) for j in range(i, d)]
+
 
 def pane_newest(readings: DataFrame, keys: Sequence[str], period: str = PERIOD) -> DataFrame:
     """Newest reading per (key, pane); pane = tumbling window of one period."""
@@ -109,16 +121,17 @@ def _scaled(c: str, d: float | None):
 
 
 def train_statistics(pairs: DataFrame, model_keys: Sequence[str] = ("site_id",),
-                     batch: str = "label_pane", scale=FEATURE_SCALE) -> DataFrame:
-    """M2 statistics: per model key and training period, n, X'X (10 sums),
-    X'y (4 sums) of the (scaled) features.  One partial+final aggregate."""
+                     batch: str = "label_pane", scale=FEATURE_SCALE,
+                     features: Sequence[str] = FEATURES) -> DataFrame:
+    """M2 statistics: per model key and training period, n, X'X (its packed
+    triangle) and X'y of the (scaled) features.  One partial+final aggregate."""
     model_keys = list(model_keys)
     if not model_keys:  # one global model: every pair of a period is one mini-batch
         pairs = pairs.withColumn(GLOBAL_KEY, F.lit("global"))
         model_keys = [GLOBAL_KEY]
     clean = label_filter(pairs)
-    sc = scale or (None,) * 4
-    x = [_scaled(c, d) for c, d in zip(FEATURES, sc)]
+    sc = scale or (None,) * len(features)
+    x = [_scaled(c, d) for c, d in zip(features, sc, strict=True)]
     y = F.col("label")
     # non-finite features would poison the model: reject such rows
     finite = None
@@ -127,124 +140,138 @@ def train_statistics(pairs: DataFrame, model_keys: Sequence[str] = ("site_id",),
         finite = ok if finite is None else finite & ok
     clean = clean.filter(finite & (F.abs(y) != F.lit(float("inf"))))
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(x[i] * x[j]).alias(f"xx_{i}{j}") for i, j in _IJ]
-    aggs += [F.sum(x[i] * y).alias(f"xy_{i}") for i in range(4)]
+    aggs += [F.sum(x[i] * x[j]).alias(c) for i, j, c in triangle(len(x))]
+    aggs += [F.sum(xi * y).alias(f"xy_{i}") for i, xi in enumerate(x)]
     return clean.groupBy(*model_keys, F.col(batch).alias("batch")).agg(*aggs)
 
 
+def _dot(a: list[float], b: list[float]) -> float:
+    """Summed from left to right (``sum`` and numpy add in other ways)."""
+    total = a[0] * b[0]
+    for x, y in zip(a[1:], b[1:]):
+        total += x * y
+    return total
+
+
 def sgd_fold(stats: pd.DataFrame, w0, step: float = STEP_SIZE, iters: int = NUM_ITERATIONS,
-             tol: float = CONVERGENCE_TOL) -> pd.DataFrame:
+             tol: float = CONVERGENCE_TOL, total: int = 0) -> pd.DataFrame:
     """Run mini-batch SGD over the batches of ONE model, in batch order,
     warm-starting each batch from the previous weights.  Per batch (full
     mini-batch): w_i = w_{i-1} - step/sqrt(i) * (X'X w_{i-1} - X'y)/n, stopping
     from i = 2 when |w_i - w_{i-1}| < tol * max(|w_i|, 1).  Empty batches do
-    not exist here (M4: a period without pairs changes nothing)."""
+    not exist here (M4: a period without pairs changes nothing).  ``total``:
+    pairs seen before."""
     stats = stats.sort_values("batch")
-    w = [float(x) for x in w0]
-    rows = []
-    total = 0
-    sqrt = math.sqrt
-    steps = [step / sqrt(i) for i in range(1, iters + 1)]
-    xx = stats[[f"xx_{i}{j}" for i, j in _IJ]].to_numpy(dtype=float)
-    xy = stats[[f"xy_{i}" for i in range(4)]].to_numpy(dtype=float)
+    w, d, rows = [float(x) for x in w0], len(w0), []
+    steps = [step / math.sqrt(i) for i in range(1, iters + 1)]
+    packed = triangle(d)
+    xx = stats[[c for _, _, c in packed]].to_numpy(dtype=float)
+    xy = stats[[f"xy_{i}" for i in range(d)]].to_numpy(dtype=float)
     ns = stats["n"].to_numpy(dtype=float)
     batches = stats["batch"].tolist()
     for r in range(len(stats)):
         n = ns[r]
         if n <= 0:
             continue
-        # the 4x4 problem in plain floats: numpy call overhead would dominate
-        s00, s01, s02, s03, s11, s12, s13, s22, s23, s33 = (xx[r] / n).tolist()
-        b0, b1, b2, b3 = (xy[r] / n).tolist()
-        w0_, w1_, w2_, w3_ = w
+        # the small problem in plain floats: numpy call overhead would dominate
+        s = [[0.0] * d for _ in range(d)]
+        for (i, j, _), v in zip(packed, (xx[r] / n).tolist()):
+            s[i][j] = s[j][i] = v
+        b = (xy[r] / n).tolist()
         for it in range(iters):
-            g0 = s00 * w0_ + s01 * w1_ + s02 * w2_ + s03 * w3_ - b0
-            g1 = s01 * w0_ + s11 * w1_ + s12 * w2_ + s13 * w3_ - b1
-            g2 = s02 * w0_ + s12 * w1_ + s22 * w2_ + s23 * w3_ - b2
-            g3 = s03 * w0_ + s13 * w1_ + s23 * w2_ + s33 * w3_ - b3
-            e = steps[it]
-            n0, n1, n2, n3 = w0_ - e * g0, w1_ - e * g1, w2_ - e * g2, w3_ - e * g3
-            if it > 0:
-                d = sqrt((n0 - w0_) ** 2 + (n1 - w1_) ** 2 + (n2 - w2_) ** 2 + (n3 - w3_) ** 2)
-                if d < tol * max(sqrt(n0 * n0 + n1 * n1 + n2 * n2 + n3 * n3), 1.0):
-                    w0_, w1_, w2_, w3_ = n0, n1, n2, n3
-                    break
-            w0_, w1_, w2_, w3_ = n0, n1, n2, n3
-        w = [w0_, w1_, w2_, w3_]
+            new = [wk - steps[it] * (_dot(row, w) - bk) for wk, row, bk in zip(w, s, b)]
+            change = [x - y for x, y in zip(new, w)]
+            w = new
+            if it > 0 and math.sqrt(_dot(change, change)) < tol * max(math.sqrt(_dot(w, w)), 1.0):
+                break
         total += int(n)
         rows.append((batches[r], *w, total))
-    return pd.DataFrame(rows, columns=["batch", "w0", "w1", "w2", "w3", "n"])
-
-
-START_COLS = ("start_w_tank", "start_w_temp", "start_w_hum", "start_w_wind")
+    return pd.DataFrame(rows, columns=["batch", *[f"w{i}" for i in range(d)], "n"])
 
 
 def train_weights(stats: DataFrame, model_keys: Sequence[str] = ("site_id",),
                   initial=DEFAULT_WEIGHTS, scale=FEATURE_SCALE, period: str = PERIOD,
                   step: float = STEP_SIZE, iters: int = NUM_ITERATIONS,
-                  tol: float = CONVERGENCE_TOL, start: DataFrame | None = None) -> DataFrame:
-    """M2 fold: model versions, one per (model key, training period).
+                  tol: float = CONVERGENCE_TOL, start: DataFrame | None = None,
+                  with_state: bool = False) -> DataFrame:
+    """M2 fold: model versions, one per (model key, training period), for as
+    many features as ``initial`` has weights.
 
     ``version_ts`` is the end of the period whose batch produced the weights;
-    weights are reported in original feature units.  ``start`` (model keys +
-    w_tank, w_temp, w_hum, w_wind) warm-starts keys that already have a model,
-    e.g. the last committed version of a streaming run; other keys start at
-    ``initial``.
+    weights are reported in original feature units, in columns ``WEIGHTS``.
+    ``with_state`` adds ``state``, the weights as the fold holds them.  ``start``
+    (model keys, ``state``, ``n``) goes on from such versions, e.g. the last of a
+    streaming run, as if there had been no break; other keys start at ``initial``.
     """
     model_keys = list(model_keys) or [GLOBAL_KEY]
-    sc = np.asarray(scale if scale else (1.0,) * 4, dtype=float)
+    names = WEIGHTS[:len(initial)]
+    sc = np.asarray(scale if scale else (1.0,) * len(initial), dtype=float)
     w0 = np.asarray(initial, dtype=float) * sc
     if start is not None:
-        stats = stats.join(start.select(*model_keys, *[F.col(c).alias(s) for c, s in zip(
-            ("w_tank", "w_temp", "w_hum", "w_wind"), START_COLS)]), model_keys, "left")
+        stats = stats.join(start.select(*model_keys, F.col("state").alias("start_state"), F.col("n").alias("start_n")),
+                           model_keys, "left")
     else:
-        stats = stats.select("*", *[F.lit(None).cast("double").alias(s) for s in START_COLS])
+        stats = stats.select("*", F.lit(None).cast("array<double>").alias("start_state"),
+                             F.lit(None).cast("bigint").alias("start_n"))
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                            for f in stats.schema.fields if f.name in model_keys)
     batch_type = stats.schema["batch"].dataType.simpleString()
-    schema = (f"{key_schema}, batch {batch_type}, w_tank double, w_temp double, "
-              f"w_hum double, w_wind double, intercept double, n bigint")
+    schema = (f"{key_schema}, batch {batch_type}, {', '.join(f'{n} double' for n in names)}, "
+              f"intercept double, n bigint, state array<double>")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf[list(START_COLS)].iloc[0]
-        w_start = w0 if first.isna().any() else first.values.astype(float) * sc
-        res = sgd_fold(pdf, w_start, step, iters, tol)
+        first, seen = pdf["start_state"].iloc[0], pdf["start_n"].iloc[0]
+        res = sgd_fold(pdf, w0 if first is None else first, step, iters, tol, 0 if pd.isna(seen) else int(seen))
         out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(res) for k in model_keys})
         out["batch"] = res["batch"].values
-        for i, name in enumerate(("w_tank", "w_temp", "w_hum", "w_wind")):
-            out[name] = res[f"w{i}"].values / sc[i]
+        weights = res[[f"w{i}" for i in range(len(names))]].to_numpy(dtype=float)
+        for i, name in enumerate(names):
+            out[name] = weights[:, i] / sc[i]
         out["intercept"] = 0.0
         out["n"] = res["n"].astype("int64").values
+        out["state"] = list(weights)
         return out
 
     ship_package(stats.sparkSession)
     versions = stats.groupBy(*model_keys).applyInPandas(fold, schema)
     per = F.expr(f"make_dt_interval(0, 0, 0, {_seconds(period)})")
-    return versions.withColumn("version_ts", F.col("batch") + per).drop("batch")
+    versions = versions.withColumn("version_ts", F.col("batch") + per).drop("batch")
+    return versions if with_state else versions.drop("state")
 
 
 def forecast_with_models(rows: DataFrame, models: DataFrame, model_keys: Sequence[str] = ("site_id",),
                          time_col: str = "window_end", id_col: str = "msg_id",
                          initial=DEFAULT_WEIGHTS, segment: str = DEFAULT_SEGMENT,
-                         rows_cover: DataFrame | None = None) -> DataFrame:
-    """M3: score each row with the newest model version published at or
-    before ``time_col``; rows before the first version use ``initial``.
+                         rows_cover: DataFrame | None = None, features: Sequence[str] = FEATURES) -> DataFrame:
+    """M3: score each row's ``features`` with the newest model version published
+    at or before ``time_col``; rows before the first version use ``initial``.
     ``rows_cover`` (model keys + ``time_col``) may cover the rows' segments
     more cheaply than recomputing ``rows`` (see ``asof_left_join``)."""
     model_keys = list(model_keys)
     left = rows.withColumn("__t", F.col(time_col))
+    names = WEIGHTS[:len(features)]
     right = models.select(*model_keys, F.col("version_ts").alias("__t"),
                           F.xxhash64("version_ts").alias("__vid"),  # deterministic tie-break id
-                          "w_tank", "w_temp", "w_hum", "w_wind", "intercept",
-                          F.col("version_ts").alias("model_version_ts"))
-    cols = ["w_tank", "w_temp", "w_hum", "w_wind", "intercept", "model_version_ts"]
-    j = asof_left_join(left, right, on=model_keys, ts="__t", right_cols=cols,
+                          *names, "intercept", F.col("version_ts").alias("model_version_ts"))
+    j = asof_left_join(left, right, on=model_keys, ts="__t", right_cols=[*names, "intercept", "model_version_ts"],
                        left_id=id_col, right_id="__vid",
                        left_cover=None if rows_cover is None else rows_cover.withColumnRenamed(time_col, "__t"),
-                       defaults={"w_tank": initial[0], "w_temp": initial[1],
-                                 "w_hum": initial[2], "w_wind": initial[3], "intercept": 0.0},
-                       segment=segment)
-    f = linear_forecast(*FEATURES, weights=[F.col(c) for c in ("w_tank", "w_temp", "w_hum", "w_wind")],
-                        intercept=F.col("intercept"))
+                       defaults={**dict(zip(names, initial, strict=True)), "intercept": 0.0}, segment=segment)
+    f = linear_model(features, [F.col(c) for c in names], F.col("intercept"))
     return (j.drop("__t").withColumn("forecast", f)
              .withColumn("forecast_r2", round_half_up2(F.col("forecast"))))
+
+
+def with_weather_at_horizon(rows: DataFrame, weather: DataFrame, ts: str = "ts", id_col: str = "msg_id",
+                            horizon: str = HORIZON, segment: str = DEFAULT_SEGMENT,
+                            rows_cover: DataFrame | None = None) -> DataFrame:
+    """The documented model's other three features: the weather known for the
+    time the forecast is for (a horizon after ``ts``), in ``current_*``."""
+    hz = F.expr(f"make_dt_interval(0, 0, 0, {_seconds(horizon)})")
+    there = {"__t": F.col(ts) + hz}
+    names = {"temperature": "current_temperature", "humidity": "current_humidity", "wind": "current_wind"}
+    right = weather.select("site_id", F.col("ts").alias("__t"), "weather_id", *[F.col(c).alias(n) for c, n in names.items()])
+    return asof_left_join(rows.withColumns(there), right, on=["site_id"], ts="__t", right_cols=list(names.values()),
+                          left_id=id_col, right_id="weather_id", defaults=dict.fromkeys(names.values(), 0.0),
+                          left_cover=None if rows_cover is None else rows_cover.withColumns(there),
+                          segment=segment).drop("__t")

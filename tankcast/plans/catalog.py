@@ -252,6 +252,7 @@ def q_control_state_1m(spark, sf_dir):
 
 # The test tables reach 490 in every feature; these divisors keep SGD stable.
 TEST_SCALE = (500.0, 500.0, 100.0, 10.0)
+DOCUMENTED_SCALE = (*TEST_SCALE, 500.0, 100.0, 10.0)
 
 
 def _pairs(spark, sf_dir, documented=False):
@@ -298,15 +299,38 @@ def q_train_weights_global(spark, sf_dir):
 
 
 def q_train_first_batch(spark, sf_dir):
-    """M2 on one mini-batch: each site's first period, 50 SGD steps from the
+    """M2 on one mini-batch: of every (site, period), 50 SGD steps from the
     default weights, weights rounded to 4 places."""
     stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
-    first = stats.groupBy("site_id").agg(F.min_by(F.struct(*stats.columns), "batch").alias("s")).select("s.*")
-    models = M.train_weights(first, ["site_id"], scale=TEST_SCALE)
+    alone = stats.withColumn("period", F.col("batch"))
+    models = M.train_weights(alone, ["site_id", "period"], scale=TEST_SCALE)
     return models.select("site_id", "version_ts",
                          *[F.round(c, 4).alias(c) for c in ("w_tank", "w_temp", "w_hum", "w_wind")])
 
 
+def _documented_models(spark, sf_dir):
+    stats = M.train_statistics(_pairs(spark, sf_dir, documented=True), ["site_id"], scale=DOCUMENTED_SCALE,
+                               features=M.DOCUMENTED)
+    return M.train_weights(stats, ["site_id"], initial=M.DOCUMENTED_WEIGHTS, scale=DOCUMENTED_SCALE)
+
+
+def q_train_weights_documented(spark, sf_dir):
+    """The documented model of seven features."""
+    return _documented_models(spark, sf_dir)
+
+
+def q_forecast_documented(spark, sf_dir):
+    """Scored with the newest version and the weather at the forecast's time."""
+    msgs, weather = _tank(spark, sf_dir), load_weather(spark, sf_dir)
+    models = materialize(_documented_models(spark, sf_dir))
+    readings = tank_readings(msgs, PREFIX)
+    rows = fplan.forecast(msgs, weather).drop("forecast", "forecast_r2", "weather_found")
+    rows = M.with_weather_at_horizon(rows, weather, rows_cover=readings)
+    cover = readings.select("site_id", F.window("ts", "5 seconds").end.alias("window_end"))
+    return M.forecast_with_models(rows, models, ["site_id"], initial=M.DOCUMENTED_WEIGHTS, rows_cover=cover,
+                                  features=M.DOCUMENTED)
+
+
 def q_forecast_trained(spark, sf_dir):
     msgs, weather = _tank(spark, sf_dir), load_weather(spark, sf_dir)
     stats = M.train_statistics(_pairs(spark, sf_dir), ["site_id"], scale=TEST_SCALE)
@@ -363,4 +387,6 @@ QUERIES: dict[str, Query] = {
     "train_first_batch": q_train_first_batch,
     "train_weights_global": q_train_weights_global,
     "forecast_trained": q_forecast_trained,
+    "train_weights_documented": q_train_weights_documented,
+    "forecast_documented": q_forecast_documented,
 }

@@ -1,8 +1,8 @@
 """Registered queries of the streaming flows and of the log reader and writer.
 
 Each stream reads the whole ``events`` table through the message view as a file
-stream, runs until everything present is processed (``availableNow``), and
-returns the rows it wrote.  Outputs and checkpoints lie in a folder of their own
+stream of at least twelve micro-batches (``_split_log``), runs until everything
+present is processed (``availableNow``), and returns the rows it wrote.  Outputs and checkpoints lie in a folder of their own
 under ``spark.checkpoint.dir``.  Windowed flows return final windows only: those
 that ended by the watermark, ten minutes before the newest reading.
 """
@@ -25,32 +25,30 @@ from tankcast.streaming import stateful as SF
 from tankcast.streaming import streams as ST
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = X.load_table(spark, sf_dir, "events").schema
-    # a pattern, as a file stream takes a plain path for a folder, and the table may be one file
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
-    return X.messages_view(events).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 #: Files of a split log, and rows of one at most.
 PARTS, PART_ROWS = 12, 2_000_000
 _LOGS: dict[tuple[str, str], str] = {}
 
 
-def _split_log(spark: SparkSession, sf_dir: str) -> str:
-    """``events`` as files by time, the older ones written first: a stream that
-    takes one file a trigger sees the log in many micro-batches.  Written once
-    an application and table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _split_log(spark: SparkSession, sf_dir: str, order: str = "time") -> str:
+    """``events`` as files, the earlier ones written first: a stream that takes
+    one file a trigger sees the log in many micro-batches.  Files go by time; by
+    ``jittered`` time, where a row arrives up to six hours late; or by
+    ``remainder`` of the id, where any row may come at any time.  Written once an
+    application and table."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} {order}")
     if key not in _LOGS:
         base = scratch_path(spark, f"live/events-{uuid.uuid4().hex}")
         events = X.load_table(spark, sf_dir, "events")
         n, lo, hi = events.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
         parts = max(PARTS, -(-n // PART_ROWS))
         width = max((hi - lo).total_seconds() / parts, 1e-6) if n else 1.0
+        late = F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600)) if order == "jittered" else F.lit(0)
+        since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp"))) / 1e6
         # a row without a time goes with the oldest
-        part = F.floor(F.coalesce(F.least((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(
-            F.lit(lo).cast("timestamp"))) / F.lit(width * 1e6), F.lit(parts - 1)), F.lit(0))).cast("int")
+        part = F.floor(F.coalesce(F.least((since + late) / width, F.lit(parts - 1)), F.lit(0))).cast("int")
+        if order == "remainder":
+            part = F.pmod(F.col("event_id"), F.lit(PARTS)).cast("int")
         staged = f"{base}/staged"
         events.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(staged)
         for [k] in sorted(spark.read.parquet(staged).select("part").distinct().collect()):
@@ -60,14 +58,22 @@ def _split_log(spark: SparkSession, sf_dir: str) -> str:
     return _LOGS[key]
 
 
-def _log_stream(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def _log_stream(spark: SparkSession, sf_dir: str, order: str = "time", path: str | None = None) -> DataFrame:
     """The split log's events, one file a micro-batch, with a time that can carry a watermark."""
     schema = X.load_table(spark, sf_dir, "events").schema
     events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .parquet(path or _split_log(spark, sf_dir)))
+              .parquet(path or _split_log(spark, sf_dir, order)))
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _messages(spark: SparkSession, sf_dir: str, order: str = "time") -> DataFrame:
+    return X.messages_view(_log_stream(spark, sf_dir, order))
+
+
+def _values(spark: SparkSession, sf_dir: str, order: str = "time") -> DataFrame:
+    return _messages(spark, sf_dir, order).withColumn("value", parse_double("payload")).filter(F.col("value").isNotNull())
+
+
 def _run(spark: SparkSession, name: str, start: Callable[..., StreamingQuery], part: str = "") -> DataFrame:
     """Rows that the stream wrote (into sub-folder ``part``)."""
     tag = f"{name}-{uuid.uuid4().hex}"
@@ -105,8 +111,7 @@ def q_stream_control(spark, sf_dir):
 
 def q_stream_change(spark, sf_dir):
     """F6 on a stream."""
-    v = _messages(spark, sf_dir).withColumn("value", parse_double("payload"))
-    v = X.with_held_value(v).select("device_id", "ts", "msg_id", F.col("held_value").alias("value"))
+    v = X.with_held_value(_values(spark, sf_dir)).select("device_id", "ts", "msg_id", F.col("held_value").alias("value"))
     return _run(spark, "change", lambda **kw: ST.change_stream(v, **kw)).drop("batch_id").withColumnRenamed(
         "value", "held_value")
 
@@ -135,20 +140,79 @@ def q_weather_source(spark, sf_dir):
 
 def q_stream_tick_control(spark, sf_dir):
     """State, rules and cadence on every tick of every site, in micro-batches of one file."""
-    m = X.messages_view(_log_stream(spark, sf_dir))
     return _run(spark, "tick-control", lambda **kw: SF.tick_control_stream(
-        m, prefix=PREFIX, tick="1 hour", **kw)).drop("batch_id")
+        _messages(spark, sf_dir), prefix=PREFIX, tick="1 hour", **kw)).drop("batch_id")
 
 
 def q_stream_weather_enrich(spark, sf_dir):
     """J1 with readings and weather both streaming, each in micro-batches of one file."""
-    m = X.messages_view(_log_stream(spark, sf_dir))
-    w = X.weather_view(_log_stream(spark, sf_dir))
+    m, w = _messages(spark, sf_dir), X.weather_view(_log_stream(spark, sf_dir))
     return _run(spark, "weather-enrich", lambda **kw: SF.weather_enrich_stream(
         m, w, prefix=PREFIX, **kw)).drop("batch_id")
 
 
+def q_stream_extremes(spark, sf_dir):
+    """A4 on a stream."""
+    v = X.with_reset_flags(_values(spark, sf_dir)).select("device_id", "ts", "msg_id", "value", "is_reset")
+    return _run(spark, "extremes", lambda **kw: ST.extremes_stream(v, **kw)).drop("batch_id")
+
+
+def q_stream_sample(spark, sf_dir):
+    """W4 on a stream, with the interval that thins the sparse test series."""
+    v = _values(spark, sf_dir).select("device_id", "ts", "msg_id", "value")
+    return _run(spark, "sample", lambda **kw: ST.sample_stream(
+        v, interval="2 hours", segment="6 hours", **kw)).drop("batch_id")
+
+
+def q_stream_history(spark, sf_dir):
+    """W3 on a stream: each series' chart is the one emitted last."""
+    out = _run(spark, "history", lambda **kw: ST.history_stream(
+        _messages(spark, sf_dir), max_age="48 hours", **kw))
+    last = out.groupBy("site_id", "topic").agg(F.max("batch_id").alias("batch_id"))
+    return out.join(last, ["site_id", "topic", "batch_id"]).drop("batch_id")
+
+
+def q_stream_late_rows(spark, sf_dir):
+    """Rows kept and late per batch, of messages that arrive in any order."""
+    return _run(spark, "late", lambda **kw: ST.late_rows_stream(
+        _messages(spark, sf_dir, "remainder"), watermark="8 hours", **kw), "/counts").select(
+        F.col("batch_id").cast("bigint").alias("batch_id"), "n_kept", "n_late")
+
+
+def q_stream_change_log(spark, sf_dir):
+    """F6 with corrections: the sum of a changelog over messages up to six hours late."""
+    v = X.with_held_value(_values(spark, sf_dir, "jittered")).select(
+        "device_id", "ts", "msg_id", F.col("held_value").alias("value"))
+    out = _run(spark, "change-log", lambda **kw: ST.change_log_stream(v, watermark="7 hours", **kw), "/changes")
+    return (out.groupBy("device_id", "ts", "msg_id", "value", "previous_value").agg(F.sum("op").alias("op"))
+            .filter("op != 0").select("device_id", "ts", "msg_id", F.col("value").alias("held_value"), "previous_value"))
+
+
+def q_stream_restart(spark, sf_dir):
+    """T4: the live tick stopped with half of the log, and started again from
+    its checkpoint when the other half is there."""
+    whole = _split_log(spark, sf_dir)
+    base = scratch_path(spark, f"live/restart-{uuid.uuid4().hex}")
+    schema = X.load_table(spark, sf_dir, "events").schema
+    files = (spark.read.schema(schema).parquet(whole).select("_metadata.file_path", "_metadata.file_modification_time")
+             .distinct().orderBy("file_modification_time", "file_path").collect())
+    half = len(files) // 2
+    for some in (files[:half], files[half:]):
+        for f in some:
+            spark.read.schema(schema).parquet(f.file_path).coalesce(1).write.mode("append").parquet(f"{base}/log")
+        m = X.messages_view(_log_stream(spark, sf_dir, path=f"{base}/log"))
+        SF.tick_control_stream(m, f"{base}/out", prefix=PREFIX, tick="1 hour", checkpoint=f"{base}/state",
+                               trigger={"availableNow": True}, name=f"restart-{uuid.uuid4().hex}").awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
 QUERIES: dict[str, Query] = {
+    "stream_extremes": q_stream_extremes,
+    "stream_sample": q_stream_sample,
+    "stream_history": q_stream_history,
+    "stream_late_rows": q_stream_late_rows,
+    "stream_change_log": q_stream_change_log,
+    "stream_restart": q_stream_restart,
     "stream_tick_control": q_stream_tick_control,
     "stream_weather_enrich": q_stream_weather_enrich,
     "stream_forecast": q_stream_forecast,

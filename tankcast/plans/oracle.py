@@ -188,10 +188,21 @@ _PAIR_COLS = ("site_id, label_pane, feature_pane, tank_temperature, weather_temp
               "weather_humidity, weather_wind, label")
 _SCALE = (500.0, 500.0, 100.0, 10.0)
 _FEATS = ("tank_temperature", "weather_temperature", "weather_humidity", "weather_wind")
-_X = [f"({c} / CAST({d} AS DOUBLE))" for c, d in zip(_FEATS, _SCALE)]
-_STATS = ", ".join(["CAST(count(*) AS BIGINT) AS n"]
-                   + [f"sum({_X[i]} * {_X[j]}) AS xx_{i}{j}" for i in range(4) for j in range(i, 4)]
-                   + [f"sum({_X[i]} * label) AS xy_{i}" for i in range(4)])
+_DOC_FEATS = (*_FEATS, "current_temperature", "current_humidity", "current_wind")
+_DOC_SCALE = (*_SCALE, 500.0, 100.0, 10.0)
+_START = ("CAST(1.0 AS DOUBLE)", "CAST(1.0 AS DOUBLE)", "CAST(0.1 AS DOUBLE)", "CAST(0.2 AS DOUBLE)",
+          *["CAST(0.0 AS DOUBLE)"] * 3)
+_WEIGHTS = ("w_tank", "w_temp", "w_hum", "w_wind", "w_current_temp", "w_current_hum", "w_current_wind")
+
+
+def _stats_sql(feats=_FEATS, scale=_SCALE) -> str:
+    x = [f"({c} / CAST({d} AS DOUBLE))" for c, d in zip(feats, scale)]
+    d = range(len(x))
+    return ", ".join(["CAST(count(*) AS BIGINT) AS n"] + [f"sum({x[i]} * {x[j]}) AS xx_{i}{j}" for i in d for j in d if j >= i]
+                     + [f"sum({x[i]} * label) AS xy_{i}" for i in d])
+
+
+_STATS = _stats_sql()
 
 SQL: dict[str, str] = {
     "forecast_default": FORECAST_DEFAULT,
@@ -368,22 +379,20 @@ def _sgd_sql() -> str:
     ctes = [READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS,
             f"""st AS (SELECT site_id, label_pane AS batch, {_STATS} FROM pairs
                WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY site_id, label_pane)""",
-            """fb AS (SELECT * FROM st WHERE (site_id, batch) IN
-               (SELECT (site_id, min(batch)) FROM st GROUP BY site_id))""",
+            "fb AS (SELECT * FROM st)",
             f"""it AS (
-               SELECT site_id, 0 AS i, {init[0]} AS w0, {init[1]} AS w1, {init[2]} AS w2,
+               SELECT site_id, batch, 0 AS i, {init[0]} AS w0, {init[1]} AS w1, {init[2]} AS w2,
                       {init[3]} AS w3, FALSE AS done FROM fb
                UNION ALL
-               SELECT s.site_id, s.i + 1, s.n0, s.n1, s.n2, s.n3,
+               SELECT s.site_id, s.batch, s.i + 1, s.n0, s.n1, s.n2, s.n3,
                       (s.i + 1 >= 2 AND sqrt({diff}) < CAST(0.001 AS DOUBLE) * greatest(sqrt({norm}), 1.0))
-               FROM (SELECT it.*, {", ".join(new)} FROM it JOIN fb ON it.site_id = fb.site_id
+               FROM (SELECT it.*, {", ".join(new)} FROM it JOIN fb ON it.site_id = fb.site_id AND it.batch = fb.batch
                      WHERE NOT it.done AND it.i < 50) s)"""]
     return "WITH RECURSIVE " + ",\n".join([MESSAGES, WEATHER, *ctes]) + """
-SELECT it.site_id, fb.batch + INTERVAL '30 minutes' AS version_ts,
+SELECT it.site_id, it.batch + INTERVAL '30 minutes' AS version_ts,
        round(w0 / 500.0, 4) AS w_tank, round(w1 / 500.0, 4) AS w_temp,
        round(w2 / 100.0, 4) AS w_hum, round(w3 / 10.0, 4) AS w_wind
-FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY i DESC) AS rn FROM it) it
-JOIN fb ON it.site_id = fb.site_id
+FROM (SELECT *, row_number() OVER (PARTITION BY site_id, batch ORDER BY i DESC) AS rn FROM it) it
 WHERE rn = 1"""
 
 
@@ -410,26 +419,24 @@ SQL["min_interval_sample_5s"] = _sample_sql("5 seconds")
 SQL["control_state_1m"] = _held_sql(_HELD, "1 minute", 60) + _CTRL_RULES + _CTRL_COLS
 
 
-def _fold_ctes(key: str = "site_id", key_expr: str = "site_id") -> list[str]:
+def _fold_ctes(key: str = "site_id", key_expr: str = "site_id", feats=_FEATS, scale=_SCALE) -> list[str]:
     """The whole SGD fold (M2) as one recursive CTE: a state (batch k, step i,
     weights) moves one gradient step per level, and to the next batch when it
     converges or after 50 steps.  Same float operations, same order as the
     Spark-side fold, so the weights agree exactly."""
-    init = ("CAST(1.0 AS DOUBLE) * 500.0", "CAST(1.0 AS DOUBLE) * 500.0",
-            "CAST(0.1 AS DOUBLE) * 100.0", "CAST(0.2 AS DOUBLE) * 10.0")
-    idx = [(i, j) for i in range(4) for j in range(i, 4)]
-    norm_cols = ", ".join([f"xx_{i}{j} / n AS s{i}{j}" for i, j in idx] + [f"xy_{i} / n AS b{i}" for i in range(4)])
+    d = range(len(feats))
+    init = ", ".join(f"{_START[k]} * {scale[k]} AS w{k}" for k in d)
+    norm_cols = ", ".join([f"xx_{i}{j} / n AS s{i}{j}" for i in d for j in d if j >= i] + [f"xy_{i} / n AS b{i}" for i in d])
 
     def sv(i, j):
         return f"bn.s{min(i, j)}{max(i, j)}"
-    grads = [" + ".join(f"{sv(k, j)} * it.w{j}" for j in range(4)) + f" - bn.b{k}" for k in range(4)]
-    new = ", ".join(f"it.w{k} - (CAST(0.1 AS DOUBLE) / sqrt(it.i + 1)) * ({grads[k]}) AS n{k}"
-                    for k in range(4))
-    diff = " + ".join(f"(x.n{k} - x.w{k}) * (x.n{k} - x.w{k})" for k in range(4))
-    norm = " + ".join(f"x.n{k} * x.n{k}" for k in range(4))
+    grads = [" + ".join(f"{sv(k, j)} * it.w{j}" for j in d) + f" - bn.b{k}" for k in d]
+    new = ", ".join(f"it.w{k} - (CAST(0.1 AS DOUBLE) / sqrt(it.i + 1)) * ({grads[k]}) AS n{k}" for k in d)
+    diff = " + ".join(f"(x.n{k} - x.w{k}) * (x.n{k} - x.w{k})" for k in d)
+    norm = " + ".join(f"x.n{k} * x.n{k}" for k in d)
     done = f"(x.i + 1 >= 2 AND sqrt({diff}) < CAST(0.001 AS DOUBLE) * greatest(sqrt({norm}), 1.0)) OR x.i + 1 >= 50"
     ctes = [READINGS, PANE_NEWEST, PANE_ENRICHED, PAIRS,
-            f"""st AS (SELECT {key_expr} AS {key}, label_pane AS batch, {_STATS} FROM pairs
+            f"""st AS (SELECT {key_expr} AS {key}, label_pane AS batch, {_stats_sql(feats, scale)} FROM pairs
                WHERE NOT isnan(label) AND label IS NOT NULL GROUP BY 1, label_pane)""",
             f"""bn AS (SELECT {key}, batch, n,
                row_number() OVER (PARTITION BY {key} ORDER BY batch) AS k,
@@ -437,17 +444,16 @@ def _fold_ctes(key: str = "site_id", key_expr: str = "site_id") -> list[str]:
                CAST(sum(n) OVER (PARTITION BY {key} ORDER BY batch ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_total,
                {norm_cols} FROM st)""",
             f"""it AS (
-               SELECT {key}, CAST(1 AS BIGINT) AS k, 0 AS i, {init[0]} AS w0, {init[1]} AS w1,
-                      {init[2]} AS w2, {init[3]} AS w3 FROM bn WHERE k = 1
+               SELECT {key}, CAST(1 AS BIGINT) AS k, 0 AS i, {init} FROM bn WHERE k = 1
                UNION ALL
                SELECT x.{key},
                       CASE WHEN {done} THEN x.k + 1 ELSE x.k END,
                       CASE WHEN {done} THEN 0 ELSE x.i + 1 END,
-                      x.n0, x.n1, x.n2, x.n3
+                      {", ".join(f"x.n{k}" for k in d)}
                FROM (SELECT it.*, {new} FROM it JOIN bn ON it.{key} = bn.{key} AND it.k = bn.k) x)"""]
     ctes.append(f"""models AS (
-  SELECT it.{key}, w0 / 500.0 AS w_tank, w1 / 500.0 AS w_temp, w2 / 100.0 AS w_hum,
-         w3 / 10.0 AS w_wind, CAST(0.0 AS DOUBLE) AS intercept, bn.n_total AS n,
+  SELECT it.{key}, {", ".join(f"w{k} / {scale[k]} AS {_WEIGHTS[k]}" for k in d)},
+         CAST(0.0 AS DOUBLE) AS intercept, bn.n_total AS n,
          bn.batch + INTERVAL '30 minutes' AS version_ts
   FROM it JOIN bn ON it.{key} = bn.{key} AND it.k = bn.k + 1
   WHERE it.i = 0)""")
@@ -473,6 +479,27 @@ SELECT e.*, COALESCE(m.w_tank, 1.0) AS w_tank, COALESCE(m.w_temp, 1.0) AS w_temp
 FROM enriched e ASOF LEFT JOIN models m ON e.site_id = m.site_id AND e.window_end >= m.version_ts"""
 
 
+def _documented_sql(scored: bool) -> str:
+    """The seven-feature model, and each 5 s window scored with its newest
+    version and the weather three hours after the reading."""
+    ctes = [MESSAGES, WEATHER, *_fold_ctes(feats=_DOC_FEATS, scale=_DOC_SCALE)]
+    if not scored:
+        return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT site_id, {", ".join(_WEIGHTS)}, intercept, n, version_ts FROM models"""
+    ctes += [NEWEST_5S, ENRICHED, """later AS (
+  SELECT e.* EXCLUDE (weather_found), COALESCE(w.temperature, 0.0) AS current_temperature,
+         COALESCE(w.humidity, 0.0) AS current_humidity, COALESCE(w.wind, 0.0) AS current_wind
+  FROM enriched e ASOF LEFT JOIN weather w ON e.site_id = w.site_id AND e.ts + INTERVAL '3 hours' >= w.ts)"""]
+    w = [f"COALESCE(m.{n}, {s})" for n, s in zip(_WEIGHTS, _START)]
+    f = " + ".join(f"e.{c} * {x}" for c, x in zip(_DOC_FEATS, w)) + " + COALESCE(m.intercept, 0.0)"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT e.*, {", ".join(f"{x} AS {n}" for n, x in zip(_WEIGHTS, w))},
+       COALESCE(m.intercept, 0.0) AS intercept, m.version_ts AS model_version_ts, {f} AS forecast, {r2(f)} AS forecast_r2
+FROM later e ASOF LEFT JOIN models m ON e.site_id = m.site_id AND e.window_end >= m.version_ts"""
+
+
+SQL["train_weights_documented"] = _documented_sql(False)
+SQL["forecast_documented"] = _documented_sql(True)
 SQL["train_weights"] = _fold_sql()
 SQL["forecast_trained"] = _forecast_trained_sql()
 
@@ -537,3 +564,19 @@ SQL |= {
   SELECT date_trunc('milliseconds', least(max(ts) FILTER (WHERE event_type = 'view' AND value IS NOT NULL),
          max(ts) FILTER (WHERE event_type = 'error'))) - INTERVAL '10 minutes' FROM events)""",
 }
+
+
+SQL |= {
+    "stream_extremes": SQL["min_max_since_reset"],
+    "stream_sample": SQL["min_interval_sample"],
+    "stream_history": SQL["history_window"],
+    "stream_change_log": SQL["change_only"],
+    "stream_restart": SQL["stream_tick_control"],
+    # a batch's watermark lies eight hours before the newest time of the batches before it
+    "stream_late_rows": """
+WITH e AS (SELECT event_id % 12 AS batch_id, ts FROM events),
+b AS (SELECT batch_id, max(max(ts)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+             - INTERVAL '8 hours' AS passed FROM e GROUP BY batch_id)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) FILTER (WHERE passed IS NULL OR ts IS NULL OR ts > passed) AS n_kept,
+       count(*) FILTER (WHERE ts <= passed) AS n_late FROM e JOIN b USING (batch_id) GROUP BY batch_id""",
+}

@@ -5,11 +5,13 @@ training flows (T1-T6).
   not processing time.
 * Windowed aggregates run in append mode: a window is emitted once, when the
   watermark passes its end, so every downstream step sees final rows.
-* Gateway and sensor held values: a micro-batch is a segmented scan in Spark,
-  and only each key's newest value is carried to the next batch, as files under
-  the checkpoint.  Other per-key state (extremes, samples, chart history) lives
-  in ``applyInPandasWithState``; there a key's rows per micro-batch are bounded
-  by the trigger size only.
+* Flows over an ordered series (held values, extremes, samples, chart history,
+  training) compute a micro-batch with the batch operators, whose scans split a
+  busy key by time.  What a key hands to the next batch (its newest value, its
+  extremes, its last sample, at most k points, its model and last panes) is a
+  small table under the checkpoint (``_carried``), rewritten each batch, so that
+  a batch reads as much as its keys need and never its own history.
+* Flows with event-time timers are in ``tankcast.streaming.stateful``.
 * Every query has a checkpoint under the shared ``spark.checkpoint.dir``;
   ``foreachBatch`` sinks write per ``batch_id`` so a replay is idempotent.
 * A micro-batch is computed once: flows that use its rows several times write
@@ -18,24 +20,23 @@ training flows (T1-T6).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
 from tankcast.functions.payload import DEFAULT_WEIGHTS, parse_double
 from tankcast.operators import control as C
 from tankcast.operators import training as M
 from tankcast.operators.forecast import enrich_with_weather, predict, quarantine
-from tankcast.operators.segmented import asof_fill
+from tankcast.operators.sampling import min_interval_sample
+from tankcast.operators.segmented import asof_fill, running_extremes_since_reset
 from tankcast.operators.sensors import change_only
 from tankcast.operators.topics import publish
+from tankcast.operators.views import history_window
 from tankcast.operators.windows import last_in_window
 from tankcast.session import scratch_path, ship_package
 from tankcast.streaming.sinks import staged, write_batch
@@ -59,6 +60,23 @@ def _start(df: DataFrame, name: str, checkpoint: str | None, trigger: dict | Non
     return w.start()
 
 
+def _base(df: DataFrame, checkpoint: str | None, name: str) -> str:
+    return checkpoint or scratch_path(df.sparkSession, f"streams/{name}")
+
+
+def _carried(spark: SparkSession, checkpoint: str, batch_id: int, schema: str, name: str = "carried") -> DataFrame:
+    """What the batch before handed on; nothing, for the first one.  The tables
+    lie in two folders taken in turn: a replayed batch overwrites its own and
+    still finds that of its predecessor, so every batch must hand one on."""
+    if not batch_id:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{checkpoint.rstrip('/')}/{name}/batch_id={(batch_id - 1) % 2}")
+
+
+def _carry(df: DataFrame, checkpoint: str, batch_id: int, name: str = "carried") -> None:
+    write_batch(df, f"{checkpoint.rstrip('/')}/{name}", batch_id % 2)
+
+
 def _readings(messages: DataFrame, prefix: str) -> DataFrame:
     return (messages.filter(F.col("topic") == f"{prefix}/tank/temperature")
             .select("msg_id", "device_id", "site_id", "ts",
@@ -138,17 +156,20 @@ def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
                    length: str = "3 hours", slide: str = "30 minutes",
                    watermark: str = WATERMARK, checkpoint: str | None = None,
                    trigger: dict | None = None, name: str = "sliding") -> StreamingQuery:
-    """Newest and oldest tank reading per site and sliding window, emitted
-    once per window when the watermark passes its end (T2).  In a stream the
-    state holds one aggregate per open window, so the built-in sliding window
-    is used directly."""
+    """Newest and oldest tank reading per site and sliding window, emitted once
+    per window when the watermark passes its end (T2).
+
+    Two stateful operators in a row: a reading enters one pane, as long as the
+    slide; a final pane (a row) enters the windows that hold it.  State is a row
+    an open pane and window, and readings are never copied."""
     r = _readings(messages, prefix).withWatermark("ts", watermark)
-    ordk = F.struct("ts", "msg_id")
-    row = F.struct(F.col("ts").alias("ts"), F.col("msg_id").alias("id"),
-                   F.col("tank_temperature").alias("v"))
-    agg = (r.groupBy("site_id", F.window("ts", length, slide).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n"), F.max_by(row, ordk).alias("nw"),
-                 F.min_by(row, ordk).alias("od")))
+    row = F.struct(F.col("ts").alias("ts"), F.col("msg_id").alias("id"), F.col("tank_temperature").alias("v"))
+    panes = (r.groupBy("site_id", F.window("ts", slide).alias("p"))
+             .agg(F.count(F.lit(1)).alias("n"), F.max_by(row, F.struct("ts", "msg_id")).alias("newest"),
+                  F.min_by(row, F.struct("ts", "msg_id")).alias("oldest")))
+    agg = (panes.groupBy("site_id", F.window(F.window_time("p"), length, slide).alias("w"))
+           .agg(F.sum("n").alias("n"), F.max_by("newest", F.struct("newest.ts", "newest.id")).alias("nw"),
+                F.min_by("oldest", F.struct("oldest.ts", "oldest.id")).alias("od")))
     out = agg.select("site_id", F.col("w.start").alias("window_start"),
                      F.col("w.end").alias("window_end"), "n",
                      F.col("nw.ts").alias("newest_ts"), F.col("nw.id").alias("newest_id"),
@@ -164,75 +185,64 @@ def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
 
 # --- A4 and W4 on a stream: per-device running state ---------------------------------
 
-EXTREMES_OUT = ("device_id bigint, ts timestamp, msg_id bigint, value double, is_reset boolean, "
-                "min_since_reset double, max_since_reset double, reset_epoch bigint")
-
-
-def _extremes_fn():
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        mn, mx, ep = state.get if state.exists else (np.nan, np.nan, 0)
-        local = rows["is_reset"].fillna(False).astype(int).cumsum().to_numpy()
-        v = rows["value"].to_numpy(dtype=float)
-        lo, hi = np.empty(len(v)), np.empty(len(v))
-        for e in np.unique(local):  # runs between resets within this batch
-            idx = np.flatnonzero(local == e)
-            seed_lo, seed_hi = (mn, mx) if e == 0 else (np.nan, np.nan)
-            lo[idx] = np.fmin.accumulate(np.r_[seed_lo, v[idx]])[1:]
-            hi[idx] = np.fmax.accumulate(np.r_[seed_hi, v[idx]])[1:]
-        out = rows.assign(device_id=key[0], min_since_reset=lo, max_since_reset=hi,
-                          reset_epoch=(ep + local).astype("int64"))
-        if len(rows):
-            state.update((float(lo[-1]), float(hi[-1]), int(ep + local[-1])))
-        yield out[[c.split()[0] for c in EXTREMES_OUT.split(", ")]]
-    return fn
+EXTREMES = "device_id bigint, mn double, mx double, ep bigint"
+SAMPLED = "device_id bigint, last timestamp_ntz"
 
 
 def extremes_stream(values: DataFrame, out_path: str, checkpoint: str | None = None,
                     trigger: dict | None = None, name: str = "extremes") -> StreamingQuery:
-    """A4 live: ``values`` is streaming (device_id, ts, msg_id, value, is_reset);
-    state per device is (min, max, resets so far)."""
-    out = values.groupBy("device_id").applyInPandasWithState(
-        _extremes_fn(), EXTREMES_OUT, "mn double, mx double, ep bigint", "append",
-        GroupStateTimeout.NoTimeout)
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
-
-    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+    """A4 live: ``values`` is streaming (device_id, ts, msg_id, value, is_reset).
 
+    A device hands on its (min, max, resets so far).  In the next batch these are
+    two rows before all others, the minimum counting as so many resets and the
+    maximum as none, and the batch operator goes on from them by its own rules
+    (a maximum of NaN stays)."""
+    spark, checkpoint = values.sparkSession, _base(values, checkpoint, name)
+    v = values.select("device_id", "ts", "msg_id", F.col("value").cast("double").alias("value"), "is_reset")
 
-def _sample_fn(iv: int):
-    from tankcast.operators.sampling import _next_pointers
+    def batch(df: DataFrame, batch_id: int) -> None:
+        rows = staged(to_ntz(df, "ts").withColumns({"side": F.lit(1), "resets": F.coalesce(F.col("is_reset").cast("int"), F.lit(0))}),
+                      f"{checkpoint}/rows", batch_id % 2)
+        before = _carried(spark, checkpoint, batch_id, EXTREMES).select(
+            "device_id", F.posexplode(F.array(F.struct(F.col("mn").alias("value"), F.col("ep").alias("resets")),
+                                              F.struct(F.col("mx").alias("value"), F.lit(0).cast("bigint").alias("resets")))))
+        before = before.select("device_id", F.col("pos").cast("bigint").alias("msg_id"), "col.value",
+                               F.col("col.resets").cast("int").alias("resets"), F.lit(0).alias("side"))
+        out = running_extremes_since_reset(rows.unionByName(before, allowMissingColumns=True), ["device_id"],
+                                           ["ts", "side", "msg_id"], "value", "resets")
+        out = staged(out, f"{checkpoint}/out", batch_id % 2)  # the carried rows and the result come from one scan
+        write_batch(out.filter("side = 1").drop("side", "resets"), out_path, batch_id)
+        last = F.struct(F.col("min_since_reset").alias("mn"), F.col("max_since_reset").alias("mx"), F.col("reset_epoch").alias("ep"))
+        _carry(out.groupBy("device_id").agg(F.max_by(last, F.struct("side", "ts", "msg_id")).alias("l")).select("device_id", "l.*"),
+               checkpoint, batch_id)
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"], kind="mergesort")
-        t = rows["ts"].values.astype("datetime64[us]").astype("int64")
-        last = state.get[0] if state.exists else None
-        i = 0 if last is None else int(np.searchsorted(t, last + iv, side="right"))
-        nxt, take = _next_pointers(t, iv), []
-        while i < len(t):
-            take.append(i)
-            i = int(nxt[i])
-        if take:
-            state.update((int(t[take[-1]]),))
-        yield rows.iloc[take].assign(device_id=key[0])[["device_id", "ts", "msg_id", "value"]]
-    return fn
+    return _start(v, name, checkpoint, trigger, batch_fn=batch)
 
 
 def sample_stream(values: DataFrame, out_path: str, interval: str = "5 seconds",
                   checkpoint: str | None = None, trigger: dict | None = None,
-                  name: str = "sample") -> StreamingQuery:
-    """W4 live: state per device is the time of the last kept reading."""
-    out = values.groupBy("device_id").applyInPandasWithState(
-        _sample_fn(M._seconds(interval) * 1_000_000),
-        "device_id bigint, ts timestamp, msg_id bigint, value double", "last_us bigint", "append",
-        GroupStateTimeout.NoTimeout)
+                  name: str = "sample", segment: str = "1 hour") -> StreamingQuery:
+    """W4 live: a device hands on the time of its last kept reading.  Readings
+    up to one interval after it go (late ones, too); the batch operator samples
+    the rest, a busy device in parallel by segments.  Readings without a time
+    are kept, as in batch."""
+    spark, checkpoint = values.sparkSession, _base(values, checkpoint, name)
+    after = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(interval)})")
+    v = values.select("device_id", "ts", "msg_id", F.col("value").cast("double").alias("value"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+        rows = staged(to_ntz(df, "ts").withColumn("side", F.lit(1)), f"{checkpoint}/rows", batch_id % 2)
+        before = _carried(spark, checkpoint, batch_id, SAMPLED)
+        both = rows.unionByName(before.withColumn("side", F.lit(0)), allowMissingColumns=True)
+        known = asof_fill(both, ["device_id"], ["ts", "side", "msg_id"], {"held": "last"}).filter("side = 1")
+        due = known.filter(F.col("held").isNull() | F.col("ts").isNull() | (F.col("ts") > F.col("held") + after))
+        kept = min_interval_sample(due.select("device_id", "ts", "msg_id", "value"), ["device_id"], "ts", "msg_id",
+                                   interval, segment)
+        kept = staged(kept, out_path, batch_id)
+        _carry(kept.select("device_id", F.col("ts").alias("last")).unionByName(before)
+               .groupBy("device_id").agg(F.max("last").alias("last")), checkpoint, batch_id)
 
-    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+    return _start(v, name, checkpoint, trigger, batch_fn=batch)
 
 
 # --- A3 on a stream: latest value per topic -----------------------------------------
@@ -257,49 +267,32 @@ def latest_stream(messages: DataFrame, out_path: str, checkpoint: str | None = N
 
 # --- W3 on a stream: live chart history ---------------------------------------------
 
-HISTORY_OUT = ("site_id int, topic string, ts timestamp, msg_id bigint, value double, "
-               "point_rank bigint")
-HISTORY_STATE = "ts_us array<bigint>, ids array<bigint>, vals array<double>"
-
-
-def _history_fn(max_points: int, max_age_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(pdfs), ignore_index=True)
-        cur = pd.DataFrame({"ts_us": new["ts"].values.astype("datetime64[us]").astype("int64"),
-                            "msg_id": new["msg_id"].astype("int64"),
-                            "value": new["value"].astype("float64")})
-        if state.exists:
-            t, i, v = state.get
-            cur = pd.concat([pd.DataFrame({"ts_us": list(t), "msg_id": list(i), "value": list(v)}), cur],
-                            ignore_index=True)
-        # newest first; keep max_points within max_age of the newest point
-        cur = cur.sort_values(["ts_us", "msg_id"], ascending=False, kind="mergesort")
-        cur = cur[cur["ts_us"] >= cur["ts_us"].iloc[0] - max_age_us].head(max_points)
-        state.update((cur["ts_us"].tolist(), cur["msg_id"].tolist(), cur["value"].tolist()))
-        yield pd.DataFrame({"site_id": key[0], "topic": key[1],
-                            "ts": pd.to_datetime(cur["ts_us"].values, unit="us"),
-                            "msg_id": cur["msg_id"].values, "value": cur["value"].values,
-                            "point_rank": range(1, len(cur) + 1)})
-    return fn
+POINTS = "site_id int, topic string, ts timestamp_ntz, msg_id bigint, value double"
 
 
 def history_stream(messages: DataFrame, out_path: str, max_points: int = 100,
                    max_age: str = "1 hour", checkpoint: str | None = None,
                    trigger: dict | None = None, name: str = "history") -> StreamingQuery:
-    """W3 live: per series (site, topic) the state keeps at most ``max_points``
-    newest points within ``max_age`` of the newest one, so it is bounded
-    whatever the data volume.  Every micro-batch emits the current snapshot
-    of the series it touched (the newest batch_id per series is the chart)."""
+    """W3 live: a series (site, topic) hands on its at most ``max_points`` newest
+    points within ``max_age`` of the newest one.  They and the batch's points are
+    ranked by the batch operator, whose group limit lets at most that many rows
+    of a series leave a task.  Every micro-batch emits the chart of the series
+    that it touched (the newest batch_id per series is the chart)."""
+    spark, checkpoint = messages.sparkSession, _base(messages, checkpoint, name)
     vals = (messages.select("site_id", "topic", "ts", "msg_id", parse_double("payload").alias("value"))
             .filter(F.col("value").isNotNull()))
-    out = vals.groupBy("site_id", "topic").applyInPandasWithState(
-        _history_fn(max_points, M._seconds(max_age) * 1_000_000), HISTORY_OUT, HISTORY_STATE,
-        "append", GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_batch(to_ntz(df, "ts"), out_path, batch_id)
+        rows = staged(to_ntz(df, "ts"), f"{checkpoint}/rows", batch_id % 2)
+        points = rows.unionByName(_carried(spark, checkpoint, batch_id, POINTS))
+        chart = history_window(points, ["site_id", "topic"], "ts", "msg_id", max_points, max_age)
+        chart = staged(chart, f"{checkpoint}/charts", batch_id % 2)
+        _carry(chart.select("site_id", "topic", "ts", "msg_id", "value"), checkpoint, batch_id)
+        touched = rows.select("site_id", "topic").distinct()
+        write_batch(chart.join(touched, chart["site_id"].eqNullSafe(touched["site_id"])
+                               & chart["topic"].eqNullSafe(touched["topic"]), "left_semi"), out_path, batch_id)
 
-    return _start(out, name, checkpoint, trigger, batch_fn=batch)
+    return _start(vals, name, checkpoint, trigger, batch_fn=batch)
 
 
 # --- P2 on a stream: quarantine ---------------------------------------------------------
@@ -395,6 +388,10 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+RECENT = "site_id int, pane timestamp_ntz, " + ", ".join(f"{c} double" for c in M.FEATURES)
+MODELS = "site_id int, version_ts timestamp_ntz, state array<double>, n bigint"
+
+
 def training_stream(messages: DataFrame, weather: DataFrame | Callable[[], DataFrame], out_path: str,
                     prefix: str = "site", watermark: str = WATERMARK, scale=M.FEATURE_SCALE,
                     checkpoint: str | None = None, trigger: dict | None = None,
@@ -402,45 +399,142 @@ def training_stream(messages: DataFrame, weather: DataFrame | Callable[[], DataF
                     weather_lookback: str = WEATHER_LOOKBACK) -> StreamingQuery:
     """Final 30-minute panes (newest reading each) are enriched and stored;
     each new pane is the label of the pane three hours before it; the pairs of
-    a micro-batch are reduced to statistics and folded, warm-started from the
-    last committed model of each site, into new versions.  Panes and models
-    are written under ``batch_id=<n>`` and a replay ignores its own earlier
-    output, so it is idempotent."""
-    spark = messages.sparkSession
+    a micro-batch are reduced to statistics and folded, warm-started from each
+    site's model, into new versions.
+
+    A site hands on its newest model and the panes of its last three hours, so a
+    batch reads no older panes or models.  Panes and models are written under
+    ``batch_id=<n>``; a replay overwrites its own, so it is idempotent."""
+    spark, checkpoint = messages.sparkSession, _base(messages, checkpoint, name)
     r = _readings(messages, prefix).withWatermark("ts", watermark)
     panes = last_in_window(r, ["site_id"], "ts", "msg_id", M.PERIOD,
                            cols=["ts", "msg_id", "device_id", "tank_temperature"])
     panes_path, models_path = f"{out_path}/panes", f"{out_path}/models"
+    hz = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(M.HORIZON)})")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = to_ntz(df, "ts", "window_start").withColumnRenamed("window_start", "pane").drop("window_end")
         df = staged(df, f"{out_path}/windows", batch_id)
+        recent = _carried(spark, checkpoint, batch_id, RECENT, "panes")
+        held = _carried(spark, checkpoint, batch_id, MODELS, "models")
         if df.isEmpty():
+            _carry(recent, checkpoint, batch_id, "panes")
+            _carry(held, checkpoint, batch_id, "models")
             return
-        new, held = _enrich_batch(df, _current(weather), weather_lookback)
+        new, kept = _enrich_batch(df, _current(weather), weather_lookback)
         write_batch(new, panes_path, batch_id)
-        held.unpersist()
-        hz = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(M.HORIZON)})")
-        lo, hi = df.agg(F.min("pane"), F.max("pane")).first()
-        # only panes one horizon before this batch's panes can be features:
-        # the range filter reaches the scan, so history is skipped by min/max
-        stored = (spark.read.parquet(panes_path)
-                  .filter((F.col("batch_id") <= batch_id)
-                          & (F.col("pane") >= F.lit(lo) - hz) & (F.col("pane") <= F.lit(hi) - hz)))
-        feats = stored.select("site_id", (F.col("pane") + hz).alias("label_pane"),
-                              F.col("pane").alias("feature_pane"), *M.FEATURES)
-        labels = spark.read.parquet(panes_path).filter(F.col("batch_id") == batch_id).select(
-            "site_id", F.col("pane").alias("label_pane"), F.col("tank_temperature").alias("label"))
-        pairs = feats.join(labels, ["site_id", "label_pane"])
+        kept.unpersist()
+        new = spark.read.schema(new.schema).parquet(f"{panes_path}/batch_id={batch_id}")
+        known = new.select("site_id", "pane", *M.FEATURES).unionByName(recent)
+        pairs = known.select("site_id", (F.col("pane") + hz).alias("label_pane"), F.col("pane").alias("feature_pane"),
+                             *M.FEATURES).join(
+            new.select("site_id", F.col("pane").alias("label_pane"), F.col("tank_temperature").alias("label")),
+            ["site_id", "label_pane"])
         stats = M.train_statistics(pairs, ["site_id"], scale=scale)
-        models = _read_or_none(spark, models_path)
-        start = None
-        if models is not None:
-            prev = models.filter(F.col("batch_id") < batch_id)
-            start = (prev.groupBy("site_id")
-                     .agg(F.max_by(F.struct("w_tank", "w_temp", "w_hum", "w_wind"), "version_ts").alias("m"))
-                     .select("site_id", "m.*"))
-        versions = M.train_weights(stats, ["site_id"], scale=scale, start=start)
-        write_batch(versions, models_path, batch_id)
+        versions = M.train_weights(stats, ["site_id"], scale=scale, start=held, with_state=True)
+        versions = staged(versions, f"{checkpoint}/versions", batch_id % 2)
+        write_batch(versions.drop("state"), models_path, batch_id)
+        # a pane is needed until its site has one three hours later
+        newest = F.max("pane").over(Window.partitionBy("site_id"))
+        _carry(known.withColumn("newest", newest).filter(F.col("pane") > F.col("newest") - hz).drop("newest"),
+               checkpoint, batch_id, "panes")
+        weights = [c.split()[0] for c in MODELS.split(", ")[1:]]
+        _carry(versions.select("site_id", *weights).unionByName(held).groupBy("site_id")
+               .agg(F.max_by(F.struct(*weights), "version_ts").alias("m")).select("site_id", "m.*"),
+               checkpoint, batch_id, "models")
 
     return _start(panes, name, checkpoint, trigger, batch_fn=batch)
+
+
+# --- T2: rows behind the watermark -----------------------------------------------------
+
+def late_rows_stream(messages: DataFrame, out_path: str, watermark: str = WATERMARK, checkpoint: str | None = None,
+                     trigger: dict | None = None, name: str = "late-rows") -> StreamingQuery:
+    """Rows told apart before an operator would drop them: ``kept`` and ``late``
+    (time at or before the watermark that the earlier batches set), and a row a
+    batch in ``counts`` with the watermark and both numbers, which are observed
+    while the rows are written.  Rows without a time are kept."""
+    spark, checkpoint = messages.sparkSession, _base(messages, checkpoint, name)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        passed, newest = _watermark(spark, checkpoint, batch_id, watermark)
+        late = F.coalesce(F.col("ts") <= passed, F.lit(False))
+        seen = Observation()
+        rows = to_ntz(df, "ts").withColumn("late", late).observe(
+            seen, F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.max("ts").alias("newest"))
+        rows = staged(rows, f"{checkpoint}/rows", batch_id % 2)
+        write_batch(rows.filter(~F.col("late")).drop("late"), f"{out_path}/kept", batch_id)
+        write_batch(rows.filter("late").drop("late"), f"{out_path}/late", batch_id)
+        found = seen.get
+        counts = spark.range(1).select(passed.alias("watermark"), F.lit(found["n"] - found["n_late"]).cast("bigint").alias("n_kept"),
+                                       F.lit(found["n_late"]).cast("bigint").alias("n_late"))
+        write_batch(counts, f"{out_path}/counts", batch_id)
+        _carry_watermark(spark, checkpoint, batch_id, newest, found["newest"])
+
+    return _start(messages, name, checkpoint, trigger, batch_fn=batch)
+
+
+def _watermark(spark: SparkSession, checkpoint: str, batch_id: int, delay: str):
+    """The watermark set by the earlier batches (a null, before any), and their newest time."""
+    row = _carried(spark, checkpoint, batch_id, "newest timestamp_ntz", "watermark").first()
+    newest = row.newest if row else None
+    passed = F.lit(newest).cast("timestamp_ntz") - F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(delay)})")
+    return passed, newest
+
+
+def _carry_watermark(spark: SparkSession, checkpoint: str, batch_id: int, *times) -> None:
+    newest = max((t for t in times if t is not None), default=None)
+    _carry(spark.createDataFrame([(newest,)], "newest timestamp_ntz"), checkpoint, batch_id, "watermark")
+
+
+# --- F6 with corrections: a changelog ---------------------------------------------------
+
+RETAINED = "device_id bigint, ts timestamp_ntz, msg_id bigint, value double, side int"
+
+
+def change_log_stream(values: DataFrame, out_path: str, initial: float = 0.0, watermark: str = WATERMARK,
+                      checkpoint: str | None = None, trigger: dict | None = None,
+                      name: str = "change-log") -> StreamingQuery:
+    """F6 that restates: an older message arriving in a later batch, but within
+    the watermark, corrects what was emitted.  Output rows carry ``op``: 1 adds a
+    change, -1 takes one back that no longer holds; their sum over the batches is
+    the batch operator's result, whatever the order of arrival.
+
+    A device hands on its readings after the watermark and the value held there.
+    A batch computes the changes without and with its own rows and emits the
+    difference.  Rows behind the watermark go to ``<out_path>/late``."""
+    spark, checkpoint = values.sparkSession, _base(values, checkpoint, name)
+    v = (values.filter(F.col("value").isNotNull())
+         .select("device_id", "ts", "msg_id", F.col("value").cast("double").alias("value")))
+
+    def changes(rows: DataFrame, op: int) -> DataFrame:
+        out = change_only(rows, ["device_id"], ["ts", "side", "msg_id"], "value", initial)
+        return out.filter("side = 1").drop("side").withColumn("op", F.lit(op))
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        passed, newest = _watermark(spark, checkpoint, batch_id, watermark)
+        rows = staged(to_ntz(df, "ts").withColumn("late", F.coalesce(F.col("ts") <= passed, F.lit(False))),
+                      f"{checkpoint}/rows", batch_id % 2)
+        write_batch(rows.filter("late").drop("late"), f"{out_path}/late", batch_id)
+        own = rows.filter(~F.col("late")).drop("late").withColumn("side", F.lit(1))
+        # side 0, without a time: the value held where the watermark stands
+        before = _carried(spark, checkpoint, batch_id, RETAINED)
+        both = before.unionByName(own)
+        # only devices with rows of their own can differ
+        touched = own.select("device_id").distinct()
+        mine = before.join(touched, "device_id", "left_semi")
+        emitted = changes(mine, -1).unionByName(changes(mine.unionByName(own), 1))
+        columns = [c for c in emitted.columns if c != "op"]
+        write_batch(emitted.groupBy(*columns).agg(F.sum("op").cast("int").alias("op")).filter("op != 0"),
+                    f"{out_path}/changes", batch_id)
+        latest = max((t for t in (newest, rows.agg(F.max("ts")).first()[0]) if t is not None), default=None)
+        stands = F.lit(latest).cast("timestamp_ntz") - F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(watermark)})")
+        # rows without a time come first, as in batch, and are settled at once
+        settled = F.col("ts").isNull() | (F.col("ts") <= stands)
+        held = both.filter(settled).groupBy("device_id").agg(
+            F.max_by("value", F.struct("ts", "side", "msg_id")).alias("value"))
+        open_rows = both.filter(~settled)
+        _carry(open_rows.unionByName(held.withColumn("side", F.lit(0)), allowMissingColumns=True), checkpoint, batch_id)
+        _carry_watermark(spark, checkpoint, batch_id, latest)
+
+    return _start(v, name, checkpoint, trigger, batch_fn=batch)
