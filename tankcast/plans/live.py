@@ -23,6 +23,9 @@ from tankcast.sources import fixtures as X
 from tankcast.sources.messages import read_messages, read_weather, write_messages
 from tankcast.streaming import stateful as SF
 from tankcast.streaming import streams as ST
+from tankcast.streaming import topic_log as TL
+from tankcast.streaming.sinks import publish_batches
+from tankcast.streaming.sources import MESSAGE_SCHEMA
 
 
 #: Files of a split log, and rows of one at most.
@@ -188,6 +191,31 @@ def q_stream_change_log(spark, sf_dir):
             .filter("op != 0").select("device_id", "ts", "msg_id", F.col("value").alias("held_value"), "previous_value"))
 
 
+SUBSCRIBED = ["tank/temperature", "tank/forecast"]
+
+
+def _topic_log(spark, sf_dir) -> str:
+    """The messages published by the transactional sink, an epoch a micro-batch."""
+    base = scratch_path(spark, f"live/topic-log-{uuid.uuid4().hex}")
+    m = _messages(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    TL.write_topic_log(m, f"{base}/log", f"{base}/state", {"availableNow": True}).awaitTermination()
+    return f"{base}/log"
+
+
+def q_topic_log_sink(spark, sf_dir):
+    """Published in epochs, read back as committed, two topics only."""
+    return TL.read_topic_log(spark, _topic_log(spark, sf_dir), MESSAGE_SCHEMA, [f"{PREFIX}/{t}" for t in SUBSCRIBED])
+
+
+def q_topic_log_source(spark, sf_dir):
+    """A stream subscribed to two topics of the log, by offsets."""
+    log = _topic_log(spark, sf_dir)
+    m = TL.read_topic_log(spark, log, MESSAGE_SCHEMA, [f"{PREFIX}/{t}" for t in SUBSCRIBED], stream=True)
+    return _run(spark, "topic-source", lambda out_path, checkpoint, trigger, name: (
+        m.writeStream.foreachBatch(publish_batches(out_path)).option("checkpointLocation", checkpoint)
+        .trigger(**trigger).queryName(name).start())).drop("batch_id")
+
+
 def q_stream_restart(spark, sf_dir):
     """T4: the live tick stopped with half of the log, and started again from
     its checkpoint when the other half is there."""
@@ -213,6 +241,8 @@ QUERIES: dict[str, Query] = {
     "stream_late_rows": q_stream_late_rows,
     "stream_change_log": q_stream_change_log,
     "stream_restart": q_stream_restart,
+    "topic_log_sink": q_topic_log_sink,
+    "topic_log_source": q_topic_log_source,
     "stream_tick_control": q_stream_tick_control,
     "stream_weather_enrich": q_stream_weather_enrich,
     "stream_forecast": q_stream_forecast,

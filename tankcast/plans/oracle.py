@@ -580,3 +580,4 @@ b AS (SELECT batch_id, max(max(ts)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUND
 SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) FILTER (WHERE passed IS NULL OR ts IS NULL OR ts > passed) AS n_kept,
        count(*) FILTER (WHERE ts <= passed) AS n_late FROM e JOIN b USING (batch_id) GROUP BY batch_id""",
 }
+SQL |= {"topic_log_sink": SQL["message_source"], "topic_log_source": SQL["message_source"]}
