@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tankcast.llm.common import without, written
+from tankcast.llm.common import free_names, without, written
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -158,26 +158,28 @@ def histogram_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     0 in each shard, in key order), moved so that a range lies in one partition."""
     text = F.col(f"`{text_col}`")
     size = F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES if size is None else size
-    docs = without(docs, ["size", "shard", "slot", "__h", "__i", "__range"])
-    docs = docs.withColumns({"size": size.cast("bigint"), "__h": F.xxhash64(text),
-                             "__i": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST))})
-    keyed = written(docs.select(F.col("__h").alias("h"), F.col("__i").alias("id"), "size"), "shard-keys")
+    docs = without(docs, ["size", "shard", "slot"])
+    names = docs.columns
+    h, i, number, start = free_names(docs, "__h", "__i", "__range", "__offset")
+    docs = docs.withColumns({"size": size.cast("bigint"), h: F.xxhash64(text),
+                             i: F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST))})
+    keyed = written(docs.select(F.col(h).alias("h"), F.col(i).alias("id"), "size"), "shard-keys")
     cuts, parts = splitters(keyed, shards, tolerance, range_bytes)
     cuts.sort(key=lambda c: c.key)
     below = [0] + [c.rows for c in cuts]
     offsets = [below[k] - below[k - k % parts] for k in range(len(below))]
     # one offset a range, so as many as 256 MB blocks of the data; parts == 1: all zero
-    offset = F.lit(0) if not any(offsets) else F.element_at(F.array(*map(F.lit, offsets)), F.col("__range") + 1) \
+    offset = F.lit(0) if not any(offsets) else F.element_at(F.array(*map(F.lit, offsets)), F.col(number) + 1) \
         if len(offsets) <= 512 else None
-    moved = docs.withColumn("__range", range_of(cuts)("__h", "__i")).repartition(shards * parts, "__range")
+    # by number, not by its hash: each range is a partition of its own
+    moved = docs.withColumn(number, range_of(cuts)(h, i)).repartitionById(shards * parts, F.col(number))
     if offset is None:
-        table = docs.sparkSession.createDataFrame(list(enumerate(offsets)), "__range int, __offset bigint")
-        moved, offset = moved.join(F.broadcast(table), "__range"), F.col("__offset")
-    place = F.row_number().over(Window.partitionBy("__range").orderBy("__h", "__i"))
-    out = moved.withColumns({"shard": F.expr(f"cast(__range div {parts} as int)"),
+        table = docs.sparkSession.createDataFrame(list(enumerate(offsets)), f"{number} int, {start} bigint")
+        moved, offset = moved.join(F.broadcast(table), number), F.col(start)
+    place = F.row_number().over(Window.partitionBy(number).orderBy(h, i))
+    out = moved.withColumns({"shard": F.expr(f"cast({number} div {parts} as int)"),
                              "slot": (place - 1 + offset).cast("bigint")})
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("__h", "__i", "size")],
-                      "size", "shard", "slot")
+    return out.select(*[F.col(f"`{c}`") for c in names], "size", "shard", "slot")
 
 
 def op4_histogram_shards(docs: DataFrame) -> DataFrame:
