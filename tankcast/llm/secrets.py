@@ -13,7 +13,8 @@ reported again.
 Texts are read once: matches and the pieces between them give the positions,
 and only the short part lists are shuffled, by row (id and hash of the text).
 
-Defined cases: null and empty texts have no matches.  Rows with the same id and
+Defined cases: null and empty texts have no matches; time and memory grow with
+a text's length and matches.  An empty table gives an empty table.  Rows with the same id and
 text share their links; every row is returned.  A null id is a value like any
 other.  Columns other than the id and text don't take part.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from tankcast.llm.common import written
 
 SCOPE = 300
+#: Matches whose positions are summed in one go.
+RUN = 256
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: kind -> pattern, in order of kinds.  A run of at least n characters is the
 #: run itself, kept if long enough.
@@ -55,7 +58,7 @@ def positions(text: Column, found: Column, kind: str) -> Column:
                        lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"),
                                                F.length(m).cast("bigint").alias("len"), good(kind, m).alias("ok")))
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    zero = F.lit(0).cast("bigint")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -64,7 +67,22 @@ def positions(text: Column, found: Column, kind: str) -> Column:
         return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span)))
                         .otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(none)
+    def moved(run: Column, by: Column) -> Column:
+        return F.transform(run["out"], lambda p: F.struct(
+            (p["start"] + by).alias("start"), (p["end"] + by).alias("end"), p["kind"].alias("kind")))
+
+    def after(acc: Column, run: Column) -> Column:
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(moved(run, acc["at"]))).alias("out"))
+
+    def all_of(s: Column) -> Column:
+        # a list grows by copying it: runs of some hundred steps first, then the runs
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / RUN).cast("int")), lambda k: F.aggregate(
+            F.slice(s, k * RUN + 1, RUN), F.struct(zero.alias("at"), none.alias("out")), step))
+        lists = F.array().cast("array<array<struct<start:bigint,end:bigint,kind:int>>>")
+        return F.flatten(F.aggregate(runs, F.struct(zero.alias("at"), lists.alias("out")), after, lambda acc: acc["out"]))
+
+    # within the transform the steps are computed once
+    return F.when(F.size(found) > 0, F.element_at(F.transform(F.array(steps), all_of), 1)).otherwise(none)
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
