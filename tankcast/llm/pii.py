@@ -15,7 +15,8 @@ Texts are read once; the occurrence table holds no text but the two words, and
 a 128-bit hash of the whole instance.  Edges are summed before they are shuffled, and occurrences of a
 frequent pattern or token only meet one score each.
 
-Defined cases: null and empty texts have no spans.  Rows with the same id and
+Defined cases: null and empty texts have no spans; work grows with a text's
+length.  An empty table gives an empty table; other columns are ignored.  Rows with the same id and
 text share their context spans; every row is returned.  A null id is a value
 like any other.  Without seeds nothing is discovered.
 """
@@ -32,7 +33,6 @@ from pyspark.sql import types as T
 from tankcast.llm.common import add_columns, words, written
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS = 3
 #: Least confidence of a pattern, score of an instance, and distinct supporting instances of a pattern.
 PATTERN, INSTANCE, SEEDS = 0.6, 0.5, 3
 
@@ -104,6 +104,16 @@ def spaced(parts: list[tuple[int, int, bool, bool]]) -> list[tuple[int, int]]:
     return sorted((parts[i][0], parts[k][1]) for i, k in ends if k > i and parts[k][1] - parts[i][0] >= 5)
 
 
+def words_before(text: str, end: int) -> list[bytes]:
+    """The last two words before ``end``, whole however long they are."""
+    size = 64
+    while True:
+        found = words(text[max(0, end - size):end])
+        if len(found) > 2 or size >= end:  # of three the first may be cut
+            return found[-2:]
+        size *= 4
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds, identifier-like tokens and spaced identifiers with their pattern (empty: none in front)."""
     spans = [(s, e, True) for _, s, e in base]
@@ -142,7 +152,7 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         close(run)
     out = []
     for s, e, seed in spans:
-        front = words(text[max(0, s - 64):s])[-2:]
+        front = words_before(text, s)
         if front:
             out.append({"start": s, "end": e, "seed": seed, "pattern": b" ".join(front).decode("utf-8", "replace"),
                         "instance": hashlib.blake2b(text[s:e].encode(), digest_size=16).digest()})
@@ -164,14 +174,17 @@ def _read(texts: list) -> list[list]:
             [occurrences(t or "", b) for t, b in zip(texts, base)]]
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def bootstrap(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scores (pattern, confidence) and (instance, score) of the occurrence
-    graph, pre-aggregated to one edge per pattern and instance."""
+    graph, pre-aggregated to one edge per pattern and instance.
+
+    Scores only rise from round to round; the rounds end when one adds no
+    supported or confident pattern and no high-scored instance."""
     edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     instances = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"),
                                               F.max("seed").alias("seed"))
-    patterns = None
-    for _ in range(rounds):
+    found = None
+    while True:
         held = edges.select("pattern", "instance").join(instances, "instance")
         patterns = held.groupBy("pattern").agg(
             F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"),
@@ -185,10 +198,13 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
             instances.select("instance", "seed").join(support, "instance", "left").select(
                 "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(
                     F.coalesce(1 - F.exp("miss"), F.lit(0.0))).alias("score")), "pii-instances")
-    return patterns, instances.select("instance", "score")
+        before, found = found, (*patterns.agg(F.count(F.lit(1)), F.count_if(F.col("confidence") >= PATTERN)).first(),
+                                instances.filter(F.col("score") >= INSTANCE).count())
+        if found == before:
+            return patterns, instances.select("instance", "score")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, context) of every row; base: (kind, start, end) by kind and
     start; context: (start, end) of discovered identifiers, sorted.  Offsets in
     code points, end excluded."""
@@ -196,7 +212,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
                        F.col(f"`{text_col}`").alias("t"))
     rows = written(add_columns(rows, ["t"], FIELDS, _read).select("id", "text_hash", "base", "found"), "pii-rows")
     seen = rows.select("id", "text_hash", F.explode("found").alias("f")).select("id", "text_hash", "f.*")
-    patterns, instances = bootstrap(seen.select("pattern", "instance", "seed"), rounds)
+    patterns, instances = bootstrap(seen.select("pattern", "instance", "seed"))
     new = (seen.filter(~F.col("seed"))
            .join(patterns.filter(F.col("confidence") >= PATTERN), "pattern")
            .join(instances.filter(F.col("score") >= INSTANCE), "instance")
