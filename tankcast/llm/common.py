@@ -38,6 +38,16 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it new to ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructField],
                 fn: Callable[..., Sequence[list]]) -> DataFrame:
     """``df`` with columns computed by ``fn(*lists of input values)``, one list

@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankcast.llm.common import add_columns, words, written
+from tankcast.llm.common import add_columns, free_names, words, written
 
 WINDOW = 10
-#: Words of the items held by one automaton (about 6 nodes each).
+#: Words of the items held by one automaton: some 50 nodes of 32 bytes a word, as
+#: each window is a path of its own.
 MAX_WORDS = 200_000
 
 # one word of a text that is not lower-cased
@@ -136,9 +137,13 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """The documents without any window of an item; columns as they were."""
-    return scan(docs, items, **params).filter(F.size("hit_words") == 0).select(
-        [F.col(f"`{c}`") for c in docs.columns])
+    """The documents without any window of an item; columns as they were,
+    whatever their names."""
+    own = {f.name for f in FIELDS}
+    clash = [c for c in docs.columns if c.lower() in own]
+    aside = dict(zip(clash, free_names(docs, *[f"__{c}" for c in clash])))
+    found = scan(docs.withColumnsRenamed(aside), items, **params).filter(F.size("hit_words") == 0)
+    return found.select([F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def op2_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tankcast.llm.common import without
+from tankcast.llm.common import free_names, without
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -75,22 +75,27 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drop_bits")))
 
 
+def _joined(docs: DataFrame, id_col: str, text_col: str, **params) -> tuple[DataFrame, str]:
+    """``docs``, every column as it was, with each row's bitmap, and its name."""
+    key, mark, bits = free_names(docs, "__id", "__th", "__bits")
+    maps = line_bitmaps(docs, id_col, text_col, **params).select(
+        F.col("id").alias(key), F.col("text_hash").alias(mark), F.col("drop_bits").alias(bits))
+    return docs.join(maps, F.col(f"`{id_col}`").eqNullSafe(F.col(key))
+                     & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(mark)), "left").drop(key, mark), bits
+
+
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` with columns ``n_lines``, ``n_dropped`` and ``drop_bits`` (null:
     nothing goes); same-named columns are replaced."""
-    maps = line_bitmaps(docs, id_col, text_col, **params).select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__th"), F.col("drop_bits").alias("__bits"))
-    docs = without(docs, ["n_lines", "n_dropped", "drop_bits", "__id", "__th", "__bits"])
-    text = F.col(f"`{text_col}`")
-    joined = docs.join(maps, F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
-                       & (F.xxhash64(text) == F.col("__th")), "left")
-    n_dropped = F.aggregate(F.map_values("__bits"), F.lit(0).cast("bigint"),
+    docs = without(docs, ["n_lines", "n_dropped", "drop_bits"])
+    joined, bits = _joined(docs, id_col, text_col, **params)
+    n_dropped = F.aggregate(F.map_values(bits), F.lit(0).cast("bigint"),
                             lambda a, b: a + F.bit_count(b).cast("bigint"))
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines_of(text)).cast("bigint").alias("n_lines"),
+        F.size(lines_of(F.col(f"`{text_col}`"))).cast("bigint").alias("n_lines"),
         F.coalesce(n_dropped, F.lit(0).cast("bigint")).alias("n_dropped"),
-        F.col("__bits").alias("drop_bits"))
+        F.col(bits).alias("drop_bits"))
 
 
 def kept_text(text: Column, drop_bits: Column) -> Column:
@@ -104,11 +109,11 @@ def kept_text(text: Column, drop_bits: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with the text reduced to its staying lines; other columns as they were."""
-    out = with_bitmaps(docs, id_col, text_col, **params)
-    return out.select([
-        kept_text(F.col(f"`{c}`"), F.col("drop_bits")).alias(c) if c == text_col else F.col(f"`{c}`")
-        for c in docs.columns if c in out.columns])
+    """``docs`` with the text reduced to its staying lines; other columns as they
+    were, whatever their names."""
+    joined, bits = _joined(docs, id_col, text_col, **params)
+    return joined.select([
+        kept_text(F.col(f"`{c}`"), F.col(bits)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_line_dedup(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankcast.llm.common import add_columns, ship_package, without, words, written
+from tankcast.llm.common import add_columns, free_names, ship_package, without, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -319,18 +319,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``class_id`` (the smallest id of the row's class)."""
-    found = classes(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("class").alias("class_id"))
-    docs = without(docs, ["class_id", "__id"])
+    """``docs`` with ``class_id`` (the smallest id of the row's class), in place
+    of a column of that name; other columns as they were."""
+    docs = without(docs, ["class_id"])
+    [mine] = free_names(docs, "__id")
+    found = classes(docs, id_col, text_col).select(F.col("id").alias(mine), F.col("class").alias("class_id"))
     key = F.col(f"`{id_col}`")
-    return docs.join(found, key == F.col("__id"), "left").select(
+    return docs.join(found, key == F.col(mine), "left").select(
         *[F.col(f"`{c}`") for c in docs.columns], F.coalesce("class_id", key).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of their class; columns as they were."""
-    gone = (classes(docs, id_col, text_col).filter("id <> class").select(F.col("id").alias("__id")))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    [mine] = free_names(docs, "__id")
+    gone = classes(docs, id_col, text_col).filter("id <> class").select(F.col("id").alias(mine))
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(mine), "left_anti")
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:
