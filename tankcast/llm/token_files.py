@@ -9,7 +9,9 @@ bytes of each level, without decoding its neighbours.
 A file is a Parquet table written by Spark's own committer (so lost executors
 leave no half files) with one row per segment of up to ``SEGMENT`` tokens:
 part, segment, first token, tokens, payload, and the documents that end in it
-with their end.  Parts follow the document ids.
+with their end, the least and greatest of these ids, and where the first of these
+documents begins.  Parts follow the document ids; there are as many as the text's
+bytes ask for.  Payloads are not compressed again, so that few bytes are read.
 
 Payload, little-endian: magic ``DAC1``, uint32 number of levels; per level
 uint32 entries, the chunks (one byte each), the bitmap (bit k of byte j: entry
@@ -63,7 +65,10 @@ RULES = [
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-SCHEMA = "part int, segment int, first long, tokens long, payload binary, doc_ids array<long>, doc_ends array<long>"
+SCHEMA = ("part int, segment int, first long, tokens long, payload binary, low long, high long, opened long, "
+          "doc_ids array<long>, doc_ends array<long>")
+#: Text of a part, in bytes.
+PART_BYTES = 128 << 20
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -261,28 +266,34 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Write the documents' tokens, in ascending id order, below ``path``."""
     spark = docs.sparkSession
     ship_package(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+        parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     rows = (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
             .repartitionByRange(parts, "id").sortWithinPartitions("id"))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
         model = encoder(tokenizer or default_tokenizer(), whole)
-        part, segment, first, at = TaskContext.get().partitionId(), 0, 0, 0
+        part, segment, first, at, opened = TaskContext.get().partitionId(), 0, 0, 0, 0
         held = np.empty(0, np.uint32)
         ids: list[int | None] = []
         ends: list[int] = []
 
         def take(tokens):
             """A row of the next ``tokens``."""
-            nonlocal segment, first, ids, ends
+            nonlocal segment, first, ids, ends, opened
             inside = bisect.bisect_right(ends, first + len(tokens))
-            row = [[part], [segment], [first], [len(tokens)], [pack(tokens)], [ids[:inside]], [ends[:inside]]]
+            known = [i for i in ids[:inside] if i is not None] or [None]
+            row = [[part], [segment], [first], [len(tokens)], [pack(tokens)], [known[0]], [known[-1]], [opened],
+                   [ids[:inside]], [ends[:inside]]]
+            opened = ends[inside - 1] if inside else opened
             ids, ends = ids[inside:], ends[inside:]
             segment, first = segment + 1, first + len(tokens)
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(),
+                 pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             for some in slices(batch):
                 tokens, stops = model.encode(some.column(1))
@@ -298,7 +309,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if len(held):
             yield take(held)
 
-    rows.mapInArrow(run, SCHEMA).write.parquet(path)
+    rows.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -309,6 +320,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SCHEMA).parquet(path)
     base = (files.groupBy("part").agg(F.sum("tokens").alias("n"))
             .withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n"))
+    parts = (files.agg(F.max("part")).first()[0] or 0) + 1
     ship_package(spark)
 
     def run(batches):
@@ -330,12 +342,28 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     docs = (files.select("part", "segment", "first", "payload", "doc_ids", "doc_ends")
-            .repartition("part").sortWithinPartitions("part", "segment").drop("segment")
+            .repartitionById(parts, "part").sortWithinPartitions("part", "segment").drop("segment")
             .mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long"))
     return docs.join(base, "part").select(
         "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def token_of(spark: SparkSession, path: str, doc_id: int, place: int) -> int:
+    """One token of a document (of the first, if several have the id).  The row
+    where it ends is found by its least and greatest id, which Parquet keeps
+    statistics of; it tells where the document begins."""
+    row = (spark.read.schema(SCHEMA).parquet(path)
+           .filter((F.col("low") <= doc_id) & (F.col("high") >= doc_id) & F.array_contains("doc_ids", doc_id))
+           .orderBy("part", "segment").select("part", "opened", "doc_ids", "doc_ends").first())
+    if row is None:
+        raise KeyError(doc_id)
+    at = row.doc_ids.index(doc_id)
+    begin = row.doc_ends[at - 1] if at else row.opened
+    if not 0 <= place < row.doc_ends[at] - begin:
+        raise IndexError(place)
+    return token_at(spark, path, row.part, begin + place)
+
+
 def token_at(spark: SparkSession, path: str, part: int, place: int) -> int:
     """One token of a part, from its segment alone."""
     row = (spark.read.schema(SCHEMA).parquet(path)

@@ -157,3 +157,18 @@ def test_toxicity_recall_and_precision(spark):
     hit = sum(bool(found[i]) for i, t in labels.items() if t == 1)
     false = sum(bool(found[i]) for i, t in labels.items() if t == 0)
     assert hit >= 0.6 * sum(labels.values()) and hit >= 0.8 * (hit + false)
+
+
+def test_a_document_s_token_by_its_id(spark, scratch):
+    from tankcast.llm import token_files
+    texts = [(5, "one two"), (2, "w " * 70_000 + "end"), (9, None), (7, "three four five")]
+    token_files.write_tokens(spark.createDataFrame(texts, "doc_id long, text string"), f"{scratch}/t", parts=2)
+    model = token_files.Encoder(token_files.default_tokenizer())
+    for i, text in texts:
+        ids = [*model.library([text or ""])[0], token_files.END_ID]
+        for place in {0, len(ids) // 2, len(ids) - 1}:
+            assert token_files.token_of(spark, f"{scratch}/t", i, place) == ids[place]
+        with pytest.raises(IndexError):
+            token_files.token_of(spark, f"{scratch}/t", i, len(ids))
+    with pytest.raises(KeyError):
+        token_files.token_of(spark, f"{scratch}/t", 1, 0)
