@@ -33,11 +33,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankcast.llm.common import add_columns, free_names, ship_package, without, words, written
+from tankcast.llm.common import add_columns, free_names, ship_package, spread_back, without, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,6 +45,8 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 #: Members of a candidate group that one task compares with a copy of the centre.
 GROUP_ROWS = 256
+#: Parts that the rows of one text, bucket or member are dealt to.
+SALTS = 64
 #: Signatures of a bucket that a task holds, twice.
 TILE = 2048
 #: Share of equal registers below which a pair is dropped unseen.
@@ -159,10 +161,17 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+    # ``b`` is the member held by many ``a``: it is given to as many parts of them
+    pairs = pairs.withColumn("salt", salted("a"))
+    two = pairs.select("b", "salt").distinct().join(two, "b")
+    joined = pairs.join(one, "a").join(two, ["b", "salt"]).select("a", "b", "sa", "sb")
     return joined.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def salted(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS))
+
+
 def linked(members: DataFrame) -> DataFrame:
     """Links (a, b) between members of one bucket in different classes, from rows
     (id, band, class, n, bands, sig, t); of two classes at least one link.
@@ -234,7 +243,10 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     about ``GROUP_ROWS``, each with a copy of ``b``; a part is streamed, holding
     one bag."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
-    dealt = pairs.join(sizes, "b").select(
+    pairs = pairs.withColumn("salt", salted("a"))
+    known = spread_back(pairs, ["b"], "salt", {"n": (F.sum, F.lit(1))}).select(
+        "b", "salt", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
+    dealt = pairs.join(known, ["b", "salt"]).select(
         "a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     roles = (dealt.select(F.col("a").alias("id"), "b", "part", F.lit(1).alias("role"))
              .unionByName(sizes.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -289,15 +301,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, class) of every id that shares its class with another one; class:
     the smallest id in it."""
     told = written(describe(docs, id_col, text_col), "signatures")
-    first = told.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    copies = (told.select("id", "same").join(first.filter("n > 1").drop("n"), "same")
+    # a text, or a bucket, that very many documents share is dealt by a salt
+    told = told.withColumn("salt", salted("id"))
+    first = spread_back(told, ["same"], "salt", {"rep": (F.min, F.col("id")), "n": (F.sum, F.lit(1))})
+    copies = (told.select("id", "same", "salt").join(first.filter("n > 1").drop("n"), ["same", "salt"])
               .filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
-    reps = told.join(first.select("same", F.col("rep").alias("id")), ["same", "id"], "left_semi")
+    reps = told.join(first.select("same", "salt", F.col("rep").alias("id")), ["same", "salt", "id"], "left_semi")
     reps = written(reps.dropDuplicates(["id", "same"]).select("id", "bands", "sig"), "bags")
     sigs = reps.select("id", "sig")
-    rows = reps.select("id", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(full, "band")
+    rows = reps.select("id", F.explode("bands").alias("band")).withColumn("salt", salted("id"))
+    full = spread_back(rows, ["band"], "salt", {"n": (F.sum, F.lit(1))}).filter("n > 1")
+    rows = rows.join(full, ["band", "salt"]).drop("salt")
     mates = rows.groupBy("id").agg(F.sum("n").alias("mates"))
     rows = written(rows.join(mates, "id").select("id", "band", "mates"), "buckets")
     # whole texts of documents with bucket mates; like the other joins with texts
@@ -305,8 +319,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
     texts = written(texts.join(rows.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     rank = F.struct("mates", (-F.col("id")).alias("minus"))
-    centre = rows.groupBy("band").agg((-F.max(rank)["minus"]).alias("b"))
-    stars = rows.join(centre, "band").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    dealt = rows.withColumn("salt", salted("id"))
+    centre = spread_back(dealt, ["band"], "salt", {"first": (F.max, rank)}).select(
+        "band", "salt", (-F.col("first.minus")).alias("b"))
+    stars = dealt.join(centre, ["band", "salt"]).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     found = verify(written(agreement(stars, sigs), "stars"), texts)
     label = components(found.unionByName(copies))
     # bucket members that are still in different classes
