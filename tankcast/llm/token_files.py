@@ -67,8 +67,8 @@ RULES = [
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 SCHEMA = ("part int, segment int, first long, tokens long, payload binary, low long, high long, opened long, "
           "doc_ids array<long>, doc_ends array<long>")
-#: Text of a part, in bytes.
-PART_BYTES = 128 << 20
+#: Text of a part at most, in bytes, ids being even.
+PART_BYTES = 32 << 20
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -268,7 +268,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     ship_package(spark)
     if parts is None:
         size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-        parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
             .repartitionByRange(parts, "id").sortWithinPartitions("id"))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
