@@ -221,14 +221,15 @@ def extremes_stream(values: DataFrame, out_path: str, checkpoint: str | None = N
 
 def sample_stream(values: DataFrame, out_path: str, interval: str = "5 seconds",
                   checkpoint: str | None = None, trigger: dict | None = None,
-                  name: str = "sample", segment: str = "1 hour") -> StreamingQuery:
+                  name: str = "sample", segment: str | None = None) -> StreamingQuery:
     """W4 live: a device hands on the time of its last kept reading.  Readings
     up to one interval after it go (late ones, too); the batch operator samples
-    the rest, a busy device in parallel by segments.  Readings without a time
-    are kept, as in batch."""
+    the rest, a busy device in parallel by segments (an hour, or one interval if
+    that is longer).  Readings without a time are kept, as in batch."""
     spark, checkpoint = values.sparkSession, _base(values, checkpoint, name)
     after = F.expr(f"make_dt_interval(0, 0, 0, {M._seconds(interval)})")
     v = values.select("device_id", "ts", "msg_id", F.col("value").cast("double").alias("value"))
+    segment = segment or f"{max(3600, M._seconds(interval))} seconds"
 
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = staged(to_ntz(df, "ts").withColumn("side", F.lit(1)), f"{checkpoint}/rows", batch_id % 2)
