@@ -1,15 +1,24 @@
 """Benchmark decontamination (operator 2): one Aho-Corasick automaton over the
-normalised windows of all test items, run once over each normalised text, with
-every hit mapped back to word numbers and to character offsets of the original.
+normalised test items, run once over each normalised text, with every hit mapped
+back to word numbers and to character offsets of the original.
 
 A window is ``window`` consecutive words of an item; a shorter item with at
-least ``min_words`` words is one window.  The automaton is built in each Python
-worker from the items' words, which are broadcast.  Their number is counted
-first: beyond ``max_words`` the items are split by hash into groups that each
+least ``min_words`` words is one window.  The automaton doesn't hold the windows,
+which overlap, but anchors: every ``stride``-th run of half a window.  Each window
+holds a whole anchor, so a window can lie only around an anchor's occurrence.
+There its words are looked up among the items' windows by a 64-bit key and then
+compared one by one; what is found doesn't depend on the keys.  An anchor that
+many items share costs a few look-ups, however many they are.
+
+The automaton reads two characters a word, taken from a hash of the word: about
+two nodes a word of the items.  It is built in each Python worker from the items'
+texts, which are broadcast.  Their words and bytes are counted first: beyond
+``max_words`` or ``MAX_BYTES`` the items are split by hash into groups that each
 fit, and the texts are scanned group by group, hits adding up, so nothing
 unbounded is broadcast.  Only a single longer item exceeds the bound.
 
-Defined cases: a null text or item has no words and hits nothing.  Repeated
+Defined cases: a null text or item has no words and hits nothing.  A very long
+text is scanned whole; memory grows with it, not with the square.  Repeated
 items with the same id and text change nothing; rows of ``docs`` are handled one
 by one, so repeated ids or rows are no special case.  An empty item table gives
 zero hits.  Columns of ``docs`` called like a result column are replaced.
@@ -20,9 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
 
 import ahocorasick
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +41,13 @@ from pyspark.sql import types as T
 from tankcast.llm.common import add_columns, free_names, words, written
 
 WINDOW = 10
-#: Words of the items held by one automaton: some 50 nodes of 32 bytes a word, as
-#: each window is a path of its own.
-MAX_WORDS = 200_000
+#: Words, and bytes of text, of the items held by one automaton: see the README
+#: for the memory it takes.
+MAX_WORDS = 5_000_000
+MAX_BYTES = 64 << 20
+# the two characters that stand for a word of a given hash; the first and the
+# second have alphabets of their own, so that matches begin and end at words
+CODES = [chr(1 + (k >> 6)) + chr(65 + (k & 63)) for k in range(1 << 12)]
 
 # one word of a text that is not lower-cased
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -46,27 +61,120 @@ FIELDS = [
     T.StructField("hit_items", T.ArrayType(T.StringType())),
 ]
 
-_built: dict[str, ahocorasick.Automaton | None] = {}
-
-
-def automaton(items: list[tuple[str, str]], window: int, min_words: int) -> ahocorasick.Automaton | None:
-    """Of blank-framed windows; each carries its number of words and its items."""
-    owners: dict[str, tuple[int, set[str]]] = {}
-    for item_id, text in items:
-        w = words(text)
-        if len(w) < min_words:
-            continue
-        size = min(window, len(w))
-        for i in range(len(w) - size + 1):
-            key = " " + b" ".join(w[i:i + size]).decode("latin-1") + " "
-            owners.setdefault(key, (size, set()))[1].add(item_id)
-    if not owners:
-        return None
-    a = ahocorasick.Automaton()
-    for key, (size, ids) in owners.items():
-        a.add_word(key, (size, tuple(ids)))
-    a.make_automaton()
-    return a
+_built: dict[str, "Windows | None"] = {}
+
+
+def coded(tokens) -> str:
+    return "".join([CODES[hash(t) & 4095] for t in tokens])
+
+
+def window_keys(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit key of the ``size`` words from each place on."""
+    key = np.full(len(at), size, np.uint64)
+    for j in range(size):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j]
+    return key
+
+
+class Windows:
+    """The items' windows by key, and the automaton of their anchors."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int, min_words: int):
+        vocabulary: dict[bytes, int] = {}
+        numbers, first, self.names = array("i"), [0], []
+        for item_id, text in items:
+            w = words(text)
+            if len(w) < max(1, min_words):
+                continue
+            numbers.extend([vocabulary.setdefault(x, len(vocabulary)) for x in w])
+            first.append(len(numbers))
+            self.names.append(item_id)
+        self.window, self.seq = window, np.array(numbers, np.int32)
+        self.words = list(vocabulary)
+        del vocabulary, numbers
+        if not self.names:
+            return
+        first = np.array(first, np.int64)
+        length = np.diff(first)
+        size = np.minimum(window, length)
+        self.short = sorted(set(size[size < window].tolist()))
+        self._index(first, length, size)
+        self._anchors(first, length)
+
+    def _index(self, first: np.ndarray, length: np.ndarray, size: np.ndarray) -> None:
+        """Distinct windows, sorted by key: a place of each, and its items."""
+        counts = length - size + 1
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        for self.seed in range(64):  # another seed if two different windows get one key
+            hashes = np.array([xxhash.xxh3_64_intdigest(w, self.seed) for w in self.words], np.uint64)[self.seq]
+            key = np.zeros(len(at), np.uint64)
+            for s in np.unique(size).tolist():
+                pick = size[owner] == s
+                key[pick] = window_keys(hashes, at[pick], s)
+            order = np.argsort(key, kind="stable")
+            key, place, n = key[order], at[order], size[owner[order]]
+            same = np.flatnonzero(key[1:] == key[:-1])
+            good = n[same] == n[same + 1]
+            for j in range(self.window):
+                held = same[good & (n[same] > j)]
+                if (self.seq[place[held] + j] != self.seq[place[held + 1] + j]).any():
+                    good[:] = False
+                    break
+            if good.all():
+                break
+        else:
+            raise ValueError("no keys tell the windows apart")
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        self.key, self.place, self.size = key[head], place[head].astype(np.int32), n[head]
+        self.head, self.owner = np.r_[head, len(key)], owner[order]
+
+    def _anchors(self, first: np.ndarray, length: np.ndarray) -> None:
+        half = (self.window + 1) // 2
+        self.stride = self.window - half + 1
+        text = "".join([CODES[hash(w) & 4095] for w in map(self.words.__getitem__, self.seq.tolist())])
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for lo, n in zip(first[:-1].tolist(), length.tolist()):
+            if n < self.window:
+                self.automaton.add_word(text[2 * lo:2 * (lo + min(half, n))])
+                continue
+            for a in range(lo, lo + n - half + 1, self.stride):
+                self.automaton.add_word(text[2 * a:2 * (a + half)])
+        self.automaton.make_automaton()
+
+    def find(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Closed word ranges inside occurrences, and the items that occur."""
+        anchors = {(end + 1 - size) >> 1 for end, size in self.automaton.iter(coded(w))}
+        if not anchors:
+            return [], set()
+        seen = np.array(sorted(anchors), np.int64)
+        asked = [(self.window, np.unique(seen[:, None] - np.arange(self.stride)))]
+        asked += [(s, seen) for s in self.short]
+        hashes, ranges, found = np.zeros(len(w), np.uint64), [], set()
+        known = np.zeros(len(w), bool)
+        for size, at in asked:
+            at = at[(at >= 0) & (at + size <= len(w))]
+            new = np.zeros(len(w), bool)
+            for j in range(size):
+                new[at + j] = True
+            for i in np.flatnonzero(new & ~known).tolist():
+                hashes[i] = xxhash.xxh3_64_intdigest(w[i], self.seed)
+            known |= new
+            key = window_keys(hashes, at, size)
+            k = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = np.flatnonzero((self.key[k] == key) & (self.size[k] == size))
+            for i, x in zip(at[hit].tolist(), k[hit].tolist()):
+                p = int(self.place[x])
+                if w[i:i + size] == [self.words[v] for v in self.seq[p:p + size].tolist()]:
+                    ranges.append((i, i + size - 1))
+                    found.add(x)
+        return merged(ranges), {self.names[o] for x in found
+                                for o in self.owner[self.head[x]:self.head[x + 1]].tolist()}
+
+
+def automaton(items: list[tuple[str, str]], window: int, min_words: int) -> Windows | None:
+    built = Windows(items, window, min_words) if items else None
+    return built if built and built.names else None
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -80,19 +188,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan_text(a: ahocorasick.Automaton | None, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Closed word ranges inside occurrences, and the items that occur."""
-    if a is None or not w:
-        return [], set()
-    found = [(end, size, ids) for end, (size, ids) in a.iter(" " + b" ".join(w).decode("latin-1") + " ")]
-    if not found:
-        return [], set()
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)  # place of the blank after each word
-    last = np.searchsorted(ends, np.array([f[0] for f in found], np.int64))
-    return (merged([(int(k) - f[1] + 1, int(k)) for k, f in zip(last, found)]),
-            {i for f in found for i in f[2]})
-
-
 def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, min_words: int = 1,
          max_words: int = MAX_WORDS) -> DataFrame:
@@ -103,11 +198,12 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     items = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"),
                          F.col(f"`{item_text}`").alias("t")).filter(F.col("t").isNotNull())
     # blanks and punctuation bound the number of words from above
-    total = items.agg(F.sum(F.size(F.split("t", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
-    groups = max(1, -(-total // max_words))
+    n_words, n_bytes = items.agg(
+        F.sum(F.size(F.split("t", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))), F.sum(F.octet_length("t"))).first()
+    groups = max(1, -(-(n_words or 0) // max_words), -(-(n_bytes or 0) // MAX_BYTES))
     for g in range(groups):
         part = items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(groups)) == g) if groups > 1 else items
-        held = spark.sparkContext.broadcast([(r.id, r.t) for r in part.collect()])  # at most max_words
+        held = spark.sparkContext.broadcast([(r.id, r.t) for r in part.collect()])  # at most max_words and MAX_BYTES
         token = uuid.uuid4().hex
 
         def run(texts, *before, held=held, token=token):
@@ -117,7 +213,7 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
             out: list[list] = [[], [], [], []]
             for k, text in enumerate(texts):
                 w = words(text)
-                ranges, ids = scan_text(_built[token], w)
+                ranges, ids = _built[token].find(w) if w and _built[token] else ([], set())
                 if before:
                     ranges = merged(ranges + [(r["first"], r["last"]) for r in before[0][k]])
                     ids = ids | set(before[1][k])

@@ -92,6 +92,23 @@ def test_decontaminate(spark, docs, none, max_words):
     assert decontaminate.op2_decontaminate(none, bench).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_against_brute_force(seed):
+    """Few different words, so that anchors, windows and short items repeat and overlap."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 3, n))
+    items = {i: text(int(rng.integers(0, 16))) for i in range(12)}
+    texts = {i: text(int(rng.integers(0, 400))) for i in range(12)}
+    for window, shortest in [(10, 1), (7, 1), (2, 1), (1, 1), (10, 5)]:
+        found = decontaminate.automaton([(str(i), t) for i, t in items.items()], window, shortest)
+        held = {i: t for i, t in items.items() if len(t.split()) >= shortest}
+        want = decontaminate.brute_force(texts, held, window)
+        for i, t in texts.items():
+            ranges, ids = found.find(words(t)) if t else ([], set())
+            digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+            assert (sum(b - a + 1 for a, b in ranges), len(ids), digest) == want[i][1:4]
+
+
 def test_near_duplicates(spark, docs, none):
     got = dict(r for r in minhash.near_duplicates(docs).select("doc_id", "class_id").collect() if r[0] is not None)
     want = minhash.brute_force({i: t for i, t in ROWS if i is not None})
