@@ -10,7 +10,10 @@ far (a bound equal to it is still visited, for ties).
 Blocks are gathered in parts of ``PART`` vectors.  Every block of queries
 meets every part (a stated query set against all rows, in blocks): a task holds
 one part and streams the query blocks through it.  A part sends at most k rows
-per query on, and the k best of those are the result.
+per query on, and the k best of those are the result.  The parts are searched in
+two goes: about the square root of their number first, evenly spread over the
+ids.  The k-th best score found there is a bound that each query takes to all
+other parts, which skip blocks below it and send on only rows that reach it.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite
 component take no part.  Shorter vectors count as zero in the missing terms.  A
@@ -22,6 +25,7 @@ exact while sums of products stay below 2^63.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from tankcast.llm.common import ship_package, written
 
 K = 20
+LEAST = int(np.iinfo(np.int64).min)
 BLOCK, PART, QUERIES = 256, 8192, 256
 
 
@@ -52,8 +57,10 @@ class Part:
         self.low = np.stack([r.min(axis=0) for r in self.rows])
         self.largest = int(np.abs(rows).max(initial=0))
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, vector id, score) of the k best candidates of each query."""
+    def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray,
+               k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, vector id, score) of the k best candidates of each query
+        that score its ``floor`` or more."""
         width = max(queries.shape[1], self.high.shape[1])
         fit = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
         # products and sums of doubles are exact below 2^53
@@ -63,12 +70,13 @@ class Part:
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         bounds = up @ fit(self.high).astype(kind).T + down @ fit(self.low).astype(kind).T
         order, n = top_k_block_order(bounds), len(ids)
-        least = np.iinfo(np.int64).min
+        least = LEAST
         best = np.full((n, k), least, np.int64)
         best_id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
         for turn in range(bounds.shape[1]):
             block = order[:, turn]
-            go = np.flatnonzero((bounds[np.arange(n), block] >= best[:, -1]) | (best[:, -1] == least))
+            kth = np.maximum(best[:, -1], floor)
+            go = np.flatnonzero((bounds[np.arange(n), block] >= kth) | (kth == least))
             if not len(go):
                 break
             for b in np.unique(block[go]):
@@ -81,7 +89,7 @@ class Part:
                 pick = np.lexsort((all_ids, -both.astype(np.float64) if exact else ~both), axis=1)[:, :k]
                 best[who] = np.take_along_axis(both, pick, 1)
                 best_id[who] = np.take_along_axis(all_ids, pick, 1)
-        row, col = np.nonzero(best > least)
+        row, col = np.nonzero((best > least) & (best >= floor[:, None]))
         return row, best_id[row, col], best[row, col]
 
 
@@ -96,55 +104,56 @@ def top_k(vectors: DataFrame, id_col: str, weights_col: str, is_query: Column, k
     count = rows.count()
     parts = max(1, -(-count // PART))
 
-    def gather(kind: int, size: int):
+    def gather(size: int):
         def run(batches):
-            part = [None] * 4
-            ids, held = [], []
+            ids, held, floors = [], [], []
             # unique in the written blocks, also where parts hold the same ids
             names = itertools.count(TaskContext.get().partitionId() << 32)
 
             def row():
                 width = max(map(len, held))
                 m = np.array([w + [0] * (width - len(w)) for w in held], np.int64)
-                part[:] = [pa.array([next(names)], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                           pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32())]
-                return pa.RecordBatch.from_arrays(list(part), names=["part", "ids", "m", "width"])
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([next(names)], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
+                     pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32()),
+                     pa.array([np.array(floors, "<i8").tobytes()], pa.binary())],
+                    names=["part", "ids", "m", "width", "floors"])
 
             for batch in batches:
-                for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, w, least in zip(*(c.to_pylist() for c in batch.columns)):
                     ids.append(i)
                     held.append(w)
+                    floors.append(least)
                     if len(ids) == size:
                         yield row()
-                        ids, held = [], []
+                        ids, held, floors = [], [], []
             if ids:
                 yield row()
         return run
 
-    schema = "part long, ids binary, m binary, width int"
+    schema = "part long, ids binary, m binary, width int, floors binary"
+    none = F.lit(LEAST).alias("floor")
     # ranges of ids: a partition of the range exchange becomes blocks of whole parts
-    blocks = (rows.select("id", "w").repartitionByRange(parts, "id").sortWithinPartitions("id")
-              .mapInArrow(gather(0, PART), schema))
-    blocks = blocks.select("part", F.lit(0).alias("kind"), "ids", "m", "width")
-    blocks = written(blocks, "blocks")
-    queries = rows.filter("q").select("id", "w").mapInArrow(gather(1, QUERIES), schema)
+    blocks = (rows.select("id", "w", none).repartitionByRange(parts, "id").sortWithinPartitions("id")
+              .mapInArrow(gather(PART), schema))
+    blocks = written(blocks.withColumn("kind", F.lit(0)), "blocks")
     # one number for each 8192 vectors comes to the driver
-    names = [r.part for r in blocks.select("part").distinct().collect()]
-    asked = queries.select(F.explode(F.lit(names).cast("array<bigint>")).alias("part"), F.lit(1).alias("kind"),
-                           "ids", "m", "width")
-    met = (blocks.unionByName(asked).repartition(max(parts, 1), "part").sortWithinPartitions("part", "kind"))
+    names = sorted(r.part for r in blocks.select("part").distinct().collect())
+    spread = math.isqrt(len(names))
+    first = [names[i * len(names) // spread] for i in range(spread)]
+    rest = sorted(set(names) - set(first))
 
     def search(batches):
         at, held = None, None
         for batch in batches:
             out = [[], [], []]
-            for p, kind, ids, m, width in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, ids, m, width, floors, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.frombuffer(ids, "<i8")
                 m = np.frombuffer(m, np.int64).reshape(-1, width)
                 if kind == 0:
                     at, held = p, Part(ids, m)
                 elif p == at:
-                    row, vec, score = held.search(ids, m, k)
+                    row, vec, score = held.search(ids, m, np.frombuffer(floors, "<i8"), k)
                     out[0].append(ids[row])
                     out[1].append(vec)
                     out[2].append(score)
@@ -152,10 +161,24 @@ def top_k(vectors: DataFrame, id_col: str, weights_col: str, is_query: Column, k
                 [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out],
                 names=["query_id", "vec_id", "score"])
 
-    near = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    def near(queries: DataFrame, held: DataFrame, chosen: list[int]) -> DataFrame:
+        asked = queries.mapInArrow(gather(QUERIES), schema).withColumn("kind", F.lit(1)).withColumn(
+            "part", F.explode(F.lit(chosen).cast("array<bigint>")))
+        met = held.unionByName(asked).repartition(max(len(chosen), 1), "part").sortWithinPartitions("part", "kind")
+        return met.mapInArrow(search, "query_id long, vec_id long, score long")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    queries = rows.filter("q").select("id", "w")
+    found = near(queries.withColumn("floor", none), blocks.filter(F.col("part").isin(first)), first)
+    if rest:
+        found = written(found, "first_parts")
+        kth = ranked(found).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        bounded = queries.join(kth, "id", "left").select("id", "w", F.coalesce("floor", F.lit(LEAST)).alias("floor"))
+        found = found.unionByName(near(bounded, blocks.filter(~F.col("part").isin(first)), rest))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_top_k(embeddings: DataFrame) -> DataFrame:

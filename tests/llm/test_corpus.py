@@ -240,6 +240,28 @@ def test_top_k_of_an_id_in_several_parts(spark, monkeypatch):
     assert got == [(20, k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_top_k_bound_across_parts(spark, monkeypatch):
+    """Many parts, clusters, equal scores: as by brute force."""
+    monkeypatch.setattr(topk, "PART", 64)
+    rng = np.random.default_rng(2)
+    middle = rng.integers(-40, 40, (6, 8))
+    rows = [(i, (middle[i % 6] + rng.integers(-2, 3, 8)) / 64) for i in range(1500)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>")
+    whole = np.floor(np.array([v for _, v in rows], np.float32).astype(float) * 64).astype(int)
+    scores, want = whole @ whole.T, []
+    for q in range(0, 1500, 20):
+        best = sorted((-int(scores[q, i]), i) for i in range(1500) if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.op1_top_k(df).collect()) == want
+
+
+def test_part_sends_only_rows_that_reach_the_bound():
+    rows = np.arange(600).reshape(600, 1)
+    row, ids, score = topk.Part(np.arange(600), rows).search(
+        np.array([-1, -2]), np.array([[1], [1]]), np.array([595, topk.LEAST]), 20)
+    assert ids[row == 0].tolist() == [599, 598, 597, 596, 595] and len(ids[row == 1]) == 20
+
+
 def test_toxicity(spark, docs, none):
     d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
