@@ -9,21 +9,26 @@ The series is cut into time segments at least one interval long, and:
    start row gives the last row kept in the segment.  Only rows in the first
    ``interval`` of a segment can be the first kept row, so the segment is
    summarised by those "head" times and the exit time reached from each;
-2. per device, a sorted streaming fold over the segment summaries finds the
-   real entry state of every segment; it holds one segment at a time, never
-   a whole device;
+2. a summary is a map from the entry time to the exit time.  ``fan`` segments
+   in a row are composed into one such map per (device, block), which has no
+   more pieces than the block's first segment has head rows: after a second
+   segment every state is known.  A fold over a device's blocks gives each
+   block's entry, and a fold over a block's segments, from there, each
+   segment's.  So a device's segments are dealt over tasks by block, and the
+   fold per device sees one map a block;
 3. per (device, segment) again, the rows are walked from that entry and the
    kept rows are emitted.
 
 A state older than one segment can never block a row, which is why a segment
-only depends on its predecessor's exit time.  The rows are clustered by
-(device, segment) once; steps 1 and 3 both read that layout, so the data is
-shuffled a single time (AQE reuses the exchange).
+only depends on its predecessor's exit time.  All folds stream sorted maps and
+hold one at a time.  The rows are clustered by (device, segment) once; steps 1
+and 3 both read that layout, so the data is shuffled a single time (AQE reuses
+the exchange).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,9 @@ from tankcast.operators.windows import _seconds
 from tankcast.session import ship_package
 
 SEG = "__seg"
+BLOCK = "__block"
+#: Segments that are composed into one block.
+FAN = 256
 
 
 def _micros(s: pd.Series) -> np.ndarray:
@@ -101,10 +109,99 @@ def _terminal(nxt: np.ndarray) -> np.ndarray:
         ptr = new
 
 
+def _whole_groups(batches: Iterable[pd.DataFrame], cols: list[str]) -> Iterator[pd.DataFrame]:
+    """The sorted batches as frames that cut no group of ``cols``."""
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        gid, _, _ = _group_layout(pdf, cols)
+        last = gid == gid[-1]
+        carry, done = pdf[last].reset_index(drop=True), pdf[~last].reset_index(drop=True)
+        if len(done):
+            yield done
+    if carry is not None and len(carry):
+        yield carry
+
+
+def _maps(pdf: pd.DataFrame, cols: list[str], within: list[str]):
+    """Each map of a frame of whole maps (groups of ``cols``): its first row, the
+    ``within`` columns, head times, and per number of heads that the entry blocks
+    the exit time and whether there is one (else the entry goes through)."""
+    gid, _, end = _group_layout(pdf, cols)
+    firsts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
+    names = pdf.iloc[firsts][within].itertuples(index=False, name=None)
+    known = pdf["exit_ts"].notna().to_numpy()
+    head = pdf["head_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
+    exit_ = pdf["exit_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
+    for a, name in zip(firsts, names, strict=True):
+        b = end[a]
+        yield a, name, head[a:b - 1], exit_[a:b], known[a:b]
+
+
+def _compose(batches: Iterable[pd.DataFrame], cols: list[str], within: list[str], iv: int) -> Iterator[pd.DataFrame]:
+    """One map per ``within`` from its maps (groups of ``cols``) in order."""
+    def frame(done):
+        sizes = [len(exits) for _, _, exits, _ in done]
+        out = pd.DataFrame([name for name, *_ in done], columns=within)
+        out = out.loc[np.repeat(np.arange(len(done)), sizes)].reset_index(drop=True)
+        pos = np.concatenate([np.arange(n) for n in sizes])
+        # the last piece stands for "after every head row"
+        head = np.concatenate([np.append(heads, 0) for _, heads, _, _ in done])
+        out["head_ts"] = pd.arrays.IntegerArray(head, pos == np.repeat(sizes, sizes) - 1)
+        out["exit_ts"] = pd.arrays.IntegerArray(np.concatenate([exits for _, _, exits, _ in done]),
+                                                ~np.concatenate([known for *_, known in done]))
+        out["pos"] = pos
+        return out
+
+    block = None
+    for pdf in _whole_groups(batches, cols):
+        done = []
+        for _, name, h, x, k in _maps(pdf, cols, within):
+            if block is None or name != block[0]:
+                if block is not None:
+                    done.append(block)
+                block = name, h, x, k
+                continue
+            _, heads, exits, known = block
+            at = h.searchsorted(exits + iv, side="right")
+            if not known[-1]:  # such an entry went through the maps before: it ended over an interval ago
+                at[-1] = 0
+            block = name, heads, x[at] if k[-1] else np.where(k[at], x[at], exits), known | k[at]
+        if done:
+            yield frame(done)
+    if block is not None:
+        yield frame([block])
+
+
+def _entries(batches: Iterable[pd.DataFrame], cols: list[str], within: list[str], iv: int,
+             start: str | None = None) -> Iterator[pd.DataFrame]:
+    """``entry_us`` of every map (group of ``cols``), folded in order; each
+    ``within`` starts at its ``start`` column, or with nothing kept yet."""
+    name = entry = None
+    for pdf in _whole_groups(batches, cols):
+        rows, found = [], []
+        for a, key, h, x, k in _maps(pdf, cols, within):
+            if key != name:
+                name = key
+                begin = None if start is None else pdf[start].iloc[a]
+                entry = None if pd.isna(begin) else int(begin)
+            rows.append(a)
+            found.append(entry)
+            at = 0 if entry is None else h.searchsorted(entry + iv, side="right")
+            if k[at]:
+                entry = int(x[at])
+        out = pdf.iloc[rows][cols].reset_index(drop=True)
+        out["entry_us"] = pd.array(found, dtype="Int64")
+        yield out
+
+
 def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str,
-                        interval: str = "5 seconds", segment: str = "1 hour") -> DataFrame:
+                        interval: str = "5 seconds", segment: str = "1 hour", fan: int = FAN) -> DataFrame:
     """Rows at least ``interval`` after the row kept before, per key.  A row
-    without a time follows none, so it stays."""
+    without a time follows none, so it stays.  ``fan`` segments are one block."""
     keys = list(keys)
     iv = _seconds(interval) * 1_000_000
     span = _seconds(segment) * 1_000_000
@@ -152,56 +249,21 @@ def min_interval_sample(df: DataFrame, keys: Sequence[str], ts: str, id_col: str
                             f"{key_ddl}, head_ts bigint, exit_ts bigint, pos bigint",
                             whole_batches=True)
 
-    # 2. per device, in segment order: the entry state of every segment.  A
-    # sorted streaming fold: only the entry state and at most one unfinished
-    # segment are held, never a whole device (a hot device may have many
-    # segments).  Rows of one segment are its head rows (pos 0..h-1), then
-    # its tail row.
-    entry_schema = f"{key_ddl}, entry_us bigint"
-
-    def fold(batches):
-        state = {"dev": None, "e": None}
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            seg_id, _, _ = _group_layout(pdf, gcols)
-            last = seg_id == seg_id[-1]
-            carry, done = pdf[last].reset_index(drop=True), pdf[~last].reset_index(drop=True)
-            if len(done):
-                yield _fold_segments(done, state)
-        if carry is not None and len(carry):
-            yield _fold_segments(carry, state)
-
-    def _fold_segments(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-        seg_id, _, seg_end = _group_layout(pdf, gcols)
-        firsts = np.flatnonzero(np.r_[True, seg_id[1:] != seg_id[:-1]])
-        devs = [tuple(r) for r in pdf.iloc[firsts][keys].itertuples(index=False)]
-        exit_ = pdf["exit_ts"].to_numpy(dtype="float64", na_value=np.nan)
-        head_i = pdf["head_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
-        exit_i = pdf["exit_ts"].astype("Int64").to_numpy(dtype="int64", na_value=0)
-        out = np.zeros(len(firsts), dtype="int64")
-        has = np.zeros(len(firsts), dtype=bool)
-        e, dev = state["e"], state["dev"]
-        for n, a in enumerate(firsts):
-            if devs[n] != dev:
-                e, dev = None, devs[n]
-            if e is not None:
-                out[n], has[n] = e, True
-            b = seg_end[a]
-            h = 0 if e is None else int(np.searchsorted(head_i[a:b - 1], e + iv, side="right"))
-            if not np.isnan(exit_[a + h]):
-                e = int(exit_i[a + h])
-        state["e"], state["dev"] = e, dev
-        res = pdf.iloc[firsts][gcols].reset_index(drop=True)
-        res["entry_us"] = pd.array(np.where(has, out, 0), dtype="Int64")
-        res.loc[~has, "entry_us"] = pd.NA
-        return res
-
+    # 2. the entry state of every segment: segments are composed into blocks,
+    # blocks folded per device, segments per block from the block's entry
+    bcols = [*keys, BLOCK]
+    block_ddl = ", ".join(f"{k} {types[k]}" for k in keys) + f", {BLOCK} {types[SEG]}"
     ship_package(summaries.sparkSession)
-    entry = cluster(summaries, keys, [SEG, "pos"]).mapInPandas(fold, entry_schema)
+    # clustered once; both passes over the summaries read this layout
+    blocked = summaries.withColumn(BLOCK, F.window(F.col(SEG), f"{span // 1_000_000 * fan} seconds").start)
+    sp = cluster(blocked, bcols, [SEG, "pos"])
+    blocks = sp.mapInPandas(lambda batches: _compose(batches, gcols, bcols, iv),
+                            f"{block_ddl}, head_ts bigint, exit_ts bigint, pos bigint")
+    begins = cluster(blocks, keys, [BLOCK, "pos"]).mapInPandas(
+        lambda batches: _entries(batches, bcols, keys, iv), f"{block_ddl}, entry_us bigint")
+    entry = (sp.join(begins, bcols, "left").sortWithinPartitions(*bcols, SEG, "pos")
+             .mapInPandas(lambda batches: _entries(batches, gcols, bcols, iv, "entry_us"),
+                          f"{key_ddl}, entry_us bigint"))
 
     # 3. walk every segment from its entry and keep the sampled rows
     out_schema = d.select(*cols).schema

@@ -5,10 +5,11 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tankcast.operators.sampling import greedy_reference, min_interval_sample
+from tankcast.operators.sampling import _compose, greedy_reference, min_interval_sample
 from tankcast.operators.segmented import asof_fill, running_extremes_since_reset
 
 T0 = dt.datetime(2024, 1, 1)
@@ -85,6 +86,55 @@ def test_min_interval_sample_matches_greedy(spark):
     assert got_ids == sorted(want)
 
 
+@pytest.mark.parametrize("fan", [1, 2, 3, 50])
+def test_sampler_by_blocks_of_any_size(spark, fan):
+    # a segment as long as the interval: whole segments are blocked, entries go through maps
+    rnd = random.Random(fan)
+    rows, i = [], 0
+    for dev in range(3):
+        t = 0.0
+        for _ in range(200 if dev == 0 else 40):
+            t += rnd.choice([0.0, 0.5, 2.5, 4.9, 5.0, 5.001, 12.0, 61.0])
+            rows.append((i, dev, T0 + dt.timedelta(seconds=round(t, 3))))
+            i += 1
+    df = spark.createDataFrame(rows, "id long, dev int, ts timestamp_ntz").repartition(4)
+    for segment in ("5 seconds", "15 seconds"):
+        got = min_interval_sample(df, ["dev"], "ts", "id", "5 seconds", segment, fan)
+        want = []
+        for d in range(3):
+            mine = [r for r in rows if r[1] == d]
+            us = pd.Series([r[2] for r in mine]).astype("datetime64[us]").astype("int64").tolist()
+            want += [mine[k][0] for k in greedy_reference(us, 5_000_000)]
+        assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_composed_maps_equal_a_fold_over_their_parts():
+    # 60 segments of 1 to 6 rows: the map of a block gives what its segments give one after another
+    rnd, iv, span = random.Random(3), 5, 7
+    frames, times = [], []
+    for seg in range(60):
+        t = sorted(rnd.sample(range(seg * span, (seg + 1) * span), rnd.randint(1, 6)))
+        times.append(t)
+        heads = [x for x in t if x <= seg * span + iv]
+
+        def exit_of(rows):
+            kept = greedy_reference(rows, iv)
+            return rows[kept[-1]] if kept else None
+
+        exits = [exit_of(t[p:]) for p in range(len(heads) + 1)]
+        frames.append(pd.DataFrame({"dev": 1, "block": 0, "seg": seg, "head_ts": pd.array([*heads, None], dtype="Int64"),
+                                    "exit_ts": pd.array(exits, dtype="Int64"), "pos": range(len(exits))}))
+    whole = pd.concat(frames, ignore_index=True)
+    batches = [whole.iloc[i:i + 5] for i in range(0, len(whole), 5)]
+    block = pd.concat(_compose(batches, ["dev", "block", "seg"], ["dev", "block"], iv))
+    assert len(block) == len(frames[0])  # as many pieces as the first segment has
+    for entry in (None, *range(-span, 0)):
+        blocked = 0 if entry is None else int((block["head_ts"].dropna() <= entry + iv).sum())
+        flat = [x for t in times for x in t]
+        kept = greedy_reference(flat, iv, entry)
+        assert block["exit_ts"].iloc[blocked] == flat[kept[-1]]
+
+
 def test_min_interval_fixture(spark):
     secs = [0, 4, 5, 5.001, 9, 10.5]
     df = spark.createDataFrame([(i, 1, T0 + dt.timedelta(seconds=s)) for i, s in enumerate(secs)],
