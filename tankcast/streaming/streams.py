@@ -124,18 +124,19 @@ def forecast_stream(messages: DataFrame, weather: DataFrame | Callable[[], DataF
     micro-batch, on final windows only -- weather as of the reading (J1),
     the forecast (M1), and the publish rows (S2).  With ``models_path`` (the
     model table a training stream writes) each window is scored with the
-    newest model version of its site (M3); before the first one, ``weights``."""
-    spark = messages.sparkSession
+    newest model version of its site (M3); before the first one, ``weights``.
+    A batch reads the model batches that came since the one before, not their history."""
+    spark, checkpoint = messages.sparkSession, _base(messages, checkpoint, name)
     r = _readings(messages, prefix).withWatermark("ts", watermark)
     newest = last_in_window(r, ["device_id"], "ts", "msg_id", width,
                             cols=["site_id", "ts", "msg_id", "tank_temperature"])
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df = staged(to_ntz(df, "ts", "window_start", "window_end"), f"{out_path}/windows", batch_id)
+        models = _scoring_models(df, models_path, checkpoint, batch_id) if models_path else None
         if df.isEmpty():
             return
         enriched, held = _enrich_batch(df, _current(weather), weather_lookback)
-        models = _read_or_none(spark, models_path) if models_path else None
         if models is not None:
             pred = M.forecast_with_models(enriched, models, ["site_id"], initial=weights)
         else:
@@ -150,6 +151,40 @@ def forecast_stream(messages: DataFrame, weather: DataFrame | Callable[[], DataF
     return _start(newest, name, checkpoint, trigger, batch_fn=batch)
 
 
+VERSIONS = ("site_id int, version_ts timestamp_ntz, " + ", ".join(f"{w} double" for w in M.WEIGHTS[:len(M.FEATURES)])
+            + ", intercept double, batch_id int")
+
+
+def _scoring_models(windows: DataFrame, models_path: str, checkpoint: str, batch_id: int) -> DataFrame:
+    """The model versions that ``windows`` or later ones can need: each site's
+    newest one published by the first end of ``windows``, and all after it.
+
+    They are handed on from batch to batch.  Of the model table only the training
+    batches from the newest one known are read: that one again, as it may have
+    been half written.  Windows come by their ends, so a version that is older
+    than the newest one at the first end is never needed again."""
+    spark, columns = windows.sparkSession, [c.split()[0] for c in VERSIONS.split(", ")]
+    held = None
+    if batch_id:
+        held = _read_or_none(spark, f"{checkpoint.rstrip('/')}/versions/batch_id={(batch_id - 1) % 2}",
+                             VERSIONS.replace("batch_id", "trained"))
+    if held is None:  # the first batch, or one that goes on from batches without models
+        held = spark.createDataFrame([], VERSIONS.replace("batch_id", "trained"))
+    lo = windows.agg(F.min("window_end")).first()[0]  # of the staged batch: file statistics
+    known = held.agg(F.max("trained")).first()[0]
+    found = None if lo is None else _read_or_none(spark, models_path, VERSIONS)
+    if found is not None:
+        found = found if known is None else found.filter(F.col("batch_id") >= known)
+        held = held.unionByName(found.select(*columns).withColumnRenamed("batch_id", "trained"))
+        row = F.struct(*[c for c in held.columns if c not in ("site_id", "version_ts")])
+        held = (held.groupBy("site_id", "version_ts").agg(F.max_by(row, "trained").alias("v"))
+                .select("site_id", "version_ts", "v.*"))
+        by_first = F.max(F.when(F.col("version_ts") <= F.lit(lo), F.col("version_ts"))).over(Window.partitionBy("site_id"))
+        held = (held.withColumn("by_first", by_first)
+                .filter(F.col("by_first").isNull() | (F.col("version_ts") >= F.col("by_first"))).drop("by_first"))
+    return staged(held, f"{checkpoint.rstrip('/')}/versions", batch_id % 2)
+
+
 # --- A2 on a stream: sliding newest/oldest -------------------------------------------
 
 def sliding_stream(messages: DataFrame, out_path: str, prefix: str = "site",
@@ -380,9 +415,9 @@ def change_stream(values: DataFrame, out_path: str, initial: float = 0.0,
 
 # --- T3: training across micro-batches ----------------------------------------------
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":  # anything else is an error, not "no model yet"
             raise

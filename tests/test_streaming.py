@@ -184,6 +184,61 @@ def test_forecast_stream_with_trained_models(spark, scratch):
         forecast(load_messages(spark, SF), weather).count()
 
 
+def test_forecast_stream_reads_new_models_only(spark, scratch):
+    # versions of 12 batches arrive between the micro-batches; the folders read before are then spoilt
+    log, out, models = f"{scratch}/log", f"{scratch}/out", f"{scratch}/models"
+    weather = load_weather(spark, SF)
+    msgs = load_messages(spark, SF)
+    sites = [r.site_id for r in msgs.select("site_id").distinct().collect()]
+    lo, hi = msgs.agg(F.min("ts"), F.max("ts")).first()
+    versions = []
+
+    def train(batches):
+        for n in batches:
+            new = [(s, lo + (hi - lo) * n / 12 + dt.timedelta(seconds=s % 7), 1.0 + n, 0.1 * n, 0.0, float(s % 3), 0.5, n)
+                   for s in sites if (s + n) % 3]
+            versions.extend(new)
+            ddl = ("site_id int, version_ts timestamp_ntz, w_tank double, w_temp double, w_hum double, "
+                   "w_wind double, intercept double, n long")
+            spark.createDataFrame(new, ddl).coalesce(1).write.parquet(f"{models}/batch_id={n}")
+
+    def run(parts):
+        write_log(spark, log, only=parts)
+        ST.forecast_stream(message_stream(spark, log, max_files_per_trigger=1), weather, out, trigger=AVAILABLE_NOW,
+                           checkpoint=f"{scratch}/ck", models_path=models).awaitTermination(600)
+
+    def scored():
+        return {r.msg_id: r for r in spark.read.parquet(f"{out}/forecast").collect()}
+
+    run({0})  # no models yet
+    none = set(scored())
+    train(range(0, 7))
+    run({1, 2, 3})
+    first = set(scored()) - none
+    for n in range(0, 6):  # all but the newest that was read
+        for name in os.listdir(f"{models}/batch_id={n}"):
+            if name.endswith(".parquet"):
+                with open(f"{models}/batch_id={n}/{name}", "wb") as f:
+                    f.write(b"spoilt")
+    train(range(7, 12))
+    run({4, 5, 6})
+    got = scored()
+    assert len(got) == forecast(msgs, weather).count() and none and first
+    late = 0
+    for i, r in got.items():
+        there = [v for v in versions if i not in none and (v[-1] < 7 or i not in first)]
+        at = max((v for v in there if v[0] == r.site_id and v[1] <= r.window_end), key=lambda v: v[1], default=None)
+        assert r.model_version_ts == (at and at[1])
+        if at is None:
+            continue
+        late += at[-1] >= 7
+        assert abs(r.forecast - (at[2] * r.tank_temperature + at[3] * r.weather_temperature + at[5] * r.weather_wind + 0.5)) < 1e-9
+    assert late > 0
+    # versions that no later window can need are not handed on
+    held = [spark.read.parquet(f"{scratch}/ck/versions/batch_id={b}").count() for b in (0, 1)]
+    assert min(held) < len(versions) / 2
+
+
 def test_sliding_stream_equals_batch(spark, scratch):
     from tankcast.operators.forecast import tank_readings
     from tankcast.operators.windows import sliding_first_last
