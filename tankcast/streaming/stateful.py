@@ -167,15 +167,37 @@ ENRICHED = ("site_id int, device_id bigint, ts timestamp, msg_id bigint, tank_te
             "weather_temperature double, weather_humidity double, weather_wind double, weather_found boolean")
 
 
+#: Rows of the state, many to a block: a call of the state store takes a block, not a row.
+READING = np.dtype([("ts", "<i8"), ("device", "<i8"), ("id", "<i8"), ("value", "<f8")])
+VERSION = np.dtype([("ts", "<i8"), ("id", "<i8"), *((n, "<f8") for n in WEATHER)])
+
+
+def _block(dtype: np.dtype, *columns) -> np.ndarray:
+    out = np.empty(len(columns[0]), dtype)
+    for name, column in zip(dtype.names, columns):
+        out[name] = pd.Series(column).astype(dtype[name])  # fails on an id that is missing
+    return out
+
+
+def _rows(state, dtype: np.dtype) -> np.ndarray:
+    blocks = [np.frombuffer(b, dtype) for [b] in state.get()] if state.exists() else []
+    return np.concatenate(blocks) if blocks else np.empty(0, dtype)
+
+
+def _cut(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[lo:lo + GIVEN].tobytes(),) for lo in range(0, len(rows), GIVEN)]
+
+
 class AsOfProcessor(StatefulProcessor):
     """Readings with the newest weather at or before them, emitted when the
-    watermark has passed them.  State: readings still open, weather versions by
-    (time, id).  Of the versions the watermark has passed only the newest stays."""
+    watermark has passed them.  State: blocks of readings still open and of
+    weather versions, in order of arrival; of versions with one (time, id) the
+    last to arrive counts.  Of those the watermark has passed only the newest stays."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "ts bigint, device bigint, id bigint, v double")
-        self.versions = handle.getMapState("versions", "ts bigint, id bigint", "t double, h double, w double")
+        self.open = handle.getListState("open", "block binary")
+        self.versions = handle.getListState("versions", "block binary")
         self.armed = handle.getValueState("armed", "at bigint")
 
     def arm(self, micros: int) -> None:
@@ -188,44 +210,44 @@ class AsOfProcessor(StatefulProcessor):
             self.armed.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came: dict[str, list[np.ndarray]] = {"open": [], "versions": []}
         for pdf in rows:
-            if not len(pdf):
-                continue
-            pdf = pdf.assign(us=_micros(pdf["ts"]))
-            weather = pdf[pdf["weather"]]
-            for us, i, *values in weather[["us", "id", *WEATHER]].itertuples(index=False, name=None):
-                self.versions.updateValue((int(us), int(i)), tuple(map(float, values)))
-            own = pdf[~pdf["weather"]]
-            if len(own):
-                self.open.appendList([(int(us), int(d), int(i), float(v)) for us, d, i, v in
-                                      own[["us", "device_id", "id", "value"]].itertuples(index=False, name=None)])
-            self.arm(int(pdf["us"].min()))
+            us, is_weather = _micros(pdf["ts"]), pdf["weather"].to_numpy(bool)
+            weather, own = pdf[is_weather], pdf[~is_weather]
+            came["versions"].append(_block(VERSION, us[is_weather], weather["id"], *(weather[n] for n in WEATHER)))
+            came["open"].append(_block(READING, us[~is_weather], own["device_id"], own["id"], own["value"]))
+        first = []
+        for name, blocks in came.items():
+            some = np.concatenate(blocks) if blocks else []
+            if len(some):
+                getattr(self, name).appendList(_cut(some))
+                first.append(int(some["ts"].min()))
+        if first:
+            self.arm(min(first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.open.get()) if self.open.exists() else []
-        versions = sorted((tuple(k), tuple(v)) for k, v in self.versions.iterator())
-        final = [r for r in rows if r[0] <= until]
-        left = rows[len(final):]
-        times = [k[0] for k, _ in versions]
-        if final:
-            found = np.searchsorted(times, [r[0] for r in final], side="right") - 1
-            own = [versions[f][1] if f >= 0 else (0.0, 0.0, 0.0) for f in found]
-            for lo in range(0, len(final), GIVEN):
-                some, with_them = final[lo:lo + GIVEN], own[lo:lo + GIVEN]
-                yield pd.DataFrame({
-                    "site_id": key[0], "device_id": [r[1] for r in some],
-                    "ts": pd.to_datetime([r[0] for r in some], unit="us"), "msg_id": [r[2] for r in some],
-                    "tank_temperature": [r[3] for r in some],
-                    **{f"weather_{n}": [w[k] for w in with_them] for k, n in enumerate(WEATHER)},
-                    "weather_found": found[lo:lo + GIVEN] >= 0})
-            self.open.put(left) if left else self.open.clear()
+        rows, versions = _rows(self.open, READING), _rows(self.versions, VERSION)
+        rows = rows[np.argsort(rows["ts"], kind="stable")]
+        versions = versions[np.lexsort((versions["id"], versions["ts"]))]  # stable: the last to arrive comes last
+        times = versions["ts"]
+        done = int(np.searchsorted(rows["ts"], until, side="right"))
         passed = int(np.searchsorted(times, until, side="right"))
-        for k, _ in versions[:max(passed - 1, 0)]:
-            self.versions.removeKey(k)
+        for lo in range(0, done, GIVEN):
+            some = rows[lo:min(lo + GIVEN, done)]
+            found = np.searchsorted(times, some["ts"], side="right")  # 0: none, else the version before
+            yield pd.DataFrame({
+                "site_id": key[0], "device_id": some["device"], "ts": pd.to_datetime(some["ts"], unit="us"),
+                "msg_id": some["id"], "tank_temperature": some["value"],
+                **{f"weather_{n}": np.concatenate(([0.0], versions[n]))[found] for n in WEATHER},
+                "weather_found": found > 0})
+        left, kept = rows[done:], versions[max(passed - 1, 0):]
+        for state, now, whole in ((self.open, left, rows), (self.versions, kept, versions)):
+            if len(now) < len(whole):
+                state.put(_cut(now)) if len(now) else state.clear()
         self.armed.clear()
-        following = [*(r[0] for r in left[:1]), *times[passed:passed + 1]]
+        following = [*left["ts"][:1].tolist(), *times[passed:passed + 1].tolist()]
         if following:
             self.arm(min(following))
 
@@ -249,7 +271,7 @@ def weather_enrich_stream(messages: DataFrame, weather: DataFrame, out_path: str
     r = r.select("site_id", F.pmod(F.xxhash64("device_id"), F.lit(buckets)).alias("bucket"), F.lit(False).alias("weather"),
                  "ts", "device_id", F.col("msg_id").alias("id"), F.col("tank_temperature").alias("value"), *none)
     w = w.select("site_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("bucket"),
-                 F.lit(True).alias("weather"), "ts", F.lit(None).cast("bigint").alias("device_id"),
+                 F.lit(True).alias("weather"), "ts", F.lit(0).cast("bigint").alias("device_id"),  # a null makes floats of all
                  F.col("weather_id").alias("id"), F.lit(None).cast("double").alias("value"),
                  *[F.coalesce(n, F.lit(0.0)).alias(n) for n in WEATHER])
     out = r.unionByName(w).groupBy("site_id", "bucket").transformWithStateInPandas(

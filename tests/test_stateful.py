@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,80 @@ def test_weather_that_comes_after_the_reading_counts(spark, scratch):
     assert rows(got, *cols) == rows(want, *cols) and got.count() == 5
 
 
+class Store:
+    """A handle with states in memory that counts the calls of the state store."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def called(self, fn=None, *args):
+        self.calls += 1
+        return fn(*args) if fn else None
+
+    def registerTimer(self, at):
+        self.called(self.timers.add, at)
+
+    def deleteTimer(self, at):
+        self.called(self.timers.remove, at)
+
+    def state(self, name, *schema):
+        held, calls = {} if len(schema) == 2 else [], self.called
+
+        class State:
+            exists = lambda _: calls(lambda: bool(held))
+            get = lambda _: calls(lambda: held[0] if name == "armed" else iter(list(held)))
+            iterator = lambda _: calls(lambda: iter(list(held.items())))
+            clear = lambda _: calls(held.clear)
+            update = lambda _, v: calls(held.__setitem__, slice(None), [v])
+            put = lambda _, v: calls(held.__setitem__, slice(None), v)
+            appendList = lambda _, v: calls(held.extend, v)
+            updateValue = lambda _, k, v: calls(held.__setitem__, k, v)
+            removeKey = lambda _, k: calls(held.pop, k)
+        return State()
+
+    getListState = getMapState = getValueState = state
+
+
+class Watermark:
+    def __init__(self, minutes):
+        self.ms = int((at(minutes) - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_weather_state_takes_a_call_a_block(monkeypatch):
+    monkeypatch.setattr(SF, "GIVEN", 1_500)  # several blocks and frames
+    rng, n = np.random.default_rng(7), 5_000
+    frames = []
+    for lo in (0, 400):  # minutes; a later batch reaches back to what the watermark has not passed
+        ts = pd.to_datetime(T0) + pd.to_timedelta(rng.integers(max(lo - 99, 0), lo + 500, 2 * n), unit="min")
+        weather = np.arange(2 * n) % 2 == 0
+        frames.append(pd.DataFrame({
+            "weather": weather, "ts": ts, "device_id": np.where(weather, 0, rng.integers(0, 9, 2 * n) + (1 << 60)),
+            "id": np.arange(2 * n) + 2 * n * len(frames), "value": np.where(weather, np.nan, rng.random(2 * n)),
+            **{c: np.where(weather, rng.random(2 * n), np.nan) for c in SF.WEATHER}}))
+    store, processor = Store(), SF.AsOfProcessor()
+    processor.init(store)
+    out = []
+    for frame, passed in zip(frames, (300, 880)):
+        assert not list(processor.handleInputRows((3, 1), iter([frame[:n], frame[n:], frame[:0]]), None))
+        out += processor.handleExpiredTimer((3, 1), Watermark(passed), None)
+    assert store.calls < 50 and len(store.timers) == 3 and max(map(len, out)) <= 1_500
+    got = pd.concat(out).sort_values("msg_id").reset_index(drop=True)
+    whole = pd.concat(frames)
+    versions = whole[whole["weather"]].sort_values(["ts", "id"], kind="stable")
+    readings = whole[~whole["weather"] & (whole["ts"] <= at(880))].drop(columns=SF.WEATHER).sort_values("ts", kind="stable")
+    want = pd.merge_asof(readings, versions[["ts", *SF.WEATHER]], on="ts").sort_values("id").reset_index(drop=True)
+    assert (got["site_id"] == 3).all() and got["device_id"].tolist() == want["device_id"].tolist()
+    assert got["msg_id"].tolist() == want["id"].tolist() and (got["ts"] == want["ts"]).all()
+    assert got["tank_temperature"].tolist() == want["value"].tolist()
+    assert got["weather_found"].tolist() == want[SF.WEATHER[0]].notna().tolist()
+    for c in SF.WEATHER:
+        assert got[f"weather_{c}"].tolist() == want[c].fillna(0.0).tolist()
+    assert len(SF._rows(processor.versions, SF.VERSION)) < n / 2  # the watermark has passed most of them
+
+
 def test_sliding_state_takes_a_reading_once(spark, scratch):
     arrive(spark, f"{scratch}/log", [[message(1, 3, "tank/temperature", "40")]], MESSAGE_SCHEMA)
     q = ST.sliding_stream(message_stream(spark, f"{scratch}/log"), f"{scratch}/out", trigger=NOW, checkpoint=f"{scratch}/ck")
